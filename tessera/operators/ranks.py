@@ -48,6 +48,34 @@ def range_layout(weighted: DataFrame, group_cols: list[str], value_col: str,
             .checkpoint(eager=True))
 
 
+def running_totals(weighted: DataFrame, group_cols: list[str], order_col: str,
+                   sum_cols: list[str], num_partitions: int | None = None,
+                   laid_out: bool = False) -> DataFrame:
+    """Exclusive running sums of ``sum_cols`` along ``order_col`` within each group.
+
+    Adds ``{c}_before`` (sum over rows strictly earlier in the order) for every
+    ``c``.  ``order_col`` must be distinct within a group (aggregate first).
+    Each task only sorts its own range partition; a table with one row per
+    (group, partition) supplies the offsets.
+    """
+    base = weighted if laid_out else range_layout(weighted, group_cols, order_col, num_partitions)
+    ranged = base.withColumn("_pid", F.spark_partition_id())
+    part = ranged.groupBy(*group_cols, "_pid").agg(*[F.sum(c).alias(f"_p_{c}") for c in sum_cols])
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = part.select(*group_cols, "_pid", *[
+        F.coalesce(F.sum(f"_p_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    local = Window.partitionBy("_pid", *group_cols).orderBy(order_col).rowsBetween(
+        Window.unboundedPreceding, -1)
+    out = ranged
+    for c in sum_cols:
+        out = out.withColumn(f"_l_{c}", F.coalesce(F.sum(c).over(local), F.lit(0)))
+    # offsets: at most partitions + groups rows, a bounded broadcast
+    out = out.join(F.broadcast(offsets), on=[*group_cols, "_pid"])
+    return out.select(*[x for x in weighted.columns], *[
+        (F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}_before") for c in sum_cols])
+
+
 def select_ranks(weighted: DataFrame, group_cols: list[str], value_col: str,
                  count_col: str, targets: DataFrame, pos_col: str = "pos",
                  num_partitions: int | None = None, laid_out: bool = False) -> DataFrame:
@@ -58,22 +86,11 @@ def select_ranks(weighted: DataFrame, group_cols: list[str], value_col: str,
     holds ``(group..., pos)``; its size is bounded by groups × positions.
     Returns ``targets`` columns plus ``value_col``.
     """
-    base = weighted if laid_out else range_layout(
-        weighted.select(*group_cols, value_col, count_col), group_cols, value_col, num_partitions)
-    ranged = base.withColumn("_pid", F.spark_partition_id())
-    # Per (group, partition) totals: at most partitions + groups rows.
-    part = ranged.groupBy(*group_cols, "_pid").agg(F.sum(count_col).alias("_pn"))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = part.select(*group_cols, "_pid",
-                          F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy("_pid", *group_cols).orderBy(value_col).rowsBetween(
-        Window.unboundedPreceding, 0)
-    spans = (ranged.withColumn("_cum", F.sum(count_col).over(local))
-             .join(F.broadcast(offsets), on=[*group_cols, "_pid"])
-             .select(*group_cols, value_col,
-                     (F.col("_off") + F.col("_cum")).alias("_end"),
-                     (F.col("_off") + F.col("_cum") - F.col(count_col)).alias("_start")))
+    tot = running_totals(weighted.select(*group_cols, value_col, count_col), group_cols,
+                         value_col, [count_col], num_partitions, laid_out)
+    spans = tot.select(*group_cols, value_col,
+                       F.col(f"{count_col}_before").alias("_start"),
+                       (F.col(f"{count_col}_before") + F.col(count_col)).alias("_end"))
     t = targets.alias("t")
     s = spans.alias("s")
     cond = [F.col(f"t.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group_cols]

@@ -254,3 +254,256 @@ SELECT '{c}' AS "column", round(avg(len(regexp_extract_all({c}, '{TX.NON_WS_RUN}
 FROM documents""" for c in ["text", "lang", "source"]))
 def q_avg_words(spark, sf):
     return P.avg_word_counts(table(spark, sf, "documents"), ["text", "lang", "source"])
+
+
+# =========================================================== D strings → numbers
+from ..functions import numeric_text as NT  # noqa: E402
+from ..operators import numtext as NX  # noqa: E402
+
+D_COLS = ["size_gb", "size_range", "size_bhk", "size_mixed", "p_brand", "p_type", "p_name"]
+
+
+def part_strings(spark, sf):
+    """part plus derived unit / range / leading-number strings (FIXTURES §2)."""
+    p = table(spark, sf, "part")
+    s = F.col("p_size").cast("string")
+    rng = F.concat(s, F.lit("-"), (F.col("p_size") + 10).cast("string"))
+    k = F.col("p_partkey") % 4
+    return p.select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
+        F.concat(s, F.lit("GB")).alias("size_gb"), rng.alias("size_range"),
+        F.concat(s, F.lit(" BHK")).alias("size_bhk"),
+        F.when(k == 0, rng).when(k == 1, F.concat(s, F.lit(" BHK")))
+        .otherwise(F.concat(s, F.lit("kg"))).alias("size_mixed"))
+
+
+PART_STRINGS_SQL = """(SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice,
+  CAST(p_size AS VARCHAR) || 'GB' AS size_gb,
+  CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 10 AS VARCHAR) AS size_range,
+  CAST(p_size AS VARCHAR) || ' BHK' AS size_bhk,
+  CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 10 AS VARCHAR)
+       WHEN p_partkey % 4 = 1 THEN CAST(p_size AS VARCHAR) || ' BHK'
+       ELSE CAST(p_size AS VARCHAR) || 'kg' END AS size_mixed
+FROM part)"""
+
+
+def _sq_strip(c):
+    return f"regexp_replace({c}, '{TX.EDGE_WS}', '', 'g')"
+
+
+def _sq_unit(c):
+    return f"TRY_CAST(NULLIF(regexp_extract({_sq_strip(c)}, '{NT.UNIT_PATTERN}', 1), '') AS DOUBLE)"
+
+
+def _sq_lead(c):
+    return f"TRY_CAST(NULLIF(regexp_extract({_sq_strip(c)}, '{NT.LEADING_PATTERN}', 1), '') AS DOUBLE)"
+
+
+def _sq_range(c):
+    parts = f"string_split_regex({c}, '{NT.RANGE_SEPARATOR}')"
+    return f"((TRY_CAST({parts}[1] AS DOUBLE) + TRY_CAST({parts}[2] AS DOUBLE)) / 2.0)"
+
+
+def _detect_sql(c):
+    return f"""
+SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS nonnull,
+  count(*) FILTER (WHERE {c} IS NOT NULL AND regexp_matches({_sq_strip(c)}, '{NT.RANGE_PATTERN}')) AS range_like,
+  count({_sq_range(c)}) AS range_parsed, count({_sq_unit(c)}) AS unit_parsed,
+  count({_sq_lead(c)}) AS lead_parsed
+FROM {PART_STRINGS_SQL}"""
+
+
+@register("numeric_text_detect", f"""
+SELECT *, CASE
+  WHEN range_like > nonnull * 0.1 AND CAST(range_parsed AS DOUBLE) / greatest(rows, 1) > 0.7 THEN 'range'
+  WHEN CAST(unit_parsed AS DOUBLE) / greatest(nonnull, 1) > 0.7 THEN 'unit'
+  WHEN CAST(lead_parsed AS DOUBLE) / greatest(nonnull, 1) > 0.7 THEN 'leading' END AS pattern
+FROM ({' UNION ALL '.join(_detect_sql(c) for c in D_COLS)})""")
+def q_numeric_text_detect(spark, sf):
+    """Detection counts and chosen pattern per string column."""
+    return NX.detect(part_strings(spark, sf), D_COLS)
+
+
+@register("numeric_text_extract", f"""
+SELECT p_partkey, {_sq_unit('size_gb')} AS size_gb, {_sq_range('size_range')} AS size_range,
+  {_sq_lead('size_bhk')} AS size_bhk, {_sq_lead('size_mixed')} AS size_mixed
+FROM {PART_STRINGS_SQL}""")
+def q_numeric_text_extract(spark, sf):
+    """Fitted extractor applied to every row."""
+    ps = part_strings(spark, sf)
+    cols = ["size_gb", "size_range", "size_bhk", "size_mixed"]
+    model = NX.NumericTextExtractor(cols).fit(ps)
+    return model.transform(ps).select("p_partkey", *cols)
+
+
+# ===================================================== E12 / E17 / F3 routing
+from ..operators import features as FT  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+from ..operators import text as TT  # noqa: E402
+
+
+@register("feature_routes", """
+SELECT "column", route FROM (VALUES
+  ('p_partkey', 'numeric'), ('p_name', 'frequency'), ('p_brand', 'frequency'),
+  ('p_type', 'one_hot'), ('p_size', 'numeric'), ('p_retailprice', 'numeric'),
+  ('size_gb', 'numeric_text'), ('size_range', 'numeric_text'), ('size_bhk', 'numeric_text'),
+  ('size_mixed', 'numeric_text')) v("column", route)
+WHERE (SELECT count(DISTINCT p_name) FROM part) > 15 AND (SELECT count(DISTINCT p_brand) FROM part) > 15
+  AND (SELECT count(DISTINCT p_type) FROM part) <= 15""")
+def q_feature_routes(spark, sf):
+    """Route per column of the derived part table."""
+    return FT.route_columns(part_strings(spark, sf)).select("column", "route")
+
+
+@register("feature_routes_text", f"""
+SELECT 'doc_id' AS "column", 'numeric' AS route
+UNION ALL SELECT 'n_chars', 'numeric'
+UNION ALL SELECT 'text', CASE WHEN avg(len(regexp_extract_all(text, '{TX.NON_WS_RUN}'))) >= 4 THEN 'text'
+  WHEN count(DISTINCT text) <= 15 THEN 'one_hot' ELSE 'frequency' END FROM documents
+UNION ALL SELECT 'lang', CASE WHEN avg(len(regexp_extract_all(lang, '{TX.NON_WS_RUN}'))) >= 4 THEN 'text'
+  WHEN count(DISTINCT lang) <= 15 THEN 'one_hot' ELSE 'frequency' END FROM documents
+UNION ALL SELECT 'source', CASE WHEN avg(len(regexp_extract_all(source, '{TX.NON_WS_RUN}'))) >= 4 THEN 'text'
+  WHEN count(DISTINCT source) <= 15 THEN 'one_hot' ELSE 'frequency' END FROM documents""")
+def q_feature_routes_text(spark, sf):
+    """Free text, one-hot and frequency routes on documents."""
+    return FT.route_columns(table(spark, sf, "documents")).select("column", "route")
+
+
+# ----------------------------------------------------------- F1 label index
+@register("label_index", """
+SELECT o_orderpriority AS class, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS "index"
+FROM (SELECT DISTINCT o_orderpriority FROM orders)""")
+def q_label_index(spark, sf):
+    _, classes = SP.encode_labels(table(spark, sf, "orders"), "o_orderpriority")
+    return classes
+
+
+# ------------------------------------------------------------ F2 split
+def _alloc_sql(src, draws):
+    return f"""(SELECT cls, n, fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS alloc FROM (
+  SELECT cls, n, fl, row_number() OVER (ORDER BY cont - fl DESC, cls) AS rk,
+         {draws} - sum(fl) OVER () AS need
+  FROM (SELECT cls, n, cont, floor(cont) AS fl FROM (
+     SELECT cls, n, n * ({draws}) / sum(n) OVER () AS cont FROM {src}))))"""
+
+
+SPLIT_SQL = f"""
+WITH c AS (SELECT o_orderstatus AS cls, count(*) AS n FROM orders GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(0.2 * sum(n)) AS BIGINT) AS n_test FROM c),
+tr AS {_alloc_sql('c', '(SELECT total - n_test FROM t)')},
+rest AS (SELECT cls, n - alloc AS n FROM tr),
+va AS {_alloc_sql('rest', '(SELECT n_test FROM t)')},
+r AS (SELECT o_orderkey, o_orderstatus AS cls,
+        row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42')) AS rn
+      FROM orders)
+SELECT r.cls AS class, count(*) AS n, count(*) FILTER (WHERE rn <= va.alloc) AS n_val,
+  count(*) FILTER (WHERE rn > va.alloc) AS n_train,
+  sum(CASE WHEN rn <= va.alloc THEN o_orderkey ELSE 0 END) AS val_key_sum
+FROM r JOIN va ON r.cls = va.cls GROUP BY r.cls"""
+
+
+@register("stratified_split", SPLIT_SQL)
+def q_stratified_split(spark, sf):
+    """exact stratified 80/20 split of orders by status (md5 order, seed 42)."""
+    o = table(spark, sf, "orders")
+    s = SP.stratified_split(o, "o_orderstatus", ["o_orderkey"])
+    return s.groupBy(F.col("o_orderstatus").alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "val").alias("n_val"),
+        F.count_if(F.col("split") == "train").alias("n_train"),
+        F.sum(F.when(F.col("split") == "val", F.col("o_orderkey")).otherwise(F.lit(0))).alias("val_key_sum"))
+
+
+# ------------------------------------------------------- F4 / F6 impute + scale
+IMP_COLS = ["l_quantity_n", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("impute_scale", "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS "column", round(m, 6) AS median, round(avg(coalesce({c}, m)), 6) AS mean,
+  round(stddev_pop(coalesce({c}, m)), 6) AS std,
+  round(sum(CASE WHEN stddev_pop_all > 0 THEN (coalesce({c}, m) - mean_all) / stddev_pop_all ELSE 0 END), 4) AS scaled_sum,
+  round(max(CASE WHEN stddev_pop_all > 0 THEN (coalesce({c}, m) - mean_all) / stddev_pop_all ELSE 0 END), 6) AS scaled_max
+FROM {LINEITEM_NULLS_SQL} b, (SELECT quantile_cont({c}, 0.5) AS m FROM {LINEITEM_NULLS_SQL}) q,
+  (SELECT avg(coalesce({c}, m2)) AS mean_all, stddev_pop(coalesce({c}, m2)) AS stddev_pop_all
+   FROM {LINEITEM_NULLS_SQL}, (SELECT quantile_cont({c}, 0.5) AS m2 FROM {LINEITEM_NULLS_SQL})) s
+GROUP BY m""" for c in IMP_COLS))
+def q_impute_scale(spark, sf):
+    """F4 + F6: median imputation then population-std scaling (fit and apply on all rows)."""
+    li = lineitem_nulls(spark, sf)
+    fitted = FT.FeaturePipeline(target="l_returnflag").fit(li.select("l_returnflag", *IMP_COLS))
+    out = None
+    for c in IMP_COLS:
+        x = F.coalesce(F.col(c), F.lit(fitted.medians[c]))
+        sd = fitted.stds[c] or 1.0
+        z = (x - F.lit(fitted.means[c])) / F.lit(sd)
+        r = li.agg(F.lit(c).alias("column"), F.round(F.lit(fitted.medians[c]), 6).alias("median"),
+                   F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"),
+                   F.round(F.sum(z), 4).alias("scaled_sum"), F.round(F.max(z), 6).alias("scaled_max"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+# ------------------------------------------------------ F5 / F7 one-hot
+@register("one_hot", """
+SELECT c_mktsegment AS category, count(*) AS n_ones,
+  (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode
+FROM customer GROUP BY c_mktsegment""")
+def q_one_hot(spark, sf):
+    """F5 + F7: mode and sorted categories fitted on customer; column sums of the one-hot block."""
+    cu = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    fitted = FT.FeaturePipeline(target="c_acctbal").fit(cu.drop("c_custkey"))
+    cats = fitted.categories["c_mktsegment"]
+    v = F.coalesce(F.col("c_mktsegment"), F.lit(fitted.modes["c_mktsegment"]))
+    sums = cu.agg(*[F.sum(F.when(v == F.lit(k), 1).otherwise(0)).cast("long").alias(f"k{i}")
+                    for i, k in enumerate(cats)])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("category"), F.col(f"k{i}").alias("n_ones"),
+                 F.lit(fitted.modes["c_mktsegment"]).alias("mode")) for i, k in enumerate(cats)])))
+
+
+# ---------------------------------------------------- F8 / C7 frequency
+@register("frequency_encoding", """
+SELECT p_brand AS value, round(CAST(count(*) AS DOUBLE) / (SELECT count(p_brand) FROM part), 6) AS share,
+  count(*) AS n_rows
+FROM part GROUP BY p_brand""")
+def q_frequency_encoding(spark, sf):
+    """F8 + C7: frequency map fitted on part.p_brand, joined back to every row."""
+    pt = table(spark, sf, "part")
+    ft = FT.frequency_table(pt, "p_brand")
+    enc = FT.apply_frequency(pt, "p_brand", ft, 25, "p_brand_freq")
+    return enc.groupBy(F.col("p_brand").alias("value")).agg(
+        F.round(F.max("p_brand_freq"), 6).alias("share"), F.count(F.lit(1)).alias("n_rows"))
+
+
+# ============================================================ F10–F14 TF-IDF
+_SW = ", ".join("'" + w.replace("'", "''") + "'" for w in TT.SPARK_ENGLISH_STOP_WORDS)
+TOKENS_SQL = f"""(SELECT doc_id, t || b AS terms FROM (
+  SELECT doc_id, t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])
+                         ELSE [] END AS b
+  FROM (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))),
+                                                      '{TX.WORD_RUN_2}'),
+                                   lambda w: NOT list_contains([{_SW}], w)) AS t
+        FROM documents)))"""
+TFIDF_CTE = f"""
+WITH tok AS {TOKENS_SQL},
+tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM tok) GROUP BY 1, 2),
+st AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tc GROUP BY term),
+top AS (SELECT term, df FROM st ORDER BY total DESC, term LIMIT 300),
+vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, df,
+                 ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM top)"""
+
+
+@register("tfidf_vocab", TFIDF_CTE + "\nSELECT term, idx, df, round(idf, 6) AS idf FROM vocab")
+def q_tfidf_vocab(spark, sf):
+    """Vocabulary of the 300 most frequent uni/bigrams over documents.text."""
+    m = TT.fit_tfidf(table(spark, sf, "documents"), "doc_id", "text")
+    return m.vocab.select("term", "idx", "df", F.round("idf", 6).alias("idf"))
+
+
+@register("tfidf_weights", TFIDF_CTE + """,
+w AS (SELECT tc.doc_id, tc.term, vocab.idx, (1 + ln(tf)) * idf AS w FROM tc JOIN vocab USING (term))
+SELECT doc_id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def q_tfidf_weights(spark, sf):
+    """sublinear-tf × smooth-idf weights, L2-normalised per document."""
+    docs = table(spark, sf, "documents")
+    m = TT.fit_tfidf(docs, "doc_id", "text")
+    return m.weights(docs, "doc_id").select("doc_id", "term", "idx", F.round("weight", 6).alias("weight"))
