@@ -12,6 +12,7 @@ The vocabulary is at most ``max_features`` rows and is broadcast.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,25 +52,33 @@ def default_stop_words() -> list[str]:
     return list(SPARK_ENGLISH_STOP_WORDS)
 
 
-def tokens(c, stop_words: list[str] | None = None, ngram_max: int = NGRAM_MAX) -> Column:
-    """Array of unigrams (+ bigrams) for one text column (NULL text → empty)."""
+def words(c) -> Column:
+    """Lower-cased, accent-stripped runs of >= 2 word characters (NULL text → empty)."""
     txt = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    words = F.regexp_extract_all(TX.strip_accents(F.lower(txt)), F.lit(TX.WORD_RUN_2), 0)
+    return F.regexp_extract_all(TX.strip_accents(F.lower(txt)), F.lit(TX.WORD_RUN_2), 0)
+
+
+def tokenize(df: DataFrame, c: str, out_col: str = "terms", stop_words: list[str] | None = None,
+             ngram_max: int = NGRAM_MAX) -> DataFrame:
+    """Add ``out_col``: unigrams (+ bigrams of the kept tokens).  Stop words are removed
+    by ``StopWordsRemover`` (a JVM hash set) and bigrams built by ``NGram``."""
+    out = df.withColumn("__w", words(c))
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-        words = F.filter(words, lambda w: ~F.array_contains(stop, w))
+        out = StopWordsRemover(inputCol="__w", outputCol="__k", stopWords=list(stop_words),
+                               caseSensitive=True).transform(out).drop("__w") \
+            .withColumnRenamed("__k", "__w")
     if ngram_max >= 2:
-        n = F.size(words)
-        bigrams = F.when(n >= 2, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1),
-                                            lambda a, b: F.concat(a, F.lit(" "), b))
-                         ).otherwise(F.array().cast("array<string>"))
-        words = F.concat(words, bigrams)
-    return words
+        out = NGram(n=2, inputCol="__w", outputCol="__b").transform(out)
+        out = out.withColumn(out_col, F.concat("__w", "__b")).drop("__w", "__b")
+    else:
+        out = out.withColumnRenamed("__w", out_col)
+    return out
 
 
 def term_counts(df: DataFrame, row_id: str, c: str, stop_words=None) -> DataFrame:
     """``(row_id, term, tf)``."""
-    return (df.select(row_id, F.explode(tokens(c, stop_words)).alias("term"))
+    tok = tokenize(df.select(row_id, c), c, "__terms", stop_words)
+    return (tok.select(row_id, F.explode("__terms").alias("term"))
             .groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

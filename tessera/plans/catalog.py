@@ -507,3 +507,323 @@ def q_tfidf_weights(spark, sf):
     docs = table(spark, sf, "documents")
     m = TT.fit_tfidf(docs, "doc_id", "text")
     return m.weights(docs, "doc_id").select("doc_id", "term", "idx", F.round("weight", 6).alias("weight"))
+
+
+# ============================================================ I evaluation
+from ..operators import evaluate as EV  # noqa: E402
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def events_binary(spark, sf):
+    """label = purchase, score = value, prediction = value > 60 (FIXTURES §2)."""
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", (F.col("event_type") == "purchase").cast("int").alias("label"),
+                     F.col("value").alias("score"), (F.col("value") > 60).cast("int").alias("prediction"))
+
+
+EVENTS_BINARY_SQL = """(SELECT event_id, CAST(event_type = 'purchase' AS INTEGER) AS label, value AS score,
+  CAST(value > 60 AS INTEGER) AS prediction FROM events)"""
+
+
+def events_multiclass(spark, sf):
+    """label = event type; prediction = a value band; probabilities = fractional parts."""
+    ev = table(spark, sf, "events")
+    band = (F.when(F.col("value") < 20, "click").when(F.col("value") < 40, "error")
+            .when(F.col("value") < 60, "purchase").when(F.col("value") < 80, "signup").otherwise("view"))
+    idx = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")) - 1
+    probs = F.array(*[(F.col("value") * (k + 1)) - F.floor(F.col("value") * (k + 1))
+                      for k in range(len(EVENT_TYPES))])
+    return ev.select("event_id", F.col("event_type").alias("label"), band.alias("prediction"),
+                     idx.cast("double").alias("label_index"), probs.alias("probability"))
+
+
+EVENTS_MULTI_SQL = """(SELECT event_id, event_type AS label,
+  CASE WHEN value < 20 THEN 'click' WHEN value < 40 THEN 'error' WHEN value < 60 THEN 'purchase'
+       WHEN value < 80 THEN 'signup' ELSE 'view' END AS prediction, value FROM events)"""
+
+_PER_CLASS_SQL = """
+WITH s AS {src},
+cls AS (SELECT label AS c FROM s UNION SELECT prediction FROM s),
+pc AS (SELECT c AS class,
+  count(*) FILTER (WHERE s.label = c AND s.prediction = c) AS tp,
+  count(*) FILTER (WHERE s.label = c) AS support,
+  count(*) FILTER (WHERE s.prediction = c) AS predicted
+  FROM cls, s GROUP BY c),
+m AS (SELECT class, support, tp,
+  CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS precision,
+  CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall FROM pc),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+  ELSE 0.0 END AS f1 FROM m)"""
+
+
+@register("classification_metrics", _PER_CLASS_SQL.format(src=EVENTS_BINARY_SQL) + """
+SELECT round(CAST(sum(tp) AS DOUBLE) / sum(support), 4) AS accuracy,
+  round(avg(precision), 4) AS precision_macro,
+  round(sum(precision * support) / sum(support), 4) AS precision_weighted,
+  round(avg(recall), 4) AS recall_macro, round(sum(recall * support) / sum(support), 4) AS recall_weighted,
+  round(avg(f1), 4) AS f1_macro, round(sum(f1 * support) / sum(support), 4) AS f1_weighted,
+  round(coalesce(max(CASE WHEN class = 1 THEN recall END), 0.0), 4) AS recall_class_1
+FROM f""")
+def q_classification_metrics(spark, sf):
+    """I2–I4 on the binary events fixture."""
+    return EV.classification_metrics(events_binary(spark, sf))
+
+
+@register("confusion_matrix", """
+WITH s AS """ + EVENTS_MULTI_SQL + """,
+cls AS (SELECT label AS c FROM s UNION SELECT prediction FROM s)
+SELECT a.c AS label, b.c AS prediction,
+  (SELECT count(*) FROM s WHERE s.label = a.c AND s.prediction = b.c) AS "count"
+FROM cls a, cls b""")
+def q_confusion_matrix(spark, sf):
+    """5 × 5 cells including zeros."""
+    return EV.confusion_counts(events_multiclass(spark, sf))
+
+
+@register("classification_report", _PER_CLASS_SQL.format(src=EVENTS_MULTI_SQL) + """
+SELECT class AS "row", round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1,
+  support FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4),
+  sum(support) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4),
+  round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
+  sum(support) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CAST(sum(tp) AS DOUBLE) / sum(support), 4), sum(support) FROM f""")
+def q_classification_report(spark, sf):
+    """Per class + accuracy, macro and weighted averages."""
+    return EV.classification_report(events_multiclass(spark, sf))
+
+
+def _auc_sql(src, score, pos):
+    return f"""(SELECT sum(p * (nb + 0.5 * n)) / (sum(p) * sum(n)) AS auc FROM (
+  SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+  FROM (SELECT {score} AS score, sum(CASE WHEN {pos} THEN 1 ELSE 0 END) AS p,
+               sum(CASE WHEN {pos} THEN 0 ELSE 1 END) AS n FROM {src} GROUP BY 1)))"""
+
+
+@register("roc_auc", f"SELECT round(auc, 4) AS roc_auc FROM {_auc_sql(EVENTS_BINARY_SQL, 'score', 'label = 1')}")
+def q_roc_auc(spark, sf):
+    """Rank AUC of value as a purchase score (ties count one half)."""
+    return EV.roc_auc(events_binary(spark, sf))
+
+
+@register("roc_auc_ovr", "SELECT round(avg(auc), 4) AS roc_auc_ovr FROM (" + " UNION ALL ".join(
+    f"SELECT auc FROM {_auc_sql('events', f'value * {k + 1} - floor(value * {k + 1})', chr(39) + t + chr(39) + ' = event_type')}"
+    for k, t in enumerate(EVENT_TYPES)) + ")")
+def q_roc_auc_ovr(spark, sf):
+    """Macro one-vs-rest AUC over 5 event types."""
+    return EV.roc_auc_ovr(events_multiclass(spark, sf), "label_index", "probability")
+
+
+@register("regression_metrics", """
+SELECT round(sqrt(avg((l_quantity * 1500 - l_extendedprice) ^ 2)), 4) AS rmse,
+  round(avg(abs(l_quantity * 1500 - l_extendedprice)), 4) AS mae,
+  round(1 - sum((l_quantity * 1500 - l_extendedprice) ^ 2)
+        / sum((l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) ^ 2), 4) AS r2
+FROM lineitem""")
+def q_regression_metrics(spark, sf):
+    """I8: prediction = quantity × 1500 against extended price."""
+    li = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("label"),
+                                             (F.col("l_quantity") * 1500).alias("prediction"))
+    return EV.regression_metrics(li)
+
+
+# ====================================================== J rules, K memory
+from ..operators import decide as DC  # noqa: E402
+from ..operators import memory as MM  # noqa: E402
+from ..operators.models import ARCHITECTURES, REGRESSION_MODELS  # noqa: E402
+
+_ARCH = sorted(ARCHITECTURES)
+_REG = sorted(REGRESSION_MODELS)
+
+
+def runs_table(spark, sf):
+    """One synthetic experiment row per order (FIXTURES §2): architecture from the key,
+    scores from the total price scaled to 0..1, hyper-parameters from the keys."""
+    o = table(spark, sf, "orders")
+    mx = o.agg(F.max("o_totalprice")).scalar()
+    arch = F.element_at(F.array(*[F.lit(a) for a in _ARCH]), (F.col("o_orderkey") % 22 + 1).cast("int"))
+    val = F.round(F.col("o_totalprice") / mx, 4)
+    reg = arch.isin(*_REG)
+    hp = F.create_map(
+        F.lit("max_depth"), (3 + F.col("o_custkey") % 8).cast("string"),
+        F.lit("learning_rate"), (F.lit(0.05) + F.lit(0.05) * (F.col("o_orderkey") % 5)).cast("string"),
+        F.lit("n_estimators"), (100 * (1 + F.col("o_orderkey") % 4)).cast("string"),
+        F.lit("min_samples_split"), (2 + F.col("o_orderkey") % 5).cast("string"),
+        F.lit("min_samples_leaf"), (1 + F.col("o_custkey") % 3).cast("string"))
+    return o.select(
+        F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"),
+        (F.col("o_orderdate") + F.make_interval(secs=F.col("o_orderkey").cast("decimal(18,6)")))
+        .alias("created_at"),
+        F.concat(F.lit("heart_"), F.lower(F.substring("o_orderpriority", 3, 20))).alias("dataset_name"),
+        F.when(reg, "regression").otherwise("classification").alias("task_type"),
+        arch.alias("architecture"), hp.alias("hyperparams"),
+        F.round(F.least(F.lit(1.0), val + (F.col("o_custkey") % 40) / 100.0), 4).alias("train_score"),
+        val.alias("val_score"),
+        F.when(~reg, val).alias("accuracy"),
+        F.when(~reg, F.round(val * 0.95, 4)).alias("f1_weighted"),
+        F.when(~reg, F.round(F.least(F.lit(1.0), val + 0.1), 4)).alias("roc_auc"),
+        F.when(reg, val).alias("r2"),
+        (F.col("o_orderkey") % 3).cast("int").alias("retry_count"),
+        (1 + F.col("o_custkey") % 2).cast("int").alias("max_retries"))
+
+
+_ARCH_LIST = ", ".join(f"'{a}'" for a in _ARCH)
+_REG_LIST = ", ".join(f"'{a}'" for a in _REG)
+RUNS_SQL = f"""(SELECT *, CASE WHEN task_type = 'classification' THEN val_score END AS accuracy,
+  CASE WHEN task_type = 'classification' THEN round(val_score * 0.95, 4) END AS f1_weighted,
+  CASE WHEN task_type = 'classification' THEN round(least(1.0, val_score + 0.1), 4) END AS roc_auc,
+  CASE WHEN task_type = 'regression' THEN val_score END AS r2
+FROM (SELECT 'run-' || CAST(o_orderkey AS VARCHAR) AS run_id,
+  o_orderdate + to_seconds(o_orderkey) AS created_at,
+  'heart_' || lower(substr(o_orderpriority, 3, 20)) AS dataset_name,
+  CASE WHEN arch IN ({_REG_LIST}) THEN 'regression' ELSE 'classification' END AS task_type,
+  arch AS architecture, round(least(1.0, val + (o_custkey % 40) / 100.0), 4) AS train_score,
+  val AS val_score, 3 + o_custkey % 8 AS max_depth, 0.05 + 0.05 * (o_orderkey % 5) AS learning_rate,
+  100 * (1 + o_orderkey % 4) AS n_estimators, 2 + o_orderkey % 5 AS min_samples_split,
+  1 + o_custkey % 3 AS min_samples_leaf, CAST(o_orderkey % 3 AS INTEGER) AS retry_count,
+  CAST(1 + o_custkey % 2 AS INTEGER) AS max_retries
+FROM (SELECT *, [{_ARCH_LIST}][o_orderkey % 22 + 1] AS arch,
+             round(o_totalprice / (SELECT max(o_totalprice) FROM orders), 4) AS val FROM orders)))"""
+
+JUDGE_SQL = f"""
+WITH r AS {RUNS_SQL},
+a AS (SELECT *, CAST(CASE WHEN architecture LIKE '%Forest%' OR architecture LIKE '%Trees%' THEN 0.35
+  WHEN architecture LIKE '%Boosting%' OR architecture LIKE '%XGBoost%' OR architecture LIKE '%LightGBM%' THEN 0.20
+  WHEN architecture LIKE '%DecisionTree%' THEN 0.25 ELSE 0.15 END AS DOUBLE) AS threshold,
+  CASE WHEN architecture LIKE '%Forest%' OR architecture LIKE '%Trees%' THEN 'forest'
+  WHEN architecture LIKE '%Boosting%' OR architecture LIKE '%XGBoost%' OR architecture LIKE '%LightGBM%' THEN 'boosting'
+  ELSE 'other' END AS fam,
+  round(train_score - val_score, 4) AS overfit_gap FROM r),
+b AS (SELECT *, overfit_gap > threshold AS is_overfit FROM a),
+c AS (SELECT *, CASE WHEN task_type = 'regression' THEN
+    CASE WHEN coalesce(r2, 0) >= 0.75 THEN true WHEN coalesce(r2, 0) >= 0.60 THEN NOT is_overfit ELSE false END
+  ELSE (coalesce(accuracy, 0) >= 0.70 OR coalesce(f1_weighted, 0) >= 0.70 OR coalesce(roc_auc, 0) >= 0.75)
+       AND NOT is_overfit END AS passed FROM b),
+d AS (SELECT *, CAST(8.0 - CASE WHEN is_overfit THEN 1.5 ELSE 0 END - CASE WHEN passed THEN 0 ELSE 1.5 END
+  AS DOUBLE) AS raw,
+  task_type = 'regression' AND coalesce(r2, 0) >= 0.75 AS strong FROM c)
+SELECT run_id, threshold, overfit_gap, is_overfit, passed,
+  CAST(greatest(round(CASE WHEN strong THEN greatest(raw, 7.5) ELSE raw END, 2), 0.0) AS DOUBLE) AS critic_score,
+  CASE WHEN strong THEN true ELSE raw >= 6.5 AND passed AND NOT is_overfit END AS approved,
+  CASE WHEN is_overfit AND fam = 'forest' THEN greatest(3.0, max_depth - 3)
+       WHEN is_overfit AND fam = 'boosting' THEN greatest(2.0, max_depth - 1) END AS suggest_max_depth,
+  CASE WHEN is_overfit AND fam = 'boosting' THEN round(learning_rate * 0.7, 4) END AS suggest_learning_rate,
+  CASE WHEN is_overfit AND fam = 'forest' THEN CAST(min_samples_split + 3 AS DOUBLE) END AS suggest_min_samples_split,
+  NOT (CASE WHEN strong THEN true ELSE raw >= 6.5 AND passed AND NOT is_overfit END)
+    AND retry_count < max_retries AS should_retry
+FROM d"""
+
+
+@register("judge_runs", JUDGE_SQL)
+def q_judge_runs(spark, sf):
+    """J1–J4, J6, J7, J9 over 15k synthetic runs in one projection."""
+    j = DC.judge(runs_table(spark, sf))
+    return j.select("run_id", "threshold", "overfit_gap", "is_overfit", "passed", "critic_score",
+                    "approved", "suggest_max_depth", "suggest_learning_rate",
+                    "suggest_min_samples_split", "should_retry")
+
+
+def _similar_sql(name, task):
+    return f"""
+WITH r AS {RUNS_SQL},
+s AS (SELECT run_id, created_at, approved_src.approved, r.dataset_name, r.task_type, r.architecture,
+  CASE WHEN lower(trim(r.dataset_name)) = lower(trim('{name}')) THEN 10.0
+       WHEN lower(trim(r.dataset_name)) <> '' AND contains(lower(trim('{name}')), lower(trim(r.dataset_name)))
+         OR contains(lower(trim(r.dataset_name)), lower(trim('{name}'))) THEN 5.0 ELSE 0.0 END
+  + CASE WHEN r.task_type = '{task}' THEN 3.0 ELSE 0.0 END AS similarity
+  FROM r JOIN ({JUDGE_SQL}) approved_src USING (run_id))
+SELECT run_id, dataset_name, architecture, approved, similarity,
+  row_number() OVER (ORDER BY similarity DESC, created_at, run_id) AS similar_rank
+FROM s WHERE similarity >= 3.0 QUALIFY similar_rank <= 3"""
+
+
+@register("similar_runs", _similar_sql("heart_urgent_data", "classification"))
+def q_similar_runs(spark, sf):
+    """K1 + K2: the 3 runs most similar to a new dataset (score desc, oldest first)."""
+    runs = DC.judge(runs_table(spark, sf))
+    sim = MM.find_similar(runs, "heart_urgent_data", "classification")
+    return sim.select("run_id", "dataset_name", "architecture", "approved", "similarity",
+                      F.col("similar_rank").cast("long").alias("similar_rank"))
+
+
+@register("search_budget", f"""
+WITH t AS ({_similar_sql('heart_high', 'regression')})
+SELECT count(*) FILTER (WHERE approved) AS n_approved, count(*) FILTER (WHERE NOT approved) AS n_failed,
+  CASE WHEN count(*) FILTER (WHERE approved) > 0 THEN 5 ELSE 10 END AS optuna_trials,
+  CASE WHEN count(*) FILTER (WHERE NOT approved) >= 2 THEN 2 ELSE 1 END AS max_retries
+FROM t""")
+def q_search_budget(spark, sf):
+    """Trials and retries from the similar runs of a new dataset."""
+    runs = DC.judge(runs_table(spark, sf))
+    sim = MM.find_similar(runs, "heart_high", "regression")
+    return DC.search_budget(sim)
+
+
+# =================================================== G7 naive Bayes, G8 KNN
+from pyspark.ml.functions import array_to_vector  # noqa: E402
+
+from ..operators import models as MD  # noqa: E402
+from ..operators.naive_bayes import GaussianNB  # noqa: E402
+from ..operators.neighbors import KNN  # noqa: E402
+
+
+def embeddings(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("label").cast("double").alias("label"),
+                    array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+
+
+@register("naive_bayes", """
+WITH x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v,
+                  generate_subscripts(embedding, 1) AS d FROM embeddings),
+eps AS (SELECT 1e-9 * max(vp) AS eps FROM (SELECT var_pop(v) AS vp FROM x GROUP BY d)),
+st AS (SELECT label, d, avg(v) AS mu, var_pop(v) + (SELECT eps FROM eps) AS var FROM x GROUP BY label, d),
+pr AS (SELECT label, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM embeddings)) AS lp
+       FROM embeddings GROUP BY label),
+j AS (SELECT x.vec_id, st.label,
+        sum(-0.5 * ln(2 * pi() * st.var) - 0.5 * (x.v - st.mu) * (x.v - st.mu) / st.var) AS ll
+      FROM x JOIN st ON x.d = st.d GROUP BY x.vec_id, st.label)
+SELECT vec_id, CAST(label AS DOUBLE) AS prediction FROM (
+  SELECT j.vec_id, j.label, row_number() OVER (PARTITION BY j.vec_id ORDER BY j.ll + pr.lp DESC, j.label) AS rn
+  FROM j JOIN pr USING (label)) WHERE rn = 1""")
+def q_naive_bayes(spark, sf):
+    """Gaussian NB (var_smoothing 1e-9) fitted on embeddings, prediction per vector."""
+    e = embeddings(spark, sf)
+    return GaussianNB().fit(e).transform(e).select("vec_id", "prediction")
+
+
+KNN_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+  CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2 AS is_val
+  FROM embeddings),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS tl, list_distance(q.x, t.x) AS dist
+      FROM e q, e t WHERE q.is_val AND NOT t.is_val),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+v AS (SELECT qid, tl, count(*) AS c FROM r WHERE rn <= 5 GROUP BY qid, tl)
+SELECT qid AS vec_id, CAST(tl AS DOUBLE) AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tl) AS rn2 FROM v) WHERE rn2 = 1"""
+
+
+@register("knn", KNN_SQL)
+def q_knn(spark, sf):
+    """Exact 5-NN majority vote for the hash-split validation vectors."""
+    e = embeddings(spark, sf).withColumn("split", F.when(SP.uniform(SP.row_hash(["vec_id"])) < 0.2,
+                                                         "val").otherwise("train"))
+    model = KNN(k=5, row_id="vec_id").fit(e.where("split = 'train'"))
+    return model.predict(e.where("split = 'val'"), "vec_id")
+
+
+@register("ridge_coefficients")
+def q_ridge_coefficients(spark, sf):
+    """Ridge (alpha 1) of extended price on quantity, discount, tax (rows-only check)."""
+    from pyspark.ml.feature import VectorAssembler
+    li = table(spark, sf, "lineitem")
+    df = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features") \
+        .transform(li).withColumn("label", F.col("l_extendedprice"))
+    st = MD.training_stats(df)
+    m = MD.build_model("Ridge", {"alpha": 1.0}, "regression", stats=st).fit(df)
+    names = ["l_quantity", "l_discount", "l_tax"]
+    rows = [(n, float(c)) for n, c in zip(names, m.coefficients.toArray())] + [("intercept", float(m.intercept))]
+    return spark.createDataFrame(rows, "term string, coefficient double")
