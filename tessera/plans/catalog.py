@@ -680,7 +680,8 @@ FROM (SELECT 'run-' || CAST(o_orderkey AS VARCHAR) AS run_id,
   'heart_' || lower(substr(o_orderpriority, 3, 20)) AS dataset_name,
   CASE WHEN arch IN ({_REG_LIST}) THEN 'regression' ELSE 'classification' END AS task_type,
   arch AS architecture, round(least(1.0, val + (o_custkey % 40) / 100.0), 4) AS train_score,
-  val AS val_score, 3 + o_custkey % 8 AS max_depth, 0.05 + 0.05 * (o_orderkey % 5) AS learning_rate,
+  val AS val_score, 3 + o_custkey % 8 AS max_depth,
+  CAST(0.05 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (o_orderkey % 5) AS learning_rate,
   100 * (1 + o_orderkey % 4) AS n_estimators, 2 + o_orderkey % 5 AS min_samples_split,
   1 + o_custkey % 3 AS min_samples_leaf, CAST(o_orderkey % 3 AS INTEGER) AS retry_count,
   CAST(1 + o_custkey % 2 AS INTEGER) AS max_retries
@@ -707,9 +708,10 @@ d AS (SELECT *, CAST(8.0 - CASE WHEN is_overfit THEN 1.5 ELSE 0 END - CASE WHEN
 SELECT run_id, threshold, overfit_gap, is_overfit, passed,
   CAST(greatest(round(CASE WHEN strong THEN greatest(raw, 7.5) ELSE raw END, 2), 0.0) AS DOUBLE) AS critic_score,
   CASE WHEN strong THEN true ELSE raw >= 6.5 AND passed AND NOT is_overfit END AS approved,
-  CASE WHEN is_overfit AND fam = 'forest' THEN greatest(3.0, max_depth - 3)
-       WHEN is_overfit AND fam = 'boosting' THEN greatest(2.0, max_depth - 1) END AS suggest_max_depth,
-  CASE WHEN is_overfit AND fam = 'boosting' THEN round(learning_rate * 0.7, 4) END AS suggest_learning_rate,
+  CAST(CASE WHEN is_overfit AND fam = 'forest' THEN greatest(3.0, max_depth - 3)
+       WHEN is_overfit AND fam = 'boosting' THEN greatest(2.0, max_depth - 1) END AS DOUBLE) AS suggest_max_depth,
+  CASE WHEN is_overfit AND fam = 'boosting' THEN round(CAST(learning_rate AS DOUBLE) * 0.7, 4) END
+    AS suggest_learning_rate,
   CASE WHEN is_overfit AND fam = 'forest' THEN CAST(min_samples_split + 3 AS DOUBLE) END AS suggest_min_samples_split,
   NOT (CASE WHEN strong THEN true ELSE raw >= 6.5 AND passed AND NOT is_overfit END)
     AND retry_count < max_retries AS should_retry
