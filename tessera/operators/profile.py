@@ -1,26 +1,26 @@
 """Column and dataset profiling (operators E1–E20, C2–C4).
 
-Work plan for ``profile_columns`` — at most four passes over the input, all of
-them partial-aggregating on the executors:
-
-1. one wide ``agg``: row count, non-null counts, mean / sample std / min / max of
-   numeric columns, and for string columns the D5 detection counts plus the
-   same four statistics for each candidate extraction;
-2. the numeric long table ``(column, value, n)`` — unpivot + ``groupBy`` with
-   map-side combine, so a value holding a third of all rows is one row — laid
-   out by range and checkpointed; exact quartiles, distinct counts and IQR
+Work plan for ``profile_columns`` — two shuffles of the input, both
+partial-aggregating on the executors:
+
+1. the string long table ``(column, value, n)`` — unpivot + ``groupBy`` with
+   map-side combine, so a value holding a third of all rows is one row.  The
+   D5 detection regexes run once per *distinct* value (weighted by ``n``),
+   and converted columns are extracted from the distinct values too;
+2. the numeric long table ``(column, value, n)`` (raw numeric columns plus the
+   converted strings), laid out by range and checkpointed; mean / sample std /
+   min / max (weighted, two-pass), exact quartiles, distinct counts and IQR
    outlier counts all read it;
-3. the string long table ``(column, value, n)`` for distinct counts and the
-   top-5 values (two-stage salted top-k);
-4. ``groupBy(all columns)`` for duplicate rows (dataset totals only).
+3. top-5 values per categorical column from table 1 (two-stage salted top-k).
+
+Duplicate rows (dataset totals) are one more ``groupBy(all columns)``.
 
 Only one row per column ever reaches the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,55 +126,6 @@ def detect_numeric_text(df: DataFrame, cols: list[str] | None = None) -> DataFra
     return long.withColumn("pattern", NT.decide_pattern(*[F.col(k) for k in keys]))
 
 
-# ------------------------------------------------------------------ wide pass (1)
-@dataclass
-class _Plan:
-    rows: int
-    kinds: dict
-    nonnull: dict
-    stats: dict          # column -> (mean, std, min, max)
-    pattern: dict        # string column -> pattern or None
-
-
-def _first_pass(df: DataFrame) -> _Plan:
-    kinds = column_kinds(df)
-    aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    for i, (c, k) in enumerate(kinds.items()):
-        aggs.append(F.count(F.when(present(df, c), F.lit(1))).alias(f"c{i}__nn"))
-        if k in ("numeric", "bool"):
-            v = numeric_value(df, c)
-            aggs += [F.avg(v).alias(f"c{i}__mean"), F.stddev_samp(v).alias(f"c{i}__std"),
-                     F.min(v).alias(f"c{i}__min"), F.max(v).alias(f"c{i}__max")]
-        elif k == "string":
-            aggs += NT.detection_aggs(F.col(c), f"c{i}")
-            for p in NT.PATTERNS:
-                v = NT.extract_with(p, F.col(c))
-                aggs += [F.avg(v).alias(f"c{i}__{p}_mean"), F.stddev_samp(v).alias(f"c{i}__{p}_std"),
-                         F.min(v).alias(f"c{i}__{p}_min"), F.max(v).alias(f"c{i}__{p}_max")]
-    row = df.agg(*aggs).collect()[0].asDict()   # one row: columns x statistics
-    plan = _Plan(rows=row["__rows"], kinds=kinds, nonnull={}, stats={}, pattern={})
-    for i, (c, k) in enumerate(kinds.items()):
-        plan.nonnull[c] = row[f"c{i}__nn"]
-        if k in ("numeric", "bool"):
-            plan.stats[c] = tuple(row[f"c{i}__{s}"] for s in ("mean", "std", "min", "max"))
-        elif k == "string":
-            nn = row[f"c{i}__nonnull"]
-            allr = max(row[f"c{i}__rows"], 1)
-            nnd = max(nn, 1)
-            pat = None
-            if (row[f"c{i}__range_like"] > nn * NT.RANGE_SHARE_MIN
-                    and row[f"c{i}__range_parsed"] / allr > NT.PARSED_SHARE_MIN):
-                pat = "range"
-            elif row[f"c{i}__unit_parsed"] / nnd > NT.PARSED_SHARE_MIN:
-                pat = "unit"
-            elif row[f"c{i}__lead_parsed"] / nnd > NT.PARSED_SHARE_MIN:
-                pat = "leading"
-            plan.pattern[c] = pat
-            if pat:
-                plan.stats[c] = tuple(row[f"c{i}__{pat}_{s}"] for s in ("mean", "std", "min", "max"))
-    return plan
-
-
 # ------------------------------------------------------------ long tables (2), (3)
 def numeric_value_counts(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """``(column, value double, n)`` — distinct values with multiplicity."""
@@ -202,26 +153,96 @@ def top_values(value_counts: DataFrame, k: int = TOP_VALUES,
 
 
 # --------------------------------------------------------------------- profile
+def _weighted_stats(vc: DataFrame) -> DataFrame:
+    """``(column, nonnull, mean, std, min, max)`` from a ``(column, value, n)`` table.
+
+    Two grouped passes over the distinct values: totals, then the sum of squared
+    deviations about each column's mean (one row per column, broadcast).
+    """
+    t = vc.groupBy("column").agg(F.sum("n").alias("nonnull"),
+                                 (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+                                 F.min("value").alias("min"), F.max("value").alias("max"))
+    means = t.select("column", F.col("mean").alias("_m"))
+    ss = (vc.join(F.broadcast(means), "column")
+          .groupBy("column").agg(F.sum(F.col("n") * (F.col("value") - F.col("_m")) ** 2).alias("_ss")))
+    return t.join(ss, "column").select(
+        "column", "nonnull", "mean",
+        F.when(F.col("nonnull") > 1, F.sqrt(F.col("_ss") / (F.col("nonnull") - 1))).alias("std"),
+        "min", "max")
+
+
+def _detect_from_counts(svc: DataFrame, rows: int) -> DataFrame:
+    """D5 over a string value table: each regex runs once per distinct value."""
+    v = F.col("value")
+    n = F.col("n")
+    agg = svc.groupBy("column").agg(
+        F.sum(n).alias("nonnull"),
+        F.sum(F.when(NT.is_range(v), n).otherwise(0)).alias("range_like"),
+        F.sum(F.when(NT.range_midpoint(v).isNotNull(), n).otherwise(0)).alias("range_parsed"),
+        F.sum(F.when(NT.unit_number(v).isNotNull(), n).otherwise(0)).alias("unit_parsed"),
+        F.sum(F.when(NT.leading_number(v).isNotNull(), n).otherwise(0)).alias("lead_parsed"))
+    keys = ("rows", "nonnull", "range_like", "range_parsed", "unit_parsed", "lead_parsed")
+    agg = agg.withColumn("rows", F.lit(rows).cast("long"))
+    return agg.withColumn("pattern", NT.decide_pattern(*[F.col(k) for k in keys]))
+
+
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
-    """E1–E6 + C3 for every column: one row per column (``COLUMN_PROFILE_SCHEMA``)."""
+    """E1–E6 + C3 for every column: one row per column (``COLUMN_PROFILE_SCHEMA``).
+
+    Two shuffles of the input: the string value table and the numeric value
+    table.  Everything else (detection, statistics, quartiles, outliers, top
+    values) runs on those distinct-value tables.
+    """
     spark = df.sparkSession
-    plan = _first_pass(df)
-    n_total = plan.rows
-    num_cols = [c for c, k in plan.kinds.items() if k in ("numeric", "bool")]
-    conv_cols = [c for c, p in plan.pattern.items() if p]
-    str_cols = [c for c, k in plan.kinds.items() if k in ("string", "temporal")]
-
-    # (2) numeric long table, laid out once, read three times.
-    exprs = {c: numeric_value(df, c) for c in num_cols}
-    exprs.update({c: NT.extract_with(plan.pattern[c], F.col(c)) for c in conv_cols})
-    quart, outl, nuniq_num = {}, {}, {}
-    if exprs:
-        vc = ranks.range_layout(numeric_value_counts(df, exprs), ["column"], "value")
-        q = ranks.quantiles(vc, ["column"], "value", "n", list(QUARTILES), exact=True,
-                            laid_out=True) if exact else ranks.quantiles(
-            df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), e.alias("value"))
-                                        for c, e in exprs.items()]))).where("value is not null")
-            .withColumn("n", F.lit(1)), ["column"], "value", "n", list(QUARTILES), exact=False)
+    kinds = column_kinds(df)
+    n_total = df.count()
+    num_cols = [c for c, k in kinds.items() if k in ("numeric", "bool")]
+    str_cols = [c for c, k in kinds.items() if k in ("string", "temporal")]
+    text_cols = [c for c, k in kinds.items() if k == "string"]
+
+    # (3) string value table first: detection runs on its distinct values.
+    svc = None
+    pattern: dict = {}
+    nonnull: dict = {}
+    nuniq_str: dict = {}
+    if str_cols:
+        svc = string_value_counts(df, str_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        for r in svc.groupBy("column").agg(F.count(F.lit(1)).alias("u"),
+                                           F.sum("n").alias("nn")).collect():
+            nuniq_str[r["column"]] = r["u"]
+            nonnull[r["column"]] = r["nn"]
+        if text_cols:
+            det = _detect_from_counts(svc.where(F.col("column").isin(text_cols)), n_total)
+            pattern = {r["column"]: r["pattern"] for r in det.collect()}   # one row per column
+    conv_cols = [c for c in text_cols if pattern.get(c)]
+
+    # (2) numeric value table: raw numeric columns + converted strings (from distinct values).
+    quart, outl, nuniq_num, stats = {}, {}, {}, {}
+    parts = []
+    if num_cols:
+        parts.append(numeric_value_counts(df, {c: numeric_value(df, c) for c in num_cols}))
+    if conv_cols:
+        conv = F.lit(None).cast("double")
+        for c in conv_cols:
+            conv = F.when(F.col("column") == c, NT.extract_with(pattern[c], F.col("value"))).otherwise(conv)
+        parts.append(svc.where(F.col("column").isin(conv_cols))
+                     .select("column", conv.alias("value"), "n").where(F.col("value").isNotNull())
+                     .groupBy("column", "value").agg(F.sum("n").alias("n")))
+    if parts:
+        raw_vc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        vc = ranks.range_layout(raw_vc, ["column"], "value")
+        for r in _weighted_stats(vc).collect():
+            stats[r["column"]] = (r["mean"], r["std"], r["min"], r["max"])
+            if r["column"] in num_cols:
+                nonnull[r["column"]] = r["nonnull"]
+        if exact:
+            q = ranks.quantiles(vc, ["column"], "value", "n", list(QUARTILES), exact=True, laid_out=True)
+        else:
+            longv = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
+                                                          numeric_value(df, c).alias("value"))
+                                                 for c in num_cols]))).where("value is not null")
+            q = ranks.quantiles(longv.withColumn("n", F.lit(1)), ["column"], "value", "n",
+                                list(QUARTILES), exact=False)
         qw = q.groupBy("column").agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n)
                                        for p, n in zip(QUARTILES, ("q1", "q2", "q3"))])
         iqr = F.col("q3") - F.col("q1")
@@ -233,42 +254,41 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             quart[r["column"]] = {0.25: r["q1"], 0.5: r["q2"], 0.75: r["q3"]}
             if r["lo"] is not None:
                 bounds.append((r["column"], r["lo"], r["hi"]))
-        stats = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+        agg = [F.count(F.lit(1)).alias("n_unique")]
         if bounds:
             bdf = spark.createDataFrame(bounds, "column string, lo double, hi double")
-            out = (vc.join(F.broadcast(bdf), "column")   # one row per column: bounded
-                   .groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lo"))
-                                                       | (F.col("value") > F.col("hi")), F.col("n"))
-                                                .otherwise(F.lit(0))).alias("outliers")))
-            got = {r["column"]: r["outliers"] for r in out.collect()}
-            outl = {c: (got.get(c, 0), lo, hi) for c, lo, hi in bounds}
-        nuniq_num = {r["column"]: r["n_unique"] for r in stats.collect()}
-
-    # (3) string long table: raw distinct counts + top values of categoricals.
-    nuniq_str, tops = {}, {}
-    if str_cols:
-        svc = string_value_counts(df, str_cols).persist()
-        nuniq_str = {r["column"]: r["n_unique"] for r in
-                     svc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")).collect()}
-        cat = [c for c in str_cols if not plan.pattern.get(c)]
-        if cat:
-            tv = top_values(svc.where(F.col("column").isin(cat)),
-                            max_distinct=max([nuniq_str.get(c, 0) for c in cat] + [0]))
-            for r in tv.collect():   # <= 5 rows per column
-                tops.setdefault(r["column"], []).append((r["rank"], r["value"], r["count"]))
-        svc.unpersist()
+            scored = vc.join(F.broadcast(bdf), "column", "left")   # one row per column: bounded
+            agg.append(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")),
+                                    F.col("n")).otherwise(F.lit(0))).alias("outliers"))
+        else:
+            scored = vc.withColumn("lo", F.lit(None).cast("double"))
+            agg.append(F.lit(0).alias("outliers"))
+        got = {}
+        for r in scored.groupBy("column").agg(*agg).collect():
+            nuniq_num[r["column"]] = r["n_unique"]
+            got[r["column"]] = r["outliers"]
+        outl = {c: (got.get(c, 0) or 0, lo, hi) for c, lo, hi in bounds}
+
+    # top values of categorical columns
+    tops: dict = {}
+    cat = [c for c in str_cols if not pattern.get(c)]
+    if cat:
+        tv = top_values(svc.where(F.col("column").isin(cat)),
+                        max_distinct=max([nuniq_str.get(c, 0) for c in cat] + [0]))
+        for r in tv.collect():   # <= 5 rows per column
+            tops.setdefault(r["column"], []).append((r["rank"], r["value"], r["count"]))
 
     rows = []
-    for pos, (c, k) in enumerate(plan.kinds.items()):
-        n_missing = n_total - plan.nonnull[c]
-        is_num = k in ("numeric", "bool") or bool(plan.pattern.get(c))
+    for pos, (c, k) in enumerate(kinds.items()):
+        n_missing = n_total - nonnull.get(c, 0)
+        is_num = k in ("numeric", "bool") or bool(pattern.get(c))
         n_unique = nuniq_num.get(c, 0) if k in ("numeric", "bool") else nuniq_str.get(c, 0)
         dtype = df.schema[c].dataType.simpleString()
         if is_num:
-            mean, std, mn, mx = plan.stats.get(c, (None,) * 4)
+            mean, std, mn, mx = stats.get(c, (None,) * 4)
             qq = quart.get(c, {})
             oc, lo, hi = outl.get(c, (0, None, None))
-            rows.append((c, pos, dtype, "numeric", bool(plan.pattern.get(c)), plan.pattern.get(c),
+            rows.append((c, pos, dtype, "numeric", bool(pattern.get(c)), pattern.get(c),
                          n_missing, n_unique, mean, std, mn, qq.get(0.25), qq.get(0.5),
                          qq.get(0.75), mx, [], int(oc or 0), lo, hi))
         else:

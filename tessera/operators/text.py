@@ -12,6 +12,7 @@ The vocabulary is at most ``max_features`` rows and is broadcast.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,9 +77,15 @@ def tokenize(df: DataFrame, c: str, out_col: str = "terms", stop_words: list[str
 
 
 def term_counts(df: DataFrame, row_id: str, c: str, stop_words=None) -> DataFrame:
-    """``(row_id, term, tf)``."""
+    """``(row_id, term, tf)``.
+
+    ``explode_outer`` + a NULL filter instead of ``explode``: for ``explode`` the
+    optimizer infers ``size(tokens) > 0`` and pushes it under the repartition
+    into the scan, which would tokenise every text twice, once single-threaded.
+    """
     tok = tokenize(df.select(row_id, c), c, "__terms", stop_words)
-    return (tok.select(row_id, F.explode("__terms").alias("term"))
+    return (tok.select(row_id, F.explode_outer("__terms").alias("term"))
+            .where(F.col("term").isNotNull())
             .groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -90,9 +97,13 @@ class TfidfModel:
         self.column = column
         self.stop_words = stop_words
 
-    def weights(self, df: DataFrame, row_id: str) -> DataFrame:
-        """Long output ``(row_id, term, idx, weight)`` — L2-normalised per row."""
-        tc = term_counts(df, row_id, self.column, self.stop_words)
+    def weights(self, df: DataFrame, row_id: str, tc: DataFrame | None = None) -> DataFrame:
+        """Long output ``(row_id, term, idx, weight)`` — L2-normalised per row.
+
+        ``tc`` may pass the ``(row_id, term, tf)`` table already computed for ``df``.
+        """
+        if tc is None:
+            tc = term_counts(df, row_id, self.column, self.stop_words)
         w = (tc.join(F.broadcast(self.vocab), "term")
              .withColumn("w", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")))
         norm = w.groupBy(row_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
@@ -116,12 +127,13 @@ class TfidfModel:
 
 
 def fit_tfidf(train: DataFrame, row_id: str, c: str, max_features: int = MAX_FEATURES,
-              stop_words: list[str] | None = None) -> TfidfModel:
-    """vocabulary and idf from the training rows."""
+              stop_words: list[str] | None = None, tc: DataFrame | None = None) -> TfidfModel:
+    """vocabulary and idf from the training rows (``tc``: precomputed term counts)."""
     if stop_words is None:
         stop_words = default_stop_words()
     n_docs = train.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tc = term_counts(train, row_id, c, stop_words)
+    if tc is None:
+        tc = term_counts(train, row_id, c, stop_words)
     stats = tc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)   # distributed top-k
     vocab = (top.select("term", "df",
@@ -134,3 +146,17 @@ def fit_tfidf(train: DataFrame, row_id: str, c: str, max_features: int = MAX_FEA
         [(r["term"], r["idx"], r["df"], r["idf"]) for r in rows],
         "term string, idx int, df long, idf double")
     return TfidfModel(fixed, c, stop_words)
+
+
+def fit_weights(df: DataFrame, row_id: str, c: str, max_features: int = MAX_FEATURES,
+                stop_words: list[str] | None = None) -> tuple[TfidfModel, DataFrame]:
+    """Fit on ``df`` and weight the same rows, tokenising and counting once.
+
+    The ``(row_id, term, tf)`` table is persisted (memory and disk) between the two
+    uses; it is recomputable from its lineage if an executor is lost.
+    """
+    if stop_words is None:
+        stop_words = default_stop_words()
+    tc = term_counts(df, row_id, c, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    model = fit_tfidf(df, row_id, c, max_features, stop_words, tc=tc)
+    return model, model.weights(df, row_id, tc=tc)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import profile as P
+from ..sources.tables import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,7 +30,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # ------------------------------------------------------------------ fixtures
@@ -505,8 +506,8 @@ SELECT doc_id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)),
 def q_tfidf_weights(spark, sf):
     """sublinear-tf × smooth-idf weights, L2-normalised per document."""
     docs = table(spark, sf, "documents")
-    m = TT.fit_tfidf(docs, "doc_id", "text")
-    return m.weights(docs, "doc_id").select("doc_id", "term", "idx", F.round("weight", 6).alias("weight"))
+    _, w = TT.fit_weights(docs, "doc_id", "text")
+    return w.select("doc_id", "term", "idx", F.round("weight", 6).alias("weight"))
 
 
 # ============================================================ I evaluation
