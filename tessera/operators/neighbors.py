@@ -52,10 +52,12 @@ class KNNModel:
         blocks = self.train.withColumn("_b", F.pmod(F.xxhash64("_tid"), F.lit(n_blocks)))
         q = _as_array(query, self.p.features).select(F.col(qid).alias("_qid"),
                                                      F.col("_x").cast("array<double>").alias("_qx"))
+        qtype = q.schema["_qid"].dataType.simpleString()
+        ttype = self.train.schema["_tid"].dataType.simpleString()
         cands = None
         for b in range(n_blocks):
             rows = blocks.where(F.col("_b") == b).select("_tid", "_ty", "_tx").collect()  # <= BLOCK_ROWS
-            tid = np.array([r[0] for r in rows], dtype=np.int64)
+            tid = np.array([r[0] for r in rows], dtype=object if ttype == "string" else np.int64)
             ty = np.array([r[1] for r in rows], dtype=np.float64)
             tx = np.array([r[2] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
             bc = query.sparkSession.sparkContext.broadcast((tid, ty, tx))
@@ -75,7 +77,7 @@ class KNNModel:
                     sel = idx.reshape(-1)
                     yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy()[rows_], "_tid": tid_[sel],
                                         "_ty": ty_[sel], "_d": np.sqrt(d2[rows_, sel])})
-            part = q.mapInPandas(topk, "_qid long, _tid long, _ty double, _d double")
+            part = q.mapInPandas(topk, f"_qid {qtype}, _tid {ttype}, _ty double, _d double")
             cands = part if cands is None else cands.unionByName(part)
         w = Window.partitionBy("_qid").orderBy("_d", "_tid")    # <= k x blocks rows per query
         return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

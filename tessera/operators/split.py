@@ -44,8 +44,10 @@ def encode_labels(df: DataFrame, target: str, task: str = "classification",
 
 def row_hash(key_cols: list[str], seed: int = SEED) -> Column:
     """``md5(key|seed)`` as hex; sorting it sorts the 128-bit uniform draw."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]
-    key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+    if len(key_cols) == 1:
+        key = F.coalesce(F.col(key_cols[0]).cast("string"), F.lit(""))
+    else:   # unambiguous encoding of a whole row
+        key = F.to_json(F.struct(*[F.col(c) for c in key_cols]))
     return F.md5(F.concat(key, F.lit(f"|{seed}")))
 
 
