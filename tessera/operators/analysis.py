@@ -79,7 +79,7 @@ def preprocessing_plan(df: DataFrame, target: str, routes: DataFrame | None = No
                .when(F.col("pattern") == "unit", NT.unit_number("example")) \
                .otherwise(NT.leading_number("example"))
         exdf = exdf.select("column", F.concat(F.lit("e.g. '"), F.col("example"), F.lit("' → "),
-                                              F.format_number(num, 2)).alias("_reason"))
+                                              F.format_string("%.2f", num)).alias("_reason"))
         plan = plan.join(exdf, "column", "left").select(
             "column", "raw_type", "treatment", "steps", F.coalesce("reason", "_reason").alias("reason"))
     return plan

@@ -164,8 +164,8 @@ def evaluation_findings(runs: DataFrame) -> DataFrame:
     rec = F.coalesce(F.col("recall_class_1"), F.lit(0.0)) if "recall_class_1" in runs.columns \
         else F.lit(0.0)
     r2 = F.coalesce(F.col("r2"), F.lit(0.0))
-    pct1 = lambda x: F.concat(F.format_number(x * 100, 1), F.lit("%"))
-    n2 = lambda x: F.format_number(x, 2)
+    pct1 = lambda x: F.concat(F.format_string("%.1f", x * 100), F.lit("%"))
+    n2 = lambda x: F.format_string("%.2f", x)
     cs = F.array(
         F.when(acc >= 0.75, F.concat(F.lit("Accuracy "), pct1(acc), F.lit(" is above 75% baseline."))),
         F.when(f1 >= 0.70, F.concat(F.lit("Weighted F1 "), n2(f1), F.lit(" shows balanced class performance."))),

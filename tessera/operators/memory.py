@@ -57,9 +57,8 @@ def best_past_run(similar: DataFrame, dataset_name: str) -> DataFrame:
     flagged = similar.withColumn("_same", same).withColumn("_key", metric_key())
     has_same = flagged.where("_same").limit(1).count() > 0
     pool = flagged.where("_same") if has_same else flagged.where(F.col("approved"))
-    best = pool.agg(F.max_by(F.struct(*similar.columns),
-                             F.struct(F.col("_key"), F.unix_micros(F.col("created_at")) * -1)).alias("b"))
-    return best.select("b.*").where(F.col("run_id").isNotNull() | F.col("dataset_name").isNotNull())
+    return (pool.orderBy(F.desc("_key"), F.asc("created_at"), F.asc("run_id")).limit(1)
+            .drop("_same", "_key"))
 
 
 def past_summary(runs: DataFrame) -> DataFrame:

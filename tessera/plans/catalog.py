@@ -830,3 +830,132 @@ def q_ridge_coefficients(spark, sf):
     names = ["l_quantity", "l_discount", "l_tax"]
     rows = [(n, float(c)) for n, c in zip(names, m.coefficients.toArray())] + [("intercept", float(m.intercept))]
     return spark.createDataFrame(rows, "term string, coefficient double")
+
+
+# ======================================================= more E / G0 / J8 / C5 / K3
+from ..operators import analysis as AN  # noqa: E402
+
+PLAN_SQL = f"""
+WITH b AS {PART_STRINGS_SQL}
+SELECT * FROM (VALUES
+  ('p_partkey', 'bigint', 'Numeric', 'Median impute → StandardScaler', 'Already numeric'),
+  ('p_size', 'int', 'Numeric', 'Median impute → StandardScaler', 'Already numeric'),
+  ('p_retailprice', 'double', 'Numeric', 'Median impute → StandardScaler', 'Already numeric'))
+  v("column", raw_type, treatment, steps, reason)
+UNION ALL SELECT 'p_type', 'categorical', 'One-Hot Encoded',
+  'Mode impute → OneHotEncoder (' || count(DISTINCT p_type) || ' categories)',
+  'Low cardinality: ' || count(DISTINCT p_type) || ' unique values' FROM b
+UNION ALL SELECT 'p_name', 'categorical', 'Frequency Encoded',
+  'Replace category with its frequency in training set → StandardScaler',
+  'High cardinality: ' || count(DISTINCT p_name) || ' unique values (>15)' FROM b
+UNION ALL SELECT 'p_brand', 'categorical', 'Frequency Encoded',
+  'Replace category with its frequency in training set → StandardScaler',
+  'High cardinality: ' || count(DISTINCT p_brand) || ' unique values (>15)' FROM b
+UNION ALL SELECT 'size_gb', 'string', 'Numeric (extracted)',
+  'Extract number from string → Median impute → StandardScaler',
+  'e.g. ''' || min(size_gb) || ''' → ' || printf('%.2f', {_sq_unit('min(size_gb)')}) FROM b
+UNION ALL SELECT 'size_range', 'string', 'Numeric (extracted)',
+  'Extract number from string → Median impute → StandardScaler',
+  'e.g. ''' || min(size_range) || ''' → ' || printf('%.2f', {_sq_range('min(size_range)')}) FROM b
+UNION ALL SELECT 'size_bhk', 'string', 'Numeric (extracted)',
+  'Extract number from string → Median impute → StandardScaler',
+  'e.g. ''' || min(size_bhk) || ''' → ' || printf('%.2f', {_sq_lead('min(size_bhk)')}) FROM b
+UNION ALL SELECT 'size_mixed', 'string', 'Numeric (extracted)',
+  'Extract number from string → Median impute → StandardScaler',
+  'e.g. ''' || min(size_mixed) || ''' → ' || printf('%.2f', {_sq_lead('min(size_mixed)')}) FROM b"""
+
+
+@register("preprocessing_plan", PLAN_SQL)
+def q_preprocessing_plan(spark, sf):
+    """Treatment, steps and reason per column of the derived part table."""
+    return AN.preprocessing_plan(part_strings(spark, sf).withColumn("_t", F.lit(0)), "_t")
+
+
+def part_outliers(spark, sf):
+    """part plus ``price_out``: the retail price times 20 on every 50th key (FIXTURES §2)."""
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", "p_size", "p_retailprice",
+                    F.when(F.col("p_partkey") % 50 == 0, F.col("p_retailprice") * 20)
+                    .otherwise(F.col("p_retailprice")).alias("price_out"))
+
+
+PART_OUT_SQL = ("(SELECT p_partkey, p_size, p_retailprice, CASE WHEN p_partkey % 50 = 0 "
+                "THEN p_retailprice * 20 ELSE p_retailprice END AS price_out FROM part)")
+
+
+@register("outlier_summary", f"""
+SELECT "column", outlier_count AS "count", outlier_pct AS pct, outlier_lower_bound AS lower_bound,
+  outlier_upper_bound AS upper_bound
+FROM ({_numeric_profile_sql(PART_OUT_SQL, ['p_partkey', 'p_size', 'p_retailprice', 'price_out'])})
+WHERE outlier_count > 0 ORDER BY pct DESC, "column" LIMIT 5""")
+def q_outlier_summary(spark, sf):
+    """E9 + C4: feature columns with IQR outliers, worst five by share."""
+    prof = P.profile_columns(part_outliers(spark, sf))
+    return P.worst_outliers(prof)
+
+
+@register("missing_counts", "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS "column", count(*) - count({c}) AS n_missing,
+  {_pct(f'count(*) - count({c})', 'count(*)')} AS missing_pct FROM {LINEITEM_NULLS_SQL}"""
+    for c in LI_NUMERIC[:-1] + ["l_returnflag", "l_linestatus", "l_shipdate", "l_quantity_n"]))
+def q_missing_counts(spark, sf):
+    """Missing count and share for every lineitem column."""
+    return P.missing_counts(lineitem_nulls(spark, sf))
+
+
+@register("class_weights", """
+SELECT CAST(quality AS DOUBLE) AS label, count(*) AS n,
+  round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels) * CAST(count(*) AS DOUBLE)), 6)
+    AS weight
+FROM labels GROUP BY quality""")
+def q_class_weights(spark, sf):
+    """Balanced class weights n / (k · n_class) on labels.quality."""
+    lab = table(spark, sf, "labels").select(F.col("quality").cast("double").alias("label"))
+    w = MD.balanced_weights(lab, "label", "weight")
+    return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"))
+
+
+@register("retry_params", f"""
+WITH r AS ({JUDGE_SQL}), runs AS {RUNS_SQL},
+j AS (SELECT r.run_id, r.is_overfit, runs.* EXCLUDE (run_id),
+  CASE WHEN runs.architecture LIKE '%Forest%' OR runs.architecture LIKE '%Trees%' THEN 'forest'
+  WHEN runs.architecture LIKE '%Boosting%' OR runs.architecture LIKE '%XGBoost%' OR runs.architecture LIKE '%LightGBM%'
+  THEN 'boosting' ELSE 'other' END AS fam FROM r JOIN runs USING (run_id))
+SELECT run_id,
+  CAST(CASE WHEN is_overfit AND fam = 'forest' THEN greatest(3, max_depth - 3)
+       WHEN is_overfit AND fam = 'boosting' THEN greatest(2, max_depth - 1) END AS DOUBLE) AS retry_max_depth,
+  CAST(CASE WHEN is_overfit AND fam = 'forest' THEN least(10, min_samples_split + 2) END AS DOUBLE)
+    AS retry_min_samples_split,
+  CAST(CASE WHEN is_overfit AND fam = 'forest' THEN least(5, min_samples_leaf + 1) END AS DOUBLE)
+    AS retry_min_samples_leaf,
+  CAST(CASE WHEN NOT is_overfit AND fam IN ('forest', 'boosting') THEN least(500, n_estimators + 100) END AS DOUBLE)
+    AS retry_n_estimators,
+  CASE WHEN is_overfit AND fam = 'boosting' THEN round(learning_rate * 0.7, 4)
+       WHEN NOT is_overfit AND fam = 'boosting' THEN round(learning_rate * 0.8, 4) END AS retry_learning_rate
+FROM j""")
+def q_retry_params(spark, sf):
+    """Fallback hyper-parameters for the retry of every synthetic run."""
+    r = DC.retry_params(DC.judge(runs_table(spark, sf)))
+    return r.select("run_id", "retry_max_depth", "retry_min_samples_split", "retry_min_samples_leaf",
+                    "retry_n_estimators", "retry_learning_rate")
+
+
+@register("latest_runs", f"""
+SELECT run_id, created_at, dataset_name, architecture FROM {RUNS_SQL}
+ORDER BY created_at DESC, run_id DESC LIMIT 5""")
+def q_latest_runs(spark, sf):
+    """The five newest runs (distributed top-k)."""
+    return MM.latest(runs_table(spark, sf)).select("run_id", "created_at", "dataset_name", "architecture")
+
+
+@register("best_past_run", f"""
+WITH s AS ({_similar_sql('heart_urgent', 'classification')}), r AS {RUNS_SQL}
+SELECT s.run_id, s.dataset_name, s.architecture FROM s JOIN r USING (run_id)
+WHERE lower(s.dataset_name) = 'heart_urgent'
+ORDER BY coalesce(CASE WHEN r.accuracy <> 0 THEN r.accuracy END, r.r2, 0) DESC, r.created_at LIMIT 1""")
+def q_best_past_run(spark, sf):
+    """K3: best of the similar runs on the same dataset (accuracy, else R²)."""
+    runs = DC.judge(runs_table(spark, sf)).withColumn(
+        "metrics", F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("r2"), F.col("r2")))
+    sim = MM.find_similar(runs, "heart_urgent", "classification")
+    return MM.best_past_run(sim, "heart_urgent").select("run_id", "dataset_name", "architecture")
