@@ -166,3 +166,11 @@ def analyze(df: DataFrame, target: str, name: str = "dataset") -> Analysis:
     plan = preprocessing_plan(base, target, routes)
     return Analysis(facts, cols, P.dataset_totals(base), balance, plan,
                     findings(facts, cols, target), routes)
+
+
+def feature_types(df: DataFrame, target: str | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """``(column, feature_type)`` — numeric / numeric_string / categorical."""
+    routes = routes if routes is not None else FT.route_columns(df, target)
+    return routes.select("column", F.when(F.col("route") == "numeric", "numeric")
+                         .when(F.col("route") == "numeric_text", "numeric_string")
+                         .otherwise("categorical").alias("feature_type"))

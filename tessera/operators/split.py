@@ -42,6 +42,21 @@ def encode_labels(df: DataFrame, target: str, task: str = "classification",
     return out, classes
 
 
+def unseen_labels(df: DataFrame, target: str, classes: DataFrame) -> int:
+    """Number of rows whose class is not in the fitted class table (anti-join)."""
+    known = classes.select(F.col("class").alias(target))
+    return df.where(F.col(target).isNotNull()).join(F.broadcast(known), target, "left_anti").count()
+
+
+def apply_labels(df: DataFrame, target: str, classes: DataFrame, label_col: str = "label") -> DataFrame:
+    """Encode with a fitted class table; unseen classes raise, as a label encoder does."""
+    bad = unseen_labels(df, target, classes)
+    if bad:
+        raise ValueError(f"{bad} rows have labels unseen when the classes were fitted")
+    return df.join(F.broadcast(classes.withColumnRenamed("class", target)
+                               .withColumnRenamed("index", label_col)), target, "left")
+
+
 def row_hash(key_cols: list[str], seed: int = SEED) -> Column:
     """``md5(key|seed)`` as hex; sorting it sorts the 128-bit uniform draw."""
     if len(key_cols) == 1:

@@ -419,7 +419,8 @@ IMP_COLS = ["l_quantity_n", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("impute_scale", "\nUNION ALL\n".join(f"""
-SELECT '{c}' AS "column", round(m, 6) AS median, round(avg(coalesce({c}, m)), 6) AS mean,
+SELECT '{c}' AS "column", round(m, 6) AS median,
+  CAST(round(avg(CAST(coalesce({c}, m) AS DECIMAL(24, 8))), 6) AS DOUBLE) AS mean,
   round(stddev_pop(coalesce({c}, m)), 6) AS std,
   round(sum(CASE WHEN stddev_pop_all > 0 THEN (coalesce({c}, m) - mean_all) / stddev_pop_all ELSE 0 END), 4) AS scaled_sum,
   round(max(CASE WHEN stddev_pop_all > 0 THEN (coalesce({c}, m) - mean_all) / stddev_pop_all ELSE 0 END), 6) AS scaled_max
@@ -437,7 +438,9 @@ def q_impute_scale(spark, sf):
         sd = fitted.stds[c] or 1.0
         z = (x - F.lit(fitted.means[c])) / F.lit(sd)
         r = li.agg(F.lit(c).alias("column"), F.round(F.lit(fitted.medians[c]), 6).alias("median"),
-                   F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"),
+                   # exact decimal mean: a double sum's order would decide rounding ties
+                   F.round(F.avg(x.cast("decimal(24,8)")), 6).cast("double").alias("mean"),
+                   F.round(F.stddev_pop(x), 6).alias("std"),
                    F.round(F.sum(z), 4).alias("scaled_sum"), F.round(F.max(z), 6).alias("scaled_max"))
         out = r if out is None else out.unionByName(r)
     return out
@@ -1031,3 +1034,13 @@ def q_feature_importances(spark, sf):
     m = MD.build_model("RandomForestRegressor", {"n_estimators": 20, "max_depth": 5}, "regression").fit(df)
     imp = MD.feature_importances(m, names) or []
     return spark.createDataFrame(imp, "feature string, importance double")
+
+
+@register("feature_types", f"""
+SELECT "column", 'numeric' AS feature_type FROM (VALUES ('p_partkey'), ('p_size'), ('p_retailprice')) v("column")
+UNION ALL
+SELECT "column", CASE WHEN pattern IS NOT NULL THEN 'numeric_string' ELSE 'categorical' END FROM (
+  {ORACLE["numeric_text_detect"]})""")
+def q_feature_types(spark, sf):
+    """Feature-type map of the derived part table."""
+    return AN.feature_types(part_strings(spark, sf))

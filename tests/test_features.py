@@ -88,3 +88,12 @@ def test_pipeline_save_load_roundtrip(spark, tmpdir_path):
     a = {r["_row_id"]: list(r["features"]) for r in fitted.transform(df).collect()}
     b = {r["_row_id"]: list(r["features"]) for r in back.transform(df).collect()}
     assert a == b and len(fitted.feature_names()) == len(next(iter(a.values())))
+
+
+def test_unseen_label_raises(spark):
+    train = spark.createDataFrame([("a",), ("b",)], "y string")
+    _, classes = SP.encode_labels(train, "y")
+    ok = SP.apply_labels(spark.createDataFrame([("b",)], "y string"), "y", classes)
+    assert ok.first()["label"] == 1.0
+    with pytest.raises(ValueError):
+        SP.apply_labels(spark.createDataFrame([("z",)], "y string"), "y", classes)
