@@ -84,10 +84,11 @@ def build_model(architecture: str, hyperparams: dict | None, task: str, n_classe
                                   standardization=False, elasticNetParam=0.0, **common, **wcol)
     if architecture == "LinearSVC":
         c = float(hp.get("C", 1.0))
-        svc = LinearSVC(regParam=1.0 / (c * sum_w), maxIter=200, standardization=False,
-                        **common, **wcol)
-        return svc if n_classes <= 2 else OneVsRest(classifier=LinearSVC(
-            regParam=1.0 / (c * sum_w), maxIter=200, standardization=False), **common)
+        if n_classes <= 2:
+            return CalibratedLinearSVC(1.0 / (c * sum_w), features=features, label=label,
+                                       weight=wcol.get("weightCol"))
+        return OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * sum_w), maxIter=200,
+                                              standardization=False), **common)
     if architecture in ("DecisionTree", "DecisionTreeRegressor"):
         cls = DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor
         return cls(maxDepth=_depth(hp, 6), minInstancesPerNode=_min_inst(hp, 5), seed=seed,
@@ -155,3 +156,60 @@ def feature_importances(model, names: list[str], top: int = 20):
     if len(vals) != len(names):
         return None
     return sorted(zip(names, vals), key=lambda t: (-t[1], t[0]))[:top]
+
+
+class CalibratedLinearSVC:
+    """G2 (binary): linear SVC with 3-fold sigmoid (Platt) calibration.
+
+    Each fold's SVC is fitted on the other folds; a one-feature logistic
+    regression maps its margins on the held-out fold to probabilities; the
+    final probability is the mean of the fold models' calibrated outputs.
+    Folds come from a hash of the row (deterministic, no shuffle).
+    """
+
+    def __init__(self, reg_param: float, folds: int = 3, features: str = "features",
+                 label: str = "label", weight: str | None = None, max_iter: int = 200):
+        self.reg_param, self.folds, self.features = reg_param, folds, features
+        self.label, self.weight, self.max_iter = label, weight, max_iter
+
+    def fit(self, df: DataFrame) -> "CalibratedLinearSVCModel":
+        from pyspark.ml.functions import vector_to_array
+        from pyspark.ml.feature import VectorAssembler
+        fold = F.pmod(F.xxhash64(F.col(self.label), vector_to_array(F.col(self.features))),
+                      F.lit(self.folds))
+        d = df.withColumn("_fold", fold)
+        parts = []
+        for k in range(self.folds):
+            kw = dict(weightCol=self.weight) if self.weight else {}
+            svc = LinearSVC(regParam=self.reg_param, maxIter=self.max_iter, standardization=False,
+                            featuresCol=self.features, labelCol=self.label,
+                            rawPredictionCol=f"_raw{k}", predictionCol=f"_p{k}", **kw
+                            ).fit(d.where(F.col("_fold") != k))
+            held = svc.transform(d.where(F.col("_fold") == k)).withColumn(
+                "_m", vector_to_array(F.col(f"_raw{k}"))[1])
+            held = VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(held)
+            platt = LogisticRegression(featuresCol="_mv", labelCol=self.label, regParam=0.0,
+                                       maxIter=100).fit(held)
+            parts.append((svc, float(platt.coefficients[0]), float(platt.intercept)))
+        return CalibratedLinearSVCModel(parts, self.features)
+
+
+class CalibratedLinearSVCModel:
+    def __init__(self, parts, features: str = "features"):
+        self.parts, self.features = parts, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        out = df
+        probs = []
+        for k, (svc, a, b) in enumerate(self.parts):
+            out = svc.transform(out)
+            m = vector_to_array(F.col(f"_raw{k}"))[1]
+            probs.append(1.0 / (1.0 + F.exp(-(F.lit(a) * m + F.lit(b)))))
+            out = out.withColumn(f"_c{k}", probs[-1])
+        p1 = sum((F.col(f"_c{k}") for k in range(len(self.parts))), F.lit(0.0)) / len(self.parts)
+        out = out.withColumn("_p1", p1)
+        out = out.withColumn("probability", array_to_vector(F.array(1 - F.col("_p1"), F.col("_p1")))) \
+                 .withColumn("prediction", (F.col("_p1") > 0.5).cast("double"))
+        drop = [c for c in out.columns if c.startswith(("_raw", "_p", "_c")) and c not in df.columns]
+        return out.drop(*drop)

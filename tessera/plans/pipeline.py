@@ -102,6 +102,13 @@ def prepare(df: DataFrame, target: str, task: str, work_dir: str, exact: bool =
 def evaluate_model(model, prep: Prepared) -> tuple[dict, float, float]:
     """I-operators on the validation rows; returns (metrics, train score, val score)."""
     pred = SR.predictions(model, prep.val)
+    if prep.task == "classification" and "probability" not in pred.columns \
+            and "rawPrediction" in pred.columns and len(prep.classes or []) > 2:
+        # one-vs-rest models have no probabilities: normalised sigmoids of the margins
+        raw = vector_to_array("rawPrediction")
+        sig = F.transform(raw, lambda v: 1.0 / (1.0 + F.exp(-v)))
+        tot = F.aggregate(sig, F.lit(0.0), lambda a, b: a + b)
+        pred = pred.withColumn("probability", F.transform(sig, lambda v: v / tot))
     if prep.task == "classification":
         m = EV.classification_metrics(pred, "label", "prediction").first().asDict()
         if "probability" in pred.columns:

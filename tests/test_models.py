@@ -74,3 +74,13 @@ def test_unknown_architecture_raises(spark):
     import pytest
     with pytest.raises(ValueError):
         MD.build_model("Nope", {}, "classification")
+
+
+def test_calibrated_svc_probabilities(spark):
+    df, x, y = _data(spark, n=400)
+    m = MD.build_model("LinearSVC", {"C": 1.0}, "classification", n_classes=2,
+                       stats={"n": 400, "sum_w": 400}).fit(df)
+    out = m.transform(df).select("label", "prediction", "probability").collect()
+    acc = sum(r["label"] == r["prediction"] for r in out) / len(out)
+    assert acc > 0.85
+    assert all(abs(sum(r["probability"]) - 1.0) < 1e-9 and 0 <= r["probability"][1] <= 1 for r in out)
