@@ -1,12 +1,15 @@
-"""Exact k-nearest neighbours (G8, C9) without a cross join.
-
-The training side is cut into blocks whose size is checked against
-``BLOCK_ROWS`` (rows × dimensions stays a bounded broadcast).  For each block,
-query rows stream through ``mapInPandas`` in Arrow batches; numpy computes the
-batch × block distances in the task and only the ``k`` nearest per query row
-leave it.  Candidates from all blocks (k per block per query, bounded) are
-reduced to the final ``k`` with a window over each query's few candidates.
-Distance ties break on the training row id.
+"""Exact k-nearest neighbours (G8, C9) as a blocked, distributed nested loop.
+
+Query rows and training rows are hashed into blocks of at most ``BLOCK_ROWS``
+rows.  Every (query block, training block) pair is one ``cogroup`` group
+(each side's rows are tagged with all block numbers of the other side), so a
+group never holds more than ``BLOCK_ROWS`` rows of either side and nothing
+passes through the driver.  Inside the group numpy computes distances for
+sub-batches of ``BATCH`` queries and only the ``k`` nearest per query leave
+the task; the ``k`` × blocks candidates per query are then reduced to ``k``
+with a window over those few rows.  No pair rows are ever materialised.
+Distance ties break on the training row id.  Exact KNN costs
+query rows × training rows distance evaluations by nature.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 20_000
+BATCH = 1024
 
 
 class KNN:
@@ -35,6 +39,29 @@ def _as_array(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_x", F.col(col) if dt == "array" else vector_to_array(F.col(col)))
 
 
+def _block_topk(k: int):
+    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame({"_qid": [], "_tid": [], "_ty": [], "_d": []})
+        tx = np.stack(t["_tx"].to_numpy()).astype(np.float64)
+        tn = (tx * tx).sum(axis=1)
+        tid, ty = t["_tid"].to_numpy(), t["_ty"].to_numpy()
+        kk = min(k, len(t))
+        out = []
+        for s in range(0, len(q), BATCH):
+            qb = q.iloc[s:s + BATCH]
+            qx = np.stack(qb["_qx"].to_numpy()).astype(np.float64)
+            d2 = np.maximum((qx * qx).sum(axis=1)[:, None] + tn[None, :] - 2.0 * qx @ tx.T, 0.0)
+            idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < len(t) else \
+                np.tile(np.arange(len(t)), (len(qb), 1))
+            rows = np.repeat(np.arange(len(qb)), idx.shape[1])
+            sel = idx.reshape(-1)
+            out.append(pd.DataFrame({"_qid": qb["_qid"].to_numpy()[rows], "_tid": tid[sel],
+                                     "_ty": ty[sel], "_d": np.sqrt(d2[rows, sel])}))
+        return pd.concat(out, ignore_index=True)
+    return fn
+
+
 class KNNModel:
     def __init__(self, train: DataFrame, p: KNN):
         self.p = p
@@ -47,38 +74,18 @@ class KNNModel:
     def neighbours(self, query: DataFrame, qid: str) -> DataFrame:
         """``(qid, rank, neighbour id, label, distance)`` for the k nearest training rows."""
         k = self.p.k
-        n_train = self.train.count()
-        n_blocks = max(1, -(-n_train // BLOCK_ROWS))
-        blocks = self.train.withColumn("_b", F.pmod(F.xxhash64("_tid"), F.lit(n_blocks)))
         q = _as_array(query, self.p.features).select(F.col(qid).alias("_qid"),
                                                      F.col("_x").cast("array<double>").alias("_qx"))
+        n_t = max(1, -(-self.train.count() // BLOCK_ROWS))
+        n_q = max(1, -(-q.count() // BLOCK_ROWS))
+        qs = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n_q)))
+              .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))))
+        ts = (self.train.withColumn("_tb", F.pmod(F.xxhash64("_tid"), F.lit(n_t)))
+              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
         qtype = q.schema["_qid"].dataType.simpleString()
         ttype = self.train.schema["_tid"].dataType.simpleString()
-        cands = None
-        for b in range(n_blocks):
-            rows = blocks.where(F.col("_b") == b).select("_tid", "_ty", "_tx").collect()  # <= BLOCK_ROWS
-            tid = np.array([r[0] for r in rows], dtype=object if ttype == "string" else np.int64)
-            ty = np.array([r[1] for r in rows], dtype=np.float64)
-            tx = np.array([r[2] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-            bc = query.sparkSession.sparkContext.broadcast((tid, ty, tx))
-
-            def topk(it, bc=bc):
-                tid_, ty_, tx_ = bc.value
-                tn = (tx_ * tx_).sum(axis=1) if len(tx_) else np.zeros(0)
-                for pdf in it:
-                    if len(pdf) == 0 or len(tid_) == 0:
-                        continue
-                    qx = np.stack(pdf["_qx"].to_numpy()).astype(np.float64)
-                    d2 = (qx * qx).sum(axis=1)[:, None] + tn[None, :] - 2.0 * qx @ tx_.T
-                    d2 = np.maximum(d2, 0.0)
-                    kk = min(k, len(tid_))
-                    idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-                    rows_ = np.repeat(np.arange(len(pdf)), kk)
-                    sel = idx.reshape(-1)
-                    yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy()[rows_], "_tid": tid_[sel],
-                                        "_ty": ty_[sel], "_d": np.sqrt(d2[rows_, sel])})
-            part = q.mapInPandas(topk, f"_qid {qtype}, _tid {ttype}, _ty double, _d double")
-            cands = part if cands is None else cands.unionByName(part)
+        cands = (qs.groupBy("_qb", "_tb").cogroup(ts.groupBy("_qb", "_tb"))
+                 .applyInPandas(_block_topk(k), f"_qid {qtype}, _tid {ttype}, _ty double, _d double"))
         w = Window.partitionBy("_qid").orderBy("_d", "_tid")    # <= k x blocks rows per query
         return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select(F.col("_qid").alias(qid), "rank", F.col("_tid").alias("neighbor"),

@@ -84,3 +84,15 @@ def test_calibrated_svc_probabilities(spark):
     acc = sum(r["label"] == r["prediction"] for r in out) / len(out)
     assert acc > 0.85
     assert all(abs(sum(r["probability"]) - 1.0) < 1e-9 and 0 <= r["probability"][1] <= 1 for r in out)
+
+
+def test_knn_many_blocks_matches_single_block(spark, monkeypatch):
+    from tessera.operators import neighbors as NB
+    df, x, y = _data(spark, n=200, seed=5)
+    train, query = df.where("id >= 60"), df.where("id < 60")
+    one = {r["id"]: r["prediction"] for r in KNN(k=3, row_id="id", weights="distance").fit(train)
+           .predict(query, "id").collect()}
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 25)      # 6 x 3 block pairs
+    many = {r["id"]: r["prediction"] for r in KNN(k=3, row_id="id", weights="distance").fit(train)
+            .predict(query, "id").collect()}
+    assert one == many and len(one) == 60
