@@ -1044,3 +1044,42 @@ SELECT "column", CASE WHEN pattern IS NOT NULL THEN 'numeric_string' ELSE 'categ
 def q_feature_types(spark, sf):
     """Feature-type map of the derived part table."""
     return AN.feature_types(part_strings(spark, sf))
+
+
+# ================================================ analyst facts (E), search (H)
+@register("dataset_facts", f"""
+WITH b AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality
+           FROM documents d JOIN labels l USING (doc_id)),
+c AS (SELECT quality, count(*) AS n FROM b GROUP BY quality)
+SELECT 'classification' AS task_type, (SELECT count(*) FROM b) AS n_samples, CAST(5 AS BIGINT) AS n_features,
+  CAST(0.0 AS DOUBLE) AS missing_ratio,
+  (SELECT count(*) FROM b) - (SELECT count(*) FROM (SELECT DISTINCT * FROM b)) AS n_duplicates,
+  (SELECT count(*) FROM c) AS n_classes,
+  (SELECT CAST(min(n) AS DOUBLE) / max(n) < 0.25 FROM c) AS is_imbalanced""")
+def q_dataset_facts(spark, sf):
+    """The analyst's dataset facts for documents ⋈ labels (target quality)."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").drop("toxic")
+    f = AN.analyze(docs, "quality", "docs_quality").facts
+    return spark.createDataFrame(
+        [(f["task_type"], int(f["n_samples"]), int(f["n_features"]), float(f["missing_ratio"]),
+          int(f["n_duplicates"]), int(f["n_classes"]), bool(f["is_imbalanced"]))],
+        "task_type string, n_samples long, n_features long, missing_ratio double, n_duplicates long, "
+        "n_classes long, is_imbalanced boolean")
+
+
+@register("hyperparameter_search")
+def q_hyperparameter_search(spark, sf):
+    """H2–H6: 4 seeded ridge candidates fitted in parallel on a hash split of lineitem,
+    scored by R² on the validation rows, with the running best (rows-only: fitted values)."""
+    from pyspark.ml.feature import VectorAssembler
+    from ..operators import search as SR
+    li = table(spark, sf, "lineitem")
+    df = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features") \
+        .transform(li).withColumn("label", F.col("l_extendedprice")) \
+        .withColumn("split", F.when(SP.uniform(SP.row_hash(["l_orderkey", "l_linenumber"])) < 0.2, "val")
+                    .otherwise("train"))
+    trials, _ = SR.run_search(df.where("split = 'train'"), df.where("split = 'val'"), "Ridge",
+                              "regression", 4)
+    return SR.trial_table(trials).select("trial", F.col("params")["alpha"].alias("alpha"),
+                                         F.round("score", 4).alias("score"),
+                                         F.round("best_so_far", 4).alias("best_so_far"))
