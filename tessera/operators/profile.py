@@ -153,30 +153,20 @@ def top_values(value_counts: DataFrame, k: int = TOP_VALUES,
 
 
 # --------------------------------------------------------------------- profile
-def _weighted_stats(vc: DataFrame) -> DataFrame:
-    """``(column, nonnull, mean, std, min, max)`` from a ``(column, value, n)`` table.
-
-    Two grouped passes over the distinct values: totals, then the sum of squared
-    deviations about each column's mean (one row per column, broadcast).
-    """
-    t = vc.groupBy("column").agg(F.sum("n").alias("nonnull"),
-                                 (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-                                 F.min("value").alias("min"), F.max("value").alias("max"))
-    means = t.select("column", F.col("mean").alias("_m"))
-    ss = (vc.join(F.broadcast(means), "column")
-          .groupBy("column").agg(F.sum(F.col("n") * (F.col("value") - F.col("_m")) ** 2).alias("_ss")))
-    return t.join(ss, "column").select(
-        "column", "nonnull", "mean",
-        F.when(F.col("nonnull") > 1, F.sqrt(F.col("_ss") / (F.col("nonnull") - 1))).alias("std"),
-        "min", "max")
+def _totals(vc: DataFrame) -> DataFrame:
+    """``(column, nonnull, n_unique, mean, min, max)`` from a ``(column, value, n)`` table."""
+    return vc.groupBy("column").agg(F.sum("n").alias("nonnull"), F.count(F.lit(1)).alias("n_unique"),
+                                    (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+                                    F.min("value").alias("min"), F.max("value").alias("max"))
 
 
 def _detect_from_counts(svc: DataFrame, rows: int) -> DataFrame:
-    """D5 over a string value table: each regex runs once per distinct value."""
+    """D5 over a string value table: each regex runs once per distinct value.
+    Also returns ``n_unique`` (distinct raw values) per column."""
     v = F.col("value")
     n = F.col("n")
     agg = svc.groupBy("column").agg(
-        F.sum(n).alias("nonnull"),
+        F.sum(n).alias("nonnull"), F.count(F.lit(1)).alias("n_unique"),
         F.sum(F.when(NT.is_range(v), n).otherwise(0)).alias("range_like"),
         F.sum(F.when(NT.range_midpoint(v).isNotNull(), n).otherwise(0)).alias("range_parsed"),
         F.sum(F.when(NT.unit_number(v).isNotNull(), n).otherwise(0)).alias("unit_parsed"),
@@ -207,13 +197,13 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     nuniq_str: dict = {}
     if str_cols:
         svc = string_value_counts(df, str_cols).persist(StorageLevel.MEMORY_AND_DISK)
-        for r in svc.groupBy("column").agg(F.count(F.lit(1)).alias("u"),
-                                           F.sum("n").alias("nn")).collect():
-            nuniq_str[r["column"]] = r["u"]
-            nonnull[r["column"]] = r["nn"]
-        if text_cols:
-            det = _detect_from_counts(svc.where(F.col("column").isin(text_cols)), n_total)
-            pattern = {r["column"]: r["pattern"] for r in det.collect()}   # one row per column
+        # one job: distinct / non-null counts of every string column + D5 detection
+        # (temporal columns are filtered out of the pattern afterwards)
+        for r in _detect_from_counts(svc, n_total).collect():   # one row per column
+            nuniq_str[r["column"]] = r["n_unique"]
+            nonnull[r["column"]] = r["nonnull"]
+            if r["column"] in text_cols:
+                pattern[r["column"]] = r["pattern"]
     conv_cols = [c for c in text_cols if pattern.get(c)]
 
     # (2) numeric value table: raw numeric columns + converted strings (from distinct values).
@@ -231,8 +221,11 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     if parts:
         raw_vc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         vc = ranks.range_layout(raw_vc, ["column"], "value")
-        for r in _weighted_stats(vc).collect():
-            stats[r["column"]] = (r["mean"], r["std"], r["min"], r["max"])
+        means = {}
+        for r in _totals(vc).collect():                      # one row per column
+            means[r["column"]] = r["mean"]
+            stats[r["column"]] = [r["mean"], None, r["min"], r["max"], r["nonnull"]]
+            nuniq_num[r["column"]] = r["n_unique"]
             if r["column"] in num_cols:
                 nonnull[r["column"]] = r["nonnull"]
         if exact:
@@ -254,20 +247,22 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             quart[r["column"]] = {0.25: r["q1"], 0.5: r["q2"], 0.75: r["q3"]}
             if r["lo"] is not None:
                 bounds.append((r["column"], r["lo"], r["hi"]))
-        agg = [F.count(F.lit(1)).alias("n_unique")]
-        if bounds:
-            bdf = spark.createDataFrame(bounds, "column string, lo double, hi double")
-            scored = vc.join(F.broadcast(bdf), "column", "left")   # one row per column: bounded
-            agg.append(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")),
-                                    F.col("n")).otherwise(F.lit(0))).alias("outliers"))
-        else:
-            scored = vc.withColumn("lo", F.lit(None).cast("double"))
-            agg.append(F.lit(0).alias("outliers"))
-        got = {}
-        for r in scored.groupBy("column").agg(*agg).collect():
-            nuniq_num[r["column"]] = r["n_unique"]
-            got[r["column"]] = r["outliers"]
-        outl = {c: (got.get(c, 0) or 0, lo, hi) for c, lo, hi in bounds}
+        # one job: squared deviations about the mean (two-pass sample std) + IQR outliers
+        small = spark.createDataFrame(
+            [(c, means[c], *next(((lo, hi) for cc, lo, hi in bounds if cc == c), (None, None)))
+             for c in means], "column string, _m double, lo double, hi double")
+        scored = vc.join(F.broadcast(small), "column")        # one row per column: bounded
+        got = scored.groupBy("column").agg(
+            F.sum(F.col("n") * (F.col("value") - F.col("_m")) ** 2).alias("_ss"),
+            F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), F.col("n"))
+                  .otherwise(F.lit(0))).alias("outliers")).collect()
+        outl_n = {}
+        for r in got:
+            st = stats[r["column"]]
+            st[1] = (r["_ss"] / (st[4] - 1)) ** 0.5 if st[4] > 1 else None
+            outl_n[r["column"]] = r["outliers"] or 0
+        stats = {c: tuple(v[:4]) for c, v in stats.items()}
+        outl = {c: (outl_n.get(c, 0), lo, hi) for c, lo, hi in bounds}
 
     # top values of categorical columns
     tops: dict = {}
@@ -295,6 +290,8 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             tv = [(v, int(n)) for _, v, n in sorted(tops.get(c, []))]
             rows.append((c, pos, dtype, "categorical", False, None, n_missing, n_unique,
                          None, None, None, None, None, None, None, tv, 0, None, None))
+    if svc is not None:
+        svc.unpersist()
     raw = spark.createDataFrame(rows, _RAW_SCHEMA)
     pct = lambda col: F.round(F.col(col) / F.lit(n_total) * 100, 2) if n_total else F.lit(0.0)
     return raw.select(

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +45,13 @@ def range_layout(weighted: DataFrame, group_cols: list[str], value_col: str,
     """
     ensure_checkpoint_dir(weighted.sparkSession)
     n = num_partitions or _n_parts(weighted)
-    return (weighted.repartitionByRange(n, *[F.col(g) for g in group_cols], F.col(value_col))
-            .checkpoint(eager=True))
+    # persisted first: the range sampler and the checkpoint would otherwise each
+    # recompute the (aggregating) input
+    src = weighted.persist(StorageLevel.MEMORY_AND_DISK)
+    out = (src.repartitionByRange(n, *[F.col(g) for g in group_cols], F.col(value_col))
+           .checkpoint(eager=True))
+    src.unpersist()
+    return out
 
 
 def running_totals(weighted: DataFrame, group_cols: list[str], order_col: str,
@@ -84,19 +90,40 @@ def select_ranks(weighted: DataFrame, group_cols: list[str], value_col: str,
     ``weighted`` holds distinct ``(group..., value)`` rows with a multiplicity
     ``count_col`` (so a hot value is one row, not a skewed key).  ``targets``
     holds ``(group..., pos)``; its size is bounded by groups × positions.
+    Only the range partitions that contain a requested position are sorted:
+    a table with one row per (group, partition) locates them, a semi-join keeps
+    their rows, and a window ranks inside each of them.
     Returns ``targets`` columns plus ``value_col``.
     """
-    tot = running_totals(weighted.select(*group_cols, value_col, count_col), group_cols,
-                         value_col, [count_col], num_partitions, laid_out)
-    spans = tot.select(*group_cols, value_col,
-                       F.col(f"{count_col}_before").alias("_start"),
-                       (F.col(f"{count_col}_before") + F.col(count_col)).alias("_end"))
+    base = weighted if laid_out else range_layout(
+        weighted.select(*group_cols, value_col, count_col), group_cols, value_col, num_partitions)
+    ranged = base.select(*group_cols, value_col, count_col).withColumn("_pid", F.spark_partition_id())
+    part = ranged.groupBy(*group_cols, "_pid").agg(F.sum(count_col).alias("_pn"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = part.select(*group_cols, "_pid", "_pn",
+                          F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"))
     t = targets.alias("t")
-    s = spans.alias("s")
-    cond = [F.col(f"t.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group_cols]
-    cond += [F.col(f"t.{pos_col}") >= F.col("s._start"), F.col(f"t.{pos_col}") < F.col("s._end")]
-    return (s.join(F.broadcast(t), on=cond, how="inner")
-            .select(*[F.col(f"t.{c}") for c in targets.columns], F.col(f"s.{value_col}")))
+    o = offsets.alias("o")
+    eq = [F.col(f"t.{g}").eqNullSafe(F.col(f"o.{g}")) for g in group_cols]
+    # which partition holds each target: both sides are small (bounded metadata)
+    located = (t.join(F.broadcast(o), on=eq + [F.col(f"t.{pos_col}") >= F.col("o._off"),
+                                                F.col(f"t.{pos_col}") < F.col("o._off") + F.col("o._pn")])
+               .select(*[F.col(f"t.{c}") for c in targets.columns], F.col("o._pid").alias("_pid"),
+                       (F.col(f"t.{pos_col}") - F.col("o._off")).alias("_lpos")))
+    need = located.select(*group_cols, "_pid").distinct()
+    rows = ranged.join(F.broadcast(need), on=[*group_cols, "_pid"], how="left_semi")
+    local = Window.partitionBy("_pid", *group_cols).orderBy(value_col).rowsBetween(
+        Window.unboundedPreceding, 0)
+    spans = rows.select(*group_cols, "_pid", value_col,
+                        (F.sum(count_col).over(local) - F.col(count_col)).alias("_s"),
+                        F.sum(count_col).over(local).alias("_e")).alias("s")
+    lt = located.alias("l")
+    cond = [F.col(f"l.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group_cols]
+    cond += [F.col("l._pid") == F.col("s._pid"), F.col("l._lpos") >= F.col("s._s"),
+             F.col("l._lpos") < F.col("s._e")]
+    return (spans.join(F.broadcast(lt), on=cond, how="inner")
+            .select(*[F.col(f"l.{c}") for c in targets.columns], F.col(f"s.{value_col}")))
 
 
 def quantiles(weighted: DataFrame, group_cols: list[str], value_col: str,
