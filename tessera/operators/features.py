@@ -3,7 +3,8 @@
 ``FeaturePipeline(target).fit(train)`` learns, from training rows only:
 
 * the route of every column (numeric / numeric text / free text / one-hot /
-  frequency) — one detection job, one word-count job, one distinct-count job;
+  frequency) — one pass over the distinct string values (detection, word
+  counts, distinct counts weighted by multiplicity);
 * extraction patterns, exact medians (distributed rank selection), means and
   population standard deviations, modes (top-1 of the value table), one-hot
   categories, frequency maps and the TF-IDF vocabulary.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric_text as NT
+from ..functions.text import word_count
 from . import profile as P
 from . import ranks
 from .text import TfidfModel, fit_tfidf
@@ -44,11 +46,16 @@ def route_columns(df: DataFrame, target: str | None = None) -> DataFrame:
     rows = []
     pat, words, nuniq = {}, {}, {}
     if strs:
-        pat = {r["column"]: r["pattern"] for r in P.detect_numeric_text(df, strs).collect()}
-        rest = [c for c in strs if not pat.get(c)]
-        if rest:
-            words = {r["column"]: r["avg_words"] for r in P.avg_word_counts(df, rest).collect()}
-            nuniq = {r["column"]: r["n_unique"] for r in P.distinct_counts(df.select(*rest)).collect()}
+        # one shuffle: the (column, value, n) table; detection, word counts and
+        # distinct counts then run once per distinct value, weighted by n
+        svc = P.string_value_counts(df, strs)
+        det = P._detect_from_counts(svc, df.count()).select("column", "pattern", "n_unique")
+        wc = svc.groupBy("column").agg(
+            (F.sum(F.col("n") * word_count(F.col("value"))) / F.sum("n")).alias("avg_words"))
+        for r in det.join(wc, "column").collect():              # one row per column
+            pat[r["column"]] = r["pattern"]
+            nuniq[r["column"]] = r["n_unique"]
+            words[r["column"]] = None if r["avg_words"] is None else round(r["avg_words"], 4)
     for pos, c in enumerate(feats):
         k = kinds[c]
         if k in ("numeric", "bool", "temporal"):

@@ -44,3 +44,10 @@ def test_profile_marks_converted(spark):
     assert prof["is_converted"] and prof["col_type"] == "numeric" and prof["max"] == 29.0
     # distinct count is of the raw strings
     assert prof["n_unique"] == 29
+
+
+def test_routing_uses_all_rows_for_range_share(spark):
+    from tessera.operators import features as FT
+    df = spark.createDataFrame([(v,) for v in ["1000-1500", "2000 – 3000", None, "10-20", "7"]], "s string")
+    r = FT.route_columns(df).first()
+    assert r["pattern"] == "leading" and r["route"] == "numeric_text"
