@@ -646,23 +646,25 @@ def runs_table(spark, sf):
     """One synthetic experiment row per order (FIXTURES §2): architecture from the key,
     scores from the total price scaled to 0..1, hyper-parameters from the keys."""
     o = table(spark, sf, "orders")
-    mx = o.agg(F.max("o_totalprice")).scalar()
+    mx = o.agg(F.max("o_totalprice")).scalar()          # one scalar subquery
+    o = o.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority",
+                 F.round(F.col("o_totalprice") / mx, 4).alias("_val"))
     arch = F.element_at(F.array(*[F.lit(a) for a in _ARCH]), (F.col("o_orderkey") % 22 + 1).cast("int"))
-    val = F.round(F.col("o_totalprice") / mx, 4)
-    reg = arch.isin(*_REG)
+    val = F.col("_val")
+    reg = F.col("_arch").isin(*_REG)
     hp = F.create_map(
         F.lit("max_depth"), (3 + F.col("o_custkey") % 8).cast("string"),
         F.lit("learning_rate"), (F.lit(0.05) + F.lit(0.05) * (F.col("o_orderkey") % 5)).cast("string"),
         F.lit("n_estimators"), (100 * (1 + F.col("o_orderkey") % 4)).cast("string"),
         F.lit("min_samples_split"), (2 + F.col("o_orderkey") % 5).cast("string"),
         F.lit("min_samples_leaf"), (1 + F.col("o_custkey") % 3).cast("string"))
-    return o.select(
+    return o.withColumn("_arch", arch).select(
         F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"),
         (F.col("o_orderdate") + F.make_interval(secs=F.col("o_orderkey").cast("decimal(18,6)")))
         .alias("created_at"),
         F.concat(F.lit("heart_"), F.lower(F.substring("o_orderpriority", 3, 20))).alias("dataset_name"),
         F.when(reg, "regression").otherwise("classification").alias("task_type"),
-        arch.alias("architecture"), hp.alias("hyperparams"),
+        F.col("_arch").alias("architecture"), hp.alias("hyperparams"),
         F.round(F.least(F.lit(1.0), val + (F.col("o_custkey") % 40) / 100.0), 4).alias("train_score"),
         val.alias("val_score"),
         F.when(~reg, val).alias("accuracy"),
