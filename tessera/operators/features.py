@@ -182,7 +182,7 @@ class FittedFeatures:
         arr = F.array(*[p.cast("double") for p in parts]) if parts else F.array().cast("array<double>")
         out = out.withColumn("__tab", arr)
         if self.tfidf is not None:                                             # F9–F14
-            out = self.tfidf.transform(out, self.row_id, "__txt")
+            out = self.tfidf.vector(out, "__txt")
             arr = F.concat(F.col("__tab"), F.col("__txt"))
         else:
             arr = F.col("__tab")

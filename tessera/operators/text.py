@@ -5,15 +5,16 @@ stop words, add bigrams of the kept tokens, keep the ``max_features`` terms with
 the highest total count on the training rows (ties by term), weight
 ``(1 + ln tf) · (ln((1 + n) / (1 + df)) + 1)`` and L2-normalise per row.
 
-Shuffles: ``(row, term)`` counts, then ``term`` totals (both combine map-side,
-so a term present in a third of all rows is a few partial counts per task).
-The vocabulary is at most ``max_features`` rows and is broadcast.
+Fit shuffles only ``term`` partial counts (combined map-side, so a term present
+in a third of all rows is one partial count per task); applying the model is a
+per-row projection with no shuffle.  The vocabulary is at most
+``max_features`` rows, held as literal arrays.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import NGram, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, NGram, Normalizer, StopWordsRemover
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,52 +91,78 @@ def term_counts(df: DataFrame, row_id: str, c: str, stop_words=None) -> DataFram
 
 
 class TfidfModel:
-    """Fitted vocabulary ``(term, idx, idf)`` — at most ``max_features`` rows."""
+    """Fitted vocabulary ``(term, idx, df, idf)`` — at most ``max_features`` rows.
+
+    ``transform`` and ``weights`` are per-row projections (no shuffle, no join):
+    ``CountVectorizerModel.from_vocabulary`` counts the vocabulary terms of each
+    row in the JVM, then sublinear tf × idf and the L2 norm are array expressions.
+    """
 
     def __init__(self, vocab: DataFrame, column: str, stop_words: list[str] | None):
         self.vocab = vocab
         self.column = column
         self.stop_words = stop_words
-
-    def weights(self, df: DataFrame, row_id: str, tc: DataFrame | None = None) -> DataFrame:
-        """Long output ``(row_id, term, idx, weight)`` — L2-normalised per row.
-
-        ``tc`` may pass the ``(row_id, term, tf)`` table already computed for ``df``.
-        """
-        if tc is None:
-            tc = term_counts(df, row_id, self.column, self.stop_words)
-        w = (tc.join(F.broadcast(self.vocab), "term")
-             .withColumn("w", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")))
-        norm = w.groupBy(row_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-        return (w.join(norm, row_id)
-                .select(row_id, "term", "idx", (F.col("w") / F.col("_norm")).alias("weight")))
+        rows = vocab.orderBy("idx").collect()                 # bounded: <= max_features rows
+        self.terms = [r["term"] for r in rows]
+        self.idf = [float(r["idf"]) for r in rows]
 
     def size(self) -> int:
-        return self.vocab.count()
+        return len(self.terms)
 
-    def transform(self, df: DataFrame, row_id: str, out_col: str = "text_features") -> DataFrame:
+    def vector(self, df: DataFrame, out_col: str = "text_features") -> DataFrame:
         """Dense ``array<double>`` of vocabulary width per row (all-zero for no terms)."""
         k = self.size()
-        per_row = self.weights(df, row_id).groupBy(row_id).agg(
-            F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_m"))  # <= k entries
-        dense = F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))),
-                            lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-        out = df.join(per_row, row_id, "left").withColumn(
-            out_col, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), k)).otherwise(dense)
-            if k > 0 else F.array().cast("array<double>"))
-        return out.drop("_m")
-
-
-def fit_tfidf(train: DataFrame, row_id: str, c: str, max_features: int = MAX_FEATURES,
-              stop_words: list[str] | None = None, tc: DataFrame | None = None) -> TfidfModel:
-    """vocabulary and idf from the training rows (``tc``: precomputed term counts)."""
+        if k == 0:
+            return df.withColumn(out_col, F.array().cast("array<double>"))
+        tok = tokenize(df, self.column, "__terms", self.stop_words)
+        cv = CountVectorizerModel.from_vocabulary(self.terms, inputCol="__terms", outputCol="__tf")
+        out = cv.transform(tok).drop("__terms")
+        idf = F.array(*[F.lit(v) for v in self.idf])
+        # lambdas reference only their own variables: a computed column captured in a
+        # lambda would be inlined by CollapseProject and re-evaluated per element
+        w = F.zip_with(vector_to_array(F.col("__tf")), idf,
+                       lambda t, i: F.when(t > 0, (F.lit(1.0) + F.log(t)) * i).otherwise(F.lit(0.0)))
+        out = out.withColumn("__wv", array_to_vector(w)).drop("__tf")
+        out = Normalizer(inputCol="__wv", outputCol="__nv", p=2.0).transform(out).drop("__wv")
+        return out.withColumn(out_col, vector_to_array(F.col("__nv"))).drop("__nv")
+
+    def transform(self, df: DataFrame, row_id: str | None = None, out_col: str = "text_features") -> DataFrame:
+        return self.vector(df, out_col)
+
+    def weights(self, df: DataFrame, row_id: str) -> DataFrame:
+        """Long output ``(row_id, term, idx, weight)`` of the non-zero weights."""
+        terms = F.array(*[F.lit(t) for t in self.terms])
+        v = self.vector(df.select(row_id, self.column), "__v")
+        return (v.select(row_id, F.posexplode("__v").alias("idx", "weight"))
+                .where(F.col("weight") > 0)
+                .select(row_id, F.element_at(terms, F.col("idx") + 1).alias("term"),
+                        F.col("idx").cast("int").alias("idx"), "weight"))
+
+
+def term_stats(df: DataFrame, c: str, stop_words=None) -> DataFrame:
+    """``(term, total, df)`` over the rows: one explode per row emits every token
+    (total) and every distinct token (document frequency); ``groupBy(term)``
+    combines map-side, so only partial counts of distinct terms are shuffled.
+    ``explode_outer`` + NULL filter: with ``explode`` the optimizer would infer
+    ``size(tokens) > 0`` and push it under a repartition into the scan."""
+    tok = tokenize(df.select(c), c, "__terms", stop_words)
+    pairs = F.concat(
+        F.transform("__terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
+        F.transform(F.array_distinct("__terms"),
+                    lambda t: F.struct(t.alias("term"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    return (tok.select(F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull())
+            .groupBy(F.col("p.term").alias("term"))
+            .agg(F.sum("p.a").cast("long").alias("total"), F.sum("p.b").cast("long").alias("df")))
+
+
+def fit_tfidf(train: DataFrame, row_id: str | None, c: str, max_features: int = MAX_FEATURES,
+              stop_words: list[str] | None = None) -> TfidfModel:
+    """vocabulary (top ``max_features`` by total count, ties by term) and idf
+    ``ln((1 + n) / (1 + df)) + 1`` from the training rows."""
     if stop_words is None:
         stop_words = default_stop_words()
     n_docs = train.agg(F.count(F.lit(1)).alias("n")).scalar()
-    if tc is None:
-        tc = term_counts(train, row_id, c, stop_words)
-    stats = tc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)   # distributed top-k
+    top = term_stats(train, c, stop_words).orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     vocab = (top.select("term", "df",
                         (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
                         .alias("idf"))
@@ -150,13 +177,6 @@ def fit_tfidf(train: DataFrame, row_id: str, c: str, max_features: int = MAX_FEA
 
 def fit_weights(df: DataFrame, row_id: str, c: str, max_features: int = MAX_FEATURES,
                 stop_words: list[str] | None = None) -> tuple[TfidfModel, DataFrame]:
-    """Fit on ``df`` and weight the same rows, tokenising and counting once.
-
-    The ``(row_id, term, tf)`` table is persisted (memory and disk) between the two
-    uses; it is recomputable from its lineage if an executor is lost.
-    """
-    if stop_words is None:
-        stop_words = default_stop_words()
-    tc = term_counts(df, row_id, c, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_tfidf(df, row_id, c, max_features, stop_words, tc=tc)
-    return model, model.weights(df, row_id, tc=tc)
+    """Fit on ``df`` and weight the same rows."""
+    model = fit_tfidf(df, row_id, c, max_features, stop_words)
+    return model, model.weights(df, row_id)
