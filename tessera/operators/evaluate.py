@@ -126,10 +126,11 @@ def roc_auc_ovr(df: DataFrame, label: str = "label", probability: str = "probabi
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """I8: one row ``rmse, mae, r2``."""
     e = F.col(prediction).cast("double") - F.col(label).cast("double")
-    ybar = df.agg(F.avg(F.col(label).cast("double"))).scalar()
+    y = F.col(label).cast("double")
+    # total sum of squares = n · population variance (Spark's stable central-moment
+    # aggregate): one pass, no scalar subquery over the (possibly non-deterministic) input
     one = df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-                 F.sum(e * e).alias("_sse"),
-                 F.sum((F.col(label).cast("double") - ybar) ** 2).alias("_sst"))
+                 F.sum(e * e).alias("_sse"), (F.var_pop(y) * F.count(y)).alias("_sst"))
     r2 = F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")).otherwise(
         F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return one.select(F.round("rmse", ND).alias("rmse"), F.round("mae", ND).alias("mae"),

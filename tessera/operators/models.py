@@ -168,9 +168,10 @@ class CalibratedLinearSVC:
     """
 
     def __init__(self, reg_param: float, folds: int = 3, features: str = "features",
-                 label: str = "label", weight: str | None = None, max_iter: int = 200):
+                 label: str = "label", weight: str | None = None, max_iter: int = 200,
+                 tol: float = 1e-4):
         self.reg_param, self.folds, self.features = reg_param, folds, features
-        self.label, self.weight, self.max_iter = label, weight, max_iter
+        self.label, self.weight, self.max_iter, self.tol = label, weight, max_iter, tol
 
     def fit(self, df: DataFrame) -> "CalibratedLinearSVCModel":
         from pyspark.ml.functions import vector_to_array
@@ -178,11 +179,13 @@ class CalibratedLinearSVC:
         fold = F.pmod(F.xxhash64(F.col(self.label), vector_to_array(F.col(self.features))),
                       F.lit(self.folds))
         d = df.withColumn("_fold", fold)
-        parts = []
-        for k in range(self.folds):
+
+        def one(k):
             kw = dict(weightCol=self.weight) if self.weight else {}
-            svc = LinearSVC(regParam=self.reg_param, maxIter=self.max_iter, standardization=False,
-                            featuresCol=self.features, labelCol=self.label,
+            # tol 1e-4 is scikit-learn's stopping tolerance (Spark's default 1e-6 runs
+            # many more passes, each a job over the training rows)
+            svc = LinearSVC(regParam=self.reg_param, maxIter=self.max_iter, tol=self.tol,
+                            standardization=False, featuresCol=self.features, labelCol=self.label,
                             rawPredictionCol=f"_raw{k}", predictionCol=f"_p{k}", **kw
                             ).fit(d.where(F.col("_fold") != k))
             held = svc.transform(d.where(F.col("_fold") == k)).withColumn(
@@ -190,7 +193,12 @@ class CalibratedLinearSVC:
             held = VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(held)
             platt = LogisticRegression(featuresCol="_mv", labelCol=self.label, regParam=0.0,
                                        maxIter=100).fit(held)
-            parts.append((svc, float(platt.coefficients[0]), float(platt.intercept)))
+            return svc, float(platt.coefficients[0]), float(platt.intercept)
+
+        # the folds are independent fits: run them as concurrent Spark jobs
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=self.folds) as pool:
+            parts = list(pool.map(one, range(self.folds)))
         return CalibratedLinearSVCModel(parts, self.features)
 
 

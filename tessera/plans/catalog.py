@@ -1085,3 +1085,115 @@ def q_hyperparameter_search(spark, sf):
     return SR.trial_table(trials).select("trial", F.col("params")["alpha"].alias("alpha"),
                                          F.round("score", 4).alias("score"),
                                          F.round("best_so_far", 4).alias("best_so_far"))
+
+
+# ============================== cleaning (B1–B3, C1), model families (G1–G6, G10–G12), A9 + I9
+from ..operators import clean as CL  # noqa: E402
+from ..operators import search as SR  # noqa: E402
+
+
+def docs_labeled(spark, sf):
+    """documents LEFT JOIN labels: unlabeled documents have a NULL ``quality`` target."""
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+@register("clean_rows", """
+SELECT DISTINCT md5(d.text) AS text_md5, d.lang, d.source, d.n_chars, l.quality, l.toxic
+FROM documents d LEFT JOIN labels l USING (doc_id)
+WHERE l.quality IS NOT NULL""")
+def q_clean_rows(spark, sf):
+    """B1 (NULL target rows go), B2 (id names), B3 (all-distinct integer ``doc_id``) and C1
+    (distinct over the whole rows, full texts) with target ``quality``; texts are shown
+    by their md5 after the distinct."""
+    out = CL.clean_for_training(docs_labeled(spark, sf), "quality")
+    return out.select(F.md5("text").alias("text_md5"), *[c for c in out.columns if c != "text"])
+
+
+def embeddings_binary(spark, sf):
+    """embeddings with a binary label (class < 5) and a 20 % hash validation split."""
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("_row_id"), (F.col("label") < 5).cast("double").alias("label"),
+                    array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                    F.when(SP.uniform(SP.row_hash(["vec_id"])) < 0.2, "val").otherwise("train")
+                    .alias("split"))
+
+
+def lineitem_price(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    li = table(spark, sf, "lineitem")
+    return VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax", "l_linenumber"],
+                           outputCol="features").transform(li) \
+        .select(F.col("l_extendedprice").alias("label"), "features",
+                F.when(SP.uniform(SP.row_hash(["l_orderkey", "l_linenumber"])) < 0.2, "val")
+                .otherwise("train").alias("split"))
+
+
+# small ensembles keep the many fits of the check cheap; the families are what is tested
+FAMILY_PARAMS = {"n_estimators": 10, "max_depth": 5}
+
+
+def _family_scores(spark, df, task: str, archs: list[str]) -> DataFrame:
+    """Fit every architecture on the train rows (in parallel Spark jobs) and score the
+    validation rows (H4: weighted F1 / R² floored at −1).  Only one score per model
+    reaches the driver."""
+    from concurrent.futures import ThreadPoolExecutor
+    df = df.persist()
+    train, val = df.where("split = 'train'"), df.where("split = 'val'")
+    stats = MD.training_stats(train)
+
+    def one(a):
+        m = SR.fit(a, FAMILY_PARAMS, task, train, 2, stats, None)
+        return a, task, round(float(SR.score_model(m, val, task)), 4)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(one, archs))
+    df.unpersist()
+    return spark.createDataFrame(rows, "architecture string, task string, score double")
+
+
+@register("classifier_scores")
+def q_classifier_scores(spark, sf):
+    """Every classification architecture (logistic regression, calibrated linear
+    SVC, tree, forest, extra trees, the four boosting names, Gaussian NB, KNN) fitted on the
+    binary embeddings train rows, weighted F1 on the validation rows (rows-only check)."""
+    return _family_scores(spark, embeddings_binary(spark, sf), "classification",
+                          sorted(MD.CLASSIFICATION_MODELS))
+
+
+@register("regressor_scores")
+def q_regressor_scores(spark, sf):
+    """Ridge, lasso, elastic net, tree, forest, extra trees and the four
+    boosting names fitted on lineitem price features, R² on the validation rows
+    (rows-only check).  KNN regression is exact and quadratic; it is exercised by ``knn``."""
+    archs = sorted(a for a in MD.REGRESSION_MODELS if a != "KNNRegressor")
+    return _family_scores(spark, lineitem_price(spark, sf), "regression", archs)
+
+
+@register("saved_model_scores")
+def q_saved_model_scores(spark, sf):
+    """A9 + I9: the fitted feature pipeline and a logistic regression are written to the
+    shared checkpoint folder, read back, and the validation rows rebuilt from the raw
+    lineitem columns are scored with the loaded pair (l_linestatus target)."""
+    import uuid
+
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import artifacts as AR
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+        (F.col("l_linestatus") == "O").cast("double").alias("label"))
+    li = li.withColumn("_row_id", SP.row_hash(["l_orderkey", "l_linenumber"])) \
+        .withColumn("split", F.when(SP.uniform(F.col("_row_id")) < 0.2, "val").otherwise("train"))
+    train = li.where("split = 'train'").drop("split", "l_orderkey", "l_linenumber")
+    fitted = FT.FeaturePipeline(target="label").fit(train)
+    model = MD.build_model("LogisticRegression", {}, "classification",
+                           stats=MD.training_stats(train)).fit(fitted.transform(train))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artifacts-{uuid.uuid4().hex}"
+    AR.save_artifacts(path, fitted, model)
+    feats, loaded = AR.load_features(spark, path), AR.load_model(path, LogisticRegressionModel)
+    val = li.where("split = 'val'").drop("split")
+    from pyspark.ml.functions import vector_to_array as v2a
+    return loaded.transform(feats.transform(val)).select(
+        "l_orderkey", "l_linenumber", "label", "prediction",
+        F.round(v2a("probability")[1], 6).alias("p_open"))

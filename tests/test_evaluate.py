@@ -38,3 +38,15 @@ def test_auc_invariant_to_monotone_transform(spark):
     a = spark.createDataFrame(rows, "label int, score double")
     b = spark.createDataFrame([(y, s ** 3 * 10) for y, s in rows], "label int, score double")
     assert EV.roc_auc(a).first()["roc_auc"] == EV.roc_auc(b).first()["roc_auc"]
+
+
+def test_r2_matches_numpy(spark):
+    import numpy as np
+    rnd = np.random.default_rng(1)
+    y = rnd.normal(1e5, 3e4, size=500)
+    p = y + rnd.normal(0, 1e4, size=500)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p)], "label double, prediction double")
+    r = EV.regression_metrics(df).first()
+    want = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert abs(r["r2"] - round(want, EV.ND)) < 1e-9
+    assert abs(r["rmse"] - round(float(np.sqrt(((y - p) ** 2).mean())), EV.ND)) < 1e-6
