@@ -1197,3 +1197,89 @@ def q_saved_model_scores(spark, sf):
     return loaded.transform(feats.transform(val)).select(
         "l_orderkey", "l_linenumber", "label", "prediction",
         F.round(v2a("probability")[1], 6).alias("p_open"))
+
+
+# ================================ sources round trips: CSV (A1–A4), experiment table
+from ..sources import csv as CSV  # noqa: E402
+from ..sources import experiments as XP  # noqa: E402
+
+LI_CSV_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                ("l_linenumber", "bigint"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+                ("l_linestatus", "string"), ("l_shipdate", "string"), ("l_quantity_n", "double")]
+
+
+def _scratch(spark, kind: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def lineitem_csv(spark, sf) -> DataFrame:
+    """lineitem (with its NULL column) written as CSV with a header to the shared folder
+    and read back through A1 (encoding) + A2 (NA tokens, one-aggregate type inference)."""
+    path = _scratch(spark, "csv")
+    lineitem_nulls(spark, sf).write.option("header", True).csv(path)
+    return CSV.read_csv(spark, path)
+
+
+@register("csv_types", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS data_type, count({c}) AS non_null, "
+    + (f"round(sum(CAST({c} AS DOUBLE)), 4)" if t != "string" else "CAST(NULL AS DOUBLE)")
+    + f" AS total FROM {LINEITEM_NULLS_SQL}" for c, t in LI_CSV_TYPES))
+def q_csv_types(spark, sf):
+    """A1–A3: inferred type, non-null count and numeric total per column after the CSV
+    round trip (one aggregate row, unpivoted)."""
+    df = lineitem_csv(spark, sf)
+    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "double")}
+    aggs = []
+    for c, t in df.dtypes:
+        total = F.round(F.sum(F.col(c).cast("double")), 4) if c in numeric else F.lit(None).cast("double")
+        aggs.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("data_type"),
+                             F.count(c).alias("non_null"), total.alias("total")))
+    return df.agg(F.array(*aggs).alias("_a")).select(F.inline("_a"))
+
+
+@register("csv_validate", f"""
+SELECT true AS is_valid, 'Valid dataset: ' || count(*) || ' rows, 12 columns.' AS message,
+  count(*) AS n_rows, 12 AS n_cols FROM lineitem""")
+def q_csv_validate(spark, sf):
+    """A4: validation of the CSV round trip with target ``l_returnflag``."""
+    return CSV.validate_dataset(lineitem_csv(spark, sf), "l_returnflag")
+
+
+def experiments_frame(runs: DataFrame) -> DataFrame:
+    """Judged runs in the experiment-table schema (K5 as a projection)."""
+    return runs.select(
+        "created_at", "dataset_name", "task_type", F.lit(None).cast("long").alias("n_samples"),
+        F.lit(None).cast("long").alias("n_features"), F.lit(False).alias("is_imbalanced"),
+        "architecture", "hyperparams",
+        F.map_filter(F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("r2"), F.col("r2")),
+                     lambda k, v: v.isNotNull()).alias("metrics"),
+        "approved", "critic_score", "retry_count", "run_id",
+        F.round(1 - F.col("val_score"), 4).alias("best_val_loss"),
+        F.lit(None).cast("double").alias("training_time"),
+        F.array().cast("array<string>").alias("planner_flags"),
+        F.array().cast("array<string>").alias("analyst_risks"),
+        F.col("retry_strategy").alias("critic_reasoning"))
+
+
+@register("experiment_table", f"""
+WITH r AS {RUNS_SQL}, j AS ({JUDGE_SQL})
+SELECT architecture, count(*) AS n_runs, count_if(j.approved) AS n_approved,
+  round(avg(j.critic_score), 4) AS avg_critic_score,
+  round(avg(coalesce(r.accuracy, r.r2)), 4) AS avg_metric, max(r.created_at) AS latest
+FROM r JOIN j USING (run_id) GROUP BY architecture""")
+def q_experiment_table(spark, sf):
+    """A8 (clear), A7 (append JSON lines), A6 (read back, malformed lines dropped): every
+    judged synthetic run goes through the experiment table, summarised per architecture."""
+    path = _scratch(spark, "experiments")
+    XP.clear_experiments(spark, path)
+    XP.append_experiments(experiments_frame(DC.judge(runs_table(spark, sf))), path)
+    back = XP.read_experiments(spark, path)
+    metric = F.coalesce(F.col("metrics")["accuracy"], F.col("metrics")["r2"])
+    return back.groupBy("architecture").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_if("approved").alias("n_approved"),
+        F.round(F.avg("critic_score"), 4).alias("avg_critic_score"),
+        F.round(F.avg(metric), 4).alias("avg_metric"), F.max("created_at").alias("latest"))

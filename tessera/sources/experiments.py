@@ -66,8 +66,8 @@ def experiment_row(spark: SparkSession, record: dict) -> DataFrame:
 
 
 def append_experiments(df: DataFrame, path: str) -> None:
-    """Append rows (JSON lines)."""
-    (df.select(*[f.name for f in EXPERIMENT_SCHEMA.fields]).coalesce(1).write.mode("append")
+    """Append rows (JSON lines; one part file per task, the reader takes the folder)."""
+    (df.select(*[f.name for f in EXPERIMENT_SCHEMA.fields]).write.mode("append")
      .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
 
 
