@@ -1283,3 +1283,31 @@ def q_experiment_table(spark, sf):
         F.count(F.lit(1)).alias("n_runs"), F.count_if("approved").alias("n_approved"),
         F.round(F.avg("critic_score"), 4).alias("avg_critic_score"),
         F.round(F.avg(metric), 4).alias("avg_metric"), F.max("created_at").alias("latest"))
+
+
+RUN_LOG_METRICS = ["val_score", "train_score", "overfit_gap", "training_time_s"]
+RUN_LOG_PARAMS = ["learning_rate", "max_depth", "min_samples_leaf", "min_samples_split",
+                  "n_estimators"]
+
+
+@register("run_log", f"""
+WITH r AS {RUNS_SQL}, j AS ({JUDGE_SQL})
+SELECT run_id, architecture AS run_name,
+  j.overfit_gap AS metric_overfit_gap, r.train_score AS metric_train_score,
+  CAST(CAST(substr(r.run_id, 5) AS BIGINT) % 97 AS DOUBLE) / 10 AS metric_training_time_s, r.val_score AS metric_val_score,
+  CAST(r.learning_rate AS DOUBLE) AS param_learning_rate, CAST(r.max_depth AS DOUBLE) AS param_max_depth,
+  CAST(r.min_samples_leaf AS DOUBLE) AS param_min_samples_leaf,
+  CAST(r.min_samples_split AS DOUBLE) AS param_min_samples_split,
+  CAST(r.n_estimators AS DOUBLE) AS param_n_estimators
+FROM r JOIN j USING (run_id) WHERE r.dataset_name = 'heart_urgent'""")
+def q_run_log(spark, sf):
+    """A10 + A11: params and four metrics of every judged run appended to the long run log
+    (experiment = dataset), then the runs of one experiment pivoted back to columns."""
+    path = _scratch(spark, "runlog")
+    runs = DC.judge(runs_table(spark, sf)).withColumn(
+        "training_time_s", (F.regexp_extract("run_id", r"(\d+)$", 1).cast("long") % 97) / 10)
+    XP.log_runs(runs, path, "dataset_name", "architecture", "hyperparams", RUN_LOG_METRICS)
+    wide = XP.get_runs(spark, path, "heart_urgent")
+    cols = [F.col(f"`{k}.{n}`").cast("double").alias(f"{k}_{n}")
+            for k, names in (("metric", RUN_LOG_METRICS), ("param", RUN_LOG_PARAMS)) for n in names]
+    return wide.select("run_id", "run_name", *cols)

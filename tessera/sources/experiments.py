@@ -84,6 +84,19 @@ def log_run(spark: SparkSession, path: str, run_id: str, experiment: str, run_na
     spark.createDataFrame(rows, RUN_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def log_runs(runs: DataFrame, path: str, experiment: str, run_name: str, params: str,
+             metrics: list[str]) -> None:
+    """A10 for many runs at once: every run's params (a ``map<string,string>`` column) and
+    metric columns exploded into the long run log by Spark and appended."""
+    head = [F.col("run_id").cast("string").alias("run_id"),
+            F.col(experiment).alias("experiment"), F.col(run_name).alias("run_name")]
+    p = runs.select(*head, F.lit("param").alias("kind"), F.explode(params).alias("key", "value"))
+    m = runs.select(*head, F.lit("metric").alias("kind"), F.explode(F.create_map(*[
+        x for c in metrics for x in (F.lit(c), F.col(c).cast("double").cast("string"))]))
+        .alias("key", "value"))
+    p.unionByName(m).where(F.col("value").isNotNull()).write.mode("append").parquet(path)
+
+
 def get_runs(spark: SparkSession, path: str, experiment: str) -> DataFrame:
     """One row per run of an experiment, params and metrics as columns (empty if unknown)."""
     if not _exists(spark, path):
