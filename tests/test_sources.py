@@ -85,3 +85,26 @@ def test_report_sink(spark, tmpdir_path):
     RP.write_report(spark, text, os.path.join(tmpdir_path, "rep"))
     assert spark.read.text(os.path.join(tmpdir_path, "rep")).count() == len(text.split("\n"))
     _ = json.dumps({})
+
+
+def test_log_runs_many_matches_single(spark, tmpdir_path):
+    """A10 distributed: the exploded long log pivots to the same values as one-run appends."""
+    runs = spark.createDataFrame(
+        [("r1", "e", "Ridge", {"alpha": "1.0"}, 0.5, 0.6), ("r2", "e", "Lasso", {"alpha": "0.1"}, 0.7, None),
+         ("r3", "f", "Ridge", {"alpha": "2.0"}, 0.1, 0.2)],
+        "run_id string, exp string, arch string, hp map<string,string>, val_score double, train_score double")
+    many, one = os.path.join(tmpdir_path, "many"), os.path.join(tmpdir_path, "one")
+    EX.log_runs(runs.repartition(3), many, "exp", "arch", "hp", ["val_score", "train_score"])
+    for r in runs.collect():
+        EX.log_run(spark, one, r["run_id"], r["exp"], r["arch"], r["hp"],
+                   {k: r[k] for k in ("val_score", "train_score") if r[k] is not None})
+
+    def norm(path):
+        out = {}
+        for r in EX.get_runs(spark, path, "e").collect():
+            d = r.asDict()
+            out[d.pop("run_id")] = {k: (float(v) if k.startswith("metric.") and v is not None else v)
+                                    for k, v in d.items()}
+        return out
+    assert norm(many) == norm(one)
+    assert norm(many)["r2"]["metric.train_score"] is None
