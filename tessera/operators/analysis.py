@@ -140,15 +140,8 @@ def column_view(columns: DataFrame) -> DataFrame:
                                   "outlier_count").alias("line"))
 
 
-def analyze(df: DataFrame, target: str, name: str = "dataset") -> Analysis:
-    """Analyst step: B1, B2, E7, E11–E18 on the whole table."""
-    if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found.")
-    base = CL.drop_id_columns(CL.drop_missing_target(df, target), target)
-    tt = P.task_type(base, target).first()
-    task = tt["task_type"]
-    cols = P.profile_columns(base)
-    cols = cols.cache()
+def _facts(base: DataFrame, target: str, name: str) -> tuple[dict, DataFrame | None]:
+    task = P.task_type(base, target).first()["task_type"]
     totals = P.dataset_totals(base).first().asDict()
     ratio = P.missing_ratio(base).first()["missing_ratio"]
     balance, imb = None, {"is_imbalanced": False, "n_classes": None}
@@ -162,6 +155,26 @@ def analyze(df: DataFrame, target: str, name: str = "dataset") -> Analysis:
              **imb}
     if balance is not None and (imb["n_classes"] or 0) <= MAX_REPORTED_CLASSES:
         facts["class_balance"] = {r["class"]: r["share"] for r in balance.collect()}  # per class
+    return facts, balance
+
+
+def dataset_facts(df: DataFrame, target: str, name: str = "dataset") -> dict:
+    """E7, E11, E13–E15 only: the analyst's facts without the column profile, routing and
+    plan (a handful of aggregates over the whole table)."""
+    if target not in df.columns:
+        raise ValueError(f"Target column '{target}' not found.")
+    base = CL.drop_id_columns(CL.drop_missing_target(df, target), target)
+    return _facts(base, target, name)[0]
+
+
+def analyze(df: DataFrame, target: str, name: str = "dataset") -> Analysis:
+    """Analyst step: B1, B2, E7, E11–E18 on the whole table."""
+    if target not in df.columns:
+        raise ValueError(f"Target column '{target}' not found.")
+    base = CL.drop_id_columns(CL.drop_missing_target(df, target), target)
+    facts, balance = _facts(base, target, name)
+    cols = P.profile_columns(base)
+    cols = cols.cache()
     routes = FT.route_columns(base, target)
     plan = preprocessing_plan(base, target, routes)
     return Analysis(facts, cols, P.dataset_totals(base), balance, plan,

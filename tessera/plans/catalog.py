@@ -432,18 +432,19 @@ def q_impute_scale(spark, sf):
     """F4 + F6: median imputation then population-std scaling (fit and apply on all rows)."""
     li = lineitem_nulls(spark, sf)
     fitted = FT.FeaturePipeline(target="l_returnflag").fit(li.select("l_returnflag", *IMP_COLS))
-    out = None
+    rows = []
     for c in IMP_COLS:
         x = F.coalesce(F.col(c), F.lit(fitted.medians[c]))
         sd = fitted.stds[c] or 1.0
         z = (x - F.lit(fitted.means[c])) / F.lit(sd)
-        r = li.agg(F.lit(c).alias("column"), F.round(F.lit(fitted.medians[c]), 6).alias("median"),
-                   # exact decimal mean: a double sum's order would decide rounding ties
-                   F.round(F.avg(x.cast("decimal(24,8)")), 6).cast("double").alias("mean"),
-                   F.round(F.stddev_pop(x), 6).alias("std"),
-                   F.round(F.sum(z), 4).alias("scaled_sum"), F.round(F.max(z), 6).alias("scaled_max"))
-        out = r if out is None else out.unionByName(r)
-    return out
+        rows.append(F.struct(
+            F.lit(c).alias("column"), F.round(F.lit(fitted.medians[c]), 6).alias("median"),
+            # exact decimal mean: a double sum's order would decide rounding ties
+            F.round(F.avg(x.cast("decimal(24,8)")), 6).cast("double").alias("mean"),
+            F.round(F.stddev_pop(x), 6).alias("std"),
+            F.round(F.sum(z), 4).alias("scaled_sum"), F.round(F.max(z), 6).alias("scaled_max")))
+    # every column in one pass over the table, unpivoted afterwards
+    return li.agg(F.array(*rows).alias("_r")).select(F.inline("_r"))
 
 
 # ------------------------------------------------------ F5 / F7 one-hot
@@ -1061,7 +1062,7 @@ SELECT 'classification' AS task_type, (SELECT count(*) FROM b) AS n_samples, CAS
 def q_dataset_facts(spark, sf):
     """The analyst's dataset facts for documents ⋈ labels (target quality)."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").drop("toxic")
-    f = AN.analyze(docs, "quality", "docs_quality").facts
+    f = AN.dataset_facts(docs, "quality", "docs_quality")
     return spark.createDataFrame(
         [(f["task_type"], int(f["n_samples"]), int(f["n_features"]), float(f["missing_ratio"]),
           int(f["n_duplicates"]), int(f["n_classes"]), bool(f["is_imbalanced"]))],
