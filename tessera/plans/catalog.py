@@ -1312,3 +1312,20 @@ def q_run_log(spark, sf):
     cols = [F.col(f"`{k}.{n}`").cast("double").alias(f"{k}_{n}")
             for k, names in (("metric", RUN_LOG_METRICS), ("param", RUN_LOG_PARAMS)) for n in names]
     return wide.select("run_id", "run_name", *cols)
+
+
+@register("past_summaries", f"""
+WITH r AS {RUNS_SQL}, j AS ({JUDGE_SQL})
+SELECT r.dataset_name, r.task_type, r.architecture, j.approved, j.critic_score,
+  r.accuracy, r.r2, CAST(r.max_depth AS INTEGER) AS max_depth
+FROM r JOIN j USING (run_id)""")
+def q_past_summaries(spark, sf):
+    """K4: the planning / model-selection projection of every judged run (map entries
+    shown as scalar columns)."""
+    runs = DC.judge(runs_table(spark, sf)).withColumn(
+        "metrics", F.map_filter(F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("r2"), F.col("r2")),
+                                lambda k, v: v.isNotNull()))
+    s = MM.past_summary(runs)
+    return s.select("dataset_name", "task_type", "architecture", "approved", "critic_score",
+                    F.col("metrics")["accuracy"].alias("accuracy"), F.col("metrics")["r2"].alias("r2"),
+                    F.col("hyperparams")["max_depth"].cast("int").alias("max_depth"))
