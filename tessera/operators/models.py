@@ -45,12 +45,14 @@ def available_models(task: str) -> list[str]:
 
 
 def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """``n / (k · n_class)`` per row; the class table (one row per class) is broadcast."""
+    """``n / (k · n_class)`` per row; the class table (one row per class) is broadcast
+    when its counted size is under the bound, shuffle-joined otherwise."""
+    from .split import bounded
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n = df.agg(F.count(F.lit(1))).scalar()
-    k = counts.agg(F.count(F.lit(1))).scalar()
-    w = counts.select(label, (n / (k * F.col("_nc"))).alias(weight))
-    return df.join(F.broadcast(w), label, "left")
+    k = counts.count()
+    w = counts.select(label, (n / (F.lit(k) * F.col("_nc"))).alias(weight))
+    return df.join(bounded(w, k), label, "left")
 
 
 def _depth(hp, default):

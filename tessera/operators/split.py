@@ -23,6 +23,15 @@ from .profile import NUMERIC_TYPES
 # 80/20 split, seed 42, stratify only if every class has >= 2 rows.
 TEST_SIZE = 0.2
 SEED = 42
+# A class table (one row per target class) is broadcast and indexed in one window
+# task only up to this many classes; above it, shuffle joins and the distributed
+# running count (range partitions + offsets) take over.
+CLASS_TABLE_MAX_ROWS = 1_000_000
+
+
+def bounded(table: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast hint only for a table whose counted size is under the bound."""
+    return F.broadcast(table) if n_rows <= CLASS_TABLE_MAX_ROWS else table
 
 
 def encode_labels(df: DataFrame, target: str, task: str = "classification",
@@ -30,22 +39,30 @@ def encode_labels(df: DataFrame, target: str, task: str = "classification",
     """classes sorted (numerically when numeric) → 0..k-1; regression → double.
 
     Returns ``(df with label_col, classes DataFrame(class, index) or None)``.
-    The class table has one row per class (bounded) and is broadcast.
+    The class table has one row per class; its counted size decides between a
+    broadcast + one-task rank and a shuffle join + distributed running count.
     """
     if task != "classification":
         return df.withColumn(label_col, F.col(target).cast("double")), None
     classes = df.select(F.col(target).alias("class")).where(F.col("class").isNotNull()).distinct()
-    classes = classes.select("class", (F.dense_rank().over(Window.orderBy("class")) - 1)
-                             .cast("double").alias("index"))
-    out = df.join(F.broadcast(classes.withColumnRenamed("class", target)
-                              .withColumnRenamed("index", label_col)), on=target, how="left")
+    k = classes.count()
+    if k <= CLASS_TABLE_MAX_ROWS:
+        classes = classes.select("class", (F.dense_rank().over(Window.orderBy("class")) - 1)
+                                 .cast("double").alias("index"))
+    else:
+        ranked = ranks.running_totals(classes.withColumn("_one", F.lit(1).cast("long")), [],
+                                      "class", ["_one"])
+        classes = ranked.select("class", F.col("_one_before").cast("double").alias("index"))
+    out = df.join(bounded(classes.withColumnRenamed("class", target)
+                          .withColumnRenamed("index", label_col), k), on=target, how="left")
     return out, classes
 
 
 def unseen_labels(df: DataFrame, target: str, classes: DataFrame) -> int:
     """Number of rows whose class is not in the fitted class table (anti-join)."""
     known = classes.select(F.col("class").alias(target))
-    return df.where(F.col(target).isNotNull()).join(F.broadcast(known), target, "left_anti").count()
+    return df.where(F.col(target).isNotNull()).join(bounded(known, classes.count()), target,
+                                                    "left_anti").count()
 
 
 def apply_labels(df: DataFrame, target: str, classes: DataFrame, label_col: str = "label") -> DataFrame:
@@ -53,8 +70,8 @@ def apply_labels(df: DataFrame, target: str, classes: DataFrame, label_col: str
     bad = unseen_labels(df, target, classes)
     if bad:
         raise ValueError(f"{bad} rows have labels unseen when the classes were fitted")
-    return df.join(F.broadcast(classes.withColumnRenamed("class", target)
-                               .withColumnRenamed("index", label_col)), target, "left")
+    return df.join(bounded(classes.withColumnRenamed("class", target)
+                           .withColumnRenamed("index", label_col), classes.count()), target, "left")
 
 
 def row_hash(key_cols: list[str], seed: int = SEED) -> Column:

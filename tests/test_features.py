@@ -97,3 +97,21 @@ def test_unseen_label_raises(spark):
     assert ok.first()["label"] == 1.0
     with pytest.raises(ValueError):
         SP.apply_labels(spark.createDataFrame([("z",)], "y string"), "y", classes)
+
+
+def test_label_index_above_class_bound_equals_small_path(spark, monkeypatch):
+    """F1 / C8 / G0 with more classes than the broadcast bound: shuffle joins and the
+    distributed running count give the same indices and weights."""
+    from tessera.operators import models as MD
+    from tessera.operators import split as SPL
+    df = spark.createDataFrame([(f"c{i % 37:02d}", i) for i in range(300)], "y string, v int")
+    small, cls_small = SPL.encode_labels(df, "y")
+    w_small = {r["y"]: r["weight"] for r in MD.balanced_weights(small, "y").collect()}
+    monkeypatch.setattr(SPL, "CLASS_TABLE_MAX_ROWS", 5)
+    big, cls_big = SPL.encode_labels(df, "y")
+    assert sorted(map(tuple, cls_big.collect())) == sorted(map(tuple, cls_small.collect()))
+    assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
+    assert SPL.unseen_labels(df, "y", cls_big) == 0
+    w_big = {r["y"]: r["weight"] for r in MD.balanced_weights(big, "y").collect()}
+    assert w_big == w_small
+    assert sorted(r["index"] for r in cls_big.collect()) == [float(i) for i in range(37)]
