@@ -8,7 +8,7 @@ encoding is chosen by one short job: the first line that is not valid UTF-8.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # pandas' default missing-value tokens (public pandas documentation).
@@ -16,6 +16,14 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 BOOL_TOKENS = ("True", "False", "TRUE", "FALSE", "true", "false")
 MIN_ROWS = 10
+# Shape of every string Spark's ANSI cast turns into a bigint (optional sign, ASCII
+# digits, edge whitespace / control characters): a superset, so guarding the cast
+# with it changes no result but keeps failing values off the cast's exception path.
+INT_SHAPE = r"^[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*$"
+
+
+def as_bigint(v: Column) -> Column:
+    return F.when(v.rlike(INT_SHAPE), v.try_cast("bigint"))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -45,7 +53,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.count(v.try_cast("bigint")).alias(f"i{i}"),
+        aggs += [F.count(v).alias(f"n{i}"), F.count(as_bigint(v)).alias(f"i{i}"),
                  F.count(v.try_cast("double")).alias(f"d{i}"),
                  F.count_if(v.isin(list(BOOL_TOKENS))).alias(f"b{i}")]
     r = df.agg(*aggs).first()    # one row: 4 counts per column
@@ -53,7 +61,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
         if n and r[f"i{i}"] == n:
-            out.append(F.col(c).try_cast("bigint").alias(c))
+            out.append(as_bigint(F.col(c)).alias(c))
         elif n and r[f"d{i}"] == n:
             out.append(F.col(c).try_cast("double").alias(c))
         elif n and r[f"b{i}"] == n:

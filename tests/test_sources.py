@@ -108,3 +108,13 @@ def test_log_runs_many_matches_single(spark, tmpdir_path):
         return out
     assert norm(many) == norm(one)
     assert norm(many)["r2"]["metric.train_score"] is None
+
+
+def test_integer_shape_guard_matches_plain_cast(spark):
+    """The regex guard in front of the bigint cast changes no value."""
+    from pyspark.sql import functions as F
+    vals = ["12", " 12 ", "+12", "-12", "12.", "12.0", ".5", "1e3", "0x10", "\t7\n", "\x017\x01",
+            "99999999999999999999", "1_000", "٣", "12 3", "", " ", "+", "-0", None, "A", "NaN"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    rows = df.select(F.col("v").try_cast("bigint").alias("a"), CS.as_bigint(F.col("v")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
