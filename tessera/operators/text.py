@@ -130,10 +130,14 @@ class TfidfModel:
         return self.vector(df, out_col)
 
     def weights(self, df: DataFrame, row_id: str) -> DataFrame:
-        """Long output ``(row_id, term, idx, weight)`` of the non-zero weights."""
+        """Long output ``(row_id, term, idx, weight)`` of the non-zero weights.
+
+        ``posexplode_outer`` (its NULL rows fail ``weight > 0``): for ``posexplode`` the
+        optimizer infers ``size(__v) > 0`` and pushes it under the repartition into the
+        scan, which would compute every row's weights twice, once single-threaded."""
         terms = F.array(*[F.lit(t) for t in self.terms])
         v = self.vector(df.select(row_id, self.column), "__v")
-        return (v.select(row_id, F.posexplode("__v").alias("idx", "weight"))
+        return (v.select(row_id, F.posexplode_outer("__v").alias("idx", "weight"))
                 .where(F.col("weight") > 0)
                 .select(row_id, F.element_at(terms, F.col("idx") + 1).alias("term"),
                         F.col("idx").cast("int").alias("idx"), "weight"))
