@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe
+from tessera.llm import byte_bpe, ngram_jaccard, substring_dedup, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class, group and number of links of every document."""
+    found = ngram_jaccard.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "class_id", "component_id", "n_links", "kept")
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the scorer that weak labels have trained."""
+    return weak_quality.classify(documents(spark, sf_dir))
+
+
+@query()
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents: place, kept occurrence, removal."""
+    return substring_dedup.repeated_units(documents(spark, sf_dir)).drop("key")
+
+
 @query()
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the public rank file and decoded again, as digests."""
