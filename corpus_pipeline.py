@@ -1,19 +1,48 @@
-"""The corpus pipeline: stages of corpus operators, each written and read again."""
+"""The corpus pipeline: stages of corpus operators, each written and read again.
+
+Every stage takes all that its predecessor kept; all but the last return the
+columns of ``documents``.  ``n_chars`` follows the text where a stage shortens it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import byte_bpe
+from tessera.llm import byte_bpe, mixing, ngram_jaccard, substring_dedup, weak_quality
 from tessera.llm.store import written
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise what is left and check it by decoding; digests of ids and bytes."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly trained classifier rejects go."""
+    return weak_quality.keep_good(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return ngram_jaccard.keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents stay in one document."""
+    left = substring_dedup.remove_repeats(docs)
+    if "n_chars" in left.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of what is left, checked by decoding: digests of ids and bytes."""
     return byte_bpe.round_trip(docs)
 
 
-STAGES = [("byte-level BPE encoding and decoding", encode)]
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies),
+          ("substring dedup", repeats), ("mixing sources to target weights", mixed),
+          ("byte-level BPE encoding and decoding", encoded)]
 
 #: No SQL form: the stages train a model and search near duplicates.
 ORACLE_SQL = None

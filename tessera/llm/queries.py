@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, ngram_jaccard, substring_dedup, weak_quality
+from tessera.llm import byte_bpe, mixing, ngram_jaccard, substring_dedup, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "component_id", "n_links", "kept")
 
 
+@query(mixing.SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, repeats counted."""
+    return mixing.mix_table(documents(spark, sf_dir))
+
+
 @query()
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the scorer that weak labels have trained."""
