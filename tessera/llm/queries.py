@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, mixing, ngram_jaccard, substring_dedup, weak_quality
+from tessera.llm import (byte_bpe, embedding_dedup, line_rules, mixing, ngram_jaccard, substring_dedup, token_counts,
+                         weak_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,18 +37,36 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "component_id", "n_links", "kept")
 
 
+@query()
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with cosine of 0.98 or more inside a label."""
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query(mixing.SQL)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, repeats counted."""
     return mixing.mix_table(documents(spark, sf_dir))
 
 
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, by a run that starts an empty cache."""
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 @query()
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the scorer that weak labels have trained."""
     return weak_quality.classify(documents(spark, sf_dir))
 
 
+@query(line_rules.SQL)
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document and the verdict of line-first cleaning."""
+    return line_rules.quality_table(documents(spark, sf_dir))
+
+
 @query()
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents: place, kept occurrence, removal."""
