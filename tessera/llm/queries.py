@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (byte_bpe, embedding_dedup, line_rules, mixing, ngram_jaccard, substring_dedup, token_counts,
-                         weak_quality)
+from tessera.llm import (byte_bpe, embedding_dedup, license_scan, line_rules, mixing, ngram_jaccard, shuffle_shards,
+                         substring_dedup, token_counts, weak_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "component_id", "n_links", "kept")
 
 
+@query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that the paragraphs of every document grant."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 @query()
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with cosine of 0.98 or more inside a label."""
@@ -67,6 +73,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_table(documents(spark, sf_dir))
 
 
+@query()
+def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot after the external shuffle."""
+    return shuffle_shards.shard_table(documents(spark, sf_dir))
+
+
 @query()
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents: place, kept occurrence, removal."""
