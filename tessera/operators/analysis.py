@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric_text as NT
@@ -17,10 +17,6 @@ from . import clean as CL
 from . import features as FT
 from . import profile as P
 
-MAX_REPORTED_CLASSES = 1000
-PLAN_SCHEMA = "column string, raw_type string, treatment string, steps string, reason string"
-FINDINGS_SCHEMA = "rule string, severity string, message string, recommendation string"
-
 
 @dataclass
 class Analysis:
@@ -34,87 +30,99 @@ class Analysis:
     info: dict = field(default_factory=dict)
 
 
+#: What the plan says for each route (route, raw type, treatment, steps, reason).
+PLAN_WORDS = [
+    ("numeric", None, "Numeric", "Median impute → StandardScaler", "Already numeric"),
+    ("numeric_text", "string", "Numeric (extracted)",
+     "Extract number from string → Median impute → StandardScaler", None),
+    ("text", "free text", "TF-IDF", "TfidfVectorizer (max 300 features, unigrams+bigrams)",
+     "High avg word count — free text column"),
+    ("one_hot", "categorical", "One-Hot Encoded", "Mode impute → OneHotEncoder ({n} categories)",
+     "Low cardinality: {n} unique values"),
+    ("frequency", "categorical", "Frequency Encoded",
+     "Replace category with its frequency in training set → StandardScaler",
+     "High cardinality: {n} unique values (>15)"),
+]
+
+
+def _by_route(words: dict[str, str | None]) -> Column:
+    """The text of the row's route, ``{n}`` replaced by its number of distinct values."""
+    out = F.lit(None).cast("string")
+    for route, text in words.items():
+        if text is not None:
+            out = F.when(F.col("route") == route, F.replace(
+                F.lit(text), F.lit("{n}"), F.col("n_unique").cast("string")) if "{n}" in text else F.lit(text)
+            ).otherwise(out)
+    return out
+
+
 def preprocessing_plan(df: DataFrame, target: str, routes: DataFrame | None = None) -> DataFrame:
     """Treatment per feature column, with an example for extracted numbers.
 
-    The example is the smallest raw value (deterministic, instead of the first row).
+    The example is the smallest raw value (deterministic, instead of the first row); examples
+    of all string columns come from one aggregate of the table and join the routes.
     """
-    spark = df.sparkSession
     routes = routes if routes is not None else FT.route_columns(df, target)
-    info = routes.collect()                                    # one row per column
-    ex = [r["column"] for r in info if r["route"] == "numeric_text"]
-    examples = {}
-    if ex:
-        row = df.agg(*[F.min(F.col(c)).alias(f"e{i}") for i, c in enumerate(ex)]).first()
-        examples = {c: row[f"e{i}"] for i, c in enumerate(ex)}
-    rows = []
-    for r in info:
-        c, route = r["column"], r["route"]
-        if route == "numeric":
-            rows.append((c, df.schema[c].dataType.simpleString(), "Numeric",
-                         "Median impute → StandardScaler", "Already numeric"))
-        elif route == "numeric_text":
-            rows.append((c, "string", "Numeric (extracted)",
-                         "Extract number from string → Median impute → StandardScaler", None))
-        elif route == "text":
-            rows.append((c, "free text", "TF-IDF",
-                         "TfidfVectorizer (max 300 features, unigrams+bigrams)",
-                         "High avg word count — free text column"))
-        elif route == "one_hot":
-            n = r["n_unique"]
-            rows.append((c, "categorical", "One-Hot Encoded",
-                         f"Mode impute → OneHotEncoder ({n} categories)",
-                         f"Low cardinality: {n} unique values"))
-        else:
-            n = r["n_unique"]
-            rows.append((c, "categorical", "Frequency Encoded",
-                         "Replace category with its frequency in training set → StandardScaler",
-                         f"High cardinality: {n} unique values (>15)"))
-    plan = spark.createDataFrame(rows, PLAN_SCHEMA)
-    if ex:
-        exdf = spark.createDataFrame([(c, examples[c], (r["pattern"])) for r in info
-                                      for c in [r["column"]] if c in examples],
-                                     "column string, example string, pattern string")
-        num = F.when(F.col("pattern") == "range", NT.range_midpoint("example")) \
-               .when(F.col("pattern") == "unit", NT.unit_number("example")) \
-               .otherwise(NT.leading_number("example"))
-        exdf = exdf.select("column", F.concat(F.lit("e.g. '"), F.col("example"), F.lit("' → "),
-                                              F.format_string("%.2f", num)).alias("_reason"))
-        plan = plan.join(exdf, "column", "left").select(
-            "column", "raw_type", "treatment", "steps", F.coalesce("reason", "_reason").alias("reason"))
-    return plan
+    routes = routes.withColumn("route", F.when(F.col("route").isin([w[0] for w in PLAN_WORDS]), F.col("route"))
+                               .otherwise("frequency"))
+    strings = [c for c, t in df.dtypes if t == "string" and c != target]
+    least = [F.struct(F.lit(c).alias("column"), F.min(c).alias("example")) for c in strings]
+    none = [F.struct(F.lit("").alias("column"), F.lit(None).cast("string").alias("example"))]
+    example = df.agg(F.array(*(least or none)).alias("all")).select(F.inline("all"))
+    number = (F.when(F.col("pattern") == "range", NT.range_midpoint("example"))
+              .when(F.col("pattern") == "unit", NT.unit_number("example"))
+              .otherwise(NT.leading_number("example")))
+    shown = F.concat(F.lit("e.g. '"), F.col("example"), F.lit("' → "), F.format_string("%.2f", number))
+    kinds = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())])
+    word = {k: _by_route({w[0]: w[k] for w in PLAN_WORDS}) for k in (1, 2, 3, 4)}
+    return routes.join(example, "column", "left").select(
+        "column", F.coalesce(word[1], kinds[F.col("column")]).alias("raw_type"), word[2].alias("treatment"),
+        word[3].alias("steps"), F.when(F.col("route") == "numeric_text", shown).otherwise(word[4]).alias("reason"))
+
+
+def _listed(rows: DataFrame, share: str, order: list) -> DataFrame:
+    """One row ``listed``: ``column (share%)`` of the rows in order, comma separated; null if none."""
+    item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)],
+                    F.concat(F.col("column"), F.lit(" ("), F.col(share).cast("string"), F.lit("%)")).alias("item"))
+    items = F.array_sort(F.collect_list(item))     # one item per column
+    return rows.agg(F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda i: i["item"]), ", "))
+                    .alias("listed"))
 
 
 def findings(facts: dict, columns: DataFrame, target: str) -> DataFrame:
-    """Rule-based data-quality findings with recommendations."""
-    spark = columns.sparkSession
-    rows = []
-    if facts.get("is_imbalanced"):
-        rows.append(("imbalance", "risk", "Class imbalance — minority class may be underlearned.",
-                     "Use class_weight='balanced' in model."))
+    """Rule-based data-quality findings with recommendations, one query per rule."""
+    fact = columns.sparkSession.range(1)
     feats = columns.where(F.col("column") != target)
-    if facts.get("missing_ratio", 0) > 0.05:
-        hi = feats.where(F.col("missing_pct") > 10).orderBy("position").select("column", "missing_pct")
-        lst = [f"{r['column']} ({r['missing_pct']}%)" for r in hi.collect()]   # <= columns
-        if lst:
-            rows.append(("missing", "risk", f"High missing values in: {', '.join(lst)}.",
-                         "Consider dropping or imputing high-null columns."))
-    if facts.get("n_duplicates", 0) > 0:
-        rows.append(("duplicates", "risk",
-                     f"{facts['n_duplicates']} duplicate rows ({facts['duplicate_pct']}%) detected.",
-                     "Duplicates will be removed before training."))
-    worst = P.worst_outliers(columns, target).collect()
-    if worst:
-        rows.append(("outliers", "risk", "Numeric outliers detected in: "
-                     + ", ".join(f"{r['column']} ({r['pct']}%)" for r in worst) + ".",
-                     "Review high-outlier columns; consider clipping, transformations, or robust "
-                     "tree-based models when values are valid extremes."))
-    conv = [r["column"] for r in feats.where("is_converted").orderBy("position").collect()]
-    if conv:
-        rows.append(("converted", "info",
-                     f"Columns {conv} contain numeric values stored as strings (e.g. '8GB', "
-                     "'1.37kg') — will be extracted automatically.", None))
-    return spark.createDataFrame(rows, FINDINGS_SCHEMA)
+    n_dup, pct = facts.get("n_duplicates", 0), facts.get("duplicate_pct", 0)
+    high = _listed(feats.where(F.col("missing_pct") > 10), "missing_pct", [F.col("position")])
+    worst = _listed(P.worst_outliers(columns, target), "pct", [-F.col("pct"), F.col("column")])
+    converted = F.array_sort(F.collect_list(F.struct("position", "column")))
+    named = feats.where("is_converted").agg(
+        F.array_join(F.transform(converted, lambda c: F.concat(F.lit("'"), c["column"], F.lit("'"))), ", ")
+        .alias("listed")).where("listed <> ''")
+    #: Rule, its rows, severity, message around the list, recommendation.
+    rules = [
+        ("imbalance", fact.where(F.lit(bool(facts.get("is_imbalanced")))).select(F.lit("").alias("listed")), "risk",
+         ("Class imbalance — minority class may be underlearned.", ""), "Use class_weight='balanced' in model."),
+        ("missing", high.where(F.lit(facts.get("missing_ratio", 0) > 0.05)), "risk",
+         ("High missing values in: ", "."), "Consider dropping or imputing high-null columns."),
+        ("duplicates", fact.where(F.lit(n_dup > 0)).select(F.lit(f"{n_dup} duplicate rows ({pct}%)").alias("listed")),
+         "risk", ("", " detected."), "Duplicates will be removed before training."),
+        ("outliers", worst, "risk", ("Numeric outliers detected in: ", "."),
+         "Review high-outlier columns; consider clipping, transformations, or robust "
+         "tree-based models when values are valid extremes."),
+        ("converted", named, "info", ("Columns [", "] contain numeric values stored as strings (e.g. '8GB', "
+                                      "'1.37kg') — will be extracted automatically."), None),
+    ]
+    parts = [rows.where("listed IS NOT NULL").select(
+        F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+        F.concat(F.lit(before), F.col("listed"), F.lit(after)).alias("message"),
+        F.lit(advice).cast("string").alias("recommendation"))
+        for rule, rows, severity, (before, after), advice in rules]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def column_summary(columns: DataFrame, target: str, n: int = 15) -> DataFrame:
@@ -153,8 +161,6 @@ def _facts(base: DataFrame, target: str, name: str) -> tuple[dict, DataFrame | N
              "n_features": len(base.columns) - 1, "missing_ratio": ratio,
              "n_duplicates": totals["n_duplicates"], "duplicate_pct": totals["duplicate_pct"],
              **imb}
-    if balance is not None and (imb["n_classes"] or 0) <= MAX_REPORTED_CLASSES:
-        facts["class_balance"] = {r["class"]: r["share"] for r in balance.collect()}  # per class
     return facts, balance
 
 

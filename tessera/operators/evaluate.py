@@ -1,7 +1,7 @@
 """Evaluation aggregations (I1–I9) over ``(label, prediction[, score/probability])``.
 
-The confusion table (one row per (true, predicted) class pair) is the only
-shuffle for I1–I5; everything else is computed from that small table.  ROC-AUC
+Pairs of (true, predicted) classes that occur are counted in one shuffle and
+summed per class in a second, small one; only I1 itself builds the full grid.  ROC-AUC
 is the Mann–Whitney statistic: counts per distinct score, then exclusive
 running totals of negatives laid out by range (``ranks.running_totals``), so
 no task ever sorts all scores.  All metrics are rounded to 4 places.
@@ -19,29 +19,40 @@ from . import ranks
 ND = 4
 
 
+def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """``(label, prediction, count)`` of the pairs that occur, both in one type (double if both
+    are numeric, else string); rows without a label are not part of the truth and drop out."""
+    types = [df.schema[c].dataType for c in (label, prediction)]
+    if types[0] == types[1]:
+        common = types[0]
+    else:
+        common = T.DoubleType() if all(isinstance(t, (T.NumericType, T.BooleanType)) for t in types) else T.StringType()
+    return (df.where(F.col(label).isNotNull())
+            .groupBy(F.col(label).cast(common).alias("label"), F.col(prediction).cast(common).alias("prediction"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``(label, prediction, count)`` over the union of classes, zero cells kept."""
-    spark = df.sparkSession
-    cnt = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
-        F.count(F.lit(1)).alias("count"))
-    classes = sorted({x for r in cnt.select("label", "prediction").collect() for x in r
-                      if x is not None})                  # bounded: one entry per class
-    ltype = cnt.schema["label"].dataType
-    grid = spark.createDataFrame([(a, b) for a in classes for b in classes],
-                                 T.StructType([T.StructField("label", ltype),
-                                               T.StructField("prediction", ltype)]))
-    return grid.join(cnt, ["label", "prediction"], "left").select(
+    """``(label, prediction, count)`` over the union of classes, zero cells kept; rows with a
+    null prediction are in no cell.  Classes squared rows by definition, made by Spark."""
+    cells = _cells(df, label, prediction).where("prediction IS NOT NULL").persist()
+    classes = cells.select(F.explode(F.array("label", "prediction")).alias("label")).distinct()
+    grid = classes.crossJoin(classes.withColumnRenamed("label", "prediction"))
+    return grid.join(cells, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """I5 rows: ``(class, precision, recall, f1, support)`` — zero division gives 0."""
-    cm = confusion_counts(df, label, prediction)
-    tp = cm.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("class"),
-                                                                F.col("count").alias("tp"))
-    sup = cm.groupBy(F.col("label").alias("class")).agg(F.sum("count").alias("support"))
-    prd = cm.groupBy(F.col("prediction").alias("class")).agg(F.sum("count").alias("predicted"))
-    t = tp.join(sup, "class").join(prd, "class")
+    """I5 rows: ``(class, precision, recall, f1, support)`` — zero division gives 0, a null
+    prediction is a miss of its label.  Sums per class straight from the occurring pairs."""
+    zero, n = F.lit(0).cast("long"), F.col("count")
+    sides = F.array(
+        F.struct(F.col("label").alias("class"),
+                 F.when(F.col("label") == F.col("prediction"), n).otherwise(zero).alias("tp"),
+                 n.alias("support"), zero.alias("predicted")),
+        F.struct(F.col("prediction").alias("class"), zero.alias("tp"), zero.alias("support"), n.alias("predicted")))
+    t = (_cells(df, label, prediction).select(F.inline(sides)).where(F.col("class").isNotNull())
+         .groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     t = t.select("class", p.alias("precision"), r.alias("recall"), "support", "tp")

@@ -36,8 +36,8 @@ BOOSTERS = frozenset({"GradientBoosting", "HistGradientBoosting", "XGBoost", "Li
                       "GradientBoostingRegressor", "HistGradientBoostingRegressor",
                       "XGBoostRegressor", "LightGBMRegressor"})
 
-DEFAULT_FOREST_DEPTH = 12     # S10: "unlimited" depth becomes 12 (Spark caps at 30)
-MAX_DEPTH = 30
+SVC_ITERATIONS, SVC_TOLERANCE = 2000, 1e-4
+MAX_DEPTH = 30                # Spark's largest tree depth; "unlimited" depth becomes this
 
 
 def available_models(task: str) -> list[str]:
@@ -56,12 +56,19 @@ def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight"
 
 
 def _depth(hp, default):
+    """Tree depth; None or a negative value means no limit, default or searched alike."""
     d = hp.get("max_depth", default)
-    if d is None or (isinstance(d, (int, float)) and d < 0):
-        d = DEFAULT_FOREST_DEPTH
+    if d is None or d < 0:
+        d = MAX_DEPTH
     return int(min(max(int(d), 1), MAX_DEPTH))
 
 
+def _leaf_depth(hp):
+    """Depth of a balanced tree with LightGBM's ``num_leaves`` leaves, which bound its trees
+    where depth is unlimited (Spark trees have no leaf limit)."""
+    return max(1, math.ceil(math.log2(max(2, int(hp.get("num_leaves", 31))))))
+
+
 def _min_inst(hp, default_split=2):
     return max(1, math.ceil(int(hp.get("min_samples_split", default_split)) / 2),
                int(hp.get("min_samples_leaf", 1)))
@@ -89,8 +96,9 @@ def build_model(architecture: str, hyperparams: dict | None, task: str, n_classe
         if n_classes <= 2:
             return CalibratedLinearSVC(1.0 / (c * sum_w), features=features, label=label,
                                        weight=wcol.get("weightCol"))
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * sum_w), maxIter=200,
-                                              standardization=False), **common)
+        return OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * sum_w), maxIter=SVC_ITERATIONS,
+                                              tol=SVC_TOLERANCE, standardization=False, **wcol),
+                         **common, **wcol)
     if architecture in ("DecisionTree", "DecisionTreeRegressor"):
         cls = DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor
         return cls(maxDepth=_depth(hp, 6), minInstancesPerNode=_min_inst(hp, 5), seed=seed,
@@ -106,14 +114,18 @@ def build_model(architecture: str, hyperparams: dict | None, task: str, n_classe
         iters = int(hp.get("n_estimators", hp.get("max_iter", 200 if "XGB" in architecture
                                                   or "LightGBM" in architecture else 100)))
         depth_default = 4 if "XGBoost" in architecture else (3 if architecture.startswith("Gradient") else 6)
+        if "LightGBM" in architecture and (hp.get("max_depth") is None or hp["max_depth"] < 0):
+            hp["max_depth"] = _leaf_depth(hp)
         kw = dict(maxIter=iters, stepSize=float(hp.get("learning_rate", 0.1)),
                   maxDepth=_depth(hp, depth_default),
                   subsamplingRate=float(hp.get("subsample", 0.8 if "Hist" not in architecture else 1.0)),
                   seed=seed)
+        if "colsample_bytree" in hp:     # drawn per node instead of per tree
+            kw["featureSubsetStrategy"] = str(float(hp["colsample_bytree"]))
         if task == "classification":
             if n_classes <= 2:
                 return GBTClassifier(**kw, **common, **wcol)
-            return OneVsRest(classifier=GBTClassifier(**kw), **common)
+            return OneVsRest(classifier=GBTClassifier(**kw, **wcol), **common, **wcol)
         return GBTRegressor(**kw, **common)
     if architecture in ("Ridge", "Lasso", "ElasticNet"):
         sd_y = float(stats.get("sd_y", 1.0) or 1.0)
@@ -170,8 +182,8 @@ class CalibratedLinearSVC:
     """
 
     def __init__(self, reg_param: float, folds: int = 3, features: str = "features",
-                 label: str = "label", weight: str | None = None, max_iter: int = 200,
-                 tol: float = 1e-4):
+                 label: str = "label", weight: str | None = None,
+                 max_iter: int = SVC_ITERATIONS, tol: float = SVC_TOLERANCE):
         self.reg_param, self.folds, self.features = reg_param, folds, features
         self.label, self.weight, self.max_iter, self.tol = label, weight, max_iter, tol
 

@@ -60,10 +60,18 @@ class GaussianNBModel:
     def transform(self, df: DataFrame) -> DataFrame:
         labels = F.array(*[F.lit(c[0]) for c in self.classes])
         out = df.withColumn("_jll", self.joint_log_likelihood())
-        best = F.array_position(out["_jll"], F.array_max("_jll"))
-        mx = F.array_max("_jll")
-        expo = F.transform("_jll", lambda v: F.exp(v - mx))
-        tot = F.aggregate(expo, F.lit(0.0), lambda a, b: a + b)
+        # maximum and total are columns of their own: inside a lambda they would be evaluated per element
+        out = (out.withColumn("_mx", F.array_max("_jll"))
+               .withColumn("_ex", F.transform("_jll", lambda v: F.exp(v - F.col("_mx"))))
+               .withColumn("_tot", F.aggregate("_ex", F.lit(0.0), lambda a, b: a + b)))
+        best = F.array_position("_jll", F.col("_mx"))
         return (out.withColumn("prediction", F.element_at(labels, best.cast("int")))
-                .withColumn("probability", F.transform(expo, lambda e: e / tot))
-                .drop("_jll"))
+                .withColumn("probability", F.transform("_ex", lambda e: e / F.col("_tot")))
+                .drop("_jll", "_mx", "_ex", "_tot"))
+
+    def to_dict(self) -> dict:
+        return {"classes": self.classes, "features": self.features}
+
+    @classmethod
+    def from_dict(cls, d: dict) -> "GaussianNBModel":
+        return cls([tuple(c) for c in d["classes"]], d["features"])

@@ -1,14 +1,15 @@
 """Exact k-nearest neighbours (G8, C9) as a blocked, distributed nested loop.
 
-Query rows and training rows are hashed into blocks of at most ``BLOCK_ROWS``
+Query rows and training rows are hashed into blocks of about ``BLOCK_ROWS``
 rows.  Every (query block, training block) pair is one ``cogroup`` group
 (each side's rows are tagged with all block numbers of the other side), so a
-group never holds more than ``BLOCK_ROWS`` rows of either side and nothing
+group holds about ``BLOCK_ROWS`` rows of either side and nothing
 passes through the driver.  Inside the group numpy computes distances for
 sub-batches of ``BATCH`` queries and only the ``k`` nearest per query leave
 the task; the ``k`` × blocks candidates per query are then reduced to ``k``
 with a window over those few rows.  No pair rows are ever materialised.
-Distance ties break on the training row id.  Exact KNN costs
+Distance ties break on the training row id; equal rows have
+distance zero exactly (selected rows are recomputed from differences).  Exact KNN costs
 query rows × training rows distance evaluations by nature.
 """
 
@@ -43,6 +44,7 @@ def _block_topk(k: int):
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(t) == 0:
             return pd.DataFrame({"_qid": [], "_tid": [], "_ty": [], "_d": []})
+        t = t.sort_values("_tid", kind="stable")
         tx = np.stack(t["_tx"].to_numpy()).astype(np.float64)
         tn = (tx * tx).sum(axis=1)
         tid, ty = t["_tid"].to_numpy(), t["_ty"].to_numpy()
@@ -51,14 +53,20 @@ def _block_topk(k: int):
         for s in range(0, len(q), BATCH):
             qb = q.iloc[s:s + BATCH]
             qx = np.stack(qb["_qx"].to_numpy()).astype(np.float64)
-            d2 = np.maximum((qx * qx).sum(axis=1)[:, None] + tn[None, :] - 2.0 * qx @ tx.T, 0.0)
-            idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < len(t) else \
-                np.tile(np.arange(len(t)), (len(qb), 1))
-            rows = np.repeat(np.arange(len(qb)), idx.shape[1])
-            sel = idx.reshape(-1)
-            out.append(pd.DataFrame({"_qid": qb["_qid"].to_numpy()[rows], "_tid": tid[sel],
-                                     "_ty": ty[sel], "_d": np.sqrt(d2[rows, sel])}))
-        return pd.concat(out, ignore_index=True)
+            qn = (qx * qx).sum(axis=1)
+            d2 = qn[:, None] + tn[None, :] - 2.0 * qx @ tx.T
+            # the expansion only preselects: every row that may be as near as the k-th, with
+            # room for its rounding, then exact differences, ties by the smallest id
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            near = d2 <= (kth + 1e-12 * tx.shape[1] * (qn + tn.max()))[:, None]
+            for row in range(len(qb)):
+                at = np.flatnonzero(near[row])
+                d = np.sqrt(((tx[at] - qx[row]) ** 2).sum(axis=1))
+                best = np.argsort(d, kind="stable")[:kk]         # rows are in id order
+                out.append((qb["_qid"].iloc[row], at[best], d[best]))
+        at = np.concatenate([a for _, a, _ in out])
+        return pd.DataFrame({"_qid": np.repeat([i for i, _, _ in out], [len(a) for _, a, _ in out]),
+                             "_tid": tid[at], "_ty": ty[at], "_d": np.concatenate([d for _, _, d in out])})
     return fn
 
 
@@ -71,13 +79,24 @@ class KNNModel:
         self.train = t.select(F.col(p.row_id).alias("_tid"), F.col(p.label).cast("double").alias("_ty"),
                               F.col("_x").cast("array<double>").alias("_tx"))
 
+    @classmethod
+    def saved(cls, table: DataFrame, p: KNN) -> "KNNModel":
+        """From the training table of a saved model."""
+        model = cls.__new__(cls)
+        model.p, model.train = p, table
+        return model
+
     def neighbours(self, query: DataFrame, qid: str) -> DataFrame:
         """``(qid, rank, neighbour id, label, distance)`` for the k nearest training rows."""
         k = self.p.k
         q = _as_array(query, self.p.features).select(F.col(qid).alias("_qid"),
                                                      F.col("_x").cast("array<double>").alias("_qx"))
         n_t = max(1, -(-self.train.count() // BLOCK_ROWS))
-        n_q = max(1, -(-q.count() // BLOCK_ROWS))
+        rows, ids = q.agg(F.count("*"), F.count_distinct("_qid")).first()
+        if rows != ids:
+            raise ValueError(f"query ids must be unique: {rows} rows, {ids} ids")
+        # small inputs still use every core
+        n_q = max(1, -(-rows // BLOCK_ROWS), min(rows, query.sparkSession.sparkContext.defaultParallelism // n_t))
         qs = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n_q)))
               .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))))
         ts = (self.train.withColumn("_tb", F.pmod(F.xxhash64("_tid"), F.lit(n_t)))

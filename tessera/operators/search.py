@@ -136,7 +136,8 @@ def fit(architecture: str, hp: dict, task: str, train: DataFrame, n_classes: int
 def run_search(train: DataFrame, val: DataFrame, architecture: str, task: str, n_trials: int,
                base_params: dict | None = None, n_classes: int = 2, weight: str | None = None,
                seed: int = 42, parallelism: int = 4, narrow: dict | None = None):
-    """H3: fit and score every candidate; returns ``(trials DataFrame, best params)``."""
+    """H3: fit and score every candidate; returns ``(trials DataFrame, best params)``.
+    An error of a trial ends the search with that error."""
     spark = train.sparkSession
     stats = MD.training_stats(train, weight=weight)
     cands = candidates(spark, architecture, n_trials, seed, narrow)
@@ -145,20 +146,15 @@ def run_search(train: DataFrame, val: DataFrame, architecture: str, task: str, n
         i, hp = i_hp
         params = {**(base_params or {}), **hp}
         t0 = time.time()
-        try:
-            m = fit(architecture, params, task, train, n_classes, stats, weight)
-            s = score_model(m, val, task)
-        except Exception:   # noqa: BLE001 - a failed trial has no value, as in the reference
-            s = None
-        return i, params, s, time.time() - t0
+        m = fit(architecture, params, task, train, n_classes, stats, weight)
+        return i, params, score_model(m, val, task), time.time() - t0
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         res = list(pool.map(one, enumerate(cands)))
     rows = [(i, {k: str(v) for k, v in p.items()}, s, t) for i, p, s, t in res]
     trials = spark.createDataFrame(rows, "trial long, params map<string,string>, score double, "
                                          "seconds double")
-    ok = [r for r in res if r[2] is not None]
-    best = max(ok, key=lambda r: (r[2], -r[0]))[1] if ok else {}
+    best = max(res, key=lambda r: (r[2], -r[0]))[1] if res else {}
     searched = [p[0] for p in SEARCH_SPACE.get(architecture, [])]
     return trials, {k: best[k] for k in searched if k in best}
 

@@ -29,6 +29,7 @@ from ..operators import report as RP
 from ..operators import search as SR
 from ..operators import split as SP
 from ..session import ensure_checkpoint_dir
+from ..sources import artifacts as AR
 from ..sources import experiments as EX
 
 DEFAULT_TRIALS = 10
@@ -76,7 +77,8 @@ def _write_read(df: DataFrame, path: str) -> DataFrame:
 def prepare(df: DataFrame, target: str, task: str, work_dir: str, exact: bool = True,
             balanced: bool = False) -> Prepared:
     """F16: clean, encode, split, fit features on train, transform all rows."""
-    clean = CL.clean_for_training(df, target)
+    # written once: class counts, ranks and the split all read it
+    clean = _write_read(CL.clean_for_training(df, target), f"{work_dir}/clean")
     labeled, classes_df = SP.encode_labels(clean, target, task)
     feats = [c for c in clean.columns]
     labeled = labeled.withColumn("_row_id", SP.row_hash(feats, seed=0))
@@ -147,7 +149,11 @@ def _judge_one(spark, architecture, task, metrics, train_score, val_score, hp, r
 
 def run(df: DataFrame, target: str, name: str, runs_path: str, work_dir: str | None = None,
         max_retries: int | None = None, n_trials: int | None = None, exact: bool = True,
-        parallelism: int = 4, on_step=None) -> RunResult:
+        parallelism: int = 4, on_step=None, experiment: str = "tessera",
+        log_path: str | None = None) -> RunResult:
+    """The whole loop.  Every attempt is logged under ``experiment`` in the run log at
+    ``log_path`` (by default beside the experiment table, so that runs share it); the fitted
+    features and the model are saved under ``work_dir/artifacts``."""
     spark = df.sparkSession
     ckpt = ensure_checkpoint_dir(spark)
     run_id = EX.new_run_id()
@@ -159,7 +165,8 @@ def run(df: DataFrame, target: str, name: str, runs_path: str, work_dir: str | N
     facts = an.facts
     task = facts["task_type"]
     step("analysis", facts)
-    risks = [r["message"] for r in an.findings.collect()]          # a handful of findings
+    found = an.findings.collect()                                   # a handful of findings
+    risks = [r["message"] for r in found]
 
     # memory + planner
     past = EX.read_experiments(spark, runs_path)
@@ -218,6 +225,10 @@ def run(df: DataFrame, target: str, name: str, runs_path: str, work_dir: str | N
         j = _judge_one(spark, arch, task, metrics, train_score, val_score, hp, retry,
                        budget["max_retries"])
         step("evaluation", {"metrics": metrics, "judge": j})
+        EX.log_run(spark, log_path or f"{runs_path.rstrip('/')}-log", f"{run_id}-{retry}", experiment,
+                   f"{name}_retry_{retry}", {"architecture": arch, **hp},
+                   {"val_score": val_score, "train_score": train_score,
+                    "overfit_gap": train_score - val_score, "training_time_s": train_time})
         if j["approved"] or retry >= budget["max_retries"]:
             break
         retry += 1
@@ -246,26 +257,26 @@ def run(df: DataFrame, target: str, name: str, runs_path: str, work_dir: str | N
               "best_val_loss": 1 - val_score, "training_time": train_time,
               "planner_flags": budget["risk_flags"], "analyst_risks": risks,
               "critic_reasoning": reasoning_c}
-    EX.append_experiments(EX.experiment_row(spark, record), runs_path)
-    EX.log_run(spark, f"{work_dir}/run_log", run_id, "tessera", f"{name}_retry_{retry}",
-               {"architecture": arch, **hp},
-               {"val_score": val_score, "train_score": train_score,
-                "overfit_gap": train_score - val_score, "training_time_s": train_time})
-    text = RP.render({
-        "facts": facts, "planner": budget,
-        "analysis": {"interpretation": f"Dataset has {facts['n_samples']} rows, {facts['n_features']} "
-                                       f"features, task={task}. Missing={facts['missing_ratio']:.1%}, "
-                                       f"duplicates={facts['n_duplicates']}.", "risks": risks,
-                     "recommendations": [r["recommendation"] for r in an.findings.collect()
-                                         if r["recommendation"]]},
-        "architecture": arch, "selection": {"reasoning": reasoning, "alternatives": []},
-        "hyperparams": hp, "training": {"best_val_loss": 1 - val_score, "training_time": train_time},
-        "retry_count": retry, "metrics": metrics,
-        "evaluation": {"interpretation": "", "strengths": j["strengths"],
-                       "critical_failures": j["critical_failures"]},
-        "critic": {"approved": j["approved"], "score": j["critic_score"], "reasoning": reasoning_c,
-                   "retry_strategy": j["retry_strategy"]}})
-    RP.write_report(spark, text, f"{work_dir}/report")
+    row = EX.experiment_row(spark, record)
+    EX.append_experiments(row, runs_path)
+    balance = None
+    if an.class_balance is not None:
+        balance = an.class_balance.agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col("class").cast("string").alias("c"), "share"))),
+            lambda x: F.concat(x["c"], F.lit(": "), x["share"].cast("string"))), ", ")).first()[0]
+    text = RP.run_report(row, {
+        "target": target, "class_balance": balance, "missing_ratio": float(facts["missing_ratio"]),
+        "optuna_trials": budget["optuna_trials"], "max_retries": budget["max_retries"],
+        "strategy_notes": budget["strategy_notes"],
+        "analyst_interpretation": f"Dataset has {facts['n_samples']} rows, {facts['n_features']} features, "
+                                  f"task={task}. Missing={facts['missing_ratio']:.1%}, "
+                                  f"duplicates={facts['n_duplicates']}.",
+        "analyst_recommendations": [r["recommendation"] for r in found if r["recommendation"]],
+        "selection_reasoning": reasoning, "strengths": j["strengths"],
+        "critical_failures": j["critical_failures"], "retry_strategy": j["retry_strategy"]})
+    RP.write_reports(text, f"{work_dir}/report")
+    text = text.first()["report"]
+    AR.save_artifacts(f"{work_dir}/artifacts", prep.features, model)
     step("report", {"path": f"{work_dir}/report"})
     return RunResult(run_id, facts, arch, hp, metrics, bool(j["approved"]), float(j["critic_score"]),
                      retry, text, trials_log, record)

@@ -3,7 +3,7 @@
 ``read_csv`` reads every column as a string (no ``inferSchema`` pass), turns the
 NA tokens into NULL, then decides each column's type with ONE aggregate that
 counts how many values cast cleanly to bigint / double / boolean.  The
-encoding is chosen by one short job: the first line that is not valid UTF-8.
+encoding and the need for multi-line fields are found in one pass over the lines.
 """
 
 from __future__ import annotations
@@ -26,16 +26,42 @@ def as_bigint(v: Column) -> Column:
     return F.when(v.rlike(INT_SHAPE), v.try_cast("bigint"))
 
 
+# Shape of every string Spark's ANSI cast may turn into a double: a superset, as above.
+NUMBER_SHAPE = (r"(?i)^[\x00-\x20]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?[df]?|inf|infinity|nan|0x.*)"
+                r"[\x00-\x20]*$")
+
+
+def as_double(v: Column) -> Column:
+    return F.when(v.rlike(NUMBER_SHAPE), v.try_cast("double"))
+
+
+def detect_dialect(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding and whether a quoted field holds a line end, in one pass over the lines.
+
+    UTF-8 unless some line is not valid UTF-8, then ISO-8859-1 (decodes every byte).  A line
+    with an odd number of quotes opens or closes a field that goes over a line end."""
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    r = spark.read.text(path).agg(F.max(~F.is_valid_utf8("value")), F.max(odd)).first()
+    return "ISO-8859-1" if r[0] else "UTF-8", bool(r[1])
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not valid UTF-8, then ISO-8859-1 (decodes every byte)."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    return detect_dialect(spark, path)[0]
+
 
+def read_strings(spark: SparkSession, path: str, encoding: str | None = None,
+                 multi_line: bool | None = None) -> DataFrame:
+    """Columns as strings; a quote inside a quoted field is doubled (RFC 4180, as pandas reads).
 
-def read_strings(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    enc = encoding or detect_encoding(spark, path)
-    return (spark.read.option("header", True).option("encoding", enc)
-            .option("multiLine", False).option("mode", "PERMISSIVE")
+    ``multi_line`` reads line ends inside quoted fields; such a file cannot be split, so by
+    default it is on only if the file needs it."""
+    if encoding is None or multi_line is None:
+        found = detect_dialect(spark, path)
+        encoding = encoding or found[0]
+        multi_line = found[1] if multi_line is None else multi_line
+    return (spark.read.option("header", True).option("encoding", encoding)
+            .option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
             .option("inferSchema", False).csv(path))
 
 
@@ -54,7 +80,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(cols):
         v = F.col(c)
         aggs += [F.count(v).alias(f"n{i}"), F.count(as_bigint(v)).alias(f"i{i}"),
-                 F.count(v.try_cast("double")).alias(f"d{i}"),
+                 F.count(as_double(v)).alias(f"d{i}"),
                  F.count_if(v.isin(list(BOOL_TOKENS))).alias(f"b{i}")]
     r = df.agg(*aggs).first()    # one row: 4 counts per column
     out = []
@@ -63,7 +89,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         if n and r[f"i{i}"] == n:
             out.append(as_bigint(F.col(c)).alias(c))
         elif n and r[f"d{i}"] == n:
-            out.append(F.col(c).try_cast("double").alias(c))
+            out.append(as_double(F.col(c)).alias(c))
         elif n and r[f"b{i}"] == n:
             out.append((F.lower(F.col(c)) == "true").alias(c))
         else:
@@ -78,7 +104,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
 
 def get_columns(spark: SparkSession, path: str) -> list[str]:
     """A3: header names only (no data scan beyond the first line)."""
-    return read_strings(spark, path, "UTF-8").columns
+    return read_strings(spark, path, "UTF-8", False).columns
 
 
 def validate_dataset(df: DataFrame, target: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_r2_matches_numpy(spark):
     want = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert abs(r["r2"] - round(want, EV.ND)) < 1e-9
     assert abs(r["rmse"] - round(float(np.sqrt(((y - p) ** 2).mean())), EV.ND)) < 1e-6
+
+
+def test_mixed_types_nulls_and_many_classes(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 0.0), (1, 1.0), (1, None), (None, 1.0)], "label int, prediction double")
+    m = EV.classification_metrics(df).first()
+    assert m["accuracy"] == 0.5 and m["recall_class_1"] == round(1 / 3, 4)
+    many = spark.range(20000).selectExpr("id % 10000 AS label", "(id + (id % 2)) % 10000 AS prediction")
+    assert EV.classification_metrics(many).first()["accuracy"] == 0.5

@@ -123,3 +123,38 @@ def test_regression_families_fit(spark):
         m = SR.fit(a, {"n_estimators": 20, "max_depth": 6, "alpha": 0.01}, "regression", df, 0,
                    stats, None)
         assert SR.score_model(m, df, "regression") > 0.8, a
+
+
+def test_knn_ties_zero_distances_and_repeated_ids(spark):
+    import pytest
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 16)) * 100
+    train = [(i, float(i), base[i % 40].tolist()) for i in range(200)]          # five equal rows each
+    df = spark.createDataFrame(train, "id long, label double, x array<double>").withColumn("features", array_to_vector("x"))
+    q = spark.createDataFrame([(i, base[i].tolist()) for i in range(40)], "q long, x array<double>") \
+        .withColumn("features", array_to_vector("x"))
+    model = KNN(k=3, row_id="id", task="regression", weights="distance").fit(df)
+    got = {}
+    for r in model.neighbours(q, "q").collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["neighbor"], r["distance"]))
+    assert all(sorted(v) == [(1, k, 0.0), (2, k + 40, 0.0), (3, k + 80, 0.0)] for k, v in got.items())
+    assert {r["q"]: r["prediction"] for r in model.predict(q, "q").collect()} == {k: k + 40.0 for k in range(40)}
+    with pytest.raises(ValueError):
+        model.neighbours(q.unionByName(q), "q")
+
+
+def test_weights_reach_one_vs_rest_and_unlimited_depth(spark):
+    svc = MD.build_model("LinearSVC", {}, "classification", n_classes=3, weight="weight")
+    assert svc.getWeightCol() == "weight" and svc.getClassifier().getMaxIter() == 2000
+    lgbm = [MD.build_model("LightGBMRegressor", hp, "regression").getMaxDepth() for hp in ({}, {"max_depth": -1})]
+    assert lgbm == [5, 5]
+    assert MD.build_model("RandomForest", {}, "classification").getMaxDepth() == MD.MAX_DEPTH
+
+
+def test_search_raises_the_error_of_a_trial(spark):
+    import pytest
+
+    from tessera.operators import search as SR
+    df, _, _ = _data(spark, n=60)
+    with pytest.raises(Exception):
+        SR.run_search(df, df.drop("features"), "Ridge", "regression", 2)

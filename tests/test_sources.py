@@ -79,14 +79,63 @@ def test_run_log_pivot(spark, tmpdir_path):
 
 def test_report_sink(spark, tmpdir_path):
     from tessera.operators import report as RP
-    text = RP.render({"facts": {"name": "heart", "task_type": "classification", "n_samples": 10,
-                                "n_features": 3, "target": "target"}, "metrics": {"accuracy": 0.9}})
-    assert text.startswith("# Experiment Report: heart") and "- **accuracy:** 0.9" in text
-    RP.write_report(spark, text, os.path.join(tmpdir_path, "rep"))
-    assert spark.read.text(os.path.join(tmpdir_path, "rep")).count() == len(text.split("\n"))
+    record = EX.experiment_row(spark, {"dataset_name": "heart", "task_type": "classification", "n_samples": 10,
+                                       "n_features": 3, "metrics": {"accuracy": 0.9, "a": 0.1}, "run_id": "r1",
+                                       "approved": True, "critic_score": 7.5, "is_imbalanced": False,
+                                       "planner_flags": ["one", "two"], "hyperparams": {"C": 1.0}})
+    rep = RP.run_report(record, {"target": "t", "missing_ratio": 0.125, "alternatives": [], "strengths": ["good"]})
+    text = rep.first()["report"]
+    assert text.startswith("# Experiment Report: heart") and "- **a:** 0.1\n- **accuracy:** 0.9" in text
+    assert "- **Missing ratio:** 12.5%" in text and "- **Risk flags:**\n- one\n- two" in text
+    assert "**Strengths:**\n- good" in text and "Alternatives" not in text and "- **Score:** 7.5/10" in text
+    assert "No analyst insight recorded." in text and "- **Imbalanced:** No" in text
+    RP.write_reports(rep, os.path.join(tmpdir_path, "rep"))
+    assert spark.read.text(os.path.join(tmpdir_path, "rep")).count() == len(text.split("\n")) + 1
     _ = json.dumps({})
 
 
+def test_csv_quotes_and_newlines(spark, tmpdir_path):
+    """Written by plain text, read as pandas reads it."""
+    import pandas as pd
+    path = os.path.join(tmpdir_path, "q.csv")
+    with open(path, "w") as f:
+        f.write('id,a,b\n1,"say ""hi"", ok",1.5\n2,"two\nlines",2\n3,plain,x\n4,"",1e3\n')
+    got = CS.read_csv(spark, path).orderBy("id").toPandas()
+    want = pd.read_csv(path)
+    assert got.id.tolist() == [1, 2, 3, 4] and got.a.tolist()[:3] == want.a.tolist()[:3]
+    assert got.a.isna().tolist() == want.a.isna().tolist() and got.b.tolist() == want.b.astype(str).tolist()
+
+
+def test_number_shape_guard_matches_plain_cast(spark):
+    from pyspark.sql import functions as F
+    vals = ["1", "1.", ".5", "1e5", "1E-3", "+1.5", "-.5e+2", "1d", "1.5F", "inf", "-Infinity", "NaN", "nan", " 7 ",
+            "0x1p3", "1,5", "abc", "", ".", "e5", "1e", "1996-01-01", None, "\t2\n", "infinit"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    rows = df.select(F.col("v").try_cast("double").alias("a"), CS.as_double(F.col("v")).alias("b")).collect()
+    assert [str(r["a"]) for r in rows] == [str(r["b"]) for r in rows]
+
+
+def test_every_model_kind_is_saved(spark, tmpdir_path):
+    import pytest
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tessera.operators import models as MD
+    from tessera.operators import search as SR
+    from tessera.sources import artifacts as AR
+    df = spark.range(60).select(F.col("id").alias("_row_id"), (F.col("id") % 2).cast("double").alias("label"),
+                                array_to_vector(F.array((F.col("id") % 2) * 2.0 + F.rand(1), F.rand(2))).alias("features"))
+    df = df.cache()
+    for a in ("GaussianNB", "LinearSVC", "KNN", "DecisionTree"):
+        m = MD.build_model(a, {}, "classification", stats={"n": 60, "sum_w": 60}).fit(df)
+        AR.save_model(os.path.join(tmpdir_path, a), m)
+        back = AR.load_model(os.path.join(tmpdir_path, a))
+        one, two = (sorted((r["_row_id"], r["prediction"]) for r in SR.predictions(x, df).collect()) for x in (m, back))
+        assert one == two
+    with pytest.raises(TypeError):
+        AR.save_model(os.path.join(tmpdir_path, "x"), object())
+
+
 def test_log_runs_many_matches_single(spark, tmpdir_path):
     """A10 distributed: the exploded long log pivots to the same values as one-run appends."""
     runs = spark.createDataFrame(
