@@ -179,9 +179,10 @@ def _detect_from_counts(svc: DataFrame, rows: int) -> DataFrame:
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """E1–E6 + C3 for every column: one row per column (``COLUMN_PROFILE_SCHEMA``).
 
-    Two shuffles of the input: the string value table and the numeric value
-    table.  Everything else (detection, statistics, quartiles, outliers, top
-    values) runs on those distinct-value tables.
+    The input is shuffled into two tables of distinct values, the string one and
+    the numeric one; with ``exact`` the numeric one is laid out again by range.
+    Detection, statistics, quartiles, outliers and top values run on those.
+    ``exact=False`` takes the quartiles from a sketch over the rows instead.
     """
     spark = df.sparkSession
     kinds = column_kinds(df)
@@ -220,7 +221,8 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
                      .groupBy("column", "value").agg(F.sum("n").alias("n")))
     if parts:
         raw_vc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        vc = ranks.range_layout(raw_vc, ["column"], "value")
+        vc = (ranks.range_layout(raw_vc, ["column"], "value") if exact
+              else raw_vc.persist(StorageLevel.MEMORY_AND_DISK))
         means = {}
         for r in _totals(vc).collect():                      # one row per column
             means[r["column"]] = r["mean"]
@@ -231,9 +233,10 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
         if exact:
             q = ranks.quantiles(vc, ["column"], "value", "n", list(QUARTILES), exact=True, laid_out=True)
         else:
-            longv = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                          numeric_value(df, c).alias("value"))
-                                                 for c in num_cols]))).where("value is not null")
+            values = {c: numeric_value(df, c) for c in num_cols}
+            values |= {c: NT.extract_with(pattern[c], F.col(c)).cast("double") for c in conv_cols}
+            longv = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value"))
+                                                 for c, v in values.items()]))).where("value is not null")
             q = ranks.quantiles(longv.withColumn("n", F.lit(1)), ["column"], "value", "n",
                                 list(QUARTILES), exact=False)
         qw = q.groupBy("column").agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n)

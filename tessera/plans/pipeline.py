@@ -103,7 +103,7 @@ def prepare(df: DataFrame, target: str, task: str, work_dir: str, exact: bool =
 
 def evaluate_model(model, prep: Prepared) -> tuple[dict, float, float]:
     """I-operators on the validation rows; returns (metrics, train score, val score)."""
-    pred = SR.predictions(model, prep.val)
+    pred = SR.predictions(model, prep.val).persist()      # scored once, read by every metric
     if prep.task == "classification" and "probability" not in pred.columns \
             and "rawPrediction" in pred.columns and len(prep.classes or []) > 2:
         # one-vs-rest models have no probabilities: normalised sigmoids of the margins
@@ -129,7 +129,7 @@ def evaluate_model(model, prep: Prepared) -> tuple[dict, float, float]:
         m["recall_class_1"] = m.get("recall_class_1", 0.0)
     else:
         m = EV.regression_metrics(pred, "label", "prediction").first().asDict()
-    val_score = SR.score_model(model, prep.val, prep.task)
+    val_score = m["f1_weighted"] if prep.task == "classification" else max(m["r2"], -1.0)
     train_score = SR.score_model(model, prep.train, prep.task)
     return m, train_score, val_score
 

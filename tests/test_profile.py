@@ -59,3 +59,15 @@ def test_word_count_and_text_flag(spark):
     df = spark.createDataFrame([("one two three four five",), ("a b",), (None,)], "t string")
     r = P.avg_word_counts(df).first()
     assert r["avg_words"] == 3.5 and not r["is_text"]
+
+
+def test_sketched_quartiles_cover_converted_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import profile as P
+    df = spark.range(1, 401).select(F.concat(F.col("id").cast("string"), F.lit("GB")).alias("ram"))
+    for frame in (df, df.withColumn("x", F.length("ram") * 1.0)):
+        a, b = (P.profile_columns(frame, exact=e).where("column = 'ram'").first() for e in (True, False))
+        assert a["is_converted"] and b["is_converted"]
+        assert all(abs(a[c] - b[c]) <= 1 for c in ("q25", "median", "q75", "mean") if c in a.asDict())
+        assert a["outlier_count"] == b["outlier_count"]
