@@ -102,9 +102,15 @@ def with_features(rows: DataFrame) -> DataFrame:
             .withColumn("grams", F.concat("words", ngrams(F.col("words"), 2), "three")).drop("words"))
 
 
+def _literal(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """``family, paragraph`` rows of fixed values, without a Python process."""
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("family"), F.lit(p).alias("paragraph")) for f, p in rows])))
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     """One row per template (a fixed, small number of rows)."""
-    return spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, paragraph string")
+    return _literal(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts])
 
 
 def training_rows(docs: DataFrame, id_col: str, text: str, train_documents: int) -> DataFrame:
@@ -118,8 +124,7 @@ def training_rows(docs: DataFrame, id_col: str, text: str, train_documents: int)
     lines = written(lines.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("paragraph"))) - 1),
                     "license-sample")  # bounded by train_documents
     count = max(1, lines.count())
-    notices = template_table(spark).unionByName(
-        spark.createDataFrame([(UNKNOWN, d) for d in DECOYS], "family string, paragraph string"))
+    notices = template_table(spark).unionByName(_literal(spark, [(UNKNOWN, d) for d in DECOYS]))
     v = F.col("v")
     cut = (notices.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
            .withColumn("w", F.split("paragraph", " "))
