@@ -33,8 +33,14 @@ def in_units(rows: DataFrame) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit")
 
 
+#: Rows of a unit squared, summed over the units that are worked on together.
+PAIRS_AT_ONCE = 1_000_000
+
+
 def unit_rows(batches, columns: list[str]):
-    """Tables of whole units (rows of equal unit hash, sorted), across batch borders."""
+    """Tables of whole units (rows of equal unit hash, sorted), across batch borders.
+
+    Each table has one unit or so few rows that their pairs fit in memory."""
     held = None
     for batch in batches:
         table = pa.table([batch.column(c) for c in columns], names=columns)
@@ -43,10 +49,22 @@ def unit_rows(batches, columns: list[str]):
         if not len(unit) or unit[0] == unit[-1]:
             continue
         cut = int(np.flatnonzero(unit != unit[-1])[-1]) + 1
-        yield held.slice(0, cut)
+        yield from _few_pairs(held.slice(0, cut))
         held = held.slice(cut)
     if held is not None and held.num_rows:
-        yield held
+        yield from _few_pairs(held)
+
+
+def _few_pairs(table: pa.Table):
+    unit = table.column("unit").to_numpy()
+    start = size = 0
+    border = np.r_[0, np.flatnonzero(np.diff(unit)) + 1, len(unit)]
+    for a, b in zip(border[:-1].tolist(), border[1:].tolist()):
+        if a > start and size + (b - a) ** 2 > PAIRS_AT_ONCE:
+            yield table.slice(start, a - start)
+            start, size = a, 0
+        size += (b - a) ** 2
+    yield table.slice(start)
 
 
 def pairs(unit: np.ndarray, block: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

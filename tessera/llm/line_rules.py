@@ -37,7 +37,7 @@ _END = re.compile(SENTENCE_END).search
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE))).search
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]").search
 _BARS = re.compile(r"[|>»•·/]+").fullmatch
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000
 
 
 class _Kinds(dict):

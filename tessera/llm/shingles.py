@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000
 #: Texts are worked on in groups of about so many bytes.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_000_000
 _SEEDS = np.random.Generator(np.random.PCG64(20_240_501))
 _PLACE = _SEEDS.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -69,26 +69,25 @@ def units(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[bytes]]:
 
 
 def unit_key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words), 1)
+    """First half of the unit's 128-bit hash, as a signed number."""
+    return int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True)
 
 
 def _banded(texts: list[bytes]):
     """Arrays of row, start, stop, words, key and band for the units of many texts."""
-    row, span, every, offset, key, exact = [], [], [], 0, [], []
+    row, span, every, digest = [], [], [], []
     for n, text in enumerate(texts):
         found, words = units(text)
+        offset = len(every)
         for start, stop, a, b in found:
-            row.append(n)
             span.append((start, stop, a + offset, b + offset))
-            joined = b" ".join(words[a:b])
-            key.append(xxhash.xxh3_64_intdigest(joined, 1))
-            exact.append(xxhash.xxh3_64_intdigest(joined, 2))
+            digest.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])))
+        row.append(len(found))
         every += words
-        offset += len(words)
-    if not row:
+    if not span:
         return [np.empty(0, np.int64)] * 6
-    row, span = np.array(row), np.array(span)
-    key, exact = np.array(key, np.uint64), np.array(exact, np.uint64)
+    row, span = np.repeat(np.arange(len(texts)), row), np.array(span)
+    key, exact = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2).T
     size = span[:, 3] - span[:, 2]
     many = np.flatnonzero(size - SHINGLE + 1 >= LEAST_SHINGLES)
     few = np.flatnonzero(size - SHINGLE + 1 < LEAST_SHINGLES)
@@ -133,7 +132,7 @@ def _unit_words(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> D
             for text_, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist()):
                 for place in at:
                     words = (text_ or b"")[place["start"]:place["stop"]].split()
-                    if np.uint64(unit_key(words)).view(np.int64) == place["key"]:
+                    if unit_key(words) == place["key"]:
                         keys.append(place["key"])
                         found.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())],
@@ -227,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 old, parts, at = texts[n].encode(), [], 0
                 for place in sorted(cut, key=lambda c: c["start"]):
                     unit = old[place["start"]:place["stop"]]
-                    if place["start"] >= at and np.uint64(unit_key(unit.split())).view(np.int64) == place["key"]:
+                    if place["start"] >= at and unit_key(unit.split()) == place["key"]:
                         parts.append(old[at:place["start"]])
                         at = place["stop"]
                 if not parts:

@@ -36,7 +36,7 @@ from tessera.llm import shingles
 BUCKETS = 1 << 15
 #: The first buckets hold measures of the whole text, see ``Words.measures``.
 MEASURES = ("symbol", "capital", "bar", "shout", "repeated", "windows", "lines", "letters")
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 
 #: name: (measure, bad from here on, good up to here); votes nothing in between.
 #: Reversed bounds (bad below, good above) where the measure falls with bad texts.
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality
     return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.4,
+def classify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.3,
              train_rows: int = 10_000) -> DataFrame:
     """``doc_id, quality, kept`` of every document."""
     model = fit(docs, id_col, text, train_rows=train_rows)
@@ -289,7 +289,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, thr
     return rated.select("doc_id", "quality", (F.col("quality") >= threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.4,
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.3,
               train_rows: int = 10_000) -> DataFrame:
     """The documents that the classifier does not reject, with their columns unchanged."""
     model = fit(docs, id_col, text, train_rows=train_rows)
