@@ -156,7 +156,7 @@ def default_architecture(task: Column, n_samples: Column, xgboost: bool = False,
 
 
 def evaluation_findings(runs: DataFrame) -> DataFrame:
-    """``strengths`` and ``critical_failures`` arrays plus an interpretation sentence."""
+    """``strengths`` and ``critical_failures`` arrays and the ``interpretation`` sentence."""
     is_reg = F.col("task_type") == "regression"
     acc = F.coalesce(F.col("accuracy"), F.lit(0.0))
     f1 = F.coalesce(F.col("f1_weighted"), F.lit(0.0))
@@ -164,8 +164,17 @@ def evaluation_findings(runs: DataFrame) -> DataFrame:
     rec = F.coalesce(F.col("recall_class_1"), F.lit(0.0)) if "recall_class_1" in runs.columns \
         else F.lit(0.0)
     r2 = F.coalesce(F.col("r2"), F.lit(0.0))
-    pct1 = lambda x: F.concat(F.format_string("%.1f", x * 100), F.lit("%"))
-    n2 = lambda x: F.format_string("%.2f", x)
+    dec = lambda x, n: F.round(x, n).cast(f"decimal(18,{n})").cast("string")  # noqa: E731  half up
+    pct1 = lambda x: F.concat(dec(x.cast("decimal(18,6)") * 100, 1), F.lit("%"))
+    n2 = lambda x: dec(x.cast("decimal(18,6)"), 2)
+    extra = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in runs.columns else F.lit(0.0)
+    # The wording of strengths, failures and the interpretation.
+    ends = F.concat(F.when(F.col("is_overfit"), F.lit(" Overfitting detected.")).otherwise(F.lit("")),
+                    F.when(F.col("passed"), F.lit(" Passed threshold.")).otherwise(F.lit(" Did not pass threshold.")))
+    said = F.when(is_reg, F.concat(F.lit("Regression model: R2="), n2(r2), F.lit(", RMSE="), n2(extra("rmse")),
+                                   F.lit(", MAE="), n2(extra("mae")), F.lit("."), ends)).otherwise(
+        F.concat(F.lit("Model achieved "), pct1(acc), F.lit(" accuracy and "), n2(f1), F.lit(" weighted F1."),
+                 F.when(auc != 0, F.concat(F.lit(" ROC-AUC="), n2(auc), F.lit("."))).otherwise(F.lit("")), ends))
     cs = F.array(
         F.when(acc >= 0.75, F.concat(F.lit("Accuracy "), pct1(acc), F.lit(" is above 75% baseline."))),
         F.when(f1 >= 0.70, F.concat(F.lit("Weighted F1 "), n2(f1), F.lit(" shows balanced class performance."))),
@@ -182,5 +191,6 @@ def evaluation_findings(runs: DataFrame) -> DataFrame:
         F.when(r2 < 0.50, F.concat(F.lit("R2="), n2(r2), F.lit(" is below acceptable threshold of 0.50."))),
         F.when(F.col("is_overfit"), F.lit("Train/val score gap exceeds model-specific threshold.")))
     nn = lambda a: F.filter(a, lambda x: x.isNotNull())
-    return runs.withColumn("strengths", F.when(is_reg, nn(rs)).otherwise(nn(cs))) \
+    return runs.withColumn("interpretation", said) \
+               .withColumn("strengths", F.when(is_reg, nn(rs)).otherwise(nn(cs))) \
                .withColumn("critical_failures", F.when(is_reg, nn(rf)).otherwise(nn(cf)))

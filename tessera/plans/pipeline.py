@@ -139,9 +139,11 @@ def _judge_one(spark, architecture, task, metrics, train_score, val_score, hp, r
     row = spark.createDataFrame(
         [(architecture, task, float(train_score), float(val_score), metrics.get("accuracy"),
           metrics.get("f1_weighted"), metrics.get("roc_auc"), metrics.get("r2"),
-          metrics.get("recall_class_1"), {k: str(v) for k, v in hp.items()}, retry_count, max_retries)],
+          metrics.get("recall_class_1"), metrics.get("rmse"), metrics.get("mae"),
+          {k: str(v) for k, v in hp.items()}, retry_count, max_retries)],
         "architecture string, task_type string, train_score double, val_score double, "
         "accuracy double, f1_weighted double, roc_auc double, r2 double, recall_class_1 double, "
+        "rmse double, mae double, "
         "hyperparams map<string,string>, retry_count int, max_retries int")
     judged = DC.evaluation_findings(DC.retry_params(DC.judge(row)))
     return judged.first().asDict()
@@ -272,7 +274,7 @@ def run(df: DataFrame, target: str, name: str, runs_path: str, work_dir: str | N
                                   f"task={task}. Missing={facts['missing_ratio']:.1%}, "
                                   f"duplicates={facts['n_duplicates']}.",
         "analyst_recommendations": [r["recommendation"] for r in found if r["recommendation"]],
-        "selection_reasoning": reasoning, "strengths": j["strengths"],
+        "selection_reasoning": reasoning, "interpretation": j["interpretation"], "strengths": j["strengths"],
         "critical_failures": j["critical_failures"], "retry_strategy": j["retry_strategy"]})
     RP.write_reports(text, f"{work_dir}/report")
     text = text.first()["report"]
