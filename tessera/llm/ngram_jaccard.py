@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     about = about.join(least_of, "root").select(
         "key", F.col("first.doc_id").alias("class_id"), "head",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "text_hash", "key").join(about, "key", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("key"))      # a null id is in no class
+    out = rows.select("doc_id", "text_hash", own.alias("key")).join(about, "key", "left")
     return out.select(
         "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("head.doc_id", "doc_id").alias("component_id"),

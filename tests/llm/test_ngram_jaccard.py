@@ -69,7 +69,7 @@ def test_equals_brute_force(docs):
 
 
 def test_small_blocks_and_null_ids_and_repeats(docs):
-    rows = corpus(4) + [(None, "n n n n n n"), (None, None), (7, None), (8, "a b"), (8, "a b")]
+    rows = corpus(4) + [(None, "a b"), (None, None), (7, None), (8, "a b"), (8, "a b")]
     found = near_duplicates(docs(rows), block_rows=8)
     assert result(found) == brute(rows)
     assert [(r.class_id, r.n_links) for r in found.collect() if r.doc_id is None] == [(None, 0)] * 2
