@@ -980,12 +980,6 @@ def q_column_summary(spark, sf):
         "top_values", F.array_join("top_values", "|"))
 
 
-@register("column_view")
-def q_column_view(spark, sf):
-    """One formatted line per column of lineitem."""
-    return AN.column_view(P.profile_columns(lineitem_nulls(spark, sf)))
-
-
 def _n2(x):
     return f"CAST(CAST(round(CAST({x} AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR)"
 
@@ -1032,23 +1026,96 @@ def q_evaluation_findings(spark, sf):
     return s.unionByName(f).unionByName(i)
 
 
-@register("run_reports")
+def _lines(*parts):
+    return "concat_ws(chr(10), " + ", ".join(parts) + ")"
+
+
+def _bullet_list(label, *items):
+    """A label and its bullets, NULL without any item (the items are SQL texts or NULL)."""
+    text = _lines(*[f"'- ' || ({i})" for i in items])
+    return f"CASE WHEN {text} <> '' THEN '{label}' || chr(10) || {text} END"
+
+
+_STRENGTHS = [
+    f"CASE WHEN NOT reg AND acc >= 0.75 THEN 'Accuracy ' || {_p1('acc')} || ' is above 75% baseline.' END",
+    f"CASE WHEN NOT reg AND f1 >= 0.70 THEN 'Weighted F1 ' || {_n2('f1')} || ' shows balanced class performance.' END",
+    f"CASE WHEN NOT reg AND auc >= 0.80 THEN 'ROC-AUC ' || {_n2('auc')} || ' shows strong discrimination ability.' END",
+    f"CASE WHEN reg AND v2 >= 0.75 THEN 'R2=' || {_n2('v2')} || ' indicates strong predictive power.' "
+    f"WHEN reg AND v2 >= 0.50 THEN 'R2=' || {_n2('v2')} || ' is acceptable with room to improve.' END"]
+_FAILURES = [
+    "CASE WHEN NOT reg THEN 'Recall on positive class is 0.0% — many true positives are being missed.' END",
+    f"CASE WHEN reg AND v2 < 0.50 THEN 'R2=' || {_n2('v2')} || ' is below acceptable threshold of 0.50.' END",
+    "CASE WHEN is_overfit THEN CASE WHEN reg THEN 'Train/val score gap exceeds model-specific threshold.' "
+    "ELSE 'Train/val score gap exceeds threshold — model may not generalise well.' END END",
+    "CASE WHEN NOT reg AND NOT passed THEN 'Model did not meet minimum quality threshold.' END"]
+
+
+@register("run_reports", f"""
+WITH j AS ({JUDGE_SQL}), r AS {RUNS_SQL},
+v AS (SELECT r.*, j.* EXCLUDE (run_id), task_type = 'regression' AS reg, coalesce(accuracy, 0) AS acc,
+             coalesce(f1_weighted, 0) AS f1, coalesce(roc_auc, 0) AS auc, coalesce(r2, 0) AS v2
+      FROM r JOIN j USING (run_id))
+SELECT run_id, md5({_lines(
+    "'# Experiment Report: ' || dataset_name",
+    "'*Created: ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '*'", "''", "'## Dataset Summary'",
+    "'- **File:** ' || dataset_name",
+    "'- **Task:** ' || upper(substr(task_type, 1, 1)) || substr(task_type, 2)",
+    "'- **Rows:** ' || (100 * min_samples_leaf)", "'- **Features:** ' || max_depth", "'- **Imbalanced:** No'",
+    "''", "'## Planner Strategy'", "'- **Max retries:** ' || max_retries",
+    "'- **Risk flags:**' || chr(10) || '- first' || chr(10) || '- second'",
+    "''", "'## Data Analysis'", "'No analyst insight recorded.'",
+    "''", "'## Model Selection'", "'- **Architecture:** ' || architecture",
+    "''", "'## Training'",
+    """'- **Final hyperparameters:** `{"max_depth":"' || max_depth || '","n_estimators":"' || n_estimators || '"}`'""",
+    "'- **Best validation loss:** ' || printf('%.4f', round(1 - val_score, 4))",
+    "'- **Retry count:** ' || retry_count",
+    "''", "'## Results'",
+    "CASE WHEN reg THEN '- **r2:** ' ELSE '- **accuracy:** ' END || CAST(val_score AS VARCHAR)",
+    f"""'**Interpretation:** ' || CASE WHEN reg
+        THEN 'Regression model: R2=' || {_n2('v2')} || ', RMSE=0.00, MAE=0.00.' || {_ENDS}
+        ELSE 'Model achieved ' || {_p1('acc')} || ' accuracy and ' || {_n2('f1')} || ' weighted F1.'
+             || CASE WHEN auc <> 0 THEN ' ROC-AUC=' || {_n2('auc')} || '.' ELSE '' END || {_ENDS} END""",
+    _bullet_list("**Strengths:**", *_STRENGTHS), _bullet_list("**Critical failures:**", *_FAILURES),
+    "''", "'## Critic Decision'",
+    "'- **Status:** ' || CASE WHEN approved THEN 'Approved' ELSE 'Not approved' END",
+    "'- **Score:** ' || CAST(critic_score AS VARCHAR) || '/10'", "'- **Reasoning:** ' || architecture",
+    "''", "'*Report generated by tessera*'")}) AS report_md5 FROM v""")
 def q_run_reports(spark, sf):
-    """L1: one Markdown report per synthetic run (Spark projection, no driver gathering)."""
-    runs = DC.judge(runs_table(spark, sf))
+    """L1: one Markdown report per synthetic run (Spark projection), shown by its md5."""
+    runs = DC.evaluation_findings(DC.judge(runs_table(spark, sf)))
+    hp = F.col("hyperparams")
     exp = runs.select(
-        "run_id", "created_at", "dataset_name", "task_type", F.lit(None).cast("long").alias("n_samples"),
-        F.lit(None).cast("long").alias("n_features"), F.lit(False).alias("is_imbalanced"),
-        "architecture", "hyperparams",
+        "run_id", "created_at", "dataset_name", "task_type",
+        (100 * hp["min_samples_leaf"].cast("long")).alias("n_samples"),
+        hp["max_depth"].cast("long").alias("n_features"), F.lit(False).alias("is_imbalanced"), "max_retries",
+        F.array(F.lit("first"), F.lit("second")).alias("planner_flags"),
+        F.array().cast("array<string>").alias("analyst_risks"), "architecture",
+        F.create_map(F.lit("max_depth"), hp["max_depth"], F.lit("n_estimators"), hp["n_estimators"]).alias("hyperparams"),
+        F.round(1 - F.col("val_score"), 4).alias("best_val_loss"), "retry_count",
         F.map_filter(F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("r2"), F.col("r2")),
                      lambda k, v: v.isNotNull()).alias("metrics"),
-        "approved", "critic_score", "retry_count",
-        F.array().cast("array<string>").alias("planner_flags"),
-        F.array().cast("array<string>").alias("analyst_risks"),
-        F.col("retry_strategy").alias("critic_reasoning"))
+        "interpretation", "strengths", "critical_failures", "approved", "critic_score",
+        F.col("architecture").alias("critic_reasoning"))
     return RPT.reports(exp).select("run_id", F.md5("report").alias("report_md5"))
 
 
+_VIEW = """format('{{}} | {kind} | missing {{}}% | unique {{}} | mean {{}} | outliers {{}}', "column",
+  CAST(CAST(missing_pct AS DECIMAL(18,2)) AS VARCHAR), n_unique, {mean}, {outliers}) AS line"""
+
+
+@register("column_view", f"""
+SELECT "column", {_VIEW.format(kind='numeric', mean="coalesce(CAST(mean AS VARCHAR), '-')", outliers='outlier_count')}
+FROM ({_numeric_profile_sql(LINEITEM_NULLS_SQL, LI_NUMERIC)})
+""" + "".join(f"""UNION ALL
+SELECT "column", {_VIEW.format(kind='categorical', mean="'-'", outliers='0')}
+FROM (SELECT '{c}' AS "column", {_pct(f'count(*) - count({c})', 'count(*)')} AS missing_pct,
+             count(DISTINCT {c}) AS n_unique FROM {LINEITEM_NULLS_SQL})
+""" for c in ("l_returnflag", "l_linestatus", "l_shipdate")))
+def q_column_view(spark, sf):
+    """One formatted line per column of lineitem."""
+    return AN.column_view(P.profile_columns(lineitem_nulls(spark, sf)))
+
+
 @register("prepared_features")
 def q_prepared_features(spark, sf):
     """The fitted feature pipeline over documents ⋈ labels (numeric, one-hot,
