@@ -126,7 +126,10 @@ def roc_auc_ovr(df: DataFrame, label: str = "label", probability: str = "probabi
     both positives and negatives are left out."""
     dt = df.schema[probability].dataType
     arr = F.col(probability) if isinstance(dt, T.ArrayType) else vector_to_array(F.col(probability))
-    long = df.select(F.col(label).cast("double").alias("_y"), F.posexplode(arr).alias("k", "score"))
+    # outer: for a plain posexplode the optimizer would filter on the array's size below a
+    # repartition, that is, run the model twice
+    long = df.select(F.col(label).cast("double").alias("_y"),
+                     F.posexplode_outer(arr).alias("k", "score")).where("score IS NOT NULL")
     g = long.groupBy("k", "score").agg(
         F.sum(F.when(F.col("_y") == F.col("k"), 1).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(F.col("_y") == F.col("k"), 0).otherwise(1)).cast("double").alias("neg"))

@@ -19,7 +19,6 @@ those joins, so it also works on a stream.
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -284,7 +283,3 @@ class FeaturePipeline:
             fitted.tfidf = fit_tfidf(train, self.row_id, text_col, self.max_features,
                                      self.stop_words)
         return fitted
-
-
-def save_dir_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -11,8 +11,6 @@ threshold (``md5`` prefix as a uniform number) with approximate counts.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +25,19 @@ SEED = 42
 # task only up to this many classes; above it, shuffle joins and the distributed
 # running count (range partitions + offsets) take over.
 CLASS_TABLE_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def bounded(table: DataFrame, n_rows: int) -> DataFrame:
-    """Broadcast hint only for a table whose counted size is under the bound."""
-    return F.broadcast(table) if n_rows <= CLASS_TABLE_MAX_ROWS else table
+    """Broadcast hint only for a table whose counted rows and measured bytes are under the bounds
+    (the bytes of text columns take a pass over the table, which has one row per class)."""
+    texts = [f.name for f in table.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if n_rows > CLASS_TABLE_MAX_ROWS:
+        return table
+    size = 16 * len(table.columns) * n_rows
+    if texts:
+        size += table.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_MAX_BYTES else table
 
 
 def encode_labels(df: DataFrame, target: str, task: str = "classification",
@@ -88,27 +94,21 @@ def uniform(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(2 ** 32)
 
 
-def _approximate_mode(counts: dict, draws: int) -> dict:
-    total = sum(counts.values())
-    if total == 0:
-        return {k: 0 for k in counts}
-    cont = {k: v * draws / total for k, v in counts.items()}
-    fl = {k: math.floor(x) for k, x in cont.items()}
-    need = draws - sum(fl.values())
-    order = sorted(counts, key=lambda k: (-(cont[k] - fl[k]), k))
-    for k in order[:max(need, 0)]:
-        fl[k] += 1
-    return fl
-
+def split_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
+    """Validation rows per class: ``(_g, quota)`` from ``(_g, n)``, one row per class.
 
-def split_quotas(class_counts: dict, test_size: float = TEST_SIZE) -> dict:
-    """Validation rows per class, as scikit-learn's stratified shuffle split allocates."""
-    n = sum(class_counts.values())
-    n_test = math.ceil(test_size * n)
-    n_train = n - n_test
-    train = _approximate_mode(class_counts, n_train)
-    rest = {k: class_counts[k] - train[k] for k in class_counts}
-    return _approximate_mode(rest, n_test)
+    Training places go out by largest remainder: each class gets the whole part of its share,
+    the places left over go one each to the largest remainders (smaller class first on ties);
+    validation gets the rest.  Whole numbers throughout, ranked by Spark.
+    """
+    n = counts.agg(F.sum("n")).scalar()
+    share = counts.withColumn("_all", n).withColumn(
+        "_places", F.col("_all") - F.ceil(F.lit(test_size) * F.col("_all")).cast("long"))
+    share = (share.withColumn("_whole", F.expr("n * _places div _all"))
+             .withColumn("_part", F.col("n") * F.col("_places") - F.col("_whole") * F.col("_all")))
+    left = F.col("_places") - F.sum("_whole").over(Window.partitionBy())
+    nth = F.row_number().over(Window.orderBy(F.desc("_part"), F.asc("_g")))
+    return share.select("_g", (F.col("n") - F.col("_whole") - (nth <= left).cast("long")).alias("quota"))
 
 
 def stratified_split(df: DataFrame, label_col: str, key_cols: list[str],
@@ -119,26 +119,23 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: list[str],
     if not exact:
         return df.withColumn(split_col, F.when(uniform(h) < test_size, F.lit("val"))
                              .otherwise(F.lit("train")))
-    spark = df.sparkSession
     work = df.withColumn("_h", h)
-    counts = {r[0]: r[1] for r in work.groupBy(label_col).count().collect()}  # one row per class
-    stratify = len(counts) > 0 and min(counts.values()) >= 2
-    if stratify:
-        quotas = split_quotas(counts, test_size)
+    counts = work.groupBy(F.col(label_col).alias("_g")).agg(F.count(F.lit(1)).alias("n")).persist()
+    classes, least, rows = counts.agg(F.count(F.lit(1)), F.min("n"), F.sum("n")).first()
+    if not rows:
+        return work.drop("_h").withColumn(split_col, F.lit("train"))
+    if least >= 2:
         group = F.col(label_col)
     else:
-        quotas = {None: math.ceil(test_size * sum(counts.values()))}
         group = F.lit(None).cast(df.schema[label_col].dataType)
-    wanted = [(k, q - 1) for k, q in quotas.items() if q > 0]
-    gtype = df.schema[label_col].dataType.simpleString()
-    if not wanted:
-        return work.drop("_h").withColumn(split_col, F.lit("train"))
-    targets = spark.createDataFrame(wanted, f"_g {gtype}, pos long")
+        counts = counts.agg(F.sum("n").alias("n")).select(group.alias("_g"), "n")
+        classes = 1
+    targets = split_quotas(counts, test_size).where("quota > 0").select("_g", (F.col("quota") - 1).alias("pos"))
     weighted = work.select(group.alias("_g"), F.col("_h"), F.lit(1).cast("long").alias("_n"))
     cut = ranks.select_ranks(weighted, ["_g"], "_h", "_n", targets).select(
-        F.col("_g").alias("_cg"), F.col("_h").alias("_t"))   # one row per class: broadcast
+        F.col("_g").alias("_cg"), F.col("_h").alias("_t"))   # one row per class
     out = (work.withColumn("_g", group)
-           .join(F.broadcast(cut), on=F.col("_g").eqNullSafe(F.col("_cg")), how="left")
+           .join(bounded(cut, classes), on=F.col("_g").eqNullSafe(F.col("_cg")), how="left")
            .drop("_cg"))
     return (out.withColumn(split_col, F.when(F.col("_h") <= F.col("_t"), F.lit("val"))
                            .otherwise(F.lit("train")))

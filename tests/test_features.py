@@ -64,10 +64,11 @@ def test_split_disjoint_complete_and_stratified(spark, exact):
         assert 0.15 < share < 0.25
 
 
-def test_split_quotas_match_sklearn_allocation():
-    assert SP.split_quotas({"A": 7, "B": 3}) == {"A": 1, "B": 1}
-    q = SP.split_quotas({"x": 5, "y": 5, "z": 5})
-    assert sum(q.values()) == 3
+def test_split_quotas_match_sklearn_allocation(spark):
+    def quotas(counts):
+        return dict(map(tuple, SP.split_quotas(spark.createDataFrame(list(counts.items()), "_g string, n long")).collect()))
+    assert quotas({"A": 7, "B": 3}) == {"A": 1, "B": 1}
+    assert sum(quotas({"x": 5, "y": 5, "z": 5}).values()) == 3
 
 
 def test_label_encoding_numeric_order(spark):
