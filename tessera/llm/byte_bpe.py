@@ -31,18 +31,19 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 600_000
 #: Words of one DuckDB call; bounds what the recursive query holds.
-WORDS_PER_QUERY = 40_000
+WORDS_PER_QUERY = 25_000
 LONG_WORD_BYTES = 1024
 #: Texts are handed to DuckDB in groups of about so many characters.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 4_000_000
 NO_PAIR = 1_000_000_000
 SPACE_BESIDE_SPACE = re.compile(r"\s | \s|\A | \Z").search
 
@@ -107,7 +108,6 @@ class ByteBpe:
                               "r": pa.array(r, pa.int32())})
         self._load("vocab", {"id": pa.array(self.ranks.values(), pa.int32()),
                              "s": pa.array([t.decode("latin-1") for t in self.ranks])})
-        self.words: dict[str, tuple[str, int, bytes]] = {}
         self.clear()
 
     def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
@@ -116,11 +116,17 @@ class ByteBpe:
         self.db.unregister("incoming")
 
     def clear(self) -> None:
-        self.words.clear()
-        self.piece: dict[str, int] = {}
-        self.ids_of: list[str] = []
-        self.bytes_of: list[bytes] = []
-        self.count_of: list[int] = []
+        """Forget all pieces and words: their place, ids (decimal, spaced), decoded text, count."""
+        self.known: dict[str, int] = {}
+        self.ids_of: list[bytes] = []
+        self.text_of: list[str] = []
+        self.count_of = array("L")
+
+    def _add(self, piece: str, ids: bytes, text: str, count: int) -> None:
+        self.known[piece] = len(self.ids_of)
+        self.ids_of.append(ids)
+        self.text_of.append(piece if text == piece else text)  # one string for both
+        self.count_of.append(count)
 
     # -- words ---------------------------------------------------------------
     def _contract(self, word: bytes) -> list[int]:
@@ -173,9 +179,8 @@ class ByteBpe:
             got = self.db.sql(f"SELECT array_to_string(i.l, ' ') AS i, len(i.l)::INT AS n, t.s "
                               f"FROM ids i JOIN ({DECODE_SQL}) t ON t.d = i.w "
                               "ORDER BY i.w").to_arrow_table()
-            values = [got.column(c).to_pylist() for c in ("i", "n", "s")]
-            self.words.update(zip(some, zip(values[0], values[1],
-                                            [s.encode("latin-1") for s in values[2]])))
+            for word, ids, n, text in zip(some, *[got.column(c).to_pylist() for c in ("i", "n", "s")]):
+                self._add(word, ids.encode(), text.encode("latin-1").decode(), n)
 
     # -- texts ---------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
@@ -199,27 +204,21 @@ class ByteBpe:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces that are not in the memo."""
-        words = self.words
+        known = self.known
         split = [self.split(p) for p in pieces]
-        self._learn_words(list({w: 0 for ws in split for w in ws if w not in words}))
-        base = len(self.count_of)
-        for n, (p, ws) in enumerate(zip(pieces, split)):
-            self.piece[p] = base + n
-            if len(ws) == 1:
-                i, c, b = words[ws[0]]
-            else:
-                got = [words[w] for w in ws]
-                i, c, b = " ".join([x[0] for x in got]), sum([x[1] for x in got]), b"".join([x[2] for x in got])
-            self.ids_of.append(i)
-            self.count_of.append(c)
-            self.bytes_of.append(b)
+        self._learn_words(list({w: 0 for ws in split for w in ws if w not in known}))
+        for piece, words in zip(pieces, split):
+            if len(words) > 1:
+                at = [known[w] for w in words]
+                self._add(piece, b" ".join([self.ids_of[i] for i in at]), "".join([self.text_of[i] for i in at]),
+                          sum([self.count_of[i] for i in at]))
 
     def index(self, texts: list[str]) -> list[list[int]]:
         """For each text the memo places of its pieces, in order."""
-        if len(self.piece) > MEMO_PIECES:
+        if len(self.known) > MEMO_PIECES:
             self.clear()
         cut = [self.pieces(t) for t in texts]
-        known = self.piece
+        known = self.known
         new: dict[str, int] = {}
         for c in cut:
             new.update({p: 0 for p in c if p not in known})
@@ -229,7 +228,7 @@ class ByteBpe:
         return [list(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(" ".join([self.ids_of[i] for i in ix]).split(), np.int32)
+        return [np.array(b" ".join([self.ids_of[i] for i in ix]).decode().split(), np.int32)
                 for ix in self.index(texts)]
 
     def decode(self, ids: list) -> list[bytes]:
@@ -326,8 +325,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *,
         for s in _groups(texts):
             for ix in bpe.index(texts[s]):
                 n.append(sum([bpe.count_of[i] for i in ix]))
-                a.append(hashlib.sha256(" ".join([bpe.ids_of[i] for i in ix]).encode()).hexdigest())
-                b.append(hashlib.sha256(b"".join([bpe.bytes_of[i] for i in ix])).hexdigest())
+                a.append(hashlib.sha256(b" ".join([bpe.ids_of[i] for i in ix])).hexdigest())
+                b.append(hashlib.sha256("".join([bpe.text_of[i] for i in ix]).encode()).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
