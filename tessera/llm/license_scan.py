@@ -207,14 +207,14 @@ def classified(candidates: DataFrame, model: Model, *, threshold: float = 0.6, c
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, train_documents: int = 400,
-         threshold: float = 0.6, coverage: float = 0.6) -> DataFrame:
+         threshold: float = 0.6, coverage: float = 0.6, model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, family, families, probability, n_candidates, n_confirmed, verdict``.
 
     ``family`` is the confirmed family with the highest probability, ``families``
     all confirmed ones in order; the verdict is ``confirmed``, ``unknown``
-    (candidates, none confirmed) or ``none``.
+    (candidates, none confirmed) or ``none``.  Without a ``model`` one is fitted on ``docs``.
     """
-    model = fit(docs, id_col, text, train_documents=train_documents)
+    model = model or fit(docs, id_col, text, train_documents=train_documents)
     rows = paragraphs(docs, id_col, text)
     without = rows.where(F.size("found") == 0).select(
         "doc_id", F.lit(None).cast("string").alias("family"), F.lit("").alias("families"),

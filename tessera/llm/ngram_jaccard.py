@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sums = found.agg(*[F.coalesce(F.sum(f"found{d}"), F.lit(0)) for d in lengths],
                      F.coalesce(F.sum("total"), F.lit(0.0))).first()
     length = DEPTH
-    while length > least and sum(sums[length - least:-1]) < target_recall * sums[-1]:
-        length -= 1
+    while length > least and not sum(sums[length - least:-1]) >= target_recall * sums[-1] > 0:
+        length -= 1     # without any such pair nothing can be estimated: go to the shallowest
 
     need = found.where(F.col("deepest") >= length).join(
         classes.select("key", "copies", F.col("first.doc_id").alias("at"),

@@ -41,8 +41,8 @@ def test_held_out_and_unseen_wordings(spark, model):
     assert {(r.want, r.family if r.verdict == "confirmed" else "unknown") for r in got} == {(w, w) for _, w in want}
 
 
-def test_notices_of_the_corpus(corpus):
-    got = {r.doc_id: r for r in ls.scan(corpus).collect()}
+def test_notices_of_the_corpus(corpus, model):
+    got = {r.doc_id: r for r in ls.scan(corpus, model=model).collect()}
     forms = {"Apache": r"Licensed under the Apache License", "CC-BY-NC": r"Licensed under CC BY-NC",
              "GPL": r"licensed under the GNU General Public", "MIT": r"Released under the MIT License"}
     for r in corpus.collect():
