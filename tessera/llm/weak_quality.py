@@ -55,10 +55,29 @@ GOOD, BAD, NOTHING = 0, 1, 2
 _SYMBOL = re.compile(rb"[#*$%&|<>]").search
 
 
+_RUN = re.compile(r"(.)\1{2,}", re.S).sub
+
+
 def shape(word: str) -> str:
     """Word with letters as a/A, digits as 0, and runs cut to two."""
     out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
-    return re.sub(r"(.)\1{2,}", r"\1\1", out)
+    return _RUN(r"\1\1", out)
+
+
+def quick_shape(word: str) -> str:
+    """The same; small and capitalised words with end marks, the bulk of a text, need no look at each letter."""
+    core = word.rstrip(".,;:!?")
+    if core.isalpha() and len(word) <= 40:
+        rest = core[1:]
+        if core.islower():
+            out = "aa"[:len(core)]
+        elif core[0].isupper() and (not rest or rest.islower()):
+            out = "A" + "aa"[:len(rest)]
+        else:
+            return shape(word)
+        tail = word[len(core):]
+        return out + (_RUN(r"\1\1", tail) if len(tail) > 2 else tail)
+    return shape(word)
 
 
 class Words:
@@ -69,19 +88,22 @@ class Words:
 
     def clear(self):
         self.place: dict[bytes, int] = {}
+        self.forms: dict[str, int] = {}
         self.hash, self.bucket, self.shape = array("Q"), array("l"), array("l")
         self.flags, self.letters, self.chars = array("B"), array("l"), array("l")
 
     def learn(self, word: bytes) -> None:
         h = xxhash.xxh3_64_intdigest(word)
         text = word.decode("utf-8", "replace")
-        letters = sum(c.isalpha() for c in text)
+        form = quick_shape(text)
+        if form not in self.forms:
+            self.forms[form] = len(MEASURES) + xxhash.xxh3_64_intdigest(form.encode(), 1) % (BUCKETS - len(MEASURES))
+        letters = len(text) if text.isalpha() else sum(map(str.isalpha, text))
         upper = letters > 1 and text.upper() == text
         self.place[word] = len(self.hash)
         self.hash.append(h)
-        room = BUCKETS - len(MEASURES)
-        self.bucket.append(len(MEASURES) + h % room)
-        self.shape.append(len(MEASURES) + xxhash.xxh3_64_intdigest(shape(text).encode(), 1) % room)
+        self.bucket.append(len(MEASURES) + h % (BUCKETS - len(MEASURES)))
+        self.shape.append(self.forms[form])
         self.flags.append(bool(_SYMBOL(word)) + 2 * upper + 4 * (word == b"|") + 8 * word.endswith(b"!!"))
         self.letters.append(letters)
         self.chars.append(len(text))
