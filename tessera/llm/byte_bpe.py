@@ -38,6 +38,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tessera.llm.worker import claim
+
 MEMO_PIECES = 600_000
 #: Words of one DuckDB call; bounds what the recursive query holds.
 WORDS_PER_QUERY = 25_000
@@ -252,6 +254,7 @@ _WORKER: dict[tuple, ByteBpe] = {}
 
 def _bpe(ranks_data: bytes, pattern: str) -> ByteBpe:
     """The worker's encoder; its tables are built once per Python worker."""
+    claim("byte_bpe", _WORKER.clear)
     key = (hashlib.md5(ranks_data).digest(), pattern)
     if key not in _WORKER:
         _WORKER.clear()

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+from tessera.llm.worker import claim
+
 MEMO_WORDS = 200_000
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 2_000_000
@@ -33,6 +35,7 @@ _HASH = WordHash()
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    claim("shingles", _HASH.clear)
     return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
 
 

@@ -29,6 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.store import scratch_path
+from tessera.llm.worker import claim
 
 #: Texts are handed to the library in groups of about so many characters.
 BATCH_CHARS = 1_000_000
@@ -46,6 +47,7 @@ def version_of(data: bytes, name: str) -> str:
 
 def _counter(version: str, data: bytes, name: str):
     """The worker's function from texts to counts, loaded once per Python worker."""
+    claim("token_counts", _WORKER.clear)
     if version not in _WORKER:
         _WORKER.clear()
         if name.endswith(".json"):

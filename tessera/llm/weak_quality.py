@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import shingles
+from tessera.llm.worker import claim
 
 BUCKETS = 1 << 15
 #: The first buckets hold measures of the whole text, see ``Words.measures``.
@@ -123,6 +124,7 @@ _WORDS = Words()
 
 def _measured(texts: list[bytes]):
     """For texts that have words: row numbers, the two buckets of each word, sizes, measures."""
+    claim("weak_quality", _WORDS.clear)
     if len(_WORDS.place) > MEMO_WORDS:
         _WORDS.clear()
     split = [t.split() for t in texts]
