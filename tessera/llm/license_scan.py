@@ -3,8 +3,8 @@
 Method
 1. Paragraphs (lines) that hold none of the anchor stems are of no family; the
    others are candidates.  Every template holds an anchor.
-2. A multinomial logistic regression on sparse binary word 1- to 3-grams is
-   trained on the family templates, cut at both ends, with other numbers and
+2. A multinomial logistic regression on sparse binary word 1- to 3-grams (those
+   that occur in a template or decoy, a fixed vocabulary) is trained on the family templates, cut at both ends, with other numbers and
    between paragraphs of the corpus, against the class *unknown*: paragraphs of
    the corpus without anchors (of about ``train_documents`` documents chosen by
    a hash of their id, whatever the size of the corpus) and sentences that speak
@@ -113,6 +113,11 @@ def template_table(spark: SparkSession) -> DataFrame:
     return _literal(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts])
 
 
+def notice_table(spark: SparkSession) -> DataFrame:
+    """Templates by family and decoys as unknown (fixed values)."""
+    return template_table(spark).unionByName(_literal(spark, [(UNKNOWN, d) for d in DECOYS]))
+
+
 def training_rows(docs: DataFrame, id_col: str, text: str, train_documents: int) -> DataFrame:
     """``paragraph, family, id``: cut and embedded templates and decoys, and paragraphs of the corpus."""
     spark = docs.sparkSession
@@ -124,9 +129,8 @@ def training_rows(docs: DataFrame, id_col: str, text: str, train_documents: int)
     lines = written(lines.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("paragraph"))) - 1),
                     "license-sample")  # bounded by train_documents
     count = max(1, lines.count())
-    notices = template_table(spark).unionByName(_literal(spark, [(UNKNOWN, d) for d in DECOYS]))
     v = F.col("v")
-    cut = (notices.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
+    cut = (notice_table(spark).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
            .withColumn("w", F.split("paragraph", " "))
            .withColumn("w", F.when(F.size("w") > 7, F.slice("w", v % 3 + 1, F.size("w") - v % 3 - v % 2)
                                    ).otherwise(F.col("w")))
@@ -165,8 +169,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, train_do
                    .select("grams", label.alias("label"), (F.pmod("id", F.lit(5)) == 0).alias("held")),
                    "license-training")
     train = rows.where("NOT held")
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0,
-                                 vocabSize=1 << 16).fit(train)
+    # n-grams that no notice holds tell no family from another; without them the model stays small
+    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0).fit(
+        with_features(notice_table(docs.sparkSession)))
     regression = LogisticRegression(regParam=1e-3, maxIter=60, family="multinomial", standardization=False
                                     ).fit(vocabulary.transform(train).select("features", "label"))
     # families that the sample lacks get no score
