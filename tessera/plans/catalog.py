@@ -1138,7 +1138,7 @@ def q_feature_importances(spark, sf):
     names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
     df = VectorAssembler(inputCols=names, outputCol="features").transform(li) \
         .withColumn("label", F.col("l_extendedprice"))
-    m = MD.build_model("RandomForestRegressor", {}, "regression").fit(df)
+    m = MD.build_model("RandomForestRegressor", _family_params("RandomForestRegressor"), "regression").fit(df)
     imp = MD.feature_importances(m, names) or []
     return spark.createDataFrame(imp, "feature string, importance double")
 
@@ -1234,6 +1234,13 @@ def lineitem_price(spark, sf):
 
 
 # small ensembles keep the many fits of the check cheap; the families are what is tested
+def _family_params(architecture: str) -> dict:
+    """A point of the search space: its smallest ensemble, and for forests depth 8 (their default,
+    no limit, takes minutes per forest even on the smallest tables); other defaults hold."""
+    depth = {"max_depth": 8} if "Forest" in architecture or "ExtraTrees" in architecture else {}
+    return {"n_estimators": 50, **depth}
+
+
 def _family_scores(spark, df, task: str, archs: list[str]) -> DataFrame:
     """Fit every architecture on the train rows (in parallel Spark jobs) and score the
     validation rows (H4: weighted F1 / R² floored at −1).  Only one score per model
@@ -1244,7 +1251,7 @@ def _family_scores(spark, df, task: str, archs: list[str]) -> DataFrame:
     stats = MD.training_stats(train)
 
     def one(a):
-        m = SR.fit(a, {}, task, train, 2, stats, None)
+        m = SR.fit(a, _family_params(a), task, train, 2, stats, None)
         return a, task, round(float(SR.score_model(m, val, task)), 4)
 
     with ThreadPoolExecutor(max_workers=4) as pool:
