@@ -1228,12 +1228,12 @@ def lineitem_price(spark, sf):
     li = table(spark, sf, "lineitem")
     return VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax", "l_linenumber"],
                            outputCol="features").transform(li) \
-        .select(F.col("l_extendedprice").alias("label"), "features",
+        .select(F.monotonically_increasing_id().alias("_row_id"),   # no column is unique
+                F.col("l_extendedprice").alias("label"), "features",
                 F.when(SP.uniform(SP.row_hash(["l_orderkey", "l_linenumber"])) < 0.2, "val")
                 .otherwise("train").alias("split"))
 
 
-# small ensembles keep the many fits of the check cheap; the families are what is tested
 def _family_params(architecture: str) -> dict:
     """A point of the search space: its smallest ensemble, and for forests depth 8 (their default,
     no limit, takes minutes per forest even on the smallest tables); other defaults hold."""
