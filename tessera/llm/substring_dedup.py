@@ -16,6 +16,9 @@ Method
    a component met in two documents is kept, the others are removals.
 5. A removal takes effect only in a run of adjacent repeated units of at least
    ``min_words`` words: short common phrases and lines stay where they are.
+6. Paragraphs of ``min_words`` words or more (lines, and blocks of several lines
+   between blank lines) are banded, verified and removed whole in the same way,
+   before the units: what stands in a removed paragraph is never the one kept.
 
 Places are byte offsets into the UTF-8 text.  Defined results: null, empty and
 word-less texts have no units; rows with a null id are neither compared nor
@@ -42,17 +45,23 @@ SHINGLE, BANDS, CLOSING_WORDS = 5, 3, 4
 #: With fewer shingles than this, a similarity of 0.8 or more means equal sets.
 LEAST_SHINGLES = 4
 BLOCK_ROWS = 512
+#: Levels: units, paragraphs in another paragraph, paragraphs in no other one.
+UNIT, INNER, OUTER = 0, 1, 2
+#: Tells keys and bands of paragraphs from those of units.
+PARAGRAPH = 0x5DEECE66D1CE4E5B
 _CUT = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
 _BAND_SEED = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
-def units(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[bytes]]:
-    """``(start, stop, first word, end word)`` of each unit, and the words of the text.
+def pieces(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int, bool]], list[bytes]]:
+    """Units, paragraphs and words of a text.
 
-    A unit reaches to the start of the next one, so adjacent units touch.
+    Units and paragraphs are ``(start, stop, first word, end word)``; a paragraph
+    also says whether it stands in no other one.  A unit reaches to the start of
+    the next one, so adjacent units touch.
     """
-    out, words = [], []
-    start = at = first = 0
+    out, lines, words = [], [[]], []
+    start = at = first = line = line_first = 0
     ends = [m.end() for m in _CUT.finditer(text)]
     if not ends or ends[-1] != len(text):
         ends.append(len(text))
@@ -63,8 +72,25 @@ def units(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[bytes]]:
         if len(here) >= CLOSING_WORDS:
             out.append((start, end, first, len(words)))
             start, first = end, len(words)
+        closed = text.endswith(b"\n", 0, end)
+        if closed or end == len(text):
+            if len(words) > line_first:
+                lines[-1].append((line, end, line_first, len(words)))
+            if lines[-1] and (len(words) == line_first or text.endswith(b"\n\n", 0, end)):
+                lines.append([])
+            line, line_first = end, len(words)
     if len(words) > first:
         out.append((start, at, first, len(words)))
+    blocks = [b for b in lines if b]
+    whole = [len(blocks) > 1 and len(b) > 1 for b in blocks]
+    paragraphs = [(*x, not w) for b, w in zip(blocks, whole) for x in b]
+    paragraphs += [(b[0][0], b[-1][1], b[0][2], b[-1][3], True) for b, w in zip(blocks, whole) if w]
+    return out, paragraphs, words
+
+
+def units(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[bytes]]:
+    """``(start, stop, first word, end word)`` of each unit, and the words of the text."""
+    out, _, words = pieces(text)
     return out, words
 
 
@@ -73,38 +99,56 @@ def unit_key(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True)
 
 
-def _banded(texts: list[bytes]):
-    """Arrays of row, start, stop, words, key and band for the units of many texts."""
+def is_key(words: list[bytes], key: int) -> bool:
+    """Whether ``key`` is that of a unit or paragraph of these words."""
+    return key in ((own := unit_key(words)), own ^ PARAGRAPH)
+
+
+def _banded(texts: list[bytes], min_words: int):
+    """Arrays of row, start, stop, words, level, key and band for the units and paragraphs of many texts."""
     row, span, every, digest = [], [], [], []
     for n, text in enumerate(texts):
-        found, words = units(text)
+        found, paragraphs, words = pieces(text)
         offset = len(every)
+        before = len(span)
         for start, stop, a, b in found:
-            span.append((start, stop, a + offset, b + offset))
+            span.append((start, stop, a + offset, b + offset, UNIT))
             digest.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])))
-        row.append(len(found))
+        for start, stop, a, b, outer in paragraphs:
+            if b - a >= min_words:
+                span.append((start, stop, a + offset, b + offset, OUTER if outer else INNER))
+                digest.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])))
+        row.append(len(span) - before)
         every += words
     if not span:
-        return [np.empty(0, np.int64)] * 6
+        return [np.empty(0, np.int64)] * 7
     row, span = np.repeat(np.arange(len(texts)), row), np.array(span)
     key, exact = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2).T
-    size = span[:, 3] - span[:, 2]
+    size, level = span[:, 3] - span[:, 2], span[:, 4]
+    salt = np.where(level == UNIT, np.uint64(0), np.uint64(PARAGRAPH))
+    key, exact = key ^ salt, exact ^ salt
     many = np.flatnonzero(size - SHINGLE + 1 >= LEAST_SHINGLES)
     few = np.flatnonzero(size - SHINGLE + 1 < LEAST_SHINGLES)
     take, band = [few], [exact[few]]
     if len(many):
         win = np.r_[shingles.windows(shingles.hash_words(every), SHINGLE), np.zeros(1, np.uint64)]
-        edges = np.column_stack([span[many, 2], span[many, 3] - SHINGLE + 1]).ravel()
         for j in range(BANDS):
-            least = np.minimum.reduceat(shingles.mix(win ^ _BAND_SEED[j]), edges)[::2]
-            take.append(many)
-            band.append(shingles.mix(least + np.uint64(j)))
+            mixed = shingles.mix(win ^ _BAND_SEED[j])
+            for some in (many[level[many] == UNIT], many[level[many] == INNER], many[level[many] == OUTER]):
+                # places of one level go up, as reduceat needs them
+                some = some[np.argsort(span[some, 2], kind="stable")]
+                if len(some):
+                    edges = np.column_stack([span[some, 2], span[some, 3] - SHINGLE + 1]).ravel()
+                    least = np.minimum.reduceat(mixed, edges)[::2]
+                    take.append(some)
+                    band.append(shingles.mix(least + np.uint64(j)) ^ salt[some])
     at = np.concatenate(take)
-    return row[at], span[at, 0], span[at, 1], size[at], key[at].view(np.int64), np.concatenate(band).view(np.int64)
+    return (row[at], span[at, 0], span[at, 1], size[at], level[at], key[at].view(np.int64),
+            np.concatenate(band).view(np.int64))
 
 
-def banded_units(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(band, doc_id, start, stop, words, key)`` of every unit and band."""
+def banded_units(docs: DataFrame, id_col: str, text: str, min_words: int = 20) -> DataFrame:
+    """``(band, doc_id, start, stop, words, level, key)`` of every unit, paragraph and band."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")
                       ).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
@@ -112,13 +156,13 @@ def banded_units(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
             for part in shingles.groups(texts):
-                row, start, stop, words, key, band = _banded(texts[part])
+                row, start, stop, words, level, key, band = _banded(texts[part], min_words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(band), pa.array(ids[part][row]), pa.array(start, pa.int32()),
-                     pa.array(stop, pa.int32()), pa.array(words, pa.int32()), pa.array(key)],
-                    names=["band", "doc_id", "start", "stop", "words", "key"])
+                     pa.array(stop, pa.int32()), pa.array(words, pa.int32()), pa.array(level, pa.int8()),
+                     pa.array(key)], names=["band", "doc_id", "start", "stop", "words", "level", "key"])
 
-    return src.mapInArrow(run, "band long, doc_id long, start int, stop int, words int, key long")
+    return src.mapInArrow(run, "band long, doc_id long, start int, stop int, words int, level byte, key long")
 
 
 def _unit_words(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -132,7 +176,7 @@ def _unit_words(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> D
             for text_, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist()):
                 for place in at:
                     words = (text_ or b"")[place["start"]:place["stop"]].split()
-                    if unit_key(words) == place["key"]:
+                    if is_key(words, place["key"]):
                         keys.append(place["key"])
                         found.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())],
@@ -164,14 +208,41 @@ def _verified(work: DataFrame, threshold: float) -> DataFrame:
     return work.mapInArrow(run, "key long, other long")
 
 
+def _decided(rows: DataFrame, may_stay) -> DataFrame:
+    """Rows of components met in two documents, with the place ``first`` that stays and ``removed``.
+
+    The first row that ``may_stay`` and is not ``gone`` stays; components without one are left out.
+    """
+    place = F.struct("doc_id", "start", (-F.col("stop")).alias("end"))
+    kept = (rows.groupBy("cluster").agg(
+        F.min(F.when(~F.col("gone") & may_stay, place)).alias("first"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi AND first IS NOT NULL").drop("lo", "hi"))
+    # a paragraph in the one that stays stays with it
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") < -F.col("first.end")) & (
+        F.col("stop") > F.col("first.start"))
+    return rows.join(kept, "cluster").withColumn("removed", ~F.col("gone") & ~stays)
+
+
+def _inside(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``rows`` with ``gone``: whether a removed paragraph around the row (or across its end) takes it."""
+    ends = paragraphs.where("removed").select("doc_id", "start", "stop", "level").withColumn("_cut", F.lit(True))
+    both = rows.drop("gone").withColumn("_cut", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    key = Window.partitionBy("doc_id").orderBy("start", F.col("stop").desc(), F.col("_cut").desc())
+    before, after = key.rowsBetween(Window.unboundedPreceding, -1), key.rowsBetween(1, Window.unboundedFollowing)
+    upto = F.max(F.when(F.col("_cut"), F.col("stop"))).over(before)
+    then = F.min(F.when(F.col("_cut"), F.col("start"))).over(after)
+    gone = F.coalesce((upto > F.col("start")) | (then < F.col("stop")), F.lit(False))
+    return both.withColumn("gone", gone).where("NOT _cut").drop("_cut")
+
+
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.8,
                    min_words: int = 20) -> DataFrame:
-    """Repeated units in runs of ``min_words`` words or more.
+    """Repeated paragraphs, and repeated units in runs of ``min_words`` words or more.
 
     ``doc_id, start, stop, n_words, passage_words, kept_doc_id, kept_start, removed,
-    key``; ``removed`` is false for the one unit of its component that stays.
+    key``; ``removed`` is false for the one unit or paragraph of its component that
+    stays.  Units of a removed paragraph have no rows of their own.
     """
-    rows = banded_units(docs, id_col, text)
+    rows = banded_units(docs, id_col, text, min_words)
     shared = (rows.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
               .where("lo < hi").select("band"))
     hot = written(rows.join(shared, "band"), "repeat-bands")
@@ -184,24 +255,27 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     work = in_units(blocks.drop("at").join(words, "key"))
     root = components(written(_verified(work, threshold), "repeat-links"), "key", "other")
 
-    found = (hot.select("doc_id", "start", "stop", "words", "key").distinct()
+    found = (hot.select("doc_id", "start", "stop", "words", "level", "key").distinct()
              .join(root.withColumnRenamed("node", "key"), "key", "left")
              .withColumn("cluster", F.coalesce("root", "key")).drop("root"))
     found = written(found, "repeat-units")
-    kept = (found.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"),
-                                         F.max("doc_id").alias("hi"))
-            .where(F.col("first.doc_id") < F.col("hi")).drop("hi"))
+    large = found.where(F.col("level") > UNIT).withColumn("gone", F.lit(False))
+    outer = written(_decided(large, F.col("level") == OUTER), "repeat-paragraphs")
+    # components of paragraphs inside others only: none stays in a paragraph that goes
+    inner = large.join(outer.select("cluster").distinct(), "cluster", "left_anti").where(F.col("level") == INNER)
+    inner = _decided(_inside(inner, outer.where(F.col("level") == OUTER)), F.lit(True))
+    paragraphs = written(outer.unionByName(inner, allowMissingColumns=True), "repeat-paragraphs")
+    all_units = _decided(_inside(found.where(F.col("level") == UNIT), paragraphs), F.lit(True))
     place = Window.partitionBy("doc_id").orderBy("start", "stop")
     gap = (F.col("start") != F.coalesce(F.lag("stop").over(place), F.lit(-1))).cast("int")
     run_ = Window.partitionBy("doc_id", "run")
-    return (found.join(kept, "cluster")
-            .withColumn("gap", gap).withColumn("run", F.sum("gap").over(place))
+    some = (all_units.withColumn("gap", gap).withColumn("run", F.sum("gap").over(place))
             .withColumn("passage_words", F.sum("words").over(run_))
-            .where(F.col("passage_words") >= min_words)
-            .select("doc_id", "start", "stop", F.col("words").cast("long").alias("n_words"), "passage_words",
-                    F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
-                    ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-                     ).alias("removed"), "key"))
+            .where((F.col("passage_words") >= min_words) & ~F.col("gone")).drop("gap", "run"))
+    some = some.unionByName(paragraphs.where("NOT gone").withColumn("passage_words", F.col("words").cast("long")))
+    return some.select("doc_id", "start", "stop", F.col("words").cast("long").alias("n_words"), "passage_words",
+                       F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
+                       "removed", "key")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.8,
@@ -224,9 +298,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     keep.append(n)
                     continue
                 old, parts, at = texts[n].encode(), [], 0
-                for place in sorted(cut, key=lambda c: c["start"]):
+                for place in sorted(cut, key=lambda c: (c["start"], -c["stop"])):
                     unit = old[place["start"]:place["stop"]]
-                    if place["start"] >= at and unit_key(unit.split()) == place["key"]:
+                    if place["start"] >= at and is_key(unit.split(), place["key"]):
                         parts.append(old[at:place["start"]])
                         at = place["stop"]
                 if not parts:

@@ -109,5 +109,37 @@ def test_a_hot_unit_in_blocks(docs, monkeypatch):
     assert sorted((r.doc_id, r.start, r.removed) for r in got) == brute(rows)
 
 
+def edited(rnd, sentences):
+    """A paragraph of 15-word sentences, and a near copy with a word changed in two of them."""
+    one = [[f"w{rnd.randint(0, 30000)}" for _ in range(15)] for _ in range(sentences)]
+    two = [list(s) for s in one]
+    two[1][7], two[sentences - 2][7] = "edited", "also"
+    return tuple(" ".join(" ".join(s) + "." for s in p) for p in (one, two))
+
+
+def test_near_paragraphs_go_whole_and_nothing_else(docs):
+    rnd = random.Random(11)
+    one, two = edited(rnd, 8)
+    own = [prose(rnd, 6) for _ in range(5)]
+    wrapped = one.replace(". ", ".\n")
+    only = one.split(". ")[1] + ". " + prose(rnd, 12)        # shares what the near copy had edited
+    rows = [(1, f"{own[0]}\n{one}"), (2, f"{own[1]}\n{two}\n{own[2]}"), (3, f"{own[3]}\n\n{wrapped}\n\n{own[4]}"),
+            (4, only)]
+    got = {r.doc_id: r.text for r in remove_repeats(docs(rows)).collect()}
+    assert got[1] == rows[0][1] and got[4] == only
+    assert got[2].split("\n") == [own[1], own[2]]
+    assert [p for p in got[3].split("\n") if p] == [own[3], own[4]]
+
+
+def test_a_unit_is_not_kept_in_a_paragraph_that_goes(docs):
+    rnd = random.Random(12)
+    one, two = edited(rnd, 16)
+    long_ = " ".join(f"x{rnd.randint(0, 30000)}" for _ in range(21)) + "."
+    # document 2 adds a sentence to its near copy, which document 3 has too
+    rows = [(1, one), (2, f"{two} {long_}"), (3, f"{prose(rnd, 30)} {long_}")]
+    got = {r.doc_id: r.text for r in remove_repeats(docs(rows)).collect()}
+    assert sorted(got) == [1, 3] and long_ in got[3]
+
+
 def test_empty_table(docs):
     assert repeated_units(docs([])).collect() == [] and remove_repeats(docs([])).collect() == []
