@@ -82,7 +82,7 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents: place, kept occurrence, removal."""
-    return substring_dedup.repeated_units(documents(spark, sf_dir)).drop("key")
+    return substring_dedup.repeats(documents(spark, sf_dir)).drop("key")
 
 
 @query()

@@ -19,6 +19,12 @@ Method
 6. Paragraphs of ``min_words`` words or more (lines, and blocks of several lines
    between blank lines) are banded, verified and removed whole in the same way,
    before the units: what stands in a removed paragraph is never the one kept.
+7. Exact passages wherever they begin and end: runs of words are chosen by their
+   content (winnowing: the least hash of every few adjacent runs), so that every
+   passage of ``min_words`` words that two documents share has a chosen run in
+   common, with or without sentence marks.  Each is compared word by word with
+   the first copy on both sides; what touches is one passage.  Words go only for
+   an equal place before them that no paragraph or unit takes.
 
 Places are byte offsets into the UTF-8 text.  Defined results: null, empty and
 word-less texts have no units; rows with a null id are neither compared nor
@@ -50,6 +56,7 @@ UNIT, INNER, OUTER = 0, 1, 2
 #: Tells keys and bands of paragraphs from those of units.
 PARAGRAPH = 0x5DEECE66D1CE4E5B
 _CUT = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
+_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+[ \t]*")
 _BAND_SEED = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
@@ -224,7 +231,7 @@ def _decided(rows: DataFrame, may_stay) -> DataFrame:
 
 def _inside(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """``rows`` with ``gone``: whether a removed paragraph around the row (or across its end) takes it."""
-    ends = paragraphs.where("removed").select("doc_id", "start", "stop", "level").withColumn("_cut", F.lit(True))
+    ends = paragraphs.where("removed").select("doc_id", "start", "stop").withColumn("_cut", F.lit(True))
     both = rows.drop("gone").withColumn("_cut", F.lit(False)).unionByName(ends, allowMissingColumns=True)
     key = Window.partitionBy("doc_id").orderBy("start", F.col("stop").desc(), F.col("_cut").desc())
     before, after = key.rowsBetween(Window.unboundedPreceding, -1), key.rowsBetween(1, Window.unboundedFollowing)
@@ -278,20 +285,170 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                        "removed", "key")
 
 
+def _winnow(min_words: int) -> tuple[int, int]:
+    """Words of a run, and adjacent runs of which one is chosen: any ``min_words`` equal words share a choice."""
+    size = max(1, 3 * min_words // 5)
+    return size, max(1, min_words - size + 1)
+
+
+def _chosen(texts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and hash of the chosen runs of words of many texts."""
+    size, among = _winnow(min_words)
+    split = [t.split() for t in texts]
+    count = np.array([len(w) for w in split], np.int64)
+    if count.sum() < min_words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    row = np.repeat(np.arange(len(texts)), count)
+    win = shingles.windows(shingles.hash_words([w for words in split for w in words]), size)
+    # the last of the least
+    last = np.lib.stride_tricks.sliding_window_view(win, among)[:, ::-1].argmin(axis=1)
+    begin = np.arange(len(last))
+    whole = row[begin] == row[begin + among + size - 2]
+    at = np.unique((begin + among - 1 - last)[whole])
+    return row[at], at - (np.cumsum(count) - count)[row[at]], win[at]
+
+
+def chosen_runs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """``(run, doc_id, text_hash, at)``: hash and first word of the chosen runs."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
+                      F.xxhash64(text).alias("text_hash")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+    def run(batches):
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
+            hashes = batch.column("text_hash").to_numpy()
+            for part in shingles.groups(texts):
+                row, at, win = _chosen(texts[part], min_words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(win.view(np.int64)), pa.array(ids[part][row]), pa.array(hashes[part][row]),
+                     pa.array(at, pa.int32())], names=["run", "doc_id", "text_hash", "at"])
+
+    return src.mapInArrow(run, "run long, doc_id long, text_hash long, at int")
+
+
+_SIDES = ("doc_id long, text_hash long, at int, cluster long, start int, stop int, "
+          "left array<long>, left_at array<int>, right array<long>, right_at array<int>")
+
+
+def _with_sides(docs: DataFrame, runs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """Runs with their place, the hash of their words, and hashes and places of the words on both sides."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
+                      F.xxhash64(text).alias("text_hash"))
+    by_doc = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    size, among = _winnow(min_words)
+    names = [c.split()[0] for c in _SIDES.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(),
+             pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def rows_of(batch):
+        for doc, own, text_, ats in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "ats")]):
+            places = [m.span() for m in _WORD.finditer(text_)]
+            words = text_.split()
+            hashes = shingles.hash_words(words).view(np.int64)
+            starts, ends = [p[0] for p in places], [p[1] for p in places]
+            for at in ats:
+                # a passage goes on less than this to each side of its first and last chosen run
+                low, end = max(0, at - among), at + size
+                key = unit_key(words[at:end])
+                yield (doc, own, at, key, starts[at], ends[end - 1], hashes[low:at][::-1], starts[low:at][::-1],
+                       hashes[end:end + among], ends[end:end + among])
+
+    def run(batches):
+        for batch in batches:
+            some = []
+            for row in rows_of(batch):
+                some.append(row)
+                if len(some) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
+                    some = []
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
+
+    return src.join(by_doc, ["doc_id", "text_hash"]).mapInArrow(run, _SIDES)
+
+
+def _alike(a: str, b: str):
+    """Number of equal values at the start of two arrays."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    other = F.array_position(same, False)
+    return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
+
+
+def _touching(spans: DataFrame, *more) -> DataFrame:
+    """Spans of words that overlap or touch as one: ``doc_id, text_hash, start, stop, passage_words``."""
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("a", "b")
+    new = (F.col("a") > F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    return (spans.withColumn("_new", new.cast("int")).withColumn("_passage", F.sum("_new").over(order))
+            .groupBy("doc_id", "text_hash", "_passage")
+            .agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
+                 (F.max("b") - F.min("a")).cast("long").alias("passage_words"), *more).drop("_passage"))
+
+
+def repeated_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text", *,
+                      min_words: int = 20) -> DataFrame:
+    """Exact repeats of ``min_words`` words or more, in the columns of ``repeated_units``.
+
+    ``found`` are the repeated units.  A passage is one row with the hash of its
+    document's text as key; its copy that stays is a row too.
+    """
+    rows = written(chosen_runs(docs, id_col, text, min_words), "repeat-chosen")
+    shared = (rows.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+              .where("lo < hi").select("run"))
+    size, _ = _winnow(min_words)
+    runs = _with_sides(docs, rows.join(shared, "run"), id_col, text, min_words)
+    runs = written(_inside(runs, found.where("removed")), "repeat-runs")
+    first = F.struct("doc_id", "start", "text_hash", "at", "stop", "left", "left_at", "right", "right_at")
+    kept = (runs.groupBy("cluster").agg(F.min(F.when(~F.col("gone"), first)).alias("first"),
+                                        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+            .where("lo < hi AND first IS NOT NULL").select("cluster", "first"))
+    later = F.struct("doc_id", "start", "text_hash") > F.struct("first.doc_id", "first.start", "first.text_hash")
+    pairs_ = (runs.join(kept, "cluster").where(later)
+              .withColumn("l", _alike("left", "first.left")).withColumn("r", _alike("right", "first.right")))
+
+    def edge(place, at, n):
+        return F.when(F.col(n) > 0, F.get(at, F.col(n) - 1)).otherwise(F.col(place))
+
+    spans = pairs_.select(
+        "doc_id", "text_hash", edge("start", "left_at", "l").alias("start"), edge("stop", "right_at", "r").alias("stop"),
+        (F.col("at") - F.col("l")).alias("a"), (F.col("at") + size + F.col("r")).alias("b"),
+        F.struct("at", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"),
+                 edge("first.start", "first.left_at", "l").alias("start"),
+                 edge("first.stop", "first.right_at", "r").alias("stop"),
+                 (F.col("first.at") - F.col("l")).alias("a"),
+                 (F.col("first.at") + size + F.col("r")).alias("b")).alias("from"))
+    gone = written(_touching(spans, F.min("from").alias("first"), F.collect_set("from").alias("every"))
+                   .where(F.col("passage_words") >= min_words), "repeat-passages")
+    stay = _touching(gone.select(F.inline("every")).drop("at").distinct())
+    return (gone.select("doc_id", "start", "stop", F.col("passage_words").alias("n_words"), "passage_words",
+                        F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
+                        F.lit(True).alias("removed"), F.col("text_hash").alias("key"))
+            .unionByName(stay.select("doc_id", "start", "stop", F.col("passage_words").alias("n_words"), "passage_words",
+                                     F.col("doc_id").alias("kept_doc_id"), F.col("start").alias("kept_start"),
+                                     F.lit(False).alias("removed"), F.col("text_hash").alias("key"))))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.8,
+            min_words: int = 20) -> DataFrame:
+    """Repeated paragraphs and units, and the exact passages that reach beyond them."""
+    found = written(repeated_units(docs, id_col, text, threshold=threshold, min_words=min_words), "repeat-found")
+    return found.unionByName(repeated_passages(docs, found, id_col, text, min_words=min_words))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.8,
                    min_words: int = 20) -> DataFrame:
-    """``docs`` without the removed units; a document of which no word is left goes."""
-    found = repeated_units(docs, id_col, text, threshold=threshold, min_words=min_words)
+    """``docs`` without the removed paragraphs, units and passages; a document of which no word is left goes."""
+    found = repeats(docs, id_col, text, threshold=threshold, min_words=min_words)
     spans = (found.where("removed").groupBy(F.col("doc_id").alias("_cut_id"))
              .agg(F.collect_list(F.struct("start", "stop", "key")).alias("_cut")))
-    here = docs.withColumn("_id", F.col(id_col).cast("long"))
+    here = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
     schema, names = docs.schema, docs.columns
     joined = (here.where("_id IS NOT NULL").join(spans, F.col("_id") == F.col("_cut_id"), "left")
-              .select(*docs.columns, "_cut"))
+              .select(*docs.columns, "_cut", "_hash"))
 
     def run(batches):
         for batch in batches:
             texts, cuts = batch.column(text).to_pylist(), batch.column("_cut").to_pylist()
+            hashes = batch.column("_hash").to_pylist()
             keep = []
             for n, cut in enumerate(cuts):
                 if not cut or texts[n] is None:
@@ -299,9 +456,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     continue
                 old, parts, at = texts[n].encode(), [], 0
                 for place in sorted(cut, key=lambda c: (c["start"], -c["stop"])):
-                    unit = old[place["start"]:place["stop"]]
-                    if place["start"] >= at and is_key(unit.split(), place["key"]):
-                        parts.append(old[at:place["start"]])
+                    if place["stop"] > at and (place["key"] == hashes[n]
+                                               or is_key(old[place["start"]:place["stop"]].split(), place["key"])):
+                        parts.append(old[at:max(at, place["start"])])
                         at = place["stop"]
                 if not parts:
                     keep.append(n)

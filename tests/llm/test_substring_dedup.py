@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from tessera.llm.substring_dedup import remove_repeats, repeated_units, unit_key, units
+from tessera.llm.substring_dedup import remove_repeats, repeated_units, repeats, unit_key, units
 
 
 def sentence(rnd, n):
@@ -141,5 +141,24 @@ def test_a_unit_is_not_kept_in_a_paragraph_that_goes(docs):
     assert sorted(got) == [1, 3] and long_ in got[3]
 
 
+def test_exact_passages_go_to_the_word(docs):
+    rnd = random.Random(13)
+    def some(n):
+        return " ".join(f"w{rnd.randint(0, 30000)}" for _ in range(n))
+    plain = [some(n) for n in (20, 27, 55)]                   # no marks inside
+    marked = f"{some(9)}. {some(12)}? {some(14)}"
+    rows, want = [], {}
+    for k, p in enumerate([*plain, marked]):
+        for d in range(3):
+            head, tail = some(30 + d), some(31 + k)
+            rows.append((10 * k + d, f"{head} {p} {tail}."))
+            want[10 * k + d] = rows[-1][1] if d == 0 else f"{head} {tail}."
+    rows.append((90, f"{some(40)} {' '.join(plain[2].split()[:19])} {some(40)}"))    # too short
+    want[90] = rows[-1][1]
+    assert {r.doc_id: r.text for r in remove_repeats(docs(rows)).collect()} == want
+    got = [r for r in repeats(docs(rows)).collect() if r.doc_id // 10 == 2 and r.n_words == 55]
+    assert sorted((r.doc_id, r.removed, r.kept_doc_id) for r in got) == [(20, False, 20), (21, True, 20), (22, True, 20)]
+
+
 def test_empty_table(docs):
     assert repeated_units(docs([])).collect() == [] and remove_repeats(docs([])).collect() == []
