@@ -291,42 +291,71 @@ def _winnow(min_words: int) -> tuple[int, int]:
     return size, max(1, min_words - size + 1)
 
 
-def _chosen(texts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word and hash of the chosen runs of words of many texts."""
+def _cut_words(text: bytes, cuts: list) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """Words of a text, and the first and end words of the parts that found rows remove."""
+    words, parts, at = [], [], 0
+    for cut in sorted(cuts or [], key=lambda c: (c["start"], -c["stop"])):
+        if cut["stop"] > at and is_key(text[cut["start"]:cut["stop"]].split(), cut["key"]):
+            words += text[at:max(at, cut["start"])].split()
+            first = len(words)
+            words += text[max(at, cut["start"]):cut["stop"]].split()
+            at = cut["stop"]
+            if parts and parts[-1][1] == first:
+                first = parts.pop()[0]
+            parts.append((first, len(words)))
+    words += text[at:].split()
+    return words, parts
+
+
+def _chosen(texts: list[bytes], cuts: list, min_words: int):
+    """Row, first word, hash and ``gone`` of the chosen runs of words of many texts.
+
+    ``gone`` runs touch what found rows remove; those more than ``min_words`` deep in it are left out.
+    """
     size, among = _winnow(min_words)
-    split = [t.split() for t in texts]
-    count = np.array([len(w) for w in split], np.int64)
+    split = [_cut_words(t, c) for t, c in zip(texts, cuts)]
+    count = np.array([len(w) for w, _ in split], np.int64)
     if count.sum() < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    row = np.repeat(np.arange(len(texts)), count)
-    win = shingles.windows(shingles.hash_words([w for words in split for w in words]), size)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+    row, offset = np.repeat(np.arange(len(texts)), count), np.cumsum(count) - count
+    win = shingles.windows(shingles.hash_words([w for words, _ in split for w in words]), size)
     # the last of the least
     last = np.lib.stride_tricks.sliding_window_view(win, among)[:, ::-1].argmin(axis=1)
     begin = np.arange(len(last))
     whole = row[begin] == row[begin + among + size - 2]
+    touched, deep = np.zeros(len(row), bool), np.zeros(len(row), bool)
+    for o, (_, parts) in zip(offset.tolist(), split):
+        for a, b in parts:
+            touched[max(o, o + a - size + 1):o + b] = True
+            if b - a >= 2 * min_words + size:
+                deep[o + a + min_words:o + b - min_words - size + 1] = True
     at = np.unique((begin + among - 1 - last)[whole])
-    return row[at], at - (np.cumsum(count) - count)[row[at]], win[at]
+    at = at[~deep[at]]
+    return row[at], at - offset[row[at]], win[at], touched[at]
 
 
-def chosen_runs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``(run, doc_id, text_hash, at)``: hash and first word of the chosen runs."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
-                      F.xxhash64(text).alias("text_hash")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+def chosen_runs(docs: DataFrame, found: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """``(run, doc_id, text_hash, at, gone)``: hash and first word of the chosen runs."""
+    cuts = (found.where("removed").groupBy(F.col("doc_id").alias("_cut_id"))
+            .agg(F.collect_list(F.struct("start", "stop", "key")).alias("cut")))
+    src = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
+                       F.xxhash64(text).alias("text_hash")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+           .join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").select("doc_id", "text", "text_hash", "cut"))
 
     def run(batches):
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
-            hashes = batch.column("text_hash").to_numpy()
+            hashes, cut = batch.column("text_hash").to_numpy(), batch.column("cut").to_pylist()
             for part in shingles.groups(texts):
-                row, at, win = _chosen(texts[part], min_words)
+                row, at, win, gone = _chosen(texts[part], cut[part], min_words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(win.view(np.int64)), pa.array(ids[part][row]), pa.array(hashes[part][row]),
-                     pa.array(at, pa.int32())], names=["run", "doc_id", "text_hash", "at"])
+                     pa.array(at, pa.int32()), pa.array(gone)], names=["run", "doc_id", "text_hash", "at", "gone"])
 
-    return src.mapInArrow(run, "run long, doc_id long, text_hash long, at int")
+    return src.mapInArrow(run, "run long, doc_id long, text_hash long, at int, gone boolean")
 
 
-_SIDES = ("doc_id long, text_hash long, at int, cluster long, start int, stop int, "
+_SIDES = ("doc_id long, text_hash long, at int, gone boolean, cluster long, start int, stop int, "
           "left array<long>, left_at array<int>, right array<long>, right_at array<int>")
 
 
@@ -334,10 +363,10 @@ def _with_sides(docs: DataFrame, runs: DataFrame, id_col: str, text: str, min_wo
     """Runs with their place, the hash of their words, and hashes and places of the words on both sides."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
                       F.xxhash64(text).alias("text_hash"))
-    by_doc = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    by_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "gone")).alias("ats"))
     size, among = _winnow(min_words)
     names = [c.split()[0] for c in _SIDES.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(),
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(),
              pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def rows_of(batch):
@@ -346,11 +375,11 @@ def _with_sides(docs: DataFrame, runs: DataFrame, id_col: str, text: str, min_wo
             words = text_.split()
             hashes = shingles.hash_words(words).view(np.int64)
             starts, ends = [p[0] for p in places], [p[1] for p in places]
-            for at in ats:
+            for at, gone in [(x["at"], x["gone"]) for x in ats]:
                 # a passage goes on less than this to each side of its first and last chosen run
                 low, end = max(0, at - among), at + size
                 key = unit_key(words[at:end])
-                yield (doc, own, at, key, starts[at], ends[end - 1], hashes[low:at][::-1], starts[low:at][::-1],
+                yield (doc, own, at, gone, key, starts[at], ends[end - 1], hashes[low:at][::-1], starts[low:at][::-1],
                        hashes[end:end + among], ends[end:end + among])
 
     def run(batches):
@@ -391,12 +420,12 @@ def repeated_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     ``found`` are the repeated units.  A passage is one row with the hash of its
     document's text as key; its copy that stays is a row too.
     """
-    rows = written(chosen_runs(docs, id_col, text, min_words), "repeat-chosen")
+    rows = written(chosen_runs(docs, found, id_col, text, min_words), "repeat-chosen")
     shared = (rows.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
               .where("lo < hi").select("run"))
     size, _ = _winnow(min_words)
     runs = _with_sides(docs, rows.join(shared, "run"), id_col, text, min_words)
-    runs = written(_inside(runs, found.where("removed")), "repeat-runs")
+    runs = written(runs, "repeat-runs")
     first = F.struct("doc_id", "start", "text_hash", "at", "stop", "left", "left_at", "right", "right_at")
     kept = (runs.groupBy("cluster").agg(F.min(F.when(~F.col("gone"), first)).alias("first"),
                                         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
