@@ -1,7 +1,9 @@
 """License scan with a trained paragraph classifier (DataFrame functions and Spark ML only).
 
 Method
-1. Paragraphs (lines) that hold none of the anchor stems are of no family; the
+1. Paragraphs are single lines, and blocks of several lines between blank lines
+   with line ends read as spaces, so that hard-wrapped notices are whole.  A
+   confirmed block counts if no line of its document has its family.  Those that hold none of the anchor stems are of no family; the
    others are candidates.  Every template holds an anchor.
 2. A multinomial logistic regression on sparse binary word 1- to 3-grams (those
    that occur in a template or decoy, a fixed vocabulary) is trained on the family templates, cut at both ends, with other numbers and
@@ -78,6 +80,8 @@ DECOYS = ["The driver lost his license for a year.", "A fishing licence costs te
           "The software came with a commercial license from the vendor.", "He was under license as a general contractor.",
           "A license plate was found near the river.", "Permission is rarely granted to visitors without notice."]
 UNKNOWN = "unknown"
+#: Blank lines, also with the comment marks of source files.
+BLANK = r"\n(?:[ \t\r]*(?:#+|//+|\*+|;+|--+)?[ \t\r]*\n)+"
 VARIANTS = 24
 
 
@@ -187,11 +191,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, train_do
 
 
 def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Rows of ``docs`` as ``doc_id, row, found``: their distinct candidate paragraphs."""
-    found = F.when(F.lower(text).rlike(ANCHORS), F.array_distinct(F.filter(
-        F.split(text, "\n"), lambda p: F.lower(p).rlike(ANCHORS))))
+    """Rows of ``docs`` as ``doc_id, row, found``: their distinct candidate lines and blocks."""
+    def candidates(parts: Column, whole: bool) -> Column:
+        return F.transform(F.array_distinct(F.filter(parts, lambda p: F.lower(p).rlike(ANCHORS))),
+                           lambda p: F.struct(p.alias("paragraph"), F.lit(whole).alias("whole")))
+
+    # comment marks at the start of lines are no words
+    blocks = F.transform(F.filter(F.split(text, BLANK), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "").contains("\n")),
+                         lambda b: F.regexp_replace(b, r"\s*\n\s*", " "))
+    held = F.lower(F.regexp_replace(text, r"\s+", " ")).rlike(ANCHORS)
+    found = F.when(held, F.concat(candidates(F.split(text, "\n"), False), candidates(blocks, True)))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"),
-                       F.coalesce(found, F.array().cast("array<string>")).alias("found"))
+                       F.coalesce(found, F.array().cast("array<struct<paragraph:string,whole:boolean>>")).alias("found"))
 
 
 def classified(candidates: DataFrame, model: Model, *, threshold: float = 0.6, coverage: float = 0.6) -> DataFrame:
@@ -227,13 +238,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, train_d
         F.lit(0).cast("long").alias("n_confirmed"), F.lit("none").alias("verdict"))
     some = rows.where(F.size("found") > 0).groupBy("doc_id", "row").agg(
         F.count("*").alias("times"), F.first("found").alias("found"))
-    judged = classified(some.select("doc_id", "row", "times", F.explode("found").alias("paragraph")), model,
+    judged = classified(some.select("doc_id", "row", "times", F.inline("found")), model,
                         threshold=threshold, coverage=coverage)
     sure = F.col("verdict") == "confirmed"
     best = F.max(F.when(sure, F.struct("probability", "covered", "family")))
     found = (judged.groupBy("doc_id", "row", "times").agg(
         best.alias("best"), F.array_sort(F.collect_set(F.when(sure, F.col("family")))).alias("all"),
-        F.count("*").alias("n_candidates"), F.sum(sure.cast("long")).alias("n_confirmed"))
+        F.sum((~F.col("whole")).cast("long")).alias("lines"),
+        F.sum((sure & ~F.col("whole")).cast("long")).alias("sure_lines"),
+        F.collect_set(F.when(sure & ~F.col("whole"), F.col("family"))).alias("of_lines"),
+        F.collect_list(F.when(sure & F.col("whole"), F.col("family"))).alias("of_blocks"))
+        .withColumn("more", F.size(F.filter("of_blocks", lambda f: ~F.array_contains("of_lines", f))).cast("long"))
+        .withColumn("n_candidates", F.greatest(F.col("lines") + F.col("more"), F.lit(1).cast("long")))
+        .withColumn("n_confirmed", F.col("sure_lines") + F.col("more"))
         .withColumn("one", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
         .select("doc_id", "best.family", F.concat_ws(",", "all").alias("families"), "best.probability",
                 "n_candidates", "n_confirmed",

@@ -63,5 +63,19 @@ def test_nulls_repeats_long_texts_and_extra_columns(docs):
                          ("6", "unknown", ""), ("7", "confirmed", "CC-BY,MIT")])
 
 
+def test_wrapped_notices(docs, model):
+    import textwrap
+    notices = {"GPL": ls.TEMPLATES["GPL"][1], "MIT": ls.TEMPLATES["MIT"][2] + ", including the rights to use and sell copies",
+               "BSD": ls.TEMPLATES["BSD"][0]}
+    rows, want = [], {}
+    for n, (family, notice) in enumerate(notices.items()):
+        wrapped = textwrap.wrap(notice, 60)
+        rows += [(n, f"{PROSE}\n\n" + "\n".join(wrapped) + f"\n\n{PROSE}"),
+                 (10 + n, "# Copyright\n#\n" + "\n".join("# " + w for w in wrapped) + "\n#\nimport os"), (20 + n, notice)]
+        want.update({n: (family, 1), 10 + n: (family, 1), 20 + n: (family, 1)})
+    got = {r.doc_id: (r.families, r.n_confirmed) for r in ls.scan(docs(rows), model=model).collect()}
+    assert got == want
+
+
 def test_empty_table(docs):
     assert ls.scan(docs([])).collect() == []
