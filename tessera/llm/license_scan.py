@@ -3,8 +3,9 @@
 Method
 1. Paragraphs are single lines, and blocks of several lines between blank lines
    with line ends read as spaces, so that hard-wrapped notices are whole.  A
-   confirmed block counts if no line of its document has its family.  Those that hold none of the anchor stems are of no family; the
-   others are candidates.  Every template holds an anchor.
+   confirmed block counts if no line of its document has its family.  Those that hold none of the anchor stems and none of the chosen template 3-grams
+   (``GATE``) are of no family; the others are candidates.  So many 3-grams of each
+   template are chosen that none can be covered to ``COVERAGE`` without one of them.
 2. A multinomial logistic regression on sparse binary word 1- to 3-grams (those
    that occur in a template or decoy, a fixed vocabulary) is trained on the family templates, cut at both ends, with other numbers and
    between paragraphs of the corpus, against the class *unknown*: paragraphs of
@@ -24,6 +25,8 @@ empty table gives an empty table; only id and text of the input are used.
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -79,6 +82,39 @@ DECOYS = ["The driver lost his license for a year.", "A fishing licence costs te
           "Public licenses are a topic of chapter three.", "Read the license of each version before you buy a copy.",
           "The software came with a commercial license from the vendor.", "He was under license as a general contractor.",
           "A license plate was found near the river.", "Permission is rarely granted to visitors without notice."]
+COVERAGE = 0.6
+
+
+def _gate(coverage: float) -> str:
+    """Pattern (lower case) that every paragraph with this share of a template's 3-grams matches."""
+    shared: dict[str, int] = {}
+    split = []
+    for t in [t for ts in TEMPLATES.values() for t in ts]:
+        words = [re.sub("^[0-9].*", "0", w) for w in re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", t.lower())]
+        split.append(list(dict.fromkeys(zip(words, words[1:], words[2:]))))
+        for w in set(words):
+            shared[w] = shared.get(w, 0) + 1
+    chosen = set()
+    for grams in split:
+        spare = len(grams) - max(1, math.ceil(coverage * len(grams) - 1e-9))
+        # those that an anchor finds cost nothing; then those with the rarest and longest words
+        anchored = [bool(re.search(ANCHORS, " ".join(g))) for g in grams]
+        order = sorted(zip(anchored, grams), key=lambda x: (
+            not x[0], min(shared[w] for w in x[1]), -len("".join(x[1])), x[1]))
+        chosen.update(g for has, g in order[:spare + 1] if not has)
+
+    def pattern(gram):
+        out = ""
+        for n, w in enumerate(gram):
+            if n:
+                out += r"[\x00-/:-`{-\x7f]" + ("*" if "0" in (w, gram[n - 1]) else "+")
+            out += r"[0-9]+(?:\.[0-9]+)*" if w == "0" else w
+        return out
+    return ANCHORS + r"|(?<![a-z])(?:" + "|".join(pattern(g) for g in sorted(chosen)) + r")(?![a-z])"
+
+
+#: What a paragraph needs to be a candidate, in lower case.
+GATE = _gate(COVERAGE)
 UNKNOWN = "unknown"
 #: Blank lines, also with the comment marks of source files.
 BLANK = r"\n(?:[ \t\r]*(?:#+|//+|\*+|;+|--+)?[ \t\r]*\n)+"
@@ -129,7 +165,7 @@ def training_rows(docs: DataFrame, id_col: str, text: str, train_documents: int)
     sample = docs.where(F.col(id_col).isNotNull()
                         & (F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30)) < int(part * (1 << 30))))
     lines = (sample.select(F.explode(F.split(text, "\n")).alias("paragraph"))
-             .where((F.length("paragraph") > 10) & ~F.lower("paragraph").rlike(ANCHORS)).distinct())
+             .where((F.length("paragraph") > 10) & ~F.lower("paragraph").rlike(GATE)).distinct())
     lines = written(lines.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("paragraph"))) - 1),
                     "license-sample")  # bounded by train_documents
     count = max(1, lines.count())
@@ -190,22 +226,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, train_do
     return Model(vocabulary, regression, known, best, right or 0.0)
 
 
-def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def paragraphs(docs: DataFrame, id_col: str, text: str, gate: str = GATE) -> DataFrame:
     """Rows of ``docs`` as ``doc_id, row, found``: their distinct candidate lines and blocks."""
     def candidates(parts: Column, whole: bool) -> Column:
-        return F.transform(F.array_distinct(F.filter(parts, lambda p: F.lower(p).rlike(ANCHORS))),
+        return F.transform(F.array_distinct(F.filter(parts, lambda p: F.lower(p).rlike(gate))),
                            lambda p: F.struct(p.alias("paragraph"), F.lit(whole).alias("whole")))
 
     # comment marks at the start of lines are no words
     blocks = F.transform(F.filter(F.split(text, BLANK), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "").contains("\n")),
                          lambda b: F.regexp_replace(b, r"\s*\n\s*", " "))
-    held = F.lower(F.regexp_replace(text, r"\s+", " ")).rlike(ANCHORS)
+    held = F.lower(F.regexp_replace(text, r"\s+", " ")).rlike(gate)
     found = F.when(held, F.concat(candidates(F.split(text, "\n"), False), candidates(blocks, True)))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"),
                        F.coalesce(found, F.array().cast("array<struct<paragraph:string,whole:boolean>>")).alias("found"))
 
 
-def classified(candidates: DataFrame, model: Model, *, threshold: float = 0.6, coverage: float = 0.6) -> DataFrame:
+def classified(candidates: DataFrame, model: Model, *, threshold: float = 0.6, coverage: float = COVERAGE) -> DataFrame:
     """Column ``paragraph`` judged: ``family, probability, covered, verdict`` are added."""
     rows = model.regression.transform(model.vocabulary.transform(with_features(candidates)))
     rows = (rows.withColumn("chance", _chances(vector_to_array("rawPrediction"), model.temperature))
@@ -223,7 +259,7 @@ def classified(candidates: DataFrame, model: Model, *, threshold: float = 0.6, c
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, train_documents: int = 400,
-         threshold: float = 0.6, coverage: float = 0.6, model: Model | None = None) -> DataFrame:
+         threshold: float = 0.6, coverage: float = COVERAGE, model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, family, families, probability, n_candidates, n_confirmed, verdict``.
 
     ``family`` is the confirmed family with the highest probability, ``families``
@@ -231,7 +267,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, train_d
     (candidates, none confirmed) or ``none``.  Without a ``model`` one is fitted on ``docs``.
     """
     model = model or fit(docs, id_col, text, train_documents=train_documents)
-    rows = paragraphs(docs, id_col, text)
+    rows = paragraphs(docs, id_col, text, GATE if coverage == COVERAGE else _gate(coverage))
     without = rows.where(F.size("found") == 0).select(
         "doc_id", F.lit(None).cast("string").alias("family"), F.lit("").alias("families"),
         F.lit(None).cast("double").alias("probability"), F.lit(0).cast("long").alias("n_candidates"),

@@ -1,5 +1,6 @@
 """Families of written notices, decoys, the corpus' own notices, edge cases."""
 
+import random
 import re
 
 import pytest
@@ -77,5 +78,27 @@ def test_wrapped_notices(docs, model):
     assert got == want
 
 
+def test_reworded_notices_without_an_anchor_are_candidates(docs, model):
+    rows = [(1, "This article is available under CC BY-SA 4.0."), (2, "Available under CC BY 4.0."),
+            (3, "Released under the MIT terms."), (4, "Er kam mit dem Zug by the sea."), (5, PROSE)]
+    got = {r.doc_id: r for r in ls.scan(docs(rows), model=model).collect()}
+    assert (got[1].families, got[2].families) == ("CC-BY-SA", "CC-BY")
+    assert got[3].verdict != "none" and got[4].verdict == got[5].verdict == "none"
+
+
+def test_the_gate_passes_what_coverage_confirms():
+    rnd = random.Random(1)
+    for t in (t for ts in ls.TEMPLATES.values() for t in ts):
+        words = t.lower().split()
+        for _ in range(200):
+            a = rnd.randrange(len(words))
+            part = words[a:a + rnd.randint(1, len(words))]
+            own, every = [set(zip(w, w[1:], w[2:])) for w in (
+                [re.sub("^[0-9].*", "0", w) for w in re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", " ".join(x))]
+                for x in (part, words))]
+            if len(own) >= 0.6 * len(every):
+                assert re.search(ls.GATE, " ".join(part)), part
+
+
 def test_empty_table(docs):
     assert ls.scan(docs([])).collect() == []
