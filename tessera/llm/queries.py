@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (byte_bpe, embedding_dedup, license_scan, line_rules, mixing, ngram_jaccard, shuffle_shards,
-                         substring_dedup, token_counts, weak_quality)
+from tessera.llm import (byte_bpe, embedding_dedup, license_scan, line_rules, merkle, mixing, ngram_jaccard,
+                         shuffle_shards, substring_dedup, token_counts, weak_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the public rank file and decoded again, as digests."""
     return byte_bpe.round_trip(documents(spark, sf_dir))
+
+
+@query(merkle.SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the check that finds tampered rows."""
+    return merkle.manifest_table(documents(spark, sf_dir))
