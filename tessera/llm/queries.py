@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (byte_bpe, embedding_dedup, license_scan, line_rules, merkle, mixing, ngram_jaccard,
-                         shuffle_shards, substring_dedup, token_counts, weak_quality)
+from tessera.llm import (byte_bpe, embedding_dedup, lexical_search, license_scan, line_rules, merkle, mixing,
+                         ngram_jaccard, shuffle_shards, substring_dedup, token_counts, vantage, weak_quality)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir))
 
 
+@query(lexical_search.SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item by integer impact scores."""
+    return lexical_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query(vantage.SQL)
+def op12_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, by inner product."""
+    return vantage.nearest_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query(merkle.SQL)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the check that finds tampered rows."""
