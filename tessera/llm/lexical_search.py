@@ -50,7 +50,7 @@ from tessera.llm.store import written
 QUERY_BYTES = 8_000_000
 BUCKET_ROWS = 2048
 #: Rows of a part of the layout by length, and the most parts.
-PART_ROWS, MAX_PARTS = 50_000, 10_000
+PART_ROWS, MAX_PARTS = 10_000, 50_000
 #: Relative rounding of lengths and bounds is far below this.
 SLACK = 1e-9
 
