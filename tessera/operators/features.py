@@ -5,7 +5,7 @@
 * the route of every column (numeric / numeric text / free text / one-hot /
   frequency) — one pass over the distinct string values (detection, word
   counts, distinct counts weighted by multiplicity);
-* extraction patterns, exact medians (distributed rank selection), means and
+* extraction patterns, exact medians (sketched brackets, refined), means and
   population standard deviations, modes (top-1 of the value table), one-hot
   categories, frequency maps and the TF-IDF vocabulary.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,12 +84,11 @@ def column_medians(df: DataFrame, exprs: dict[str, Column], exact: bool = True)
     """exact (or approximate) median per column; columns that are all NULL are absent."""
     if not exprs:
         return {}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), e.alias("value"))
+                                        for c, e in exprs.items()]))).where("value is not null")
     if exact:
-        vc = P.numeric_value_counts(df, exprs)
-        q = ranks.quantiles(vc, ["column"], "value", "n", [0.5])
+        q = ranks.exact_quantiles(long.where(~F.isnan("value")), ["column"], "value", [0.5])
     else:
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), e.alias("value"))
-                                            for c, e in exprs.items()]))).where("value is not null")
         q = ranks.quantiles(long.withColumn("n", F.lit(1)), ["column"], "value", "n", [0.5], exact=False)
     return {r["column"]: r["value"] for r in q.collect()}
 
@@ -257,8 +257,11 @@ class FeaturePipeline:
                 freq_sizes[c] = int(info[c]["n_unique"] or 0)
         fitted = FittedFeatures(self.target, routes, kinds, patterns, {}, {}, {}, {}, {},
                                 freq_tables, freq_sizes, text_col, None, self.row_id)
-        num = fitted.numeric_frame(train)
         num_cols = [c for c, r in routes.items() if r in ("numeric", "numeric_text", "frequency")]
+        # extraction and frequency joins run once for the medians' passes and the moments
+        num = fitted.numeric_frame(train).select(*[f"__n_{c}" for c in num_cols])
+        if any(routes[c] != "numeric" for c in num_cols):
+            num = num.persist(StorageLevel.MEMORY_AND_DISK)
         fitted.medians = {c: v for c, v in column_medians(
             num, {c: F.col(f"__n_{c}") for c in num_cols}, self.exact).items() if v is not None}
         kept = [c for c in num_cols if c in fitted.medians]   # all-NULL columns are dropped (F4)
@@ -269,6 +272,7 @@ class FeaturePipeline:
                           ).collect()[0]
             fitted.means = {c: row[f"m{i}"] for i, c in enumerate(kept)}
             fitted.stds = {c: (row[f"s{i}"] or 0.0) for i, c in enumerate(kept)}
+        num.unpersist()
         oh = [c for c, r in routes.items() if r == "one_hot"]
         fitted.modes = column_modes(train, oh)
         if oh:

@@ -3,10 +3,9 @@
 Parameters follow scikit-learn's meaning; where Spark's objective is scaled
 differently the mapping converts (``C`` → ``regParam = 1 / (C · Σw)``, ridge
 ``alpha`` → ``regParam = alpha · sd(y) / n``, elastic net split into L1 / L2).
-Boosting names (GradientBoosting, HistGradientBoosting, XGBoost, LightGBM)
-all map to Spark's histogram-binned ``GBT*``; multiclass boosting uses
-``OneVsRest``.  Extra trees have no Spark equivalent and map to a forest
-without bootstrap (approximate).
+Boosting names (GradientBoosting, HistGradientBoosting, XGBoost, LightGBM) and
+extra trees map to the histogram trees of ``trees.py``: regularised leaves, growth by
+depth or by leaves, softmax for several classes, random cuts for extra trees.
 """
 
 from __future__ import annotations
@@ -14,13 +13,14 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
+                                       RandomForestClassifier)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .trees import BoostedTrees, ExtraTrees
+
 # The architecture names of the reference (classification, regression).
 CLASSIFICATION_MODELS = frozenset({
     "LogisticRegression", "LinearSVC", "DecisionTree", "RandomForest", "ExtraTrees",
@@ -63,17 +63,28 @@ def _depth(hp, default):
     return int(min(max(int(d), 1), MAX_DEPTH))
 
 
-def _leaf_depth(hp):
-    """Depth of a balanced tree with LightGBM's ``num_leaves`` leaves, which bound its trees
-    where depth is unlimited (Spark trees have no leaf limit)."""
-    return max(1, math.ceil(math.log2(max(2, int(hp.get("num_leaves", 31))))))
-
-
 def _min_inst(hp, default_split=2):
     return max(1, math.ceil(int(hp.get("min_samples_split", default_split)) / 2),
                int(hp.get("min_samples_leaf", 1)))
 
 
+def _boosting(family: str, hp: dict) -> dict:
+    """Parameters of a boosting family in the terms of ``BoostedTrees``; what a search leaves open has the
+    default of the family's library (all public)."""
+    rounds = {"GradientBoosting": 100, "HistGradientBoosting": 100}.get(family, 200)
+    out = dict(rounds=int(hp.get("n_estimators", hp.get("max_iter", rounds))), rate=float(hp.get("learning_rate", 0.1)),
+               subsample=float(hp.get("subsample", 1.0 if family == "HistGradientBoosting" else 0.8)),
+               colsample=float(hp.get("colsample_bytree", 0.8 if family == "XGBoost" else 1.0)))
+    if family == "GradientBoosting":
+        return out | dict(max_depth=_depth(hp, 3), first_order=True, min_split=int(hp.get("min_samples_split", 2)))
+    if family == "XGBoost":
+        return out | dict(max_depth=_depth(hp, 4), l2=float(hp.get("reg_lambda", 1.0)), min_hessian=1.0)
+    if family == "LightGBM":
+        return out | dict(max_depth=_depth(hp, None), max_leaves=max(2, int(hp.get("num_leaves", 31))), min_leaf=20,
+                          l2=float(hp.get("reg_lambda", 0.0)), min_hessian=1e-3)
+    return out | dict(max_depth=_depth(hp, None), max_leaves=31, min_leaf=20, l2=float(hp.get("l2_regularization", 0.0)))
+
+
 def build_model(architecture: str, hyperparams: dict | None, task: str, n_classes: int = 2,
                 stats: dict | None = None, features: str = "features", label: str = "label",
                 weight: str | None = None, seed: int = 42) -> Estimator:
@@ -103,30 +114,18 @@ def build_model(architecture: str, hyperparams: dict | None, task: str, n_classe
         cls = DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor
         return cls(maxDepth=_depth(hp, 6), minInstancesPerNode=_min_inst(hp, 5), seed=seed,
                    **common, **wcol)
-    if architecture in ("RandomForest", "RandomForestRegressor", "ExtraTrees", "ExtraTreesRegressor"):
+    if architecture in ("RandomForest", "RandomForestRegressor"):
         cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
-        extra = architecture.startswith("ExtraTrees")
         return cls(numTrees=int(hp.get("n_estimators", 200)), maxDepth=_depth(hp, None),
-                   minInstancesPerNode=_min_inst(hp), bootstrap=not extra,
-                   featureSubsetStrategy="sqrt" if (extra or task == "classification") else "all",
+                   minInstancesPerNode=_min_inst(hp), featureSubsetStrategy="sqrt" if task == "classification" else "all",
                    seed=seed, **common, **wcol)
+    own = dict(n_classes=n_classes, features=features, label=label, weight=wcol.get("weightCol"), seed=seed)
+    if architecture in ("ExtraTrees", "ExtraTreesRegressor"):
+        return ExtraTrees(task, trees=int(hp.get("n_estimators", 200)), max_depth=_depth(hp, None),
+                          min_split=int(hp.get("min_samples_split", 2)), min_leaf=int(hp.get("min_samples_leaf", 1)),
+                          subset=None if task == "classification" else 1.0, **own)
     if architecture in BOOSTERS:
-        iters = int(hp.get("n_estimators", hp.get("max_iter", 200 if "XGB" in architecture
-                                                  or "LightGBM" in architecture else 100)))
-        depth_default = 4 if "XGBoost" in architecture else (3 if architecture.startswith("Gradient") else 6)
-        if "LightGBM" in architecture and (hp.get("max_depth") is None or hp["max_depth"] < 0):
-            hp["max_depth"] = _leaf_depth(hp)
-        kw = dict(maxIter=iters, stepSize=float(hp.get("learning_rate", 0.1)),
-                  maxDepth=_depth(hp, depth_default),
-                  subsamplingRate=float(hp.get("subsample", 0.8 if "Hist" not in architecture else 1.0)),
-                  seed=seed)
-        if "colsample_bytree" in hp:     # drawn per node instead of per tree
-            kw["featureSubsetStrategy"] = str(float(hp["colsample_bytree"]))
-        if task == "classification":
-            if n_classes <= 2:
-                return GBTClassifier(**kw, **common, **wcol)
-            return OneVsRest(classifier=GBTClassifier(**kw, **wcol), **common, **wcol)
-        return GBTRegressor(**kw, **common)
+        return BoostedTrees(task, **_boosting(architecture.removesuffix("Regressor"), hp), **own)
     if architecture in ("Ridge", "Lasso", "ElasticNet"):
         sd_y = float(stats.get("sd_y", 1.0) or 1.0)
         alpha = float(hp.get("alpha", 1.0 if architecture == "Ridge" else 0.01))

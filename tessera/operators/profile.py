@@ -1,16 +1,17 @@
 """Column and dataset profiling (operators E1–E20, C2–C4).
 
-Work plan for ``profile_columns`` — two shuffles of the input, both
-partial-aggregating on the executors:
+Work plan for ``profile_columns`` — two partially aggregating shuffles of
+distinct values, and passes over the rows that only leave counts:
 
 1. the string long table ``(column, value, n)`` — unpivot + ``groupBy`` with
    map-side combine, so a value holding a third of all rows is one row.  The
    D5 detection regexes run once per *distinct* value (weighted by ``n``),
    and converted columns are extracted from the distinct values too;
 2. the numeric long table ``(column, value, n)`` (raw numeric columns plus the
-   converted strings), laid out by range and checkpointed; mean / sample std /
-   min / max (weighted, two-pass), exact quartiles, distinct counts and IQR
-   outlier counts all read it;
+   converted strings) for mean / min / max and distinct counts; exact quartiles
+   from the rows by sketched brackets (``ranks.exact_quantiles``: a sketching, a
+   counting and a refining pass), sample std and IQR outliers in one more pass;
+   nothing is laid out by range or checkpointed but a few rows per column;
 3. top-5 values per categorical column from table 1 (two-stage salted top-k).
 
 Duplicate rows (dataset totals) are one more ``groupBy(all columns)``.
@@ -180,9 +181,9 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """E1–E6 + C3 for every column: one row per column (``COLUMN_PROFILE_SCHEMA``).
 
     The input is shuffled into two tables of distinct values, the string one and
-    the numeric one; with ``exact`` the numeric one is laid out again by range.
-    Detection, statistics, quartiles, outliers and top values run on those.
-    ``exact=False`` takes the quartiles from a sketch over the rows instead.
+    the numeric one, for detection, statistics and top values.  Quartiles come from
+    sketched brackets over the rows, refined until they are exact, or with
+    ``exact=False`` from a sketch alone.
     """
     spark = df.sparkSession
     kinds = column_kinds(df)
@@ -220,9 +221,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
                      .select("column", conv.alias("value"), "n").where(F.col("value").isNotNull())
                      .groupBy("column", "value").agg(F.sum("n").alias("n")))
     if parts:
-        raw_vc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        vc = (ranks.range_layout(raw_vc, ["column"], "value") if exact
-              else raw_vc.persist(StorageLevel.MEMORY_AND_DISK))
+        vc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         means = {}
         for r in _totals(vc).collect():                      # one row per column
             means[r["column"]] = r["mean"]
@@ -230,13 +229,15 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             nuniq_num[r["column"]] = r["n_unique"]
             if r["column"] in num_cols:
                 nonnull[r["column"]] = r["nonnull"]
+        values = {c: numeric_value(df, c) for c in num_cols}
+        values |= {c: NT.extract_with(pattern[c], F.col(c)).cast("double") for c in conv_cols}
+        longv = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value"))
+                                             for c, v in values.items()]))).where("value is not null")
+        if conv_cols:       # the extraction runs once for all passes
+            longv = longv.persist(StorageLevel.MEMORY_AND_DISK)
         if exact:
-            q = ranks.quantiles(vc, ["column"], "value", "n", list(QUARTILES), exact=True, laid_out=True)
+            q = ranks.exact_quantiles(longv, ["column"], "value", list(QUARTILES))
         else:
-            values = {c: numeric_value(df, c) for c in num_cols}
-            values |= {c: NT.extract_with(pattern[c], F.col(c)).cast("double") for c in conv_cols}
-            longv = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value"))
-                                                 for c, v in values.items()]))).where("value is not null")
             q = ranks.quantiles(longv.withColumn("n", F.lit(1)), ["column"], "value", "n",
                                 list(QUARTILES), exact=False)
         qw = q.groupBy("column").agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n)
@@ -254,11 +255,10 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
         small = spark.createDataFrame(
             [(c, means[c], *next(((lo, hi) for cc, lo, hi in bounds if cc == c), (None, None)))
              for c in means], "column string, _m double, lo double, hi double")
-        scored = vc.join(F.broadcast(small), "column")        # one row per column: bounded
+        scored = longv.join(F.broadcast(small), "column")     # one row per column: bounded
         got = scored.groupBy("column").agg(
-            F.sum(F.col("n") * (F.col("value") - F.col("_m")) ** 2).alias("_ss"),
-            F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), F.col("n"))
-                  .otherwise(F.lit(0))).alias("outliers")).collect()
+            F.sum((F.col("value") - F.col("_m")) ** 2).alias("_ss"),
+            F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outliers")).collect()
         outl_n = {}
         for r in got:
             st = stats[r["column"]]
@@ -266,6 +266,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             outl_n[r["column"]] = r["outliers"] or 0
         stats = {c: tuple(v[:4]) for c, v in stats.items()}
         outl = {c: (outl_n.get(c, 0), lo, hi) for c, lo, hi in bounds}
+        longv.unpersist()
 
     # top values of categorical columns
     tops: dict = {}

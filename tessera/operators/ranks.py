@@ -11,8 +11,11 @@ of all rows.  The helpers here keep every task bounded:
   ``(group, value)``, checkpointed so the layout is fixed, and each partition
   computes local running counts; a tiny table of per-partition totals gives
   each partition its global offset.
-* :func:`quantiles` turns that into linear-interpolated quantiles (the pandas /
-  ``quantile_cont`` definition).
+* :func:`exact_quantiles` needs no layout: a mergeable KLL sketch of each group
+  brackets the wanted ranks, one counting pass proves or mends the brackets, and
+  only the rows strictly inside them are shuffled.
+* :func:`quantiles` gives linear-interpolated quantiles (the pandas /
+  ``quantile_cont`` definition) of weighted rows, or approximate ones.
 * :func:`top_k` keeps the first ``k`` rows per group in two window passes over
   salted sub-groups, so no window task sorts more than ``rows_per_task`` rows.
 """
@@ -126,6 +129,152 @@ def select_ranks(weighted: DataFrame, group_cols: list[str], value_col: str,
             .select(*[F.col(f"l.{c}") for c in targets.columns], F.col(f"s.{value_col}")))
 
 
+# The sketch keeps about this many values a level; its rank error is near 0.13 % of a group.
+SKETCH_K = 4096
+# Quantiles taken from a sketch; a bracket goes from one to two steps beyond the wanted rank.
+GRID = 400
+# A bracket with more rows inside than this is sketched again instead of being ranked.
+INTERIOR_ROWS = 1_000_000
+
+
+def _sketch(rows: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
+    """``GRID + 1`` quantiles of one mergeable sketch and the exact number of rows per group,
+    materialised: a KLL sketch is drawn at random, so it must not be made anew by a later job."""
+    made = rows.groupBy(*group_cols).agg(F.kll_sketch_agg_double(value_col, F.lit(SKETCH_K)).alias("_sk"))
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    return made.select(*group_cols, F.kll_sketch_get_quantile_double("_sk", grid).alias("_grid"),
+                       F.kll_sketch_get_n_double("_sk").alias("_n")).checkpoint()
+
+
+def _null_safe(a: str, b: str, cols: list[str]) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+
+
+def _bracketed(wanted: DataFrame, sketches: DataFrame, keys: list[str], pos_col: str) -> DataFrame:
+    """``wanted`` with ``_blo`` and ``_bhi``, values of the sketch around each wanted rank."""
+    step = (F.col(f"w.{pos_col}") - F.col("w._skip") + 0.5) / F.col("s._n") * GRID
+    at = [F.greatest(F.floor(step) - 1, F.lit(0)), F.least(F.ceil(step) + 1, F.lit(GRID))]
+    lo, hi = (F.get("s._grid", i.cast("int")) for i in at)
+    return (wanted.alias("w").join(sketches.alias("s"), _null_safe("w", "s", keys))
+            .select("w.*", lo.alias("_blo"), hi.alias("_bhi")))
+
+
+def _counted(rows: DataFrame, brackets: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
+    """Counts of rows below, at and between the ends of every bracket, in one pass over the rows.
+
+    The brackets of a group travel as one array (a few wanted ranks each)."""
+    from .split import bounded
+    cols = [c for c in brackets.columns if c not in group_cols]
+    of_group = brackets.groupBy(*group_cols).agg(F.collect_list(F.struct(*cols)).alias("_b")).checkpoint()
+    groups, most = of_group.agg(F.count(F.lit(1)), F.max(F.size("_b"))).first()
+    v = F.col(f"r.{value_col}")
+    sums = []
+    for i in range(most or 0):
+        lo, hi = (F.get("g._b", F.lit(i))[c] for c in ("_blo", "_bhi"))
+        sums += [F.count_if(v < lo).alias(f"_{i}below"), F.count_if(v == lo).alias(f"_{i}lo"),
+                 F.count_if((v > lo) & (v < hi)).alias(f"_{i}in"),
+                 F.count_if((v == hi) & (hi > lo)).alias(f"_{i}hi")]
+    if not sums:
+        return brackets.withColumns({c: F.lit(0) for c in ("_below", "_at_lo", "_in", "_at_hi")})
+    found = (rows.alias("r").join(bounded(of_group, groups).alias("g"), _null_safe("r", "g", group_cols))
+             .groupBy(*[F.col(f"g.{c}").alias(c) for c in group_cols]).agg(F.first("g._b").alias("_b"), *sums))
+    each = [F.struct(*[F.get("_b", F.lit(i))[c].alias(c) for c in cols],
+                     *[F.col(f"_{i}{k}").alias(n) for k, n in (("below", "_below"), ("lo", "_at_lo"),
+                                                               ("in", "_in"), ("hi", "_at_hi"))])
+            for i in range(most)]
+    return found.select(*group_cols, F.inline(F.array(*each))).where(F.col("_blo").isNotNull())
+
+
+def _inside(rows: DataFrame, wanted: DataFrame, n: int, group_cols: list[str], value_col: str,
+            pos_col: str) -> DataFrame:
+    """``(group..., pos, skip, value)`` of the rows strictly between ``_lo`` and ``_hi``."""
+    from .split import bounded
+    v = F.col(f"r.{value_col}")
+    cond = _null_safe("r", "w", group_cols) + [F.col("w._lo").isNull() | (v > F.col("w._lo")),
+                                               F.col("w._hi").isNull() | (v < F.col("w._hi"))]
+    return (rows.alias("r").join(bounded(wanted, n).alias("w"), cond)
+            .select(*[F.col(f"w.{c}").alias(c) for c in group_cols], f"w.{pos_col}", "w._skip", v.alias(value_col)))
+
+
+def bracketed_ranks(rows: DataFrame, group_cols: list[str], value_col: str, targets: DataFrame,
+                    pos_col: str = "pos", sketches: DataFrame | None = None) -> DataFrame:
+    """Value at each 0-based position of every group's ascending order, from raw rows.
+
+    ``rows`` has a double ``value_col`` without nulls or NaN; ``targets`` holds distinct
+    ``(group..., pos)`` within the groups' sizes.  A round sketches what is still open, takes
+    the sketch's values around every wanted rank as its bracket and counts the rows below, at
+    and inside the bracket.  The counts decide: the rank falls on an end of the bracket
+    (done), inside (the rows between are ranked, or sketched again if they are many) or, should
+    the sketch have been wrong, outside (the part beyond is the next bracket).  Values that hold
+    many rows are ends of brackets, so they are counted and never ranked; the rows between
+    are about three of ``GRID`` parts of a group for each rank, whatever the distribution."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    keys = [*group_cols, pos_col]
+    none = F.lit(None).cast("double")
+    todo = targets.select(*keys, none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("long").alias("_skip"))
+    sketches = sketches if sketches is not None else _sketch(rows, group_cols, value_col)
+    by, done = group_cols, []
+    while True:
+        counts = _counted(rows, _bracketed(todo, sketches, by, pos_col), group_cols, value_col)
+        pos, below = F.col(pos_col), F.col("_below")
+        a, b, c = (below + F.col("_at_lo"), below + F.col("_at_lo") + F.col("_in"),
+                   below + F.col("_at_lo") + F.col("_in") + F.col("_at_hi"))
+        at = F.when(pos < below, "before").when(pos < a, "lo").when(pos < b, "in").when(pos < c, "hi").otherwise("after")
+        state = counts.withColumn("_at", at).select(
+            *keys, F.when(at == "lo", F.col("_blo")).when(at == "hi", F.col("_bhi")).alias(value_col),
+            F.when(at == "in", F.col("_blo")).when(at == "after", F.col("_bhi")).otherwise(F.col("_lo")).alias("_lo"),
+            F.when(at == "in", F.col("_bhi")).when(at == "before", F.col("_blo")).otherwise(F.col("_hi")).alias("_hi"),
+            F.when(at == "in", a).when(at == "after", c).otherwise(F.col("_skip")).alias("_skip"),
+            F.when(at == "in", F.col("_in")).alias("_rows")).checkpoint()
+        done.append(state.where(F.col(value_col).isNotNull()).select(*keys, value_col))
+        todo = state.where(F.col(value_col).isNull())
+        n, known, most = todo.agg(F.count(F.lit(1)), F.count("_rows"), F.max("_rows")).first()
+        if not n:
+            break
+        inside = _inside(rows, todo, n, group_cols, value_col, pos_col)
+        if known == n and most <= INTERIOR_ROWS:
+            w = Window.partitionBy(*keys).orderBy(value_col)       # at most INTERIOR_ROWS rows
+            span = (inside.groupBy(*keys, "_skip", value_col).agg(F.count(F.lit(1)).alias("_n"))
+                    .withColumn("_end", F.sum("_n").over(w) + F.col("_skip")))
+            done.append(span.where((F.col(pos_col) < F.col("_end")) & (F.col(pos_col) >= F.col("_end") - F.col("_n")))
+                        .select(*keys, value_col))
+            break
+        by, sketches = keys, _sketch(inside, keys, value_col)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.withColumn(value_col, F.col(value_col) + 0.0)       # no negative zero
+
+
+def exact_quantiles(rows: DataFrame, group_cols: list[str], value_col: str, probs: list[float]) -> DataFrame:
+    """Linear-interpolated quantiles ``(group..., q, value)`` of raw rows by :func:`bracketed_ranks`.
+
+    The rows are read once to sketch, once to count and once for what lies inside the brackets."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    sketches = _sketch(rows, group_cols, value_col)
+    pos = _positions(sketches.select(*group_cols, "_n"), probs)
+    wanted = pos.select(*group_cols, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("pos")).distinct()
+    got = bracketed_ranks(rows, group_cols, value_col, wanted, sketches=sketches).checkpoint()
+    return _interpolated(pos, got, group_cols, value_col)
+
+
+def _positions(sizes: DataFrame, probs: list[float]) -> DataFrame:
+    """Positions around each quantile of groups with ``_n`` rows: groups x |probs| rows."""
+    return (sizes.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+            .withColumn("_h", F.col("q") * (F.col("_n") - 1))
+            .withColumn("_lo", F.floor("_h").cast("long"))
+            .withColumn("_hi", F.ceil("_h").cast("long"))
+            .withColumn("_frac", F.col("_h") - F.col("_lo")))
+
+
+def _interpolated(pos: DataFrame, got: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
+    lo = got.withColumnRenamed("pos", "_lo").withColumnRenamed(value_col, "_vlo")
+    hi = got.withColumnRenamed("pos", "_hi").withColumnRenamed(value_col, "_vhi")
+    return (pos.join(lo, on=[*group_cols, "_lo"]).join(hi, on=[*group_cols, "_hi"])
+            .select(*group_cols, "q",
+                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(value_col)))
+
+
 def quantiles(weighted: DataFrame, group_cols: list[str], value_col: str,
               count_col: str, probs: list[float], exact: bool = True,
               accuracy: int = 100_000, laid_out: bool = False) -> DataFrame:
@@ -140,19 +289,10 @@ def quantiles(weighted: DataFrame, group_cols: list[str], value_col: str,
             F.percentile_approx(F.col(value_col), qs, accuracy).alias("_qs"))
         return agg.select(*group_cols, F.posexplode("_qs").alias("_i", value_col)).select(
             *group_cols, F.element_at(qs, F.col("_i") + 1).alias("q"), value_col)
-    sizes = weighted.groupBy(*group_cols).agg(F.sum(count_col).alias("_n"))
-    pos = (sizes.withColumn("q", F.explode(qs))  # groups x |probs|: bounded metadata
-           .withColumn("_h", F.col("q") * (F.col("_n") - 1))
-           .withColumn("_lo", F.floor("_h").cast("long"))
-           .withColumn("_hi", F.ceil("_h").cast("long"))
-           .withColumn("_frac", F.col("_h") - F.col("_lo")))
+    pos = _positions(weighted.groupBy(*group_cols).agg(F.sum(count_col).alias("_n")), probs)
     wanted = pos.select(*group_cols, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("pos"))
     got = select_ranks(weighted, group_cols, value_col, count_col, wanted, laid_out=laid_out)
-    lo = got.withColumnRenamed("pos", "_lo").withColumnRenamed(value_col, "_vlo")
-    hi = got.withColumnRenamed("pos", "_hi").withColumnRenamed(value_col, "_vhi")
-    return (pos.join(lo, on=[*group_cols, "_lo"]).join(hi, on=[*group_cols, "_hi"])
-            .select(*group_cols, "q",
-                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(value_col)))
+    return _interpolated(pos, got, group_cols, value_col)
 
 
 def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k: int,

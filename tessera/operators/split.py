@@ -4,8 +4,9 @@ The exact stratified split keeps, per class, the ``q_c`` rows with the smallest
 ``md5(key|seed)`` for validation.  ``q_c`` follows scikit-learn's allocation
 (train share first by floor + largest remainder, then validation from what is
 left; ties by class order instead of a random draw).  The per-class threshold
-is found with :func:`ranks.select_ranks`, so even a class holding a third of
-all rows is never sorted in one task.  ``exact=False`` is a no-shuffle hash
+is found from counts by leading digits of the hash (:func:`hash_cuts`): only the
+rows that share the digits of a class's boundary are counted again, so nothing is
+laid out by range and no class is sorted in one task.  ``exact=False`` is a no-shuffle hash
 threshold (``md5`` prefix as a uniform number) with approximate counts.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from . import ranks
 from .profile import NUMERIC_TYPES
 
@@ -94,21 +96,66 @@ def uniform(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(2 ** 32)
 
 
-def split_quotas(counts: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
+def split_quotas(counts: DataFrame, test_size: float = TEST_SIZE, classes: int = 0) -> DataFrame:
     """Validation rows per class: ``(_g, quota)`` from ``(_g, n)``, one row per class.
 
     Training places go out by largest remainder: each class gets the whole part of its share,
     the places left over go one each to the largest remainders (smaller class first on ties);
-    validation gets the rest.  Whole numbers throughout, ranked by Spark.
+    validation gets the rest.  Whole numbers throughout, ranked by Spark: in one window for a
+    class table of bounded size, by distributed running counts if ``classes`` is beyond that.
     """
     n = counts.agg(F.sum("n")).scalar()
     share = counts.withColumn("_all", n).withColumn(
         "_places", F.col("_all") - F.ceil(F.lit(test_size) * F.col("_all")).cast("long"))
     share = (share.withColumn("_whole", F.expr("n * _places div _all"))
              .withColumn("_part", F.col("n") * F.col("_places") - F.col("_whole") * F.col("_all")))
-    left = F.col("_places") - F.sum("_whole").over(Window.partitionBy())
-    nth = F.row_number().over(Window.orderBy(F.desc("_part"), F.asc("_g")))
-    return share.select("_g", (F.col("n") - F.col("_whole") - (nth <= left).cast("long")).alias("quota"))
+    left = F.col("_places") - share.agg(F.sum("_whole")).scalar()
+    if classes <= CLASS_TABLE_MAX_ROWS:
+        share = share.withColumn("_one_before", F.row_number().over(Window.orderBy(F.desc("_part"), F.asc("_g"))) - 1)
+    else:
+        order = F.struct((-F.col("_part")).alias("p"), F.col("_g"))
+        share = ranks.running_totals(share.withColumn("_one", F.lit(1).cast("long")).withColumn("_order", order),
+                                     [], "_order", ["_one"])
+    given = (F.col("_one_before") < left).cast("long")
+    return share.select("_g", (F.col("n") - F.col("_whole") - given).alias("quota"))
+
+
+# Digits of the hash that a counting pass adds, and the rows of a class's boundary that are
+# ranked by one window task.
+DIGITS = 4
+BOUNDARY_ROWS = 100_000
+
+
+def hash_cuts(work: DataFrame, group: str, hash_col: str, quotas: DataFrame) -> DataFrame:
+    """``(_cg, _t)``: the hash at place ``quota`` (from 1) of every group, in ascending order.
+
+    A pass counts the rows by group and leading digits, map-side combined, and finds the digits
+    in which the group's place falls (at most 16^DIGITS rows a group); the next pass counts
+    one set of digits further among the rows that share them.  Once no boundary holds more than
+    ``BOUNDARY_ROWS`` rows, these are ranked."""
+    todo = quotas.select(F.col("_g").alias("_cg"), F.lit("").alias("_lead"), F.col("quota").alias("_left"))
+    rows = work.select(F.col(group).alias("_g"), F.col(hash_col).alias("_h"))
+    length = 0
+    while True:
+        groups = todo.count()
+        at = rows.join(bounded(todo, groups), F.col("_g").eqNullSafe(F.col("_cg")) & F.startswith("_h", "_lead"))
+        length += DIGITS
+        counts = at.groupBy("_cg", F.substring("_h", 1, length).alias("_to")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_left").alias("_left"))
+        upto = F.sum("_n").over(Window.partitionBy("_cg").orderBy("_to"))
+        todo = (counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_left"))
+                                                       & (F.col("_upto") - F.col("_n") < F.col("_left")))
+                .select("_cg", F.col("_to").alias("_lead"),
+                        (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"), "_n")).checkpoint()
+        most = todo.agg(F.max("_n")).first()[0]
+        todo = todo.drop("_n")
+        if most is None or most <= BOUNDARY_ROWS or length >= 32:
+            break
+    if length >= 32:        # rows of one hash: all of them end at that hash
+        return todo.select("_cg", F.col("_lead").alias("_t"))
+    at = rows.join(bounded(todo, groups), F.col("_g").eqNullSafe(F.col("_cg")) & F.startswith("_h", "_lead"))
+    nth = F.row_number().over(Window.partitionBy("_cg").orderBy("_h"))
+    return at.withColumn("_nth", nth).where("_nth = _left").select("_cg", F.col("_h").alias("_t"))
 
 
 def stratified_split(df: DataFrame, label_col: str, key_cols: list[str],
@@ -120,20 +167,20 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: list[str],
         return df.withColumn(split_col, F.when(uniform(h) < test_size, F.lit("val"))
                              .otherwise(F.lit("train")))
     work = df.withColumn("_h", h)
-    counts = work.groupBy(F.col(label_col).alias("_g")).agg(F.count(F.lit(1)).alias("n")).persist()
-    classes, least, rows = counts.agg(F.count(F.lit(1)), F.min("n"), F.sum("n")).first()
+    by_class = work.groupBy(F.col(label_col).alias("_g")).agg(F.count(F.lit(1)).alias("n")).persist()
+    classes, least, rows = by_class.agg(F.count(F.lit(1)), F.min("n"), F.sum("n")).first()
     if not rows:
+        by_class.unpersist()
         return work.drop("_h").withColumn(split_col, F.lit("train"))
-    if least >= 2:
-        group = F.col(label_col)
-    else:
+    counts, group = by_class, F.col(label_col)
+    if least < 2:
         group = F.lit(None).cast(df.schema[label_col].dataType)
         counts = counts.agg(F.sum("n").alias("n")).select(group.alias("_g"), "n")
         classes = 1
-    targets = split_quotas(counts, test_size).where("quota > 0").select("_g", (F.col("quota") - 1).alias("pos"))
-    weighted = work.select(group.alias("_g"), F.col("_h"), F.lit(1).cast("long").alias("_n"))
-    cut = ranks.select_ranks(weighted, ["_g"], "_h", "_n", targets).select(
-        F.col("_g").alias("_cg"), F.col("_h").alias("_t"))   # one row per class
+    ensure_checkpoint_dir(df.sparkSession)
+    quotas = split_quotas(counts, test_size, classes).where("quota > 0")
+    cut = hash_cuts(work.withColumn("_g", group), "_g", "_h", quotas).checkpoint()   # one row per class
+    by_class.unpersist()
     out = (work.withColumn("_g", group)
            .join(bounded(cut, classes), on=F.col("_g").eqNullSafe(F.col("_cg")), how="left")
            .drop("_cg"))

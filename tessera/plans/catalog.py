@@ -1355,6 +1355,31 @@ def q_csv_validate(spark, sf):
     return CSV.validate_dataset(lineitem_csv(spark, sf), "l_returnflag")
 
 
+def documents_csv(spark, sf) -> DataFrame:
+    """documents as CSV text put together here (every text quoted, its line ends kept), one file
+    with a header for each of eight folders, read back through A1 + A2."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = table(spark, sf, "documents").select(
+        F.pmod("doc_id", F.lit(8)).alias("g"), F.lit(1).alias("ord"),
+        F.concat_ws(",", "doc_id", quoted("lang"), F.coalesce(quoted("text"), F.lit("")), "source", "n_chars").alias("line"))
+    header = spark.range(8).select(F.col("id").alias("g"), F.lit(0).alias("ord"),
+                                   F.lit("doc_id,lang,text,source,n_chars").alias("line"))
+    path = _scratch(spark, "csv-lines")
+    (docs.unionByName(header).repartition("g").sortWithinPartitions("g", "ord").select("g", "line")
+     .write.partitionBy("g").text(path))
+    return CSV.read_csv(spark, f"{path}/*")
+
+
+@register("csv_multiline", f"""
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS text_length
+FROM (SELECT * REPLACE (CASE WHEN text NOT IN ({", ".join(f"'{t}'" for t in CSV.NA_TOKENS)}) THEN text END AS text)
+      FROM documents)""")
+def q_csv_multiline(spark, sf):
+    """A1: records over line ends, found in parallel in the byte ranges of the files."""
+    return documents_csv(spark, sf).select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"),
+                                           F.length("text").alias("text_length"))
+
+
 def experiments_frame(runs: DataFrame) -> DataFrame:
     """Judged runs in the experiment-table schema (K5 as a projection)."""
     return runs.select(

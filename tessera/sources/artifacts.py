@@ -12,6 +12,7 @@ from ..operators.features import FittedFeatures
 from ..operators.models import CalibratedLinearSVCModel
 from ..operators.naive_bayes import GaussianNBModel
 from ..operators.neighbors import KNN, KNNModel
+from ..operators.trees import TreeEnsembleModel
 
 
 def _put(spark: SparkSession, path: str, about: dict) -> None:
@@ -27,7 +28,7 @@ def save_artifacts(path: str, features: FittedFeatures, model) -> None:
 def save_model(path: str, model) -> None:
     spark = SparkSession.active()
     about: dict = {"kind": type(model).__name__}
-    if isinstance(model, GaussianNBModel):
+    if isinstance(model, (GaussianNBModel, TreeEnsembleModel)):
         about["model"] = model.to_dict()
     elif isinstance(model, CalibratedLinearSVCModel):
         about |= {"features": model.features, "sigmoid": [[a, b] for _, a, b in model.parts]}
@@ -56,6 +57,8 @@ def load_model(path: str, model_class=None):
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     if about["kind"] == "GaussianNBModel":
         return GaussianNBModel.from_dict(about["model"])
+    if about["kind"] == "TreeEnsembleModel":
+        return TreeEnsembleModel.from_dict(about["model"])
     if about["kind"] == "CalibratedLinearSVCModel":
         from pyspark.ml.classification import LinearSVCModel
         parts = [(LinearSVCModel.load(f"{path}/model/part{k}"), a, b) for k, (a, b) in enumerate(about["sigmoid"])]

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_records import records
+
 # pandas' default missing-value tokens (public pandas documentation).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -54,15 +56,22 @@ def read_strings(spark: SparkSession, path: str, encoding: str | None = None,
                  multi_line: bool | None = None) -> DataFrame:
     """Columns as strings; a quote inside a quoted field is doubled (RFC 4180, as pandas reads).
 
-    ``multi_line`` reads line ends inside quoted fields; such a file cannot be split, so by
-    default it is on only if the file needs it."""
+    ``multi_line`` reads line ends inside quoted fields, by default if some line has an odd
+    number of quotes.  The files stay split into byte ranges: ``csv_records`` finds the records
+    that begin in each, and every record is parsed where it was found."""
     if encoding is None or multi_line is None:
         found = detect_dialect(spark, path)
         encoding = encoding or found[0]
         multi_line = found[1] if multi_line is None else multi_line
-    return (spark.read.option("header", True).option("encoding", encoding)
-            .option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
-            .option("inferSchema", False).csv(path))
+    options = {"escape": '"', "mode": "PERMISSIVE"}
+    reader = spark.read.options(**options, header=True, encoding=encoding, multiLine=multi_line, inferSchema=False)
+    if not multi_line:
+        return reader.csv(path)
+    names = reader.csv(path).columns          # reads no further than the first record
+    rows = records(spark, path, encoding).where(~F.col("first")).select(
+        F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))),
+                   options | {"multiLine": "true"}).alias("row"))
+    return rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def null_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:

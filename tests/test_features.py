@@ -116,3 +116,26 @@ def test_label_index_above_class_bound_equals_small_path(spark, monkeypatch):
     w_big = {r["y"]: r["weight"] for r in MD.balanced_weights(big, "y").collect()}
     assert w_big == w_small
     assert sorted(r["index"] for r in cls_big.collect()) == [float(i) for i in range(37)]
+
+
+def test_hash_cuts_equal_sorting(spark, monkeypatch):
+    """Boundaries of any size, a null class and repeated hashes."""
+    monkeypatch.setattr(SP, "BOUNDARY_ROWS", 3)
+    monkeypatch.setattr(SP, "DIGITS", 1)
+    df = (spark.range(3000).withColumn("c", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+          .withColumn("h", F.md5((F.col("id") % 2900).cast("string"))))
+    quotas = spark.createDataFrame([(None, 1), (1, 137), (2, 999)], "_g long, quota long")
+    got = {r["_cg"]: r["_t"] for r in SP.hash_cuts(df, "c", "h", quotas).collect()}
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r["c"], []).append(r["h"])
+    assert got == {c: sorted(rows[c])[q - 1] for c, q in [(None, 1), (1, 137), (2, 999)]}
+    same = df.withColumn("h", F.md5(F.lit("x")))
+    assert SP.hash_cuts(same, "c", "h", quotas).select("_t").distinct().count() == 1
+
+
+def test_quotas_of_many_classes_need_no_single_window(spark, monkeypatch):
+    counts = spark.createDataFrame([(i, 2 + i * 7 % 11) for i in range(200)], "_g long, n long")
+    plain = {tuple(r) for r in SP.split_quotas(counts, classes=200).collect()}
+    monkeypatch.setattr(SP, "CLASS_TABLE_MAX_ROWS", 10)
+    assert {tuple(r) for r in SP.split_quotas(counts, classes=200).collect()} == plain

@@ -146,8 +146,8 @@ def test_knn_ties_zero_distances_and_repeated_ids(spark):
 def test_weights_reach_one_vs_rest_and_unlimited_depth(spark):
     svc = MD.build_model("LinearSVC", {}, "classification", n_classes=3, weight="weight")
     assert svc.getWeightCol() == "weight" and svc.getClassifier().getMaxIter() == 2000
-    lgbm = [MD.build_model("LightGBMRegressor", hp, "regression").getMaxDepth() for hp in ({}, {"max_depth": -1})]
-    assert lgbm == [5, 5]
+    lgbm = [MD.build_model("LightGBMRegressor", hp, "regression") for hp in ({}, {"max_depth": -1, "num_leaves": 9})]
+    assert [(m.max_depth, m.max_leaves) for m in lgbm] == [(MD.MAX_DEPTH, 31), (MD.MAX_DEPTH, 9)]
     assert MD.build_model("RandomForest", {}, "classification").getMaxDepth() == MD.MAX_DEPTH
 
 
