@@ -1,28 +1,37 @@
-"""Exact k-nearest neighbours (G8, C9) as a blocked, distributed nested loop.
-
-Query rows and training rows are hashed into blocks of about ``BLOCK_ROWS``
-rows.  Every (query block, training block) pair is one ``cogroup`` group
-(each side's rows are tagged with all block numbers of the other side), so a
-group holds about ``BLOCK_ROWS`` rows of either side and nothing
-passes through the driver.  Inside the group numpy computes distances for
-sub-batches of ``BATCH`` queries and only the ``k`` nearest per query leave
-the task; the ``k`` × blocks candidates per query are then reduced to ``k``
-with a window over those few rows.  No pair rows are ever materialised.
-Distance ties break on the training row id; equal rows have
-distance zero exactly (selected rows are recomputed from differences).  Exact KNN costs
-query rows × training rows distance evaluations by nature.
+"""Exact k-nearest neighbours (G8, C9) over pivot blocks that triangle bounds skip.
+
+Training rows go to the block of their nearest pivot (pivots are training rows, about one
+for ``BLOCK_ROWS`` rows); a block knows the smallest and largest distance of its rows
+from the pivot, and a block of more than ``BLOCK_ROWS`` rows is split by a hash.  A query first
+searches the block of its own nearest pivot, which gives a bound on its k-th distance.
+A row of another block is at least ``d - largest`` and ``smallest - d`` away, ``d`` being the
+query's distance from that pivot, so the query is sent only to the blocks where that does
+not exceed its bound; training rows stay in their block (and are copied only if more
+than ``BLOCK_ROWS`` queries come to it).  Every unit is one ``cogroup`` group of bounded size;
+numpy computes its distances in sub-batches of ``BATCH`` queries and only the ``k`` nearest
+per query leave the task, to be ranked by a window over the blocks visited.  Pairs of rows
+are never materialised, and nothing but the pivots and a row per block passes through
+the driver.  Distance ties break on the training row id; equal rows have distance zero exactly
+(selected rows are recomputed from differences).  Where the bounds skip nothing (evenly
+spread rows of many dimensions), the cost is that of all query rows x training rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir, ship_package
+
 BLOCK_ROWS = 20_000
 BATCH = 1024
+MAX_PIVOTS = 4096
+# Rounding of distances, as a share of the lengths they are computed from.
+SLACK = 1e-7
 
 
 class KNN:
@@ -70,6 +79,59 @@ def _block_topk(k: int):
     return fn
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2.0 * x @ pivots.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _nearest_pivot(df: DataFrame, col: str, pivots: np.ndarray, among: list | None = None) -> DataFrame:
+    """``df`` with ``_pivot``, the number of the nearest pivot, and ``_r``, its distance."""
+    allowed = np.arange(len(pivots)) if among is None else np.array(sorted(among))
+
+    def run(batches):
+        for batch in batches:
+            pivot, r = np.empty(0, np.int64), np.empty(0)
+            if batch.num_rows:
+                d = _distances(_matrix(batch.column(col)), pivots[allowed])
+                at = d.argmin(axis=1)
+                pivot, r = allowed[at], d[np.arange(len(at)), at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot, pa.int32()), pa.array(r)],
+                                             names=[*batch.schema.names, "_pivot", "_r"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{fields}, _pivot int, _r double")
+
+
+def _visits(own: DataFrame, pivots: np.ndarray, blocks: dict) -> DataFrame:
+    """``(_qid, _qx, _pivot)`` for the blocks, besides its own, where a query may find one of its k nearest."""
+    at = np.array(sorted(blocks))
+    low, high = (np.array([blocks[p][i] for p in at.tolist()]) for i in (1, 2))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            if batch.num_rows:
+                x = _matrix(batch.column("_qx"))
+                d = _distances(x, pivots[at])
+                bound = batch.column("_bound").to_numpy(zero_copy_only=False)
+                bound = np.where(np.isnan(bound), np.inf, bound)
+                room = SLACK * (np.sqrt((x * x).sum(axis=1))[:, None] + np.sqrt((pivots[at] ** 2).sum(axis=1)) + high)
+                go = (np.maximum(d - high, low - d) <= bound[:, None] + room)
+                go &= at != batch.column("_pivot").to_numpy()[:, None]
+                found = [at[g].tolist() for g in go]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_qid"), batch.column("_qx"), pa.array(found, pa.list_(pa.int32()))],
+                names=["_qid", "_qx", "to"])
+
+    qtype = own.schema["_qid"].dataType.simpleString()
+    sent = own.select("_qid", "_qx", "_pivot", "_bound").mapInArrow(run, f"_qid {qtype}, _qx array<double>, to array<int>")
+    return sent.select("_qid", "_qx", F.explode("to").alias("_pivot"))
+
+
 class KNNModel:
     def __init__(self, train: DataFrame, p: KNN):
         self.p = p
@@ -89,27 +151,68 @@ class KNNModel:
     def neighbours(self, query: DataFrame, qid: str) -> DataFrame:
         """``(qid, rank, neighbour id, label, distance)`` for the k nearest training rows."""
         k = self.p.k
+        ship_package(query.sparkSession)
         q = _as_array(query, self.p.features).select(F.col(qid).alias("_qid"),
                                                      F.col("_x").cast("array<double>").alias("_qx"))
-        n_t = max(1, -(-self.train.count() // BLOCK_ROWS))
         rows, ids = q.agg(F.count("*"), F.count_distinct("_qid")).first()
         if rows != ids:
             raise ValueError(f"query ids must be unique: {rows} rows, {ids} ids")
-        # small inputs still use every core
-        n_q = max(1, -(-rows // BLOCK_ROWS), min(rows, query.sparkSession.sparkContext.defaultParallelism // n_t))
-        qs = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n_q)))
-              .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))))
-        ts = (self.train.withColumn("_tb", F.pmod(F.xxhash64("_tid"), F.lit(n_t)))
-              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
-        qtype = q.schema["_qid"].dataType.simpleString()
-        ttype = self.train.schema["_tid"].dataType.simpleString()
-        cands = (qs.groupBy("_qb", "_tb").cogroup(ts.groupBy("_qb", "_tb"))
-                 .applyInPandas(_block_topk(k), f"_qid {qtype}, _tid {ttype}, _ty double, _d double"))
+        n_t = self.train.count()
+        if n_t <= BLOCK_ROWS:
+            one = F.lit(0)
+            cands = self._searched(q.withColumn("_pivot", one), self.train.withColumn("_pivot", one), {0: n_t}, {0: rows})
+        else:
+            cands = self._pivoted(q, n_t)
         w = Window.partitionBy("_qid").orderBy("_d", "_tid")    # <= k x blocks rows per query
         return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select(F.col("_qid").alias(qid), "rank", F.col("_tid").alias("neighbor"),
                         F.col("_ty").alias("neighbor_label"), F.col("_d").alias("distance")))
 
+    def _searched(self, visits: DataFrame, train: DataFrame, sizes: dict, asked: dict) -> DataFrame:
+        """The k nearest rows of each block for every ``(_qid, _qx, _pivot)``; ``sizes`` and ``asked`` hold the
+        training rows and the queries of each pivot's block (a row per block on the driver)."""
+        spread = visits.sparkSession.sparkContext.defaultParallelism // max(1, len(asked))
+        about = [(p, max(1, -(-sizes[p] // BLOCK_ROWS)), max(1, -(-n // BLOCK_ROWS), min(n, spread)))
+                 for p, n in asked.items() if p in sizes]            # small inputs still use every core
+        units = visits.sparkSession.createDataFrame(about, "_pivot int, _parts int, _chunks int")
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        qs = (visits.join(F.broadcast(units), "_pivot")              # at most MAX_PIVOTS rows
+              .withColumn("_qb", deal("_qid", "_chunks")).withColumn("_tb", each("_parts"))
+              .select("_pivot", "_qb", "_tb", "_qid", "_qx"))
+        ts = (train.join(F.broadcast(units), "_pivot")
+              .withColumn("_tb", deal("_tid", "_parts")).withColumn("_qb", each("_chunks"))
+              .select("_pivot", "_qb", "_tb", "_tid", "_ty", "_tx"))
+        qtype = visits.schema["_qid"].dataType.simpleString()
+        ttype = train.schema["_tid"].dataType.simpleString()
+        return (qs.groupBy("_pivot", "_qb", "_tb").cogroup(ts.groupBy("_pivot", "_qb", "_tb"))
+                .applyInPandas(_block_topk(self.p.k), f"_qid {qtype}, _tid {ttype}, _ty double, _d double"))
+
+    def _placed(self, n_t: int):
+        """Pivots, the training rows with their pivot (written), and ``{pivot: (rows, smallest, largest)}``."""
+        ensure_checkpoint_dir(self.train.sparkSession)
+        count = min(MAX_PIVOTS, -(-n_t // BLOCK_ROWS))
+        first = self.train.orderBy(F.xxhash64("_tid"), "_tid").limit(count).select("_tx").collect()    # <= MAX_PIVOTS
+        pivots = np.unique(np.array([r["_tx"] for r in first], float), axis=0)
+        placed = _nearest_pivot(self.train, "_tx", pivots).checkpoint()
+        about = placed.groupBy("_pivot").agg(F.count(F.lit(1)), F.min("_r"), F.max("_r")).collect()
+        return pivots, placed.drop("_r"), {r[0]: (r[1], r[2], r[3]) for r in about}
+
+    def _pivoted(self, q: DataFrame, n_t: int) -> DataFrame:
+        pivots, train, blocks = self._placed(n_t)
+        own = _nearest_pivot(q, "_qx", pivots, list(blocks)).drop("_r").checkpoint()
+        sizes = {p: b[0] for p, b in blocks.items()}
+        count = lambda df: {r[0]: r[1] for r in df.groupBy("_pivot").count().collect()}
+        near = self._searched(own, train, sizes, count(own)).checkpoint()
+        w = Window.partitionBy("_qid").orderBy("_d", "_tid")
+        bound = (near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == self.p.k)
+                 .select("_qid", F.col("_d").alias("_bound")))
+        visits = _visits(own.join(bound, "_qid", "left"), pivots, blocks).checkpoint()
+        asked = count(visits)
+        #: Query x block pairs in all, and those that were searched.
+        self.pairs = (q.count() * len(blocks), sum(asked.values()) + own.count())
+        return near.unionByName(self._searched(visits, train, sizes, asked)) if asked else near
+
     def predict(self, query: DataFrame, qid: str) -> DataFrame:
         """``(qid, prediction)``: majority / mean, or 1/d weighted (zero distances alone count)."""
         nb = self.neighbours(query, qid)

@@ -10,7 +10,7 @@ row per open node, its best cut, reaches the driver.  Many nodes and trees share
 * Boosting fits one tree a round (one a class for more than two classes: softmax) to the
   gradients of the loss; leaves are ``-rate * G / (H + l2)``.  Trees are grown by depth,
   or leaf-wise with ``max_leaves``: the open leaf of the largest gain is cut first, and
-  the children of all leaves that may still come to be cut are counted in one job.
+  the children of the best few are counted in one job.
 * Extra trees draw one cut per node and feature, uniformly between the node's smallest
   and largest value of that feature (to the precision of the bins), over a random
   subset of the features, and take the best of these cuts; every tree sees all rows.
@@ -39,6 +39,8 @@ CELLS = 4_000_000
 # Sums that the driver adds up itself if all tasks together cannot give more (about 16 MB);
 # beyond that a shuffle does.
 DRIVER_SUMS = 2_000_000
+# Leaves of a leaf-wise tree whose children are counted in one job, before it is known which are cut.
+LEAVES_AHEAD = 8
 # Rounds after which the scores are written, so that a job evaluates few trees per row.
 ROUNDS_AT_ONCE = 10
 
@@ -290,31 +292,31 @@ class Grower:
     def grow(self, count: int) -> list[Tree]:
         """``count`` trees; ``targets`` and ``features`` know them by their number."""
         trees = {t: Tree() for t in range(count)}
-        known, leaves = {}, {t: 1 for t in trees}
-        queue = {t: [(0.0, 0)] for t in trees}          # leaves by descending gain; the root is not counted yet
+        leaves = {t: 1 for t in trees}
         children: dict = {}
-        stats: dict = {}
+        found = self._cuts(trees, [(t, 0) for t in trees])
+        stats = {p: c[4] for p, c in found.items()}
+        known = {p: c for p, c in found.items() if c[2] >= 0}
+        queue = {t: [(-known[t, 0][0], 0)] if (t, 0) in known else [] for t in trees}   # leaves by descending gain
+        ahead = {t: list(q) for t, q in queue.items()}          # cuts whose children are not counted yet
         while any(queue.values()):
-            # what a tree may still cut: all its open leaves, or as many as it has room for
+            # what a tree may still cut: all of these, or the best few it has room for
             wanted = []
-            for t, q in queue.items():
-                room = len(q) if self.max_leaves is None else max(self.max_leaves - leaves[t], 0)
-                for _, node in heapq.nsmallest(room, q):
-                    if (t, node) not in known and node == 0:
-                        wanted.append((t, node))
-                    elif (t, node) in known and (t, node) not in children:
-                        gain, f, b, left, total = known[t, node]
-                        pair = trees[t].cut(node, f, b, float(self.edges[f][1 + b]), gain)
-                        children[t, node] = pair
-                        for child, s in zip(pair, (left, total - left)):
-                            stats[t, child] = s
-                            if trees[t].depth[child] < self.max_depth and s[0] >= self.min_split:
-                                wanted.append((t, child))
-            found = self._cuts(trees, wanted) if wanted else {}
-            for p in wanted:
-                if p[1] == 0 and p in found:
-                    stats[p] = found[p][4]
-            known |= {p: c for p, c in found.items() if c[2] >= 0}
+            for t in [t for t, q in queue.items() if q]:
+                room = len(ahead[t]) if self.max_leaves is None else min(self.max_leaves - leaves[t], LEAVES_AHEAD)
+                some = heapq.nsmallest(room, ahead[t])
+                ahead[t] = [x for x in ahead[t] if x not in some]
+                for _, node in some:
+                    gain, f, b, left, total = known[t, node]
+                    pair = children[t, node] = trees[t].cut(node, f, b, float(self.edges[f][1 + b]), gain)
+                    for child, s in zip(pair, (left, total - left)):
+                        stats[t, child] = s
+                        if trees[t].depth[child] < self.max_depth and s[0] >= self.min_split:
+                            wanted.append((t, child))
+            found = {p: c for p, c in self._cuts(trees, wanted).items() if c[2] >= 0}
+            known |= found
+            for t, node in found:
+                ahead[t].append((-found[t, node][0], node))
             for t in list(queue):
                 queue[t] = self._take(t, trees[t], queue[t], known, children, leaves)
         for (t, node) in children:                     # counted ahead, but never taken
@@ -326,20 +328,24 @@ class Grower:
         return list(trees.values())
 
     def _take(self, t, tree, q, known, children, leaves) -> list:
-        """Cut leaves by descending gain as long as their children are counted; what is left open."""
-        q = [(-known[t, n][0], n) if (t, n) in known else None for _, n in q]
-        q = [x for x in q if x]                          # leaves without a cut are closed
-        heapq.heapify(q)
+        """Cut leaves by descending gain as long as their children are counted; what is left open.
+        Without a limit of leaves the order does not matter, and all that are counted are cut."""
+        waiting = []
         while q and (self.max_leaves is None or leaves[t] < self.max_leaves):
-            if (t, q[0][1]) not in children:
-                return q                                 # the next leaf's children are counted first
-            _, node = heapq.heappop(q)
+            gain, node = heapq.heappop(q)
+            if (t, node) not in children:
+                waiting.append((gain, node))
+                if self.max_leaves is not None:
+                    break                                # its children are counted first
+                continue
             tree.value[node] = "cut"
             leaves[t] += 1
             for child in children[t, node]:
                 if (t, child) in known:
                     heapq.heappush(q, (-known[t, child][0], child))
-        return []
+        if self.max_leaves is not None and leaves[t] >= self.max_leaves:
+            return []
+        return sorted(q + waiting)
 
 
 def newton_gain(l2: float, min_leaf: int, min_hessian: float, first_order: bool = False):

@@ -158,3 +158,31 @@ def test_search_raises_the_error_of_a_trial(spark):
     df, _, _ = _data(spark, n=60)
     with pytest.raises(Exception):
         SR.run_search(df, df.drop("features"), "Ridge", "regression", 2)
+
+
+def test_pivot_blocks_give_the_exact_neighbours_and_skip_pairs(spark, monkeypatch):
+    """Clustered rows, copies of one row for a third, ties; regression and distance weights."""
+    from tessera.operators import neighbors as NB
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(8, 5)) * 20
+    x = np.round(centre[rng.integers(8, size=600)] + rng.normal(size=(600, 5)), 1)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, float(i % 17), x[i].tolist()) for i in range(600)],
+                               "id long, label double, x array<double>").withColumn("features", array_to_vector("x"))
+    train, query = df.where("id >= 90"), df.where("id < 90")
+    for weights in ("uniform", "distance"):
+        for task in ("regression", "classification"):
+            model = KNN(k=4, row_id="id", task=task, weights=weights).fit(train)
+            want = {r["id"]: r["prediction"] for r in model.predict(query, "id").collect()}
+            monkeypatch.setattr(NB, "BLOCK_ROWS", 40)
+            got = {r["id"]: r["prediction"] for r in model.predict(query, "id").collect()}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+            pairs, searched = model.pairs
+            assert searched < 0.6 * pairs
+            monkeypatch.undo()
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 40)
+    near = {(r["id"], r["rank"]): (r["neighbor"], r["distance"]) for r in model.neighbours(query, "id").collect()}
+    for i in range(90):
+        d = np.sqrt(((x[90:] - x[i]) ** 2).sum(axis=1))
+        best = np.lexsort((np.arange(len(d)), d))[:4]
+        assert [near[i, n + 1] for n in range(4)] == [(b + 90, d[b]) for b in best]
