@@ -11,14 +11,15 @@
 
 The fitted state is small DataFrames/dicts (one row per column, per category,
 per vocabulary term) except frequency maps, whose size is the distinct count of
-a high-cardinality column: they are broadcast only below ``BROADCAST_MAX_ROWS``
-and shuffle-joined otherwise.  ``transform`` is pure Column expressions plus
+a high-cardinality column: they are broadcast only below ``BROADCAST_MAX_ROWS`` and
+measured bytes, and joined in heavy and light values otherwise.  ``transform`` is pure Column expressions plus
 those joins, so it also works on a stream.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
@@ -29,9 +30,12 @@ from ..functions import numeric_text as NT
 from ..functions.text import word_count
 from . import profile as P
 from . import ranks
+from .split import bounded
 from .text import TfidfModel, fit_tfidf
 
 BROADCAST_MAX_ROWS = 1_000_000
+# Share of the training rows from which a value's rows are joined without a shuffle.
+HEAVY_SHARE = 0.001
 
 ROUTES = ("numeric", "numeric_text", "text", "one_hot", "frequency")
 
@@ -111,11 +115,25 @@ def frequency_table(df: DataFrame, c: str) -> DataFrame:
 
 
 def apply_frequency(df: DataFrame, c: str, table: DataFrame, n_rows: int, out: str) -> DataFrame:
-    """Left join to the train map, default 0.0; broadcast only below a size bound."""
+    """Left join to the train map, default 0.0; broadcast only below bounds of rows and bytes.
+
+    A larger map is joined in two parts: values of at least ``HEAVY_SHARE`` of the training rows (no
+    more than 1 / HEAVY_SHARE of them, broadcast if their bytes allow) take their rows where they
+    are, null and missing values need no join, and only the rest is shuffled by value, so no value
+    brings a large share of the rows to one task."""
     t = table.select(F.col("value").alias("_fv"), F.col("share").alias("_fs"))
-    t = F.broadcast(t) if n_rows <= BROADCAST_MAX_ROWS else t
-    return (df.join(t, F.col(c).cast("string") == F.col("_fv"), "left")
-            .withColumn(out, F.coalesce(F.col("_fs"), F.lit(0.0))).drop("_fv", "_fs"))
+    key = F.col(c).cast("string")
+    joined = lambda rows, part: rows.join(part, key == F.col("_fv"), "left")
+    small = bounded(t, n_rows) if n_rows <= BROADCAST_MAX_ROWS else t
+    if small is not t:
+        got = joined(df, small)
+    else:
+        heavy = t.where(F.col("_fs") >= HEAVY_SHARE)
+        first = joined(df, bounded(heavy, math.ceil(1 / HEAVY_SHARE)))
+        settled = F.col("_fv").isNotNull() | key.isNull()
+        light = t.where(F.col("_fs") < HEAVY_SHARE)
+        got = first.where(settled).unionByName(joined(first.where(~settled).drop("_fv", "_fs"), light))
+    return got.withColumn(out, F.coalesce(F.col("_fs"), F.lit(0.0))).drop("_fv", "_fs")
 
 
 # ------------------------------------------------------------ fitted pipeline

@@ -170,3 +170,12 @@ def curves(spark: SparkSession, train_score: float, val_score: float) -> DataFra
     return spark.createDataFrame([(0, 1 - train_score, 1 - val_score, train_score, val_score)],
                                  "step int, train_loss double, val_loss double, "
                                  "train_score double, val_score double")
+
+
+def boosting_curves(model, train: DataFrame, val: DataFrame, label: str = "label") -> DataFrame:
+    """H7 for boosting: ``(step, train_loss, val_loss, train_score, val_score)`` after every round, one
+    pass over either table (log loss and accuracy, or squared error and R²)."""
+    side = lambda df, name: model.staged(df, label).select(
+        F.col("iteration").alias("step"), F.col("loss").alias(f"{name}_loss"), F.col("score").alias(f"{name}_score"))
+    return side(train, "train").join(side(val, "val"), "step").select(
+        "step", "train_loss", "val_loss", "train_score", "val_score")

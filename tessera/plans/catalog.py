@@ -757,6 +757,25 @@ def q_similar_runs(spark, sf):
                       F.col("similar_rank").cast("long").alias("similar_rank"))
 
 
+@register("similar_runs_all", f"""
+WITH r AS {RUNS_SQL},
+d AS (SELECT DISTINCT upper(dataset_name) || v AS new_name, task_type AS new_task FROM r, (VALUES (''), ('_v2'), ('x')) t(v)
+      UNION SELECT DISTINCT substr(dataset_name, 2, 4), task_type FROM r),
+p AS (SELECT d.*, r.*, lower(trim(new_name)) AS a, lower(trim(dataset_name)) AS b FROM d, r),
+s AS (SELECT *, CASE WHEN a = b THEN 10.0 WHEN a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) THEN 5.0 ELSE 0.0 END
+               + CASE WHEN task_type = new_task THEN 3.0 ELSE 0.0 END AS similarity FROM p)
+SELECT new_name, new_task, run_id, dataset_name, similarity,
+  row_number() OVER (PARTITION BY new_name, new_task ORDER BY similarity DESC, created_at, run_id) AS similar_rank
+FROM s WHERE similarity >= 3.0 QUALIFY similar_rank <= 3""")
+def q_similar_runs_all(spark, sf):
+    """K1 + K2 for many new datasets at once: every run's name, longer, shorter and in capitals."""
+    runs = DC.judge(runs_table(spark, sf))
+    new = runs.select("task_type", F.explode(F.array(*[F.concat(F.upper("dataset_name"), F.lit(v)) for v in ("", "_v2", "x")],
+                                                     F.substring("dataset_name", 2, 4))).alias("dataset_name"))
+    return MM.find_similar_many(runs, new).select("new_name", "new_task", "run_id", "dataset_name", "similarity",
+                                                  F.col("similar_rank").cast("long").alias("similar_rank"))
+
+
 @register("search_budget", f"""
 WITH t AS ({_similar_sql('heart_high', 'regression')})
 SELECT count(*) FILTER (WHERE approved) AS n_approved, count(*) FILTER (WHERE NOT approved) AS n_failed,
@@ -824,6 +843,69 @@ def q_knn(spark, sf):
     return model.predict(e.where("split = 'val'"), "vec_id")
 
 
+KNN_REGRESSION_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+  CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2 AS is_val
+  FROM embeddings),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS tl, list_distance(q.x, t.x) AS dist
+      FROM e q, e t WHERE q.is_val AND NOT t.is_val),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d)
+SELECT qid AS vec_id, round(CASE WHEN min(dist) = 0 THEN avg(tl) FILTER (WHERE dist = 0)
+                                 ELSE sum(tl / dist) / sum(1 / dist) END, 6) AS prediction
+FROM r WHERE rn <= 7 GROUP BY qid"""
+
+
+@register("knn_regression", KNN_REGRESSION_SQL)
+def q_knn_regression(spark, sf):
+    """Exact 7-NN regression of the label, weighted by inverse distance."""
+    e = embeddings(spark, sf).withColumn("split", F.when(SP.uniform(SP.row_hash(["vec_id"])) < 0.2,
+                                                         "val").otherwise("train"))
+    model = KNN(k=7, row_id="vec_id", task="regression", weights="distance").fit(e.where("split = 'train'"))
+    return model.predict(e.where("split = 'val'"), "vec_id").select("vec_id", F.round("prediction", 6).alias("prediction"))
+
+
+STUMP_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+STUMP_L2, STUMP_RATE = 25.0, 0.5
+STUMP_SQL = f"""
+WITH m AS (SELECT avg(l_extendedprice) AS mean, var_pop(l_extendedprice) AS var, count(*) AS n FROM lineitem),
+v AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS pos, {c} AS x, count(*) AS n, sum(mean - l_extendedprice) AS g "
+                           f"FROM lineitem, m GROUP BY {c}" for i, c in enumerate(STUMP_FEATURES))}),
+c AS (SELECT feature, pos, x, lead(x) OVER w AS next, sum(n) OVER w AS nl, sum(g) OVER w AS gl,
+        sum(n) OVER (PARTITION BY feature) AS nn, sum(g) OVER (PARTITION BY feature) AS gg
+      FROM v WINDOW w AS (PARTITION BY feature ORDER BY x)),
+s AS (SELECT *, gl * gl / (nl + {STUMP_L2}) + (gg - gl) * (gg - gl) / (nn - nl + {STUMP_L2})
+          - gg * gg / (nn + {STUMP_L2}) AS gain FROM c WHERE next IS NOT NULL),
+b AS (SELECT feature, (x + next) / 2 AS border, gain,
+        -{STUMP_RATE} * gl / (nl + {STUMP_L2}) AS left_value,
+        -{STUMP_RATE} * (gg - gl) / (nn - nl + {STUMP_L2}) AS right_value FROM s ORDER BY gain DESC, pos LIMIT 1),
+p AS (SELECT avg(pow(mean + CASE WHEN CASE feature {" ".join(f"WHEN '{c}' THEN {c}" for c in STUMP_FEATURES)} END <= border
+                               THEN left_value ELSE right_value END - l_extendedprice, 2)) AS loss
+      FROM lineitem, m, b)
+SELECT feature, round(border, 6) AS border, round(gain / (var * n), 9) AS gain_share, round(left_value, 4) AS left_value,
+  round(right_value, 4) AS right_value, round(loss / var, 9) AS loss_share, round(1 - loss / var, 9) AS r2 FROM b, m, p"""
+
+
+@register("boosting_stump", STUMP_SQL)
+def q_boosting_stump(spark, sf):
+    """G6 + H7: one boosting round of depth 1 with l2 on lineitem prices: its cut, gain and leaves, and the
+    first point of the training curve."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators.trees import BoostedTrees
+    df = (VectorAssembler(inputCols=STUMP_FEATURES, outputCol="features").transform(table(spark, sf, "lineitem"))
+          .select("features", F.col("l_extendedprice").alias("label")))
+    model = BoostedTrees("regression", rounds=1, rate=STUMP_RATE, max_depth=1, l2=STUMP_L2).fit(df)
+    tree = model.trees[0][0]
+    var = F.var_pop("label")
+    n, spread = df.agg(F.count(F.lit(1)), var).first()
+    first = model.staged(df)
+    return first.select(
+        F.lit(STUMP_FEATURES[tree.feature[0]]).alias("feature"), F.lit(round(tree.border[0], 6)).alias("border"),
+        F.round(F.lit(tree.gain[0]) / (spread * n), 9).alias("gain_share"),
+        F.round(F.lit(tree.value[1][0]), 4).alias("left_value"), F.round(F.lit(tree.value[2][0]), 4).alias("right_value"),
+        F.round(F.col("loss") / spread, 9).alias("loss_share"), F.round("score", 9).alias("r2"))
+
+
 @register("ridge_coefficients")
 def q_ridge_coefficients(spark, sf):
     """Ridge (alpha 1) of extended price on quantity, discount, tax (rows-only check)."""

@@ -58,3 +58,26 @@ def test_similarity_cases(spark):
     assert [r["run_id"] for r in top] == ["r1", "r2"]
     budget = DC.search_budget(MM.find_similar(runs, "heart_disease_data", "classification")).first()
     assert budget["optuna_trials"] == 5 and budget["max_retries"] == 1
+
+
+def test_similar_runs_of_many_datasets_equal_one_at_a_time(spark):
+    """Names inside names, shorter than a letter group, equal, empty and null; ties by age."""
+    import random
+
+    from tessera.operators import memory as MM
+    rnd = random.Random(3)
+    names = ["heart", "heart_v2", "Heart ", "art", "he", "h", "", None, "titanic", "titan", "iris", "xxheartxx", "x"]
+    rows = [(f"r{i:03}", rnd.choice(names), rnd.choice(["classification", "regression", None]), i // 3) for i in range(150)]
+    runs = spark.createDataFrame(rows, "run_id string, dataset_name string, task_type string, created_at int")
+    asked = [(n, t) for n in ["heart", "HEART_V2_new", "ti", "t", "zz", "", "x heart"] for t in ("classification", None)]
+    got = {}
+    datasets = spark.createDataFrame(asked, "dataset_name string, task_type string")
+    many = MM.find_similar_many(runs, datasets)
+    for r in many.collect():
+        got.setdefault((r["new_name"], r["new_task"]), []).append((r["similar_rank"], r["run_id"], r["similarity"]))
+    for name, task in asked:
+        one = [(r["similar_rank"], r["run_id"], r["similarity"])
+               for r in MM.find_similar(runs, name, task if task else "no such task").collect()]
+        assert sorted(got.get((name, task), [])) == sorted(one), (name, task)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "CartesianProduct" not in many._jdf.queryExecution().executedPlan().toString()

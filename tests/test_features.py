@@ -139,3 +139,19 @@ def test_quotas_of_many_classes_need_no_single_window(spark, monkeypatch):
     plain = {tuple(r) for r in SP.split_quotas(counts, classes=200).collect()}
     monkeypatch.setattr(SP, "CLASS_TABLE_MAX_ROWS", 10)
     assert {tuple(r) for r in SP.split_quotas(counts, classes=200).collect()} == plain
+
+
+def test_frequency_join_of_a_large_map_spares_hot_values(spark, monkeypatch):
+    """A value with a third of all rows, nulls and unseen values: same result, hot rows not shuffled."""
+    train = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id") % 1500))
+                                     .alias("c"))
+    rows = train.unionByName(spark.createDataFrame([(None,), ("new",)] * 50, "c string"))
+    t = FT.frequency_table(train, "c")
+    result = lambda: sorted((r["c"] or "", r["f"]) for r in FT.apply_frequency(rows, "c", t, 1501, "f").collect())
+    plain = result()
+    monkeypatch.setattr(FT, "BROADCAST_MAX_ROWS", 10)
+    assert result() == plain and len(plain) == 6100
+    monkeypatch.setattr(FT, "HEAVY_SHARE", 0.3)
+    assert result() == plain
+    plan = FT.apply_frequency(rows, "c", t, 1501, "f")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3      # heavy values twice (settled or not), light ones once
