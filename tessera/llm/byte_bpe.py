@@ -21,8 +21,7 @@ same leftmost minimum-rank pair; the result is the same.
 Defined results: a null text encodes and decodes as the empty text (no tokens);
 an empty table gives an empty table; repeated rows give repeated rows; columns
 of the input other than the id and the text are passed through by ``encode``
-and ``decode`` and clash with nothing, because results are added under the
-names given by the caller.
+and ``decode``; one of the name that the result is given is kept as ``src_<name>``.
 """
 
 from __future__ import annotations
@@ -38,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tessera.llm.columns import apart
 from tessera.llm.worker import claim
 
 MEMO_PIECES = 600_000
@@ -296,6 +296,7 @@ def _mapped(df: DataFrame, text: str, fields: list[T.StructField], ranks_path, p
     return df.mapInArrow(run, schema)
 
 
+@apart("ids")
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", *, ranks_path: str | None = None,
            pattern: str | None = None) -> DataFrame:
     """Add the token ids of column ``text`` as an array of ints."""
@@ -306,6 +307,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", *, ranks_path: s
     return _mapped(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], ranks_path, pattern, make)
 
 
+@apart("out")
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", *, ranks_path: str | None = None,
            pattern: str | None = None) -> DataFrame:
     """Add the bytes that the id array of column ``ids`` stands for (null: no bytes)."""

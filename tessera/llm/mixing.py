@@ -2,7 +2,8 @@
 
 Method
 1. Every document gets a size (its number of words) and a place: the first nine
-   hex digits of an MD5 of id and text.  That narrow table is written once.
+   hex digits of an MD5 of id and text, and six more of the row's number, which
+   only count among rows that repeat id and text.  That narrow table is written once.
 2. Targets: the sources in code point order weigh 5, 2, 1, repeating, and share
    ``share`` times all sizes; a target stops at ``most`` times its source's size
    and the excess goes to the other sources by weight, until none is above.
@@ -19,20 +20,22 @@ only if count and bytes, which are measured, stay under ``BROADCAST_BYTES``,
 otherwise a join on source and salt spreads a source of any size.
 
 Defined results: null text has size 0; a null source is a source of its own and
-sorts last; rows that repeat id and text share a place and are taken alike; an
-empty table gives an empty table; other columns are passed through by ``mix``.
+sorts last; rows that repeat id and text are places of their own, so a source of
+equal rows comes as near its target as others (which of the equal rows are taken
+depends on their order in the input); an empty table gives an empty table; other columns are passed through by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.columns import apart
 from tessera.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE_NUM, SHARE_DEN, MOST = 3, 2, 2
-DIGITS, LEVELS = 3, 3
+DIGITS, LEVELS, REPEAT_LEVELS = 3, 3, 2
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
 
@@ -44,7 +47,9 @@ def size_of(text: str) -> Column:
 def place_of(id_col: str, text: str) -> Column:
     joined = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"),
                       F.coalesce(F.col(text), F.lit("")))
-    return F.substring(F.md5(joined.cast("binary")), 1, DIGITS * LEVELS)
+    row = F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))
+    return F.concat(F.substring(F.md5(joined.cast("binary")), 1, DIGITS * LEVELS),
+                    F.substring(row, 1, DIGITS * REPEAT_LEVELS))
 
 
 def with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
     goal = goal.withColumn("repeats", repeats.cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("repeats") * F.col("source_size"))
     state = goal.withColumns({"cut": F.lit(""), "base": F.lit(0).cast("long"), "own": F.lit(0).cast("long")})
-    for level in range(LEVELS):
+    for level in range(LEVELS + REPEAT_LEVELS):
         state = written(state, "mix-thresholds")
         here = with_source(rows, state.select("_source", "cut", "base", "rest"))
         here = here.where(F.substring("_h", 1, DIGITS * level) == F.col("cut")) if level else here
@@ -127,6 +132,7 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+@apart()
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, columns unchanged."""
     _, cut = plan(docs, id_col, text, source)

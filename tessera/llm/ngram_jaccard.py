@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import shingles
 from tessera.llm.blocks import dealt, in_units, intersections, pairs, roots, unit_intersections, unit_rows
+from tessera.llm.columns import apart
 from tessera.llm.components import components
 from tessera.llm.store import written
 
@@ -255,6 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                    F.lit(True)).alias("kept"))
 
 
+@apart()
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns unchanged.
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from tessera.llm.columns import apart
 from tessera.llm.store import written
 
 BUCKET_BYTES = 16 << 20
@@ -92,14 +93,14 @@ def _shuffled(rows: DataFrame, seed: int) -> DataFrame:
     return rows.repartition("_bucket").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+@apart()
 def shuffled_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shards: int = 8, seed: int = 17,
                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows in written, shuffled buckets, with ``_size, _crc, shard, slot``."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = docs.select(*[F.col(c).alias(f"src_{c}" if c in ("shard", "slot") else c) for c in docs.columns],
-                       size.alias("_size"),
+    rows = docs.select("*", size.alias("_size"),
                        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"),
                        F.xxhash64(id_col, text).alias("_row"))
     done = written(_shuffled(_scattered(rows, buckets, seed), seed).drop("_row"), "shuffled")

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import shingles
 from tessera.llm.blocks import dealt, in_units, pairs, roots, unit_intersections, unit_rows
+from tessera.llm.columns import apart
 from tessera.llm.components import components
 from tessera.llm.store import written
 
@@ -463,6 +464,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, thre
     return found.unionByName(repeated_passages(docs, found, id_col, text, min_words=min_words))
 
 
+@apart()
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.8,
                    min_words: int = 20) -> DataFrame:
     """``docs`` without the removed paragraphs, units and passages; a document of which no word is left goes."""

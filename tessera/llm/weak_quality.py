@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import shingles
+from tessera.llm.columns import apart
 from tessera.llm.worker import claim
 
 BUCKETS = 1 << 15
@@ -222,9 +223,10 @@ def vote_patterns(docs: DataFrame, text: str = "text") -> dict[int, int]:
 
 
 def _sample(docs: DataFrame, id_col: str, text: str, posterior: np.ndarray, part: float):
-    """Soft labels and sparse features of the documents whose id hash is below the part."""
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
-                        ).where(F.col(id_col).isNotNull())
+    """Soft labels and sparse features of the documents whose hash (of the id, or of the text where that
+    is null) is below the part."""
+    draw = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(11), id_col)).otherwise(F.xxhash64(F.lit(11), text))
+    picked = docs.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
 
     def run(batches):
         for batch in batches:
@@ -313,6 +315,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, thr
     return rated.select("doc_id", "quality", (F.col("quality") >= threshold).alias("kept"))
 
 
+@apart()
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, threshold: float = 0.3,
               train_rows: int = 10_000) -> DataFrame:
     """The documents that the classifier does not reject, with their columns unchanged."""

@@ -85,3 +85,18 @@ def test_empty_and_all_empty(docs):
     assert mixing.mix_table(docs([])).collect() == []
     got = mixing.mix_table(docs([(1, None, "a"), (2, "", None)])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in got] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_equal_rows_come_near_the_target(docs):
+    """A thousand equal rows, alone or as a third of a source: taken within one document of the target."""
+    for rows in ([(7, "one two three", "a")] * 1000, [(7, "one two three", "a")] * 300 + corpus(5)):
+        got = mixing.mix_table(docs(rows)).collect()
+        by_source = defaultdict(list)
+        for r in got:
+            by_source[r.source_size].append(r)
+        for same in by_source.values():
+            assert abs(sum(r.taken for r in same) - same[0].target) <= max(1, max(r.size for r in same))
+    rows = [(7, "one two three", "a")] * 1000 + [(8, "x " * 5000, "b")]
+    taken = sum(r.size * r.copies for r in mixing.mix_table(docs(rows)).collect() if r.doc_id == 7)
+    df = docs(rows)
+    assert abs(mixing.mix(df).where("doc_id = 7").count() * 3 - taken) <= 300
