@@ -55,27 +55,42 @@ def word_count(c) -> Column:
 
 
 @lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str]:
-    """(from, to) strings for ``translate``: every BMP character whose canonical
-    decomposition is one base character followed only by combining marks maps
-    to that base character (rule-generated from ``unicodedata``)."""
-    src, dst = [], []
-    for cp in range(0x80, 0x10000):
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition (NFKD) without combining marks makes of each character:
+    ``translate``'s two strings for characters that become one character or none, and a
+    table of those that become several (rule-generated from ``unicodedata``).
+
+    The marks' order among each other does not matter once they are gone, so a text's
+    decomposition is that of its characters.  Hangul syllables stay whole (an equal syllable
+    is an equal syllable either way)."""
+    one, none, several = [], [], {}
+    for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF:
+        if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
             continue
-        d = unicodedata.normalize("NFD", ch)
-        if d != ch and len(d) >= 2 and not unicodedata.combining(d[0]) and all(
-                unicodedata.combining(x) for x in d[1:]):
-            src.append(ch)
-            dst.append(d[0])
-    return "".join(src), "".join(dst)
+        d = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if d == ch:
+            continue
+        if not d:
+            none.append(ch)
+        elif len(d) == 1:
+            one.append((ch, d))
+        else:
+            several[ch] = d
+    return "".join(c for c, _ in one) + "".join(none), "".join(d for _, d in one), several
 
 
 def strip_accents(c) -> Column:
-    """Remove accents (``é`` → ``e``) JVM-side, with one ``translate``."""
-    src, dst = accent_table()
-    return F.translate(_col(c), src, dst)
+    """NFKD without combining marks (``é`` → ``e``, ``ﬁ`` → ``fi``, ``Ａ`` → ``A``), JVM-side: one
+    ``translate`` for characters that become one or none; the pieces around and of the others are
+    looked up in a table, in texts that have any."""
+    src, dst, several = decompositions()
+    inside = _char_class(map(ord, several))
+    table = F.str_to_map(F.lit("\ue000".join(f"{k}\ue001{v}" for k, v in several.items())), F.lit("\ue000"), F.lit("\ue001"))
+    plain = F.translate(_col(c), src, dst)
+    pieces = F.regexp_extract_all(plain, F.lit(f"[{inside}]|[^{inside}]+"), F.lit(0))
+    expanded = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    return F.when(plain.rlike(f"[{inside}]"), expanded).otherwise(plain)
 
 
 def _col(c) -> Column:

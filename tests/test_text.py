@@ -23,3 +23,24 @@ def test_vocab_cap_and_ties(spark):
     df = spark.createDataFrame([(1, "zz yy xx"), (2, "zz yy")], "id long, t string")
     m = TT.fit_tfidf(df, "id", "t", max_features=2, stop_words=[])
     assert sorted(r["term"] for r in m.vocab.collect()) == ["yy", "zz"]
+
+
+def test_accents_and_compatibility_forms_equal_nfkd(spark):
+    """Every character by itself and between letters, and texts of many of them."""
+    import random
+    import sys
+    import unicodedata
+
+    from tessera.functions.text import strip_accents
+    hangul = range(0xAC00, 0xD7A4)
+    chars = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and c not in hangul
+             and (c < 0x3000 or unicodedata.normalize("NFKD", chr(c)) != chr(c))]
+    rnd = random.Random(2)
+    texts = ["".join(chars[i:i + 40]) for i in range(0, len(chars), 40)]
+    texts += ["".join(rnd.choice([rnd.choice(chars), "a", " ", "\n", "\u0301"]) for _ in range(60)) for _ in range(200)]
+    texts += ["", "plain", "ﬁne Ｆｕｌｌ 𝐁𝐨𝐥𝐝 Ⅷ ½ … ① ㎏ e\u0301"]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", strip_accents("t").alias("s")).collect()
+    wrong = [(texts[r["i"]], r["s"]) for r in got if r["s"] != plain(texts[r["i"]])]
+    assert not wrong, wrong[:2]
+    assert next(r["s"] for r in got if r["i"] == len(texts) - 1) == "fine Full Bold VIII 1⁄2 ... 1 kg e"
