@@ -295,6 +295,16 @@ def quantiles(weighted: DataFrame, group_cols: list[str], value_col: str,
     return _interpolated(pos, got, group_cols, value_col)
 
 
+def _hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` for a hash: one that holds a map (maps cannot be hashed) as JSON."""
+    return [F.to_json(F.struct(_quoted(f.name))) if '"type":"map"' in f.dataType.json() else _quoted(f.name)
+            for f in df.schema.fields]
+
+
+def _quoted(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
           max_group_rows: int | None = None, rows_per_task: int = DEFAULT_ROWS_PER_TASK,
           rank_col: str = "rank") -> DataFrame:
@@ -309,7 +319,7 @@ def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
     salt = max(1, math.ceil(max_group_rows / rows_per_task))
     cur = df
     if salt > 1:
-        cur = cur.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
+        cur = cur.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(df)), F.lit(salt)))
         w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
         cur = cur.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k) \
                  .drop("_r1", "_salt")
