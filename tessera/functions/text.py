@@ -88,9 +88,13 @@ def strip_accents(c) -> Column:
     inside = _char_class(map(ord, several))
     table = F.str_to_map(F.lit("\ue000".join(f"{k}\ue001{v}" for k, v in several.items())), F.lit("\ue000"), F.lit("\ue001"))
     plain = F.translate(_col(c), src, dst)
+    # a class of many ranges is tried range by range on every character, so it only meets texts that
+    # hold one of its characters, which the table of ``translate`` finds, and in them no ASCII character
+    inside = f"[^\\x00-\\x7F]&&[{inside}]"
     pieces = F.regexp_extract_all(plain, F.lit(f"[{inside}]|[^{inside}]+"), F.lit(0))
     expanded = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
-    return F.when(plain.rlike(f"[{inside}]"), expanded).otherwise(plain)
+    held = F.length(F.translate(plain, "".join(several), "")) < F.length(plain)
+    return F.when(held, expanded).otherwise(plain)
 
 
 def _col(c) -> Column:

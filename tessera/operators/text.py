@@ -150,13 +150,10 @@ def term_stats(df: DataFrame, c: str, stop_words=None) -> DataFrame:
     ``explode_outer`` + NULL filter: with ``explode`` the optimizer would infer
     ``size(tokens) > 0`` and push it under a repartition into the scan."""
     tok = tokenize(df.select(c), c, "__terms", stop_words)
-    pairs = F.concat(
-        F.transform("__terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-        F.transform(F.array_distinct("__terms"),
-                    lambda t: F.struct(t.alias("term"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
-    return (tok.select(F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull())
-            .groupBy(F.col("p.term").alias("term"))
-            .agg(F.sum("p.a").cast("long").alias("total"), F.sum("p.b").cast("long").alias("df")))
+    each = tok.select(F.size("__terms").alias("n"), F.posexplode_outer(
+        F.concat("__terms", F.array_distinct("__terms"))).alias("i", "term"))      # all, then the distinct ones
+    return (each.where(F.col("term").isNotNull()).groupBy("term")
+            .agg(F.count_if(F.col("i") < F.col("n")).alias("total"), F.count_if(F.col("i") >= F.col("n")).alias("df")))
 
 
 def fit_tfidf(train: DataFrame, row_id: str | None, c: str, max_features: int = MAX_FEATURES,
