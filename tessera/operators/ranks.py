@@ -176,8 +176,11 @@ def _counted(rows: DataFrame, brackets: DataFrame, group_cols: list[str], value_
                  F.count_if((v == hi) & (hi > lo)).alias(f"_{i}hi")]
     if not sums:
         return brackets.withColumns({c: F.lit(0) for c in ("_below", "_at_lo", "_in", "_at_hi")})
-    found = (rows.alias("r").join(bounded(of_group, groups).alias("g"), _null_safe("r", "g", group_cols))
-             .groupBy(*[F.col(f"g.{c}").alias(c) for c in group_cols]).agg(F.first("g._b").alias("_b"), *sums))
+    # the array is joined again afterwards: aggregated, it would have every row sorted
+    sums = (rows.alias("r").join(bounded(of_group, groups).alias("g"), _null_safe("r", "g", group_cols))
+            .groupBy(*[F.col(f"g.{c}").alias(c) for c in group_cols]).agg(*sums))
+    found = (sums.alias("s").join(bounded(of_group, groups).alias("g"), _null_safe("s", "g", group_cols))
+             .select("s.*", "g._b"))
     each = [F.struct(*[F.get("_b", F.lit(i))[c].alias(c) for c in cols],
                      *[F.col(f"_{i}{k}").alias(n) for k, n in (("below", "_below"), ("lo", "_at_lo"),
                                                                ("in", "_in"), ("hi", "_at_hi"))])
