@@ -37,6 +37,8 @@ BOOSTERS = frozenset({"GradientBoosting", "HistGradientBoosting", "XGBoost", "Li
                       "XGBoostRegressor", "LightGBMRegressor"})
 
 SVC_ITERATIONS, SVC_TOLERANCE = 2000, 1e-4
+# Rows of a forest's part (some 320 bytes each with 50 trees).
+FOREST_ROWS = 500_000
 MAX_DEPTH = 30                # Spark's largest tree depth; "unlimited" depth becomes this
 
 
@@ -130,8 +132,9 @@ def build_model(architecture: str, hyperparams: dict | None, task: str, n_classe
         sd_y = float(stats.get("sd_y", 1.0) or 1.0)
         alpha = float(hp.get("alpha", 1.0 if architecture == "Ridge" else 0.01))
         if architecture == "Ridge":
+            # the normal equations of one pass over the rows (beyond 4096 features Spark iterates)
             return LinearRegression(regParam=alpha * sd_y / n, elasticNetParam=0.0,
-                                    standardization=False, solver="l-bfgs", maxIter=1000, **common)
+                                    standardization=False, solver="auto", maxIter=1000, **common)
         if architecture == "Lasso":
             return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False,
                                     maxIter=int(hp.get("max_iter", 2000)), **common)
@@ -150,6 +153,13 @@ def build_model(architecture: str, hyperparams: dict | None, task: str, n_classe
     raise ValueError(architecture)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as hold ``FOREST_ROWS`` rows each, or as it is if it has them: a forest
+    keeps every row with its count in every tree and reads them once a level, part by part."""
+    parts = math.ceil(df.count() / FOREST_ROWS)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
+
+
 def training_stats(df: DataFrame, label: str = "label", weight: str | None = None) -> dict:
     """n, Σw and sample sd of the label on the training rows (one small job)."""
     aggs = [F.count(F.lit(1)).alias("n"), F.stddev_samp(label).alias("sd_y")]

@@ -1220,7 +1220,8 @@ def q_feature_importances(spark, sf):
     names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
     df = VectorAssembler(inputCols=names, outputCol="features").transform(li) \
         .withColumn("label", F.col("l_extendedprice"))
-    m = MD.build_model("RandomForestRegressor", _family_params("RandomForestRegressor"), "regression").fit(df)
+    m = MD.build_model("RandomForestRegressor", _family_params("RandomForestRegressor"), "regression").fit(
+        MD.dealt(df.select("features", "label")))
     imp = MD.feature_importances(m, names) or []
     return spark.createDataFrame(imp, "feature string, importance double")
 
@@ -1266,9 +1267,10 @@ def q_hyperparameter_search(spark, sf):
     df = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features") \
         .transform(li).withColumn("label", F.col("l_extendedprice")) \
         .withColumn("split", F.when(SP.uniform(SP.row_hash(["l_orderkey", "l_linenumber"])) < 0.2, "val")
-                    .otherwise("train"))
+                    .otherwise("train")).select("features", "label", "split").persist()     # read by every trial
     trials, _ = SR.run_search(df.where("split = 'train'"), df.where("split = 'val'"), "Ridge",
                               "regression", 10)
+    df.unpersist()
     return SR.trial_table(trials).select("trial", F.col("params")["alpha"].alias("alpha"),
                                          F.round("score", 4).alias("score"),
                                          F.round("best_so_far", 4).alias("best_so_far"))
