@@ -171,3 +171,21 @@ def test_several_jobs_and_shuffled_sums_give_the_same_tree(spark, data, monkeypa
     for name, value in (("CELLS", 300), ("DRIVER_SUMS", 0)):        # several jobs, then sums added by a shuffle
         monkeypatch.setattr(TR, name, value)
         assert all(same()[c] == plain["trees"][0][0][c] for c in ("feature", "bin", "left"))
+
+
+def test_few_rows_take_few_short_tasks(spark, monkeypatch):
+    """A growing step reads packed rows, and a table of few rows in many parts does not start a task for each."""
+    rng, seen = np.random.default_rng(2), []
+    x = rng.normal(size=(400, 2))
+    df = spark.createDataFrame([(float(a > 0), [float(a), float(b)]) for a, b in x], "label double, x array<double>") \
+        .withColumn("features", array_to_vector("x")).repartition(8)
+    grow = TR.Grower.grow
+
+    def spy(self, count):
+        seen.append((self.tasks, self.rows.count()))
+        return grow(self, count)
+
+    monkeypatch.setattr(TR.Grower, "grow", spy)
+    model = TR.BoostedTrees("classification", rounds=3, max_depth=2).fit(df)
+    assert seen[0][0] == 1 and seen[0][1] <= 8
+    assert model.transform(df).where("label = prediction").count() > 380
