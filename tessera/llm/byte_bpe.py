@@ -3,8 +3,9 @@
 Method: every task keeps an in-process DuckDB with the merge table
 ``merges(a, b, r)`` (all pairs of vocabulary tokens whose concatenation is a
 token of rank ``r``) and the vocabulary.  The distinct words a batch has not
-met before become token-position rows; joined with the merge table they give
-each word its pair ranks, and a recursive query contracts each word's leftmost
+met before become rows of the list of their bytes' tokens and the list of the
+ranks of neighbouring pairs (two bytes have one of 65,536 ranks); a recursive
+query joins them with the merge table and contracts each word's leftmost
 minimum-rank pair until none is left.  Decoding joins token-position rows with
 the vocabulary and concatenates by an ordered aggregation.
 
@@ -32,6 +33,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +53,7 @@ SPACE_BESIDE_SPACE = re.compile(r"\s | \s|\A | \Z").search
 
 ENCODE_SQL = f"""
 WITH RECURSIVE step AS (
-  SELECT w, list(t ORDER BY p) AS l,
-         list(coalesce(r, {NO_PAIR}) ORDER BY p)[:-2] AS k
-  FROM (SELECT s.w, s.p, s.t, m.r
-        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM positions) s
-        LEFT JOIN merges m ON m.a = s.t AND m.b = s.nt)
-  GROUP BY w
+  SELECT w, l, k FROM words
   UNION ALL
   SELECT w,
          list_concat(list_append(l[:i - 1], r), l[i + 2:]) AS l,
@@ -105,6 +102,8 @@ class ByteBpe:
                 if x is not None and y is not None:
                     a.append(x), b.append(y), r.append(rank)
         self.merge = dict(zip(zip(a, b), r))
+        byte = self.byte_rank.tolist()
+        self.pair_rank = np.array([self.merge.get((x, y), NO_PAIR) for x in byte for y in byte], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._load("merges", {"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()),
                               "r": pa.array(r, pa.int32())})
@@ -124,11 +123,11 @@ class ByteBpe:
         self.text_of: list[str] = []
         self.count_of = array("L")
 
-    def _add(self, piece: str, ids: bytes, text: str, count: int) -> None:
-        self.known[piece] = len(self.ids_of)
-        self.ids_of.append(ids)
-        self.text_of.append(piece if text == piece else text)  # one string for both
-        self.count_of.append(count)
+    def _add(self, pieces: list[str], ids: list[bytes], texts: list[str], counts: list[int]) -> None:
+        self.known.update(zip(pieces, range(len(self.ids_of), len(self.ids_of) + len(pieces))))
+        self.ids_of += ids
+        self.text_of += [p if t == p else t for p, t in zip(pieces, texts)]  # one string for both
+        self.count_of.extend(counts)
 
     # -- words ---------------------------------------------------------------
     def _contract(self, word: bytes) -> list[int]:
@@ -160,11 +159,12 @@ class ByteBpe:
         todo = [n for n, r in enumerate(whole) if r is None and n not in skip]
         flat = np.frombuffer(b"".join([words[n] for n in todo]), np.uint8)
         size = np.fromiter((len(words[n]) for n in todo), np.int64, len(todo))
-        start = np.repeat(np.cumsum(size) - size, size)
-        self._load("positions", {
-            "w": pa.array(np.repeat(np.array(todo, np.int32), size)),
-            "p": pa.array((np.arange(len(flat)) - start).astype(np.int32)),
-            "t": pa.array(self.byte_rank[flat])})
+        ends = np.r_[0, np.cumsum(size)]
+        pair = np.delete(self.pair_rank[flat[:-1].astype(np.int32) * 256 + flat[1:]], ends[1:-1] - 1)  # none across words
+        lists = lambda offsets, values: pa.ListArray.from_arrays(
+            pa.array(offsets.astype(np.int32)), pa.array(values))
+        self._load("words", {"w": pa.array(todo, pa.int32()), "l": lists(ends, self.byte_rank[flat]),
+                             "k": lists(ends - np.arange(len(ends)), pair)})
         self._load("ids", {
             "w": pa.array(known + long_, pa.int32()),
             "l": pa.array([[whole[n]] for n in known] + [self._contract(words[n]) for n in long_],
@@ -181,8 +181,9 @@ class ByteBpe:
             got = self.db.sql(f"SELECT array_to_string(i.l, ' ') AS i, len(i.l)::INT AS n, t.s "
                               f"FROM ids i JOIN ({DECODE_SQL}) t ON t.d = i.w "
                               "ORDER BY i.w").to_arrow_table()
-            for word, ids, n, text in zip(some, *[got.column(c).to_pylist() for c in ("i", "n", "s")]):
-                self._add(word, ids.encode(), text.encode("latin-1").decode(), n)
+            ids, counts, texts = (got.column(c).to_pylist() for c in ("i", "n", "s"))
+            self._add(some, list(map(str.encode, ids)),
+                      [t if t.isascii() else t.encode("latin-1").decode() for t in texts], counts)
 
     # -- texts ---------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
@@ -191,7 +192,7 @@ class ByteBpe:
             return []
         parts = text.split(" ")
         if not SPACE_BESIDE_SPACE(text):
-            return [parts[0], *[" " + p for p in parts[1:]]]
+            return [parts[0], *map(" ".__add__, parts[1:])]
         out, open_ = [], None
         for part in parts:
             if open_ is None:
@@ -206,14 +207,12 @@ class ByteBpe:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces that are not in the memo."""
-        known = self.known
+        known, ids, text, count = self.known, self.ids_of, self.text_of, self.count_of
         split = [self.split(p) for p in pieces]
         self._learn_words(list({w: 0 for ws in split for w in ws if w not in known}))
-        for piece, words in zip(pieces, split):
-            if len(words) > 1:
-                at = [known[w] for w in words]
-                self._add(piece, b" ".join([self.ids_of[i] for i in at]), "".join([self.text_of[i] for i in at]),
-                          sum([self.count_of[i] for i in at]))
+        many = [(p, [known[w] for w in words]) for p, words in zip(pieces, split) if len(words) > 1]
+        self._add([p for p, _ in many], [b" ".join([ids[i] for i in at]) for _, at in many],
+                  ["".join([text[i] for i in at]) for _, at in many], [sum([count[i] for i in at]) for _, at in many])
 
     def index(self, texts: list[str]) -> list[list[int]]:
         """For each text the memo places of its pieces, in order."""
@@ -221,9 +220,9 @@ class ByteBpe:
             self.clear()
         cut = [self.pieces(t) for t in texts]
         known = self.known
-        new: dict[str, int] = {}
+        new: dict[str, None] = {}
         for c in cut:
-            new.update({p: 0 for p in c if p not in known})
+            new.update(dict.fromkeys(filterfalse(known.__contains__, c)))
         if new:
             self._learn(list(new))
         get = known.__getitem__
@@ -328,10 +327,12 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *,
         texts = [t or "" for t in column.to_pylist()]
         n, a, b = [], [], []
         for s in _groups(texts):
-            for ix in bpe.index(texts[s]):
-                n.append(sum([bpe.count_of[i] for i in ix]))
-                a.append(hashlib.sha256(b" ".join([bpe.ids_of[i] for i in ix])).hexdigest())
-                b.append(hashlib.sha256("".join([bpe.text_of[i] for i in ix]).encode()).hexdigest())
+            found = bpe.index(texts[s])
+            count, ids, decoded = (x.__getitem__ for x in (bpe.count_of, bpe.ids_of, bpe.text_of))
+            for ix in found:
+                n.append(sum(map(count, ix)))
+                a.append(hashlib.sha256(b" ".join(map(ids, ix))).hexdigest())
+                b.append(hashlib.sha256("".join(map(decoded, ix)).encode()).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]

@@ -61,3 +61,16 @@ def test_operator_round_trip_nulls_repeats_and_extra_columns(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.round_trip(df).collect() == []
+
+
+def test_words_come_to_the_query_as_lists_of_tokens_and_pair_ranks(bpe):
+    words = ["zq", "xqzv", "é漢", "jjjjjjj", "the", "qq" * 700]
+    bpe._encode_words([w.encode() for w in words])
+    rows = dict(bpe.db.sql("SELECT w, (l, k) FROM words").fetchall())
+    for w, (tokens, ranks) in rows.items():
+        assert tokens == [bpe.ranks[bytes([b])] for b in words[w].encode()]
+        assert ranks == [bpe.merge.get(p, byte_bpe.NO_PAIR) for p in zip(tokens, tokens[1:])]
+    got = dict(bpe.db.sql("SELECT w, l FROM ids").fetchall())
+    assert [got[n] for n in range(len(words))] == [LIB._encode_single_piece(w.encode()) for w in words]
+    bpe._encode_words([b"the"])                    # no word to contract
+    assert bpe.db.sql("SELECT w FROM words").fetchall() == []
