@@ -14,29 +14,16 @@ import xxhash
 
 from tessera.llm.worker import claim
 
-MEMO_WORDS = 200_000
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 2_000_000
 _SEEDS = np.random.Generator(np.random.PCG64(20_240_501))
 _PLACE = _SEEDS.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO_WORDS:
-            self[word] = value
-        return value
-
-
-_HASH = WordHash()
-
-
 def hash_words(words: list[bytes]) -> np.ndarray:
-    claim("shingles", _HASH.clear)
-    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words."""
+    claim("shingles", int)  # holds nothing itself
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -35,8 +35,6 @@ columns are untouched.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,7 +44,8 @@ from tessera.llm import shingles
 from tessera.llm.blocks import dealt, in_units, pairs, roots, unit_intersections, unit_rows
 from tessera.llm.columns import apart
 from tessera.llm.components import components
-from tessera.llm.store import written
+from tessera.llm.shared_keys import PACKED, packed, shared_rows
+from tessera.llm.store import Scratch, drop_shuffles, written
 
 SHINGLE, BANDS, CLOSING_WORDS = 5, 3, 4
 #: With fewer shingles than this, a similarity of 0.8 or more means equal sets.
@@ -56,50 +55,97 @@ BLOCK_ROWS = 512
 UNIT, INNER, OUTER = 0, 1, 2
 #: Tells keys and bands of paragraphs from those of units.
 PARAGRAPH = 0x5DEECE66D1CE4E5B
-_CUT = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
-_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+[ \t]*")
 _BAND_SEED = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
-def pieces(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int, bool]], list[bytes]]:
-    """Units, paragraphs and words of a text.
+def _among(chars: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), list(chars))
+
+
+_SPACE, _MARK, _CLOSER, _BLANK = map(_among, (b" \t\n\r\x0b\x0c", b".!?", b"\"')]", b" \t\r"))
+#: Between texts that are cut together: ends a word and belongs to no cut.
+_BETWEEN = b"\x0b"
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in an array of bytes."""
+    space = np.r_[True, _SPACE[data], True]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _next(there: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First place from each of ``at`` on where ``there`` holds (its length, if none)."""
+    places = np.r_[np.flatnonzero(there), len(there)]
+    return places[np.searchsorted(places, at)]
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Ends of the matches of ``[.!?]["')\\]]*[ \\t\\r]+`` and ``\\n+``."""
+    after = np.flatnonzero(_MARK[data]) + 1
+    after = _next(~_CLOSER[data], after)
+    after = after[after < len(data)]
+    after = _next(~_BLANK[data], after[_BLANK[data[after]]])
+    line = np.r_[data == 10, False]
+    return np.union1d(after, np.flatnonzero(line[:-1] & ~line[1:]) + 1)
 
-    Units and paragraphs are ``(start, stop, first word, end word)``; a paragraph
-    also says whether it stands in no other one.  A unit reaches to the start of
-    the next one, so adjacent units touch.
+
+def _pieces(texts: list[bytes]):
+    """Spans of units and paragraphs, words and places of words of many texts.
+
+    A span is ``(text, start, stop, first word, end word, level)``; places are those
+    in the texts with one byte between them, words are numbered through all texts.
+    A unit reaches to the start of the next one, so adjacent units touch.
     """
-    out, lines, words = [], [[]], []
-    start = at = first = line = line_first = 0
-    ends = [m.end() for m in _CUT.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    for end in ends:
-        here = text[at:end].split()
-        words += here
-        at = end
-        if len(here) >= CLOSING_WORDS:
-            out.append((start, end, first, len(words)))
-            start, first = end, len(words)
-        closed = text.endswith(b"\n", 0, end)
-        if closed or end == len(text):
-            if len(words) > line_first:
-                lines[-1].append((line, end, line_first, len(words)))
-            if lines[-1] and (len(words) == line_first or text.endswith(b"\n\n", 0, end)):
-                lines.append([])
-            line, line_first = end, len(words)
-    if len(words) > first:
-        out.append((start, at, first, len(words)))
-    blocks = [b for b in lines if b]
-    whole = [len(blocks) > 1 and len(b) > 1 for b in blocks]
-    paragraphs = [(*x, not w) for b, w in zip(blocks, whole) for x in b]
-    paragraphs += [(b[0][0], b[-1][1], b[0][2], b[-1][3], True) for b, w in zip(blocks, whole) if w]
-    return out, paragraphs, words
+    joined = _BETWEEN.join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    final = np.cumsum([len(x) + 1 for x in texts]) - 1
+    base = np.r_[0, final[:-1] + 1]
+    begin, finish = word_places(data)
+    cut = np.union1d(_cuts(data), final)
+    text = np.searchsorted(final, cut)
+    count = np.searchsorted(begin, cut)
+    ahead = np.searchsorted(begin, base)
+    last = cut == final[text]
+
+    def since(at):
+        """Place and words before the cut ahead of each of ``at``, among these of its text."""
+        same = np.r_[False, text[at][1:] == text[at][:-1]]
+        before = np.r_[at[:1], at[:-1]]
+        return np.where(same, cut[before], base[text[at]]), np.where(same, count[before], ahead[text[at]])
+
+    closing = count - since(np.arange(len(cut)))[1] >= CLOSING_WORDS
+    closed = np.maximum(np.maximum.accumulate(np.where(closing, count, 0)), ahead[text])
+    at = np.flatnonzero(closing | last & (count > closed))
+    start, first = since(at)
+    spans = [np.column_stack([text[at], start, cut[at], first, count[at], np.full(len(at), UNIT)])]
+
+    def newline(back):
+        return (cut - back >= base[text]) & (data[np.maximum(cut - back, 0)] == 10) if len(data) else np.zeros(len(cut), bool)
+
+    at = np.flatnonzero(newline(1) | last)
+    start, first = since(at)
+    filled = count[at] > first
+    # a line without words or a blank line after it ends a block of lines
+    ends = ~filled | (newline(1) & newline(2))[at] | last[at]
+    block = (np.cumsum(ends) - ends)[filled]
+    line = np.column_stack([text[at], start, cut[at], first, count[at]])[filled]
+    if len(line):
+        to = np.flatnonzero(np.r_[block[1:] != block[:-1], True])
+        of = np.r_[0, to[:-1] + 1]
+        several = np.bincount(line[of, 0], minlength=len(texts))[line[of, 0]] > 1
+        whole = several & (to > of)
+        level = np.where(np.repeat(whole, to - of + 1), INNER, OUTER)
+        spans.append(np.column_stack([line, level]))
+        a, b = of[whole], to[whole]
+        spans.append(np.column_stack([line[a, 0], line[a, 1], line[b, 2], line[a, 3], line[b, 4], np.full(len(a), OUTER)]))
+    return np.concatenate(spans), base, joined, joined.split(), begin, finish
 
 
 def units(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[bytes]]:
     """``(start, stop, first word, end word)`` of each unit, and the words of the text."""
-    out, _, words = pieces(text)
-    return out, words
+    spans, _, _, words, _, _ = _pieces([text])
+    return [tuple(s) for s in spans[spans[:, 5] == UNIT, 1:5].tolist()], words
 
 
 def unit_key(words: list[bytes]) -> int:
@@ -114,25 +160,21 @@ def is_key(words: list[bytes], key: int) -> bool:
 
 def _banded(texts: list[bytes], min_words: int):
     """Arrays of row, start, stop, words, level, key and band for the units and paragraphs of many texts."""
-    row, span, every, digest = [], [], [], []
-    for n, text in enumerate(texts):
-        found, paragraphs, words = pieces(text)
-        offset = len(every)
-        before = len(span)
-        for start, stop, a, b in found:
-            span.append((start, stop, a + offset, b + offset, UNIT))
-            digest.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])))
-        for start, stop, a, b, outer in paragraphs:
-            if b - a >= min_words:
-                span.append((start, stop, a + offset, b + offset, OUTER if outer else INNER))
-                digest.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])))
-        row.append(len(span) - before)
-        every += words
-    if not span:
+    span, base, joined, every, begin, finish = _pieces(texts)
+    span = span[(span[:, 5] == UNIT) | (span[:, 4] - span[:, 3] >= min_words)]
+    if not len(span):
         return [np.empty(0, np.int64)] * 7
-    row, span = np.repeat(np.arange(len(texts)), row), np.array(span)
+    # words with one space between them stand in the text as they are hashed
+    plain = (begin[1:] - finish[:-1] == 1) & (np.frombuffer(joined, np.uint8)[finish[:-1]] == 32)
+    odd = np.r_[0, np.cumsum(~plain)]
+    first, end = span[:, 3], span[:, 4]
+    digest = [xxhash.xxh3_128_digest(joined[x:y] if z else b" ".join(every[a:b])) for a, b, x, y, z in zip(
+        first.tolist(), end.tolist(), begin[first].tolist(), finish[end - 1].tolist(),
+        (odd[end - 1] == odd[first]).tolist())]
+    row, level = span[:, 0], span[:, 5]
+    span = np.column_stack([span[:, 1:3] - base[row][:, None], first, end])
     key, exact = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2).T
-    size, level = span[:, 3] - span[:, 2], span[:, 4]
+    size = end - first
     salt = np.where(level == UNIT, np.uint64(0), np.uint64(PARAGRAPH))
     key, exact = key ^ salt, exact ^ salt
     many = np.flatnonzero(size - SHINGLE + 1 >= LEAST_SHINGLES)
@@ -155,22 +197,23 @@ def _banded(texts: list[bytes], min_words: int):
             np.concatenate(band).view(np.int64))
 
 
+_BANDED = {"band": "long", "doc_id": "long", "start": "int", "stop": "int", "words": "int", "level": "byte", "key": "long"}
+
+
 def banded_units(docs: DataFrame, id_col: str, text: str, min_words: int = 20) -> DataFrame:
-    """``(band, doc_id, start, stop, words, level, key)`` of every unit, paragraph and band."""
+    """``(band, doc_id, start, stop, words, level, key)`` of every unit and paragraph with a band met in two documents."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")
                       ).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
-    def run(batches):
+    def rows_of(batches):
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
             for part in shingles.groups(texts):
                 row, start, stop, words, level, key, band = _banded(texts[part], min_words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(band), pa.array(ids[part][row]), pa.array(start, pa.int32()),
-                     pa.array(stop, pa.int32()), pa.array(words, pa.int32()), pa.array(level, pa.int8()),
-                     pa.array(key)], names=["band", "doc_id", "start", "stop", "words", "level", "key"])
+                yield [band, ids[part][row], start.astype(np.int32), stop.astype(np.int32), words.astype(np.int32),
+                       level.astype(np.int8), key]
 
-    return src.mapInArrow(run, "band long, doc_id long, start int, stop int, words int, level byte, key long")
+    return shared_rows(src.mapInArrow(lambda batches: packed(rows_of(batches)), PACKED), _BANDED)
 
 
 def _unit_words(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -250,23 +293,21 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     key``; ``removed`` is false for the one unit or paragraph of its component that
     stays.  Units of a removed paragraph have no rows of their own.
     """
-    rows = banded_units(docs, id_col, text, min_words)
-    shared = (rows.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("band"))
-    hot = written(rows.join(shared, "band"), "repeat-bands")
-
-    # classes that share a band with another class, in blocks
-    classes = hot.groupBy("band", "key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("at"))
-    blocks = written(dealt(classes, ["band"], "key", BLOCK_ROWS).drop("band"), "repeat-blocks")
-    wanted = blocks.groupBy("key").agg(F.min("at").alias("at")).select("key", "at.*")
-    words = _unit_words(docs, wanted, id_col, text)
-    work = in_units(blocks.drop("at").join(words, "key"))
-    root = components(written(_verified(work, threshold), "repeat-links"), "key", "other")
-
-    found = (hot.select("doc_id", "start", "stop", "words", "level", "key").distinct()
-             .join(root.withColumnRenamed("node", "key"), "key", "left")
-             .withColumn("cluster", F.coalesce("root", "key")).drop("root"))
-    found = written(found, "repeat-units")
+    with Scratch() as own:
+        hot = own.written(banded_units(docs, id_col, text, min_words), "repeat-bands")
+
+        # classes that share a band with another class, in blocks
+        classes = hot.groupBy("band", "key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("at"))
+        blocks = own.written(dealt(classes, ["band"], "key", BLOCK_ROWS).drop("band"), "repeat-blocks")
+        wanted = blocks.groupBy("key").agg(F.min("at").alias("at")).select("key", "at.*")
+        words = _unit_words(docs, wanted, id_col, text)
+        work = in_units(blocks.drop("at").join(words, "key"))
+        root = components(own.written(_verified(work, threshold), "repeat-links"), "key", "other")
+
+        found = (hot.select("doc_id", "start", "stop", "words", "level", "key").distinct()
+                 .join(root.withColumnRenamed("node", "key"), "key", "left")
+                 .withColumn("cluster", F.coalesce("root", "key")).drop("root"))
+        found = written(found, "repeat-units")
     large = found.where(F.col("level") > UNIT).withColumn("gone", F.lit(False))
     outer = written(_decided(large, F.col("level") == OUTER), "repeat-paragraphs")
     # components of paragraphs inside others only: none stays in a paragraph that goes
@@ -335,25 +376,26 @@ def _chosen(texts: list[bytes], cuts: list, min_words: int):
     return row[at], at - offset[row[at]], win[at], touched[at]
 
 
+_CHOSEN = {"run": "long", "doc_id": "long", "text_hash": "long", "at": "int", "gone": "boolean"}
+
+
 def chosen_runs(docs: DataFrame, found: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``(run, doc_id, text_hash, at, gone)``: hash and first word of the chosen runs."""
+    """``(run, doc_id, text_hash, at, gone)``: hash and first word of the chosen runs met in two documents."""
     cuts = (found.where("removed").groupBy(F.col("doc_id").alias("_cut_id"))
             .agg(F.collect_list(F.struct("start", "stop", "key")).alias("cut")))
     src = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
                        F.xxhash64(text).alias("text_hash")).where("doc_id IS NOT NULL AND text IS NOT NULL")
            .join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").select("doc_id", "text", "text_hash", "cut"))
 
-    def run(batches):
+    def rows_of(batches):
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
             hashes, cut = batch.column("text_hash").to_numpy(), batch.column("cut").to_pylist()
             for part in shingles.groups(texts):
                 row, at, win, gone = _chosen(texts[part], cut[part], min_words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(win.view(np.int64)), pa.array(ids[part][row]), pa.array(hashes[part][row]),
-                     pa.array(at, pa.int32()), pa.array(gone)], names=["run", "doc_id", "text_hash", "at", "gone"])
+                yield [win.view(np.int64), ids[part][row], hashes[part][row], at.astype(np.int32), gone]
 
-    return src.mapInArrow(run, "run long, doc_id long, text_hash long, at int, gone boolean")
+    return shared_rows(src.mapInArrow(lambda batches: packed(rows_of(batches)), PACKED), _CHOSEN)
 
 
 _SIDES = ("doc_id long, text_hash long, at int, gone boolean, cluster long, start int, stop int, "
@@ -372,10 +414,12 @@ def _with_sides(docs: DataFrame, runs: DataFrame, id_col: str, text: str, min_wo
 
     def rows_of(batch):
         for doc, own, text_, ats in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "ats")]):
-            places = [m.span() for m in _WORD.finditer(text_)]
+            data = np.frombuffer(text_, np.uint8)
+            starts, ends = word_places(data)
+            # the spaces and tabs after a word belong to it
+            ends = _next((data != 32) & (data != 9), ends)
             words = text_.split()
             hashes = shingles.hash_words(words).view(np.int64)
-            starts, ends = [p[0] for p in places], [p[1] for p in places]
             for at, gone in [(x["at"], x["gone"]) for x in ats]:
                 # a passage goes on less than this to each side of its first and last chosen run
                 low, end = max(0, at - among), at + size
@@ -421,33 +465,31 @@ def repeated_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     ``found`` are the repeated units.  A passage is one row with the hash of its
     document's text as key; its copy that stays is a row too.
     """
-    rows = written(chosen_runs(docs, found, id_col, text, min_words), "repeat-chosen")
-    shared = (rows.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("run"))
     size, _ = _winnow(min_words)
-    runs = _with_sides(docs, rows.join(shared, "run"), id_col, text, min_words)
-    runs = written(runs, "repeat-runs")
-    first = F.struct("doc_id", "start", "text_hash", "at", "stop", "left", "left_at", "right", "right_at")
-    kept = (runs.groupBy("cluster").agg(F.min(F.when(~F.col("gone"), first)).alias("first"),
-                                        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-            .where("lo < hi AND first IS NOT NULL").select("cluster", "first"))
-    later = F.struct("doc_id", "start", "text_hash") > F.struct("first.doc_id", "first.start", "first.text_hash")
-    pairs_ = (runs.join(kept, "cluster").where(later)
-              .withColumn("l", _alike("left", "first.left")).withColumn("r", _alike("right", "first.right")))
-
-    def edge(place, at, n):
-        return F.when(F.col(n) > 0, F.get(at, F.col(n) - 1)).otherwise(F.col(place))
-
-    spans = pairs_.select(
-        "doc_id", "text_hash", edge("start", "left_at", "l").alias("start"), edge("stop", "right_at", "r").alias("stop"),
-        (F.col("at") - F.col("l")).alias("a"), (F.col("at") + size + F.col("r")).alias("b"),
-        F.struct("at", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"),
-                 edge("first.start", "first.left_at", "l").alias("start"),
-                 edge("first.stop", "first.right_at", "r").alias("stop"),
-                 (F.col("first.at") - F.col("l")).alias("a"),
-                 (F.col("first.at") + size + F.col("r")).alias("b")).alias("from"))
-    gone = written(_touching(spans, F.min("from").alias("first"), F.collect_set("from").alias("every"))
-                   .where(F.col("passage_words") >= min_words), "repeat-passages")
+    with Scratch() as own:
+        runs = _with_sides(docs, chosen_runs(docs, found, id_col, text, min_words), id_col, text, min_words)
+        runs = own.written(runs, "repeat-runs")
+        first = F.struct("doc_id", "start", "text_hash", "at", "stop", "left", "left_at", "right", "right_at")
+        kept = (runs.groupBy("cluster").agg(F.min(F.when(~F.col("gone"), first)).alias("first"),
+                                            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                .where("lo < hi AND first IS NOT NULL").select("cluster", "first"))
+        later = F.struct("doc_id", "start", "text_hash") > F.struct("first.doc_id", "first.start", "first.text_hash")
+        pairs_ = (runs.join(kept, "cluster").where(later)
+                  .withColumn("l", _alike("left", "first.left")).withColumn("r", _alike("right", "first.right")))
+
+        def edge(place, at, n):
+            return F.when(F.col(n) > 0, F.get(at, F.col(n) - 1)).otherwise(F.col(place))
+
+        spans = pairs_.select(
+            "doc_id", "text_hash", edge("start", "left_at", "l").alias("start"), edge("stop", "right_at", "r").alias("stop"),
+            (F.col("at") - F.col("l")).alias("a"), (F.col("at") + size + F.col("r")).alias("b"),
+            F.struct("at", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"),
+                     edge("first.start", "first.left_at", "l").alias("start"),
+                     edge("first.stop", "first.right_at", "r").alias("stop"),
+                     (F.col("first.at") - F.col("l")).alias("a"),
+                     (F.col("first.at") + size + F.col("r")).alias("b")).alias("from"))
+        gone = written(_touching(spans, F.min("from").alias("first"), F.collect_set("from").alias("every"))
+                       .where(F.col("passage_words") >= min_words), "repeat-passages")
     stay = _touching(gone.select(F.inline("every")).drop("at").distinct())
     return (gone.select("doc_id", "start", "stop", F.col("passage_words").alias("n_words"), "passage_words",
                         F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
@@ -461,6 +503,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, thre
             min_words: int = 20) -> DataFrame:
     """Repeated paragraphs and units, and the exact passages that reach beyond them."""
     found = written(repeated_units(docs, id_col, text, threshold=threshold, min_words=min_words), "repeat-found")
+    drop_shuffles(docs.sparkSession)
     return found.unionByName(repeated_passages(docs, found, id_col, text, min_words=min_words))
 
 

@@ -162,3 +162,60 @@ def test_exact_passages_go_to_the_word(docs):
 
 def test_empty_table(docs):
     assert repeated_units(docs([])).collect() == [] and remove_repeats(docs([])).collect() == []
+
+
+def test_scratch_tables_and_shuffles_go(docs, spark, monkeypatch):
+    from pathlib import Path
+
+    from tessera.llm import store
+    from tessera.session import ensure_checkpoint_dir
+    freed = []
+    monkeypatch.setattr(store, "drop_shuffles", freed.append)
+    rows, _, _ = corpus(5)
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = repeats(docs(rows))
+    there = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert freed and got.count()
+    assert "repeat-found" in there and not there & {"repeat-bands", "repeat-blocks", "repeat-links", "repeat-runs"}
+
+
+def test_units_by_the_plain_definition():
+    """Cuts, units and lines as one loop over the matches finds them."""
+    import re
+
+    from tessera.llm.substring_dedup import CLOSING_WORDS, INNER, UNIT, _pieces
+    cut = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
+
+    def plain(text):
+        out, lines, count, start, at, first, line, line_first = [], [[]], 0, 0, 0, 0, 0, 0
+        for end in sorted({m.end() for m in cut.finditer(text)} | {len(text)}):
+            here = len(text[at:end].split())
+            count, at = count + here, end
+            if here >= CLOSING_WORDS:
+                out.append((start, end, first, count, UNIT))
+                start, first = end, count
+            if text.endswith(b"\n", 0, end) or end == len(text):
+                if count > line_first:
+                    lines[-1].append((line, end, line_first, count))
+                if lines[-1] and (count == line_first or text.endswith(b"\n\n", 0, end)):
+                    lines.append([])
+                line, line_first = end, count
+        if count > first:
+            out.append((start, at, first, count, UNIT))
+        blocks = [b for b in lines if b]
+        for b in blocks:
+            whole = len(blocks) > 1 and len(b) > 1
+            out += [(*x, INNER if whole else 2) for x in b]
+            out += [(b[0][0], b[-1][1], b[0][2], b[-1][3], 2)] * whole
+        return sorted(out)
+
+    rnd = random.Random(6)
+    texts = [bytes(rnd.choices(b"ab. \n\t.!?\"')\r\x0b\x0c  \n\x00\xc3", k=rnd.choice([0, 1, 9, 60, 300]))) for _ in range(400)]
+    spans, base, _, words, _, _ = _pieces(texts)
+    before = 0
+    for n, text in enumerate(texts):
+        mine = spans[spans[:, 0] == n, 1:] - [base[n], base[n], before, before, 0]
+        assert sorted(map(tuple, mine.tolist())) == plain(text), text
+        before += len(text.split())
+    assert before == len(words)
