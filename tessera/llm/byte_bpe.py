@@ -31,9 +31,7 @@ import base64
 import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +48,7 @@ LONG_WORD_BYTES = 1024
 BATCH_CHARS = 4_000_000
 NO_PAIR = 1_000_000_000
 SPACE_BESIDE_SPACE = re.compile(r"\s | \s|\A | \Z").search
+ASCII_SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 ENCODE_SQL = f"""
 WITH RECURSIVE step AS (
@@ -81,6 +80,38 @@ FROM tokens JOIN vocab USING (id) GROUP BY d
 """
 
 
+def space_beside_space(text: str, parts: list[str]) -> bool:
+    """Whether a space of the text, which cuts it into ``parts``, is at an end or beside white space."""
+    if not text.isascii():
+        return SPACE_BESIDE_SPACE(text) is not None
+    return ("" in parts or any(c in text and (f" {c}" in text or f"{c} " in text) for c in ASCII_SPACES))
+
+
+class Places(dict):
+    """Memo places of pieces; one that is not known gets the next place and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
+
+
+class Spaced(dict):
+    """Memo places of pieces by what follows their leading space."""
+
+    def __init__(self, places: Places):
+        super().__init__()
+        self.places = places
+
+    def __missing__(self, part: str) -> int:
+        place = self[part] = self.places[" " + part]
+        return place
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """Token bytes to rank, from the lines ``base64 rank`` of a rank file."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
@@ -117,17 +148,19 @@ class ByteBpe:
         self.db.unregister("incoming")
 
     def clear(self) -> None:
-        """Forget all pieces and words: their place, ids (decimal, spaced), decoded text, count."""
-        self.known: dict[str, int] = {}
+        """Forget all pieces and words: their place, ids (decimal, spaced) and decoded text."""
+        self.known = Places()
+        self.spaced = Spaced(self.known)
         self.ids_of: list[bytes] = []
         self.text_of: list[str] = []
-        self.count_of = array("L")
 
-    def _add(self, pieces: list[str], ids: list[bytes], texts: list[str], counts: list[int]) -> None:
-        self.known.update(zip(pieces, range(len(self.ids_of), len(self.ids_of) + len(pieces))))
-        self.ids_of += ids
-        self.text_of += [p if t == p else t for p, t in zip(pieces, texts)]  # one string for both
-        self.count_of.extend(counts)
+    def _set(self, places: list[int], pieces: list[str], ids: list[bytes], texts: list[str]) -> None:
+        """Fill places of the memo that have been given out."""
+        more = len(self.known) - len(self.ids_of)
+        self.ids_of += [b""] * more
+        self.text_of += [""] * more
+        for at, piece, i, text in zip(places, pieces, ids, texts):
+            self.ids_of[at], self.text_of[at] = i, piece if text == piece else text  # one string for both
 
     # -- words ---------------------------------------------------------------
     def _contract(self, word: bytes) -> list[int]:
@@ -173,17 +206,18 @@ class ByteBpe:
 
     def _learn_words(self, words: list[str]) -> None:
         """Ids and, from the ids, bytes of words; they go to the memo."""
+        known = self.known
         for k in range(0, len(words), WORDS_PER_QUERY):
             some = words[k:k + WORDS_PER_QUERY]
             self._encode_words([w.encode() for w in some])
             self.db.execute("CREATE OR REPLACE TABLE tokens AS SELECT w AS d, "
                             "generate_subscripts(l, 1) AS p, unnest(l) AS id FROM ids")
-            got = self.db.sql(f"SELECT array_to_string(i.l, ' ') AS i, len(i.l)::INT AS n, t.s "
+            got = self.db.sql(f"SELECT array_to_string(i.l, ' ') AS i, t.s "
                               f"FROM ids i JOIN ({DECODE_SQL}) t ON t.d = i.w "
                               "ORDER BY i.w").to_arrow_table()
-            ids, counts, texts = (got.column(c).to_pylist() for c in ("i", "n", "s"))
-            self._add(some, list(map(str.encode, ids)),
-                      [t if t.isascii() else t.encode("latin-1").decode() for t in texts], counts)
+            ids, texts = (got.column(c).to_pylist() for c in ("i", "s"))
+            self._set([known[w] for w in some], some, list(map(str.encode, ids)),
+                      [t if t.isascii() else t.encode("latin-1").decode() for t in texts])
 
     # -- texts ---------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
@@ -191,7 +225,7 @@ class ByteBpe:
         if not text:
             return []
         parts = text.split(" ")
-        if not SPACE_BESIDE_SPACE(text):
+        if not space_beside_space(text, parts):
             return [parts[0], *map(" ".__add__, parts[1:])]
         out, open_ = [], None
         for part in parts:
@@ -207,26 +241,37 @@ class ByteBpe:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces that are not in the memo."""
-        known, ids, text, count = self.known, self.ids_of, self.text_of, self.count_of
+        known, ids, text = self.known, self.ids_of, self.text_of
         split = [self.split(p) for p in pieces]
-        self._learn_words(list({w: 0 for ws in split for w in ws if w not in known}))
-        many = [(p, [known[w] for w in words]) for p, words in zip(pieces, split) if len(words) > 1]
-        self._add([p for p, _ in many], [b" ".join([ids[i] for i in at]) for _, at in many],
-                  ["".join([text[i] for i in at]) for _, at in many], [sum([count[i] for i in at]) for _, at in many])
+        waiting = set(pieces)
+        one = [p for p, words in zip(pieces, split) if len(words) == 1]
+        words = dict.fromkeys(one)
+        words.update((w, None) for ws in split if len(ws) > 1 for w in ws if w not in known or w in waiting)
+        self._learn_words(list(words))
+        many = [(p, [known[w] for w in ws]) for p, ws in zip(pieces, split) if len(ws) > 1]
+        self._set([known[p] for p, _ in many], [p for p, _ in many], [b" ".join([ids[i] for i in at]) for _, at in many],
+                  ["".join([text[i] for i in at]) for _, at in many])
+        known.new.clear()
+
+    def _places(self, text: str) -> list[int]:
+        parts = text.split(" ")
+        if text and not space_beside_space(text, parts):
+            return [self.known[parts[0]], *map(self.spaced.__getitem__, parts[1:])]
+        return list(map(self.known.__getitem__, self.pieces(text)))
 
     def index(self, texts: list[str]) -> list[list[int]]:
         """For each text the memo places of its pieces, in order."""
         if len(self.known) > MEMO_PIECES:
             self.clear()
-        cut = [self.pieces(t) for t in texts]
-        known = self.known
-        new: dict[str, None] = {}
-        for c in cut:
-            new.update(dict.fromkeys(filterfalse(known.__contains__, c)))
-        if new:
-            self._learn(list(new))
-        get = known.__getitem__
-        return [list(map(get, c)) for c in cut]
+        self.known.new.clear()
+        places = [self._places(t) for t in texts]
+        if self.known.new:
+            try:
+                self._learn(list(self.known.new))
+            except BaseException:
+                self.clear()  # no place may stay without its ids
+                raise
+        return places
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(b" ".join([self.ids_of[i] for i in ix]).decode().split(), np.int32)
@@ -328,10 +373,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *,
         n, a, b = [], [], []
         for s in _groups(texts):
             found = bpe.index(texts[s])
-            count, ids, decoded = (x.__getitem__ for x in (bpe.count_of, bpe.ids_of, bpe.text_of))
+            ids, decoded = (x.__getitem__ for x in (bpe.ids_of, bpe.text_of))
             for ix in found:
-                n.append(sum(map(count, ix)))
-                a.append(hashlib.sha256(b" ".join(map(ids, ix))).hexdigest())
+                spaced = b" ".join(map(ids, ix))
+                n.append(spaced.count(b" ") + 1 if ix else 0)
+                a.append(hashlib.sha256(spaced).hexdigest())
                 b.append(hashlib.sha256("".join(map(decoded, ix)).encode()).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),

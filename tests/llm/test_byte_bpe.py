@@ -74,3 +74,23 @@ def test_words_come_to_the_query_as_lists_of_tokens_and_pair_ranks(bpe):
     assert [got[n] for n in range(len(words))] == [LIB._encode_single_piece(w.encode()) for w in words]
     bpe._encode_words([b"the"])                    # no word to contract
     assert bpe.db.sql("SELECT w FROM words").fetchall() == []
+
+
+def test_each_piece_is_looked_up_once(bpe, monkeypatch):
+    """A piece gets its place at its one look into the memo; a failed group leaves no place without ids."""
+    texts = ["qzone a qzone b", "b qzone\tc", "é qzone  d", " qzone", "qzone\n e"]
+    bpe.clear()
+    want = [LIB.encode_ordinary(t) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(bpe, "_learn", lambda pieces: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            bpe.encode(texts)
+    assert not bpe.known
+    for _ in range(2):
+        assert [g.tolist() for g in bpe.encode(texts)] == want
+    assert len(bpe.known) == len(bpe.ids_of) == len(bpe.text_of) and not bpe.known.new
+
+
+@pytest.mark.parametrize("text", ["a b", " a", "a ", "a  b", "a\n b", "a \x1cb", "a\x1f b", "a\tb c", "é b", "é\x85 b", "é  b"])
+def test_spaces_beside_white_space(text):
+    assert byte_bpe.space_beside_space(text, text.split(" ")) == bool(byte_bpe.SPACE_BESIDE_SPACE(text))
