@@ -69,22 +69,23 @@ def _few_pairs(table: pa.Table):
 
 def pairs(unit: np.ndarray, block: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs inside each unit: all of one block, or all across the two blocks."""
-    border = np.flatnonzero(np.diff(unit)) + 1
-    left, right = [], []
-    for a, b in zip(np.r_[0, border], np.r_[border, len(unit)]):
-        if b - a < 2:
-            continue
-        if diagonal[a]:
-            i, j = np.triu_indices(b - a, 1)
-        else:
-            first = np.flatnonzero(block[a:b] == block[a:b].min())
-            second = np.flatnonzero(block[a:b] != block[a:b].min())
-            i, j = np.repeat(first, len(second)), np.tile(second, len(first))
-        left.append(i + a)
-        right.append(j + a)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    border = np.r_[0, np.flatnonzero(np.diff(unit)) + 1]
+    size = np.diff(np.r_[border, len(unit)])
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    inner = diagonal[border].astype(bool) if len(unit) else np.empty(0, bool)
+    for n in np.unique(size[inner]).tolist() if len(unit) else []:
+        i, j = np.triu_indices(n, 1)
+        first = border[inner & (size == n)][:, None]
+        left.append((first + i).ravel())
+        right.append((first + j).ravel())
+    for a, n in zip(border[~inner].tolist(), size[~inner].tolist()) if len(unit) else []:
+        least = block[a:a + n] == block[a:a + n].min()
+        first, second = np.flatnonzero(least), np.flatnonzero(~least)
+        left.append(np.repeat(first, len(second)) + a)
+        right.append(np.tile(second, len(first)) + a)
+    left, right = np.concatenate(left), np.concatenate(right)
+    order = np.argsort(left, kind="stable")
+    return left[order], right[order]
 
 
 def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -125,12 +126,44 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
+#: Values of the sets of pairs that are looked up together.
+VALUES_AT_ONCE = 1_000_000
+
+
+def _few_intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of set intersections for row pairs: values of the smaller set looked up among those of the other."""
+    rows, at = np.unique(np.r_[i, j], return_inverse=True)
+    i, j = at[:len(i)], at[len(i):]
+    size = np.array([len(sets[k]) for k in rows.tolist()])
+    i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+    n = size[i]
+    if not n.any():
+        return np.zeros(len(i), np.int64)
+    values, code = np.unique(np.concatenate([sets[k] for k in rows.tolist()]), return_inverse=True)
+    there = np.repeat(np.arange(len(rows)), size) * len(values) + code
+    of = np.repeat(np.arange(len(i)), n)
+    at = (np.cumsum(size) - size)[i][of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    wanted = j[of] * len(values) + code[at]
+    found = there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted
+    return np.bincount(of[found], minlength=len(i))
+
+
 def unit_intersections(sets: list[np.ndarray], unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of set intersections for row pairs that are ordered by their unit."""
     both = np.zeros(len(i), np.int64)
-    border = np.flatnonzero(np.diff(unit[i])) + 1 if len(i) else np.empty(0, np.int64)
-    for a, b in zip(np.r_[0, border], np.r_[border, len(i)]):
-        if b > a:
-            lo, hi = min(i[a:b].min(), j[a:b].min()), max(i[a:b].max(), j[a:b].max()) + 1
-            both[a:b] = intersections(sets[lo:hi], i[a:b] - lo, j[a:b] - lo)
+    if not len(i):
+        return both
+    border = np.r_[0, np.flatnonzero(np.diff(unit[i])) + 1]
+    lo = np.minimum.reduceat(np.minimum(i, j), border)
+    hi = np.maximum.reduceat(np.maximum(i, j), border) + 1
+    count = np.diff(np.r_[border, len(i)])
+    many = count > 4 * (hi - lo)
+    for a, n, x, y in zip(*[v[many].tolist() for v in (border, count, lo, hi)]):
+        both[a:a + n] = intersections(sets[x:y], i[a:a + n] - x, j[a:a + n] - x)
+    few = np.flatnonzero(~np.repeat(many, count))
+    if len(few):
+        size = np.array([len(x) for x in sets])
+        part = np.cumsum(size[i[few]] + size[j[few]]) // VALUES_AT_ONCE
+        for some in np.split(few, np.flatnonzero(np.diff(part)) + 1):
+            both[some] = _few_intersections(sets, i[some], j[some])
     return both

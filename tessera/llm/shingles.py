@@ -47,6 +47,26 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(windows(hash_words(text.split()), n))
 
 
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """``shingle_set`` of many short texts."""
+    split = [t.split() for t in texts]
+    size = np.array([len(w) for w in split], np.int64)
+    if not size.any():
+        return [np.empty(0, np.uint64)] * len(texts)
+    flat = windows(hash_words([w for words in split for w in words]), n)
+    count = np.where(size < n, 0, size - n + 1)
+    first = np.repeat(np.cumsum(size) - size, count)
+    owner = np.repeat(np.arange(len(texts)), count)
+    flat = flat[first + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] if len(owner) else flat[:0]
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    new = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])][:len(flat)]
+    out = np.split(flat[new], np.searchsorted(owner[new], np.arange(1, len(texts))))
+    for k in np.flatnonzero((size > 0) & (size < n)).tolist():
+        out[k] = windows(hash_words(split[k]), n)
+    return out
+
+
 class MinHash:
     """``k`` 32-bit min-hashes of many shingle lists at once."""
 

@@ -22,8 +22,9 @@ Method
 7. Exact passages wherever they begin and end: runs of words are chosen by their
    content (winnowing: the least hash of every few adjacent runs), so that every
    passage of ``min_words`` words that two documents share has a chosen run in
-   common, with or without sentence marks.  Each is compared word by word with
-   the first copy on both sides; what touches is one passage.  Words go only for
+   common, with or without sentence marks.  Runs that go on in the same first copy
+   are one chain, whose ends are compared word by word with that copy; what
+   touches is one passage.  Words go only for
    an equal place before them that no paragraph or unit takes.
 
 Places are byte offsets into the UTF-8 text.  Defined results: null, empty and
@@ -62,7 +63,7 @@ def _among(chars: bytes) -> np.ndarray:
     return np.isin(np.arange(256), list(chars))
 
 
-_SPACE, _MARK, _CLOSER, _BLANK = map(_among, (b" \t\n\r\x0b\x0c", b".!?", b"\"')]", b" \t\r"))
+_SPACE, _MARK, _CLOSER, _BLANK, _TRAIL = map(_among, (b" \t\n\r\x0b\x0c", b".!?", b"\"')]", b" \t\r", b" \t"))
 #: Between texts that are cut together: ends a word and belongs to no cut.
 _BETWEEN = b"\x0b"
 
@@ -74,20 +75,33 @@ def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _next(there: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """First place from each of ``at`` on where ``there`` holds (its length, if none)."""
-    places = np.r_[np.flatnonzero(there), len(there)]
-    return places[np.searchsorted(places, at)]
+def _past(those: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First place from each of ``at`` on where ``those`` does not hold (its length, if none)."""
+    places = np.flatnonzero(those)
+    if not len(places):
+        return at
+    apart_ = places[1:] != places[:-1] + 1
+    first, end = places[np.r_[True, apart_]], places[np.r_[apart_, True]] + 1
+    run = np.searchsorted(first, at, "right") - 1
+    return np.where(run >= 0, np.maximum(at, end[run]), at)
+
+
+def _merged(length: int, *places: np.ndarray) -> np.ndarray:
+    """Distinct places up to ``length`` in order."""
+    there = np.zeros(length + 1, bool)
+    for some in places:
+        there[some] = True
+    return np.flatnonzero(there)
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
     """Ends of the matches of ``[.!?]["')\\]]*[ \\t\\r]+`` and ``\\n+``."""
     after = np.flatnonzero(_MARK[data]) + 1
-    after = _next(~_CLOSER[data], after)
+    after = _past(_CLOSER[data], after)
     after = after[after < len(data)]
-    after = _next(~_BLANK[data], after[_BLANK[data[after]]])
+    after = _past(_BLANK[data], after[_BLANK[data[after]]])
     line = np.r_[data == 10, False]
-    return np.union1d(after, np.flatnonzero(line[:-1] & ~line[1:]) + 1)
+    return _merged(len(data), after, np.flatnonzero(line[:-1] & ~line[1:]) + 1)
 
 
 def _pieces(texts: list[bytes]):
@@ -102,7 +116,7 @@ def _pieces(texts: list[bytes]):
     final = np.cumsum([len(x) + 1 for x in texts]) - 1
     base = np.r_[0, final[:-1] + 1]
     begin, finish = word_places(data)
-    cut = np.union1d(_cuts(data), final)
+    cut = _merged(len(data), _cuts(data), final)
     text = np.searchsorted(final, cut)
     count = np.searchsorted(begin, cut)
     ahead = np.searchsorted(begin, base)
@@ -243,7 +257,10 @@ def _verified(work: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for table in unit_rows(batches, columns):
-            sets = [shingles.shingle_set(w, SHINGLE) for w in table.column("words").to_pylist()]
+            # a class stands in several units
+            _, one, of = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
+            distinct = shingles.shingle_sets(table.column("words").take(pa.array(one)).to_pylist(), SHINGLE)
+            sets = [distinct[k] for k in of.tolist()]
             size = np.array([len(s) for s in sets])
             unit, key = table.column("unit").to_numpy(), table.column("key").to_numpy()
             i, j = pairs(unit, table.column("block").to_numpy(), table.column("diagonal").to_numpy())
@@ -333,54 +350,59 @@ def _winnow(min_words: int) -> tuple[int, int]:
     return size, max(1, min_words - size + 1)
 
 
-def _cut_words(text: bytes, cuts: list) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Words of a text, and the first and end words of the parts that found rows remove."""
-    words, parts, at = [], [], 0
-    for cut in sorted(cuts or [], key=lambda c: (c["start"], -c["stop"])):
-        if cut["stop"] > at and is_key(text[cut["start"]:cut["stop"]].split(), cut["key"]):
-            words += text[at:max(at, cut["start"])].split()
-            first = len(words)
-            words += text[max(at, cut["start"]):cut["stop"]].split()
-            at = cut["stop"]
-            if parts and parts[-1][1] == first:
-                first = parts.pop()[0]
-            parts.append((first, len(words)))
-    words += text[at:].split()
-    return words, parts
-
-
-def _chosen(texts: list[bytes], cuts: list, min_words: int):
-    """Row, first word, hash and ``gone`` of the chosen runs of words of many texts.
+def _cut_words(joined: bytes, base: np.ndarray, begin: np.ndarray, cuts: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """Text, first and end words of the parts that found rows (text, start, stop, key) remove."""
+    text, start, stop, key = cuts
+    final = np.r_[base[1:] - 1, len(joined)][text]
+    order = np.lexsort((-stop, start, text))
+    text, key = text[order], key[order]
+    start, stop = (np.minimum(x[order] + base[text], final[order]) for x in (start, stop))
+    parts, of, at = [], -1, 0
+    for t, a, b, k, first, end in zip(*[x.tolist() for x in (
+            text, start, stop, key, np.searchsorted(begin, start), np.searchsorted(begin, stop))]):
+        if t != of:
+            of, at, last = t, 0, 0
+        if b > at and is_key(joined[a:b].split(), k):
+            first, at, last = max(first, last), b, end
+            if parts and parts[-1][0] == t and parts[-1][2] == first:
+                first = parts.pop()[1]
+            parts.append((t, first, end))
+    return parts
+
+
+def _chosen(texts: list[bytes], cuts: list[np.ndarray], min_words: int):
+    """Row, first word and its place, hash and ``gone`` of the chosen runs of words of many texts.
 
     ``gone`` runs touch what found rows remove; those more than ``min_words`` deep in it are left out.
     """
     size, among = _winnow(min_words)
-    split = [_cut_words(t, c) for t, c in zip(texts, cuts)]
-    count = np.array([len(w) for w, _ in split], np.int64)
-    if count.sum() < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
-    row, offset = np.repeat(np.arange(len(texts)), count), np.cumsum(count) - count
-    win = shingles.windows(shingles.hash_words([w for words, _ in split for w in words]), size)
+    joined = _BETWEEN.join(texts)
+    begin, _ = word_places(np.frombuffer(joined, np.uint8))
+    if len(begin) < min_words:
+        return [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64), np.empty(0, bool)]
+    base = np.r_[0, np.cumsum([len(x) + 1 for x in texts])[:-1]]
+    row, offset = np.searchsorted(base, begin, "right") - 1, np.searchsorted(begin, base)
+    win = shingles.windows(shingles.hash_words(joined.split()), size)
     # the last of the least
     last = np.lib.stride_tricks.sliding_window_view(win, among)[:, ::-1].argmin(axis=1)
-    begin = np.arange(len(last))
-    whole = row[begin] == row[begin + among + size - 2]
+    at = np.arange(len(last))
+    whole = row[at] == row[at + among + size - 2]
     touched, deep = np.zeros(len(row), bool), np.zeros(len(row), bool)
-    for o, (_, parts) in zip(offset.tolist(), split):
-        for a, b in parts:
-            touched[max(o, o + a - size + 1):o + b] = True
-            if b - a >= 2 * min_words + size:
-                deep[o + a + min_words:o + b - min_words - size + 1] = True
-    at = np.unique((begin + among - 1 - last)[whole])
+    for t, a, b in _cut_words(joined, base, begin, cuts):
+        touched[max(int(offset[t]), a - size + 1):b] = True
+        if b - a >= 2 * min_words + size:
+            deep[a + min_words:b - min_words - size + 1] = True
+    at = (at + among - 1 - last)[whole]  # never goes back
+    at = at[np.r_[True, at[1:] != at[:-1]][:len(at)]]
     at = at[~deep[at]]
-    return row[at], at - offset[row[at]], win[at], touched[at]
+    return row[at], at - offset[row[at]], begin[at] - base[row[at]], win[at], touched[at]
 
 
-_CHOSEN = {"run": "long", "doc_id": "long", "text_hash": "long", "at": "int", "gone": "boolean"}
+_CHOSEN = {"run": "long", "doc_id": "long", "text_hash": "long", "at": "int", "start": "int", "gone": "boolean"}
 
 
 def chosen_runs(docs: DataFrame, found: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``(run, doc_id, text_hash, at, gone)``: hash and first word of the chosen runs met in two documents."""
+    """``(run, doc_id, text_hash, at, start, gone)``: hash, first word and place of the chosen runs met in two documents."""
     cuts = (found.where("removed").groupBy(F.col("doc_id").alias("_cut_id"))
             .agg(F.collect_list(F.struct("start", "stop", "key")).alias("cut")))
     src = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
@@ -390,55 +412,78 @@ def chosen_runs(docs: DataFrame, found: DataFrame, id_col: str, text: str, min_w
     def rows_of(batches):
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
-            hashes, cut = batch.column("text_hash").to_numpy(), batch.column("cut").to_pylist()
+            hashes = batch.column("text_hash").to_numpy()
+            of, cut = _flat(batch.column("cut"), ("start", "stop", "key"))
             for part in shingles.groups(texts):
-                row, at, win, gone = _chosen(texts[part], cut[part], min_words)
-                yield [win.view(np.int64), ids[part][row], hashes[part][row], at.astype(np.int32), gone]
+                a, b = np.searchsorted(of, (part.start, part.stop))
+                row, at, start, win, gone = _chosen(texts[part], [of[a:b] - part.start, *[c[a:b] for c in cut]], min_words)
+                yield [win.view(np.int64), ids[part][row], hashes[part][row], at.astype(np.int32), start.astype(np.int32), gone]
 
     return shared_rows(src.mapInArrow(lambda batches: packed(rows_of(batches)), PACKED), _CHOSEN)
 
 
-_SIDES = ("doc_id long, text_hash long, at int, gone boolean, cluster long, start int, stop int, "
-          "left array<long>, left_at array<int>, right array<long>, right_at array<int>")
+def _flat(lists: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row and fields of all structs in a column of lists."""
+    size = lists.value_lengths().fill_null(0).to_numpy()
+    flat = lists.flatten()
+    return np.repeat(np.arange(len(size)), size), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _with_sides(docs: DataFrame, runs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """Runs with their place, the hash of their words, and hashes and places of the words on both sides."""
+_SIDES = "doc_id long, text_hash long, at int, after boolean, words array<long>, places array<int>"
+
+
+def _sides(texts: list[bytes], row: np.ndarray, at: np.ndarray, after: np.ndarray, min_words: int):
+    """Sizes of the sides of runs, hashes of their words, and places of the run's edge and of the words' far edges."""
+    size, among = _winnow(min_words)
+    joined = _BETWEEN.join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    begin, finish = word_places(data)
+    # the spaces and tabs after a word belong to it
+    finish = _past(_TRAIL[data], finish)
+    base = np.r_[0, np.cumsum([len(x) + 1 for x in texts])[:-1]]
+    offset = np.r_[np.searchsorted(begin, base), len(begin)]
+    # a passage goes on less than this to each side of its first and last chosen run
+    count = np.minimum(among, np.where(after, offset[row + 1] - offset[row] - at - size, at))
+    edge = offset[row] + at + np.where(after, size - 1, 0)
+    step = np.where(after, 1, -1)
+
+    def along(n, ahead):
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + ahead
+        return np.repeat(edge, n) + np.repeat(step, n) * k
+
+    every, far = joined.split(), along(count + 1, 0)
+    hashes = shingles.hash_words([every[k] for k in along(count, 1).tolist()])
+    places = np.where(np.repeat(after, count + 1), finish[far], begin[far]) - np.repeat(base[row], count + 1)
+    return count, hashes, places
+
+
+def _with_sides(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """Wanted ``(doc_id, text_hash, at, after)`` sides of runs: hashes and places of the words before or after."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
                       F.xxhash64(text).alias("text_hash"))
-    by_doc = runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "gone")).alias("ats"))
-    size, among = _winnow(min_words)
+    by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "after")).alias("ats"))
     names = [c.split()[0] for c in _SIDES.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(),
-             pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-
-    def rows_of(batch):
-        for doc, own, text_, ats in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "ats")]):
-            data = np.frombuffer(text_, np.uint8)
-            starts, ends = word_places(data)
-            # the spaces and tabs after a word belong to it
-            ends = _next((data != 32) & (data != 9), ends)
-            words = text_.split()
-            hashes = shingles.hash_words(words).view(np.int64)
-            for at, gone in [(x["at"], x["gone"]) for x in ats]:
-                # a passage goes on less than this to each side of its first and last chosen run
-                low, end = max(0, at - among), at + size
-                key = unit_key(words[at:end])
-                yield (doc, own, at, gone, key, starts[at], ends[end - 1], hashes[low:at][::-1], starts[low:at][::-1],
-                       hashes[end:end + among], ends[end:end + among])
+
+    def listed(count, values):
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(values))
 
     def run(batches):
         for batch in batches:
-            some = []
-            for row in rows_of(batch):
-                some.append(row)
-                if len(some) == 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
-                    some = []
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
+            doc, own = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
+            # rows that come twice stand together after the join
+            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])][:len(doc)])
+            batch, doc, own = batch.take(pa.array(new)), doc[new], own[new]
+            texts = batch.column("text").to_pylist()
+            of, (at, after) = _flat(batch.column("ats"), ("at", "after"))
+            for part in shingles.groups(texts):
+                a, b = np.searchsorted(of, (part.start, part.stop))
+                row = of[a:b]
+                count, hashes, places = _sides(texts[part], row - part.start, at[a:b], after[a:b], min_words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[row]), pa.array(own[row]), pa.array(at[a:b]), pa.array(after[a:b]),
+                     listed(count, hashes.view(np.int64)), listed(count + 1, places.astype(np.int32))], names=names)
 
-    return src.join(by_doc, ["doc_id", "text_hash"]).mapInArrow(run, _SIDES)
+    return src.join(by_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "ats").mapInArrow(run, _SIDES)
 
 
 def _alike(a: str, b: str):
@@ -458,6 +503,27 @@ def _touching(spans: DataFrame, *more) -> DataFrame:
                  (F.max("b") - F.min("a")).cast("long").alias("passage_words"), *more).drop("_passage"))
 
 
+def _chains(runs: DataFrame, size: int) -> DataFrame:
+    """Runs of words that repeat a first copy, those that go on in the same copy as one row.
+
+    A chain's runs overlap or touch, so its words are equal from the first word of its
+    first run to the last word of its last one, and only its ends need a look at the texts.
+    """
+    kept = runs.where("NOT gone").groupBy("run").agg(F.min(F.struct("doc_id", "start", "text_hash", "at")).alias("first"))
+    later = F.struct("doc_id", "start", "text_hash") > F.struct("first.doc_id", "first.start", "first.text_hash")
+    repeat = runs.join(kept, "run").where(later).select(
+        "doc_id", "text_hash", "at", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"),
+        F.col("first.at").alias("first_at"))
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("at")
+    step, first_step = (F.col(c) - F.lag(c).over(order) for c in ("at", "first_at"))
+    same = (F.lag("first_id").over(order) == F.col("first_id")) & (F.lag("first_hash").over(order) == F.col("first_hash"))
+    goes_on = F.coalesce(same & (step == first_step) & (step <= size), F.lit(False))
+    return (repeat.withColumn("new", (~goes_on).cast("int")).withColumn("chain", F.sum("new").over(order))
+            .groupBy("doc_id", "text_hash", "chain", "first_id", "first_hash")
+            .agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min("first_at").alias("first_low"),
+                 F.max("first_at").alias("first_high")))
+
+
 def repeated_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text", *,
                       min_words: int = 20) -> DataFrame:
     """Exact repeats of ``min_words`` words or more, in the columns of ``repeated_units``.
@@ -467,27 +533,34 @@ def repeated_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     """
     size, _ = _winnow(min_words)
     with Scratch() as own:
-        runs = _with_sides(docs, chosen_runs(docs, found, id_col, text, min_words), id_col, text, min_words)
-        runs = own.written(runs, "repeat-runs")
-        first = F.struct("doc_id", "start", "text_hash", "at", "stop", "left", "left_at", "right", "right_at")
-        kept = (runs.groupBy("cluster").agg(F.min(F.when(~F.col("gone"), first)).alias("first"),
-                                            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                .where("lo < hi AND first IS NOT NULL").select("cluster", "first"))
-        later = F.struct("doc_id", "start", "text_hash") > F.struct("first.doc_id", "first.start", "first.text_hash")
-        pairs_ = (runs.join(kept, "cluster").where(later)
-                  .withColumn("l", _alike("left", "first.left")).withColumn("r", _alike("right", "first.right")))
-
-        def edge(place, at, n):
-            return F.when(F.col(n) > 0, F.get(at, F.col(n) - 1)).otherwise(F.col(place))
-
-        spans = pairs_.select(
-            "doc_id", "text_hash", edge("start", "left_at", "l").alias("start"), edge("stop", "right_at", "r").alias("stop"),
-            (F.col("at") - F.col("l")).alias("a"), (F.col("at") + size + F.col("r")).alias("b"),
-            F.struct("at", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"),
-                     edge("first.start", "first.left_at", "l").alias("start"),
-                     edge("first.stop", "first.right_at", "r").alias("stop"),
-                     (F.col("first.at") - F.col("l")).alias("a"),
-                     (F.col("first.at") + size + F.col("r")).alias("b")).alias("from"))
+        runs = own.written(chosen_runs(docs, found, id_col, text, min_words), "repeat-runs")
+        chains = own.written(_chains(runs, size), "repeat-chains")
+        ends = chains.select("doc_id", "text_hash", "chain", "first_id", "first_hash", F.inline(F.array(
+            F.struct(F.lit(False).alias("after"), F.col("low").alias("at"), F.col("first_low").alias("first_at")),
+            F.struct(F.lit(True).alias("after"), F.col("high").alias("at"), F.col("first_high").alias("first_at")))))
+        theirs = {"first_id": "doc_id", "first_hash": "text_hash", "first_at": "at"}
+        wanted = ends.select("doc_id", "text_hash", "at", "after").unionByName(
+            ends.select(*[F.col(a).alias(b) for a, b in theirs.items()], "after"))
+        sides = own.written(_with_sides(docs, wanted, id_col, text, min_words), "repeat-sides")
+        both = (ends.join(sides, ["doc_id", "text_hash", "at", "after"])
+                .join(sides.withColumnsRenamed({b: a for a, b in theirs.items()} | {"words": "first_words", "places": "first_places"}),
+                      [*theirs, "after"])
+                .withColumn("n", _alike("words", "first_words")))
+
+        def edge(at, places):
+            """Places and words of both ends of a chain, as far as both texts go on alike."""
+            before, after = ~F.col("after"), F.col("after")
+            return [F.min(F.when(before, F.get(places, "n"))).alias("start"), F.max(F.when(after, F.get(places, "n"))).alias("stop"),
+                    F.min(F.when(before, F.col(at) - F.col("n"))).alias("a"),
+                    F.max(F.when(after, F.col(at) + size + F.col("n"))).alias("b")]
+
+        names = ["start", "stop", "a", "b"]
+        spans = (both.groupBy("doc_id", "text_hash", "chain", "first_id", "first_hash")
+                 .agg(F.min("at").alias("at"), F.struct(*edge("at", "places")).alias("own"),
+                      F.struct(*edge("first_at", "first_places")).alias("theirs"))
+                 .select("doc_id", "text_hash", *[F.col(f"own.{c}") for c in names], F.struct(
+                     "at", F.col("first_id").alias("doc_id"), F.col("first_hash").alias("text_hash"),
+                     *[F.col(f"theirs.{c}") for c in names]).alias("from")))
         gone = written(_touching(spans, F.min("from").alias("first"), F.collect_set("from").alias("every"))
                        .where(F.col("passage_words") >= min_words), "repeat-passages")
     stay = _touching(gone.select(F.inline("every")).drop("at").distinct())

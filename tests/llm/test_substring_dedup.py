@@ -219,3 +219,23 @@ def test_units_by_the_plain_definition():
         assert sorted(map(tuple, mine.tolist())) == plain(text), text
         before += len(text.split())
     assert before == len(words)
+
+
+def test_only_the_ends_of_a_chain_look_at_the_texts(docs, monkeypatch):
+    """Runs that go on in the same first copy need no words on their sides."""
+    from tessera.llm import substring_dedup
+    rnd, seen, with_sides = random.Random(21), [], substring_dedup._with_sides
+
+    def counted(df, wanted, *more):
+        seen.append(wanted.distinct().count())
+        return with_sides(df, wanted, *more)
+
+    def some(n):
+        return " ".join(f"w{rnd.randint(0, 30000)}" for _ in range(n))
+    monkeypatch.setattr(substring_dedup, "_with_sides", counted)
+    passage = some(100)
+    rows = [(d, f"{some(150 + d)} {passage} {some(160)}") for d in range(3)] + [(2, None)]
+    got = [r for r in repeats(docs(rows)).collect() if r.n_words == 100]
+    assert sorted((r.doc_id, r.removed, r.kept_doc_id) for r in got) == [(0, False, 0), (1, True, 0), (2, True, 0)]
+    assert all(rows[r.doc_id][1].encode()[r.start:r.stop].decode().rstrip() == passage for r in got)
+    assert len(seen) == 1 and 6 <= seen[0] <= 8      # both ends in the two later copies, and their places in the first one
