@@ -189,3 +189,40 @@ def test_few_rows_take_few_short_tasks(spark, monkeypatch):
     model = TR.BoostedTrees("classification", rounds=3, max_depth=2).fit(df)
     assert seen[0][0] == 1 and seen[0][1] <= 8
     assert model.transform(df).where("label = prediction").count() > 380
+
+
+def test_leaf_wise_growth_takes_about_a_step_a_level(spark, monkeypatch):
+    """Leaves are counted ahead by the smallest gain on the way to them, all that the tree may reach at once."""
+    rng, steps = np.random.default_rng(8), []
+    x = rng.normal(size=(2000, 3))
+    cuts = TR.Grower._cuts
+    monkeypatch.setattr(TR.Grower, "_cuts", lambda self, trees, nodes: steps.append(len(nodes)) or cuts(self, trees, nodes))
+    (tree,), = TR.BoostedTrees("regression", rounds=1, max_depth=30, max_leaves=31, min_leaf=5).fit(
+        frame(spark, x, rng.normal(size=2000))).trees
+    inner = [n for n, f in enumerate(tree.feature) if f >= 0]
+    assert len(inner) == 30
+    assert len(steps) <= max(tree.depth[n] for n in inner) + 3
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_rows_of_equal_codes_are_added_once_and_count_each(spark, data, task):
+    """Rows that a part holds several times grow the trees of as many rows apart; a step reads each once."""
+    x, y, _ = data
+    x, y = np.repeat(np.round(x[:40]), 15, axis=0), np.resize(y, 600)
+    y = y if task == "regression" else (y > 0).astype(float)
+    codes, group = TR.grouped(x.astype(np.int8).view(np.uint8))
+    assert len(codes) <= 40 and (codes[group] == x.astype(np.int8).view(np.uint8)).all()
+    w = np.random.default_rng(3).integers(1, 4, 600).astype(float)
+    m = TR.BoostedTrees(task, rounds=1, rate=1.0, max_depth=1, bins=250, weight="weight").fit(frame(spark, x, y, w))
+    p = (w * y).sum() / w.sum()
+    g, h = (w * (p - y), w) if task == "regression" else (w * (p - y), w * p * (1 - p))
+    check(m.trees[0][0], m.start, best_cut(x, g, h, 0.0), 1.0, x)
+
+
+def test_rows_that_differ_in_a_late_column_are_not_taken_for_equal():
+    codes = np.zeros((100, 20), np.uint8)
+    codes[::2, 19] = 1
+    one, group = TR.grouped(codes)
+    assert len(one) == 2 and (one[group] == codes).all()
+    apart = np.arange(100, dtype=np.uint8)[:, None] * np.ones((1, 20), np.uint8)
+    assert TR.grouped(apart)[1] is None
