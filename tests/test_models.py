@@ -216,3 +216,24 @@ def test_forest_parts_grow_with_the_rows(spark, monkeypatch):
     df = spark.range(400).coalesce(1)
     assert MD.dealt(df).rdd.getNumPartitions() == 8
     assert MD.dealt(df.limit(40)).rdd.getNumPartitions() == 1
+
+
+def test_knn_skips_cells_of_a_block_and_finds_the_same_rows():
+    """Queries are held against few of a block's rows, with ties by the smallest id; evenly spread rows are all searched."""
+    import pandas as pd
+    from tessera.operators import neighbors as NB
+    rng = np.random.default_rng(11)
+    grid = lambda n: np.c_[rng.integers(0, 50, n), rng.integers(0, 10, n) / 100, rng.integers(0, 7, n)].astype(float)
+    ball = lambda n: rng.normal(size=(n, 24))
+    for make, share in ((grid, 0.2), (ball, 1.0)):
+        t, q, ids = make(3000), make(200), rng.permutation(3000)
+        pairs = [(b, rows) for b, rows in NB._cells(t, q, 4)]
+        assert sorted(np.concatenate([b for b, _ in pairs]).tolist()) == list(range(200))
+        assert sum(len(b) * len(rows) for b, rows in pairs) <= share * 200 * 3000
+        got = NB._block_topk(4)(pd.DataFrame({"_qid": np.arange(200), "_qx": list(q)}),
+                                pd.DataFrame({"_tid": ids, "_tx": list(t), "_ty": ids * 1.0}))
+        found = {i: (g["_tid"].tolist(), g["_d"].tolist()) for i, g in got.groupby("_qid")}
+        for i in range(200):
+            d = np.sqrt(((t - q[i]) ** 2).sum(axis=1))
+            best = np.lexsort((ids, d))[:4]
+            assert found[i] == (ids[best].tolist(), d[best].tolist())
